@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -44,3 +45,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def shipped_file(spark: SparkSession, path: str):
+    """A broadcast of ``(digest, content)`` of one vocabulary file, which is a few MB whatever the data."""
+    with open(path, "rb") as f:
+        content = f.read()
+    return spark.sparkContext.broadcast((hashlib.sha256(content).hexdigest(), content))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import exact_dedup, line_dedup
+from leafmill.llm import byte_bpe, exact_dedup, language_id, line_dedup, packing, token_counts
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -14,6 +15,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode_documents(encoded.drop("text"), ranks))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -59,5 +82,12 @@ SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORD
 FROM judged GROUP BY doc_id
 """
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op9_line_dedup": op9_line_dedup}
+QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_counts": op8_token_counts,
+    "op9_line_dedup": op9_line_dedup,
+}
 ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL}
