@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import byte_bpe, exact_dedup, jaccard_join, language_id, line_dedup, packing, token_counts
+from leafmill.llm import byte_bpe, exact_dedup, exact_topk, html_extract, jaccard_join, language_id, line_dedup, packing, shards, token_counts
+from leafmill.llm.common import new_path
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -15,6 +16,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk.exact_topk(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight arrivals of documents, compacted; the rows of the last version as its shards hold them."""
+    store = shards.ShardStore(spark, new_path(spark, "shard-store"), target_bytes=128 << 20, fanout=4)
+    docs = table(spark, sf_dir, "documents")
+    store.append_all(docs.withColumn("arrival", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(8))), "arrival")
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP2_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
@@ -86,7 +120,13 @@ SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORD
 FROM judged GROUP BY doc_id
 """
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
+    "op2_sharding": op2_sharding,
     "op3_language_id": op3_language_id,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -94,5 +134,6 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_line_dedup": op9_line_dedup,
+    "op10_html_extract": op10_html_extract,
 }
-ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op2_sharding": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL}
