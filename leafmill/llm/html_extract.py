@@ -28,7 +28,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 BOILERPLATE = frozenset("nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu head title".split())
 RAW = frozenset("script style noscript template iframe object svg canvas title textarea".split())
 MAIN = frozenset("article main".split())
-OTHER, MAIN_PART, NAMED = 0, 1, 2
+OTHER, MAIN_PART, NAMED, NAMED_IN_MAIN = range(4)
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus\w*|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
@@ -57,7 +57,7 @@ class PageTree(HTMLParser):
         self.text.clear()
         if text and not any(x[0] in RAW for x in self.open):
             _, path, named, main, _ = self.open[-1] if self.open else ("", "", False, False, [])
-            self.blocks.append((path, text, NAMED if named else MAIN_PART if main else OTHER))
+            self.blocks.append((path, text, (NAMED_IN_MAIN if main else NAMED) if named else MAIN_PART if main else OTHER))
 
     def close_top(self) -> None:
         _, path, _, main, children = self.open.pop()
@@ -123,7 +123,7 @@ def _style_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts, pages, kinds, paths, contents = [], [], [], [], []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = PageTree.of(html)
-            found = [("content", p, t) for p, t, part in page.blocks if part != MAIN_PART] + [("presentation", p, c) for p, c in page.elements]
+            found = [("content", p, t) for p, t, part in page.blocks if part in (OTHER, NAMED)] + [("presentation", p, c) for p, c in page.elements]
             digest = xxhash.xxh3_64_intdigest((html or "").encode()) >> 1
             for kind, path, content in found:
                 hosts.append(host)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from leafmill.llm.common import written
 
+UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 CACHED = 300_000
 _caches: dict = {}
@@ -162,7 +163,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             if rows:
                 total += np.asarray(times, np.float64) @ m.logs[rows]
             if not (letters or rows) or not m.langs:
-                return "und", 0.0
+                return UNKNOWN, 0.0
             p = np.exp(total - total.max())
             best = int(total.argmax())
             return m.langs[best], float(p[best] / p.sum())
