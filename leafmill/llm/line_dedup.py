@@ -18,13 +18,19 @@ BLANKS = r"[ \t\r\f\x0B]+"
 FIELD = "<*>"
 
 
+def flattened(text: Column) -> Column:
+    """Each run of blanks inside a line as one space; texts that have only single spaces pass untouched."""
+    odd = text.contains("  ") | text.contains("\t") | text.contains("\r") | text.contains("\f") | text.contains("\x0b")
+    return F.when(odd, F.regexp_replace(text, BLANKS, " ")).otherwise(text)
+
+
 def template_of(line: Column, depth: int, min_constants: int) -> Column:
-    """The template of a line as a string, null where fewer than ``min_constants`` leading tokens are constant."""
-    flat = F.trim(F.regexp_replace(line, BLANKS, " "))
-    n = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1
+    """The template of a flattened line as a string, null where fewer than ``min_constants`` leading tokens are constant."""
+    flat = F.trim(line)
+    n = F.octet_length(flat) - F.octet_length(F.replace(flat, F.lit(" "), F.lit(""))) + 1
     lead = F.substring_index(flat, " ", depth)
     lead = F.when(lead.rlike("[0-9]"), F.regexp_replace(lead, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(lead)
-    fields = (F.length(lead) - F.length(F.replace(lead, F.lit(FIELD), F.lit("")))) / len(FIELD)
+    fields = (F.octet_length(lead) - F.octet_length(F.replace(lead, F.lit(FIELD), F.lit("")))) / len(FIELD)
     return F.when((flat != "") & (F.least(n, F.lit(depth)) - fields >= min_constants), F.concat_ws(" ", n.cast("string"), lead))
 
 
@@ -37,26 +43,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows that repeat an id count once. A null text stays null with 0 lines. An empty table gives an
     empty result. Columns of ``docs`` named like the added ones are replaced.
     """
-    ided = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).where(F.col("_doc").isNotNull() & F.col("_text").isNotNull())
-    lines = ided.select("_doc", F.explode(F.split("_text", "\n")).alias("_line"))
-    postings = lines.select("_doc", template_of(F.col("_line"), depth, min_constants).alias("_template")).where(F.col("_template").isNotNull()).distinct()
-    postings = written(postings, "line-postings")
+    docs = docs.drop("n_lines", "n_dropped")
+    doc, text = F.col(id_col).alias("_doc"), F.col(text_col)
+    ided = docs.where(F.col(id_col).isNotNull() & text.isNotNull())
+    lines = ided.select(doc, F.xxhash64(text).alias("_row"), F.posexplode(F.split(flattened(text), "\n")).alias("_at", "_line"))
+    postings = written(lines.select("_doc", "_row", "_at", template_of(F.col("_line"), depth, min_constants).alias("_template")).where(F.col("_template").isNotNull()), "line-postings")
 
-    recurring = postings.groupBy("_template").agg(F.count("*").alias("_n"), F.min("_doc").alias("_home")).where(F.col("_n") >= min_docs)
+    by_doc = postings.groupBy("_template", "_doc").agg(F.lit(1).alias("_one"))
+    recurring = by_doc.groupBy("_template").agg(F.count("*").alias("_n"), F.min("_doc").alias("_home")).where(F.col("_n") >= min_docs)
     recurring = written(recurring.select("_template", "_home"), "line-templates")
 
     # Both sides are read from files, so the join may split a template that very many documents share.
     hits = postings.join(recurring, "_template").where(F.col("_doc") != F.col("_home"))
-    dropped = hits.groupBy("_doc").agg(F.collect_set("_template").alias("_dropped"))  # at most the lines of one document
-
-    kept = docs.drop("n_lines", "n_dropped").join(dropped, F.col(id_col) == F.col("_doc"), "left")
-    text = kept[text_col]
-    every = F.split(text, "\n")
-    keep = F.filter(every, lambda x: ~F.coalesce(F.array_contains(F.col("_dropped"), template_of(x, depth, min_constants)), F.lit(False)))
-    kept = kept.withColumn("_keep", F.when(F.col("_dropped").isNotNull(), keep))
-    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    dropped = hits.groupBy("_doc", "_row").agg(F.collect_set("_at").alias("_dropped"))  # at most the lines of one text
+
+    kept = docs.join(dropped, (F.col(id_col) == F.col("_doc")) & (F.xxhash64(text) == F.col("_row")), "left")
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_dropped", i)), "\n")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     return kept.select(
-        *[F.when(F.col("_keep").isNull(), F.col(c)).otherwise(F.array_join("_keep", "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        n_lines.alias("n_lines"),
-        F.when(F.col("_keep").isNull(), F.lit(0)).otherwise(n_lines - F.size("_keep")).cast("long").alias("n_dropped"),
+        *[F.when(F.col("_dropped").isNull(), text).otherwise(rest).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        n_lines.cast("long").alias("n_lines"),
+        F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long").alias("n_dropped"),
     )
