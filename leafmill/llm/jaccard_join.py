@@ -8,8 +8,9 @@ links to nothing unless ceil(0.8 n) of its entries remain; most documents end he
 
 Of the others, equal sets become one class. The product of the remaining rows is formed only for pairs
 that can reach the bound: entries are ordered by document frequency, and two sets with similarity t
-share one of the first n - ceil(t n) + 1. Pairs whose sizes differ too much are discarded, the overlap
-counts of the rest are accumulated over whole rows and held against the bound of their sizes.
+share one of the first n - ceil(t n) + 1. Pairs are discarded by the sizes and by the parity bits of
+the sets, which bound the overlap from above; the overlap counts of the rest are accumulated over whole
+rows and held against the bound of their sizes.
 
 Large groups of near copies are not expanded into pairs. First each document is held against one pivot
 for each of its shingles, and components are contracted; then only pairs across components remain, and
@@ -25,13 +26,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import written
-from leafmill.llm.graph import components
+from leafmill.llm.graph import components, contracted
 
 BLOCK_DOCS, BLOCK_CHARS = 2048, 24_000_000
+PARITY_WORDS = 8
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)  # any odd numbers
 
 
@@ -168,7 +170,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["na"], batch["nb"], pa.array(found, pa.int64())], names=["a", "b", "na", "nb", "overlap"])
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, star_rounds: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id``.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their shingle sets; the
@@ -206,15 +208,30 @@ def _links(sets: DataFrame, percent: int, star_rounds: int) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, size, first = [], [], []
+            uid, size, alone, first, parity = [], [], [], [], []
             for u, n, raw in zip(batch["uid"].to_pylist(), batch["n"].to_pylist(), batch["shared"].to_pylist(), strict=True):
                 own = np.frombuffer(raw, np.int64)
                 p = n + (-percent * n // 100) + 1 - (n - len(own))  # unshared ones come first in the order
                 uid.append(np.full(p, u, np.int64))
                 size.append(np.full(p, n, np.int64))
+                alone.append(np.full(p, n - len(own), np.int64))
                 first.append(own[:p])
+                odd = np.bincount((own.view(np.uint64) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+                parity.append(np.tile(np.packbits(odd.astype(np.uint8)).view(np.int64), p))
             join = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
-            yield pa.RecordBatch.from_arrays([pa.array(join(first)), pa.array(join(uid)), pa.array(join(size))], names=["h", "uid", "n"])
+            every = join(parity)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(every) + 1, PARITY_WORDS, dtype=np.int32)), pa.array(every))
+            yield pa.RecordBatch.from_arrays([pa.array(join(first)), pa.array(join(uid)), pa.array(join(size)), pa.array(join(alone)), bits], names=["h", "uid", "n", "alone", "parity"])
+
+    def possible(x: dict[str, str], y: dict[str, str]) -> Column:
+        """Whether sizes and parities let a pair reach the bound.
+
+        The shingles that only one of two sets has are at least those that no other document has, and
+        one for each bit in which the parities of the hashed rest differ.
+        """
+        least = F.col(x["alone"]) + F.col(y["alone"]) + sum(F.bit_count(F.get(F.col(x["parity"]), F.lit(i)).bitwiseXOR(F.get(F.col(y["parity"]), F.lit(i)))) for i in range(PARITY_WORDS))
+        m, n = F.col(x["n"]), F.col(y["n"])
+        return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & ((100 + percent) * least <= (100 - percent) * (m + n))
 
     def overlapping(pairs: DataFrame, label: str) -> DataFrame:
         """Of pairs ``a, b``: those whose overlap count reaches the bound of their sizes."""
@@ -223,31 +240,31 @@ def _links(sets: DataFrame, percent: int, star_rounds: int) -> DataFrame:
         counted = y.select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long")
         return written(counted.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"), label)
 
-    fits = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
-    postings = written(sets.mapInArrow(prefixes, "h long, uid long, n long"), "jaccard-postings")
-    several = postings.groupBy("h").agg(F.count("*").alias("_c")).where(F.col("_c") > 1).select("h")
-    postings = written(postings.join(written(several, "jaccard-shared"), "h").withColumn("component", F.col("uid")), "jaccard-postings")
+    named = lambda end: {k: k + end for k in ("n", "alone", "parity")}
+    postings = written(sets.mapInArrow(prefixes, "h long, uid long, n long, alone long, parity array<long>").withColumn("component", F.col("uid")), "jaccard-postings")
     links = None
     for round_ in range(star_rounds + 1):
         # A shingle is open while documents of different components have it.
-        by_part = postings.groupBy("h", "component").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("uid", F.lit(round_)).alias("o"), "uid", "n")).alias("p"))
+        by_part = postings.groupBy("h", "component").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("uid", F.lit(round_)).alias("o"), "uid", "n", "alone", "parity")).alias("p"))
         by_shingle = by_part.groupBy("h").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("parts"), F.min("p").alias("p"))
-        open_ = written(by_shingle.where(F.col("parts") > 1).select("h", F.col("p.uid").alias("pivot"), F.col("p.n").alias("pivot_n"), ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("cross")), "jaccard-open")
-        state = open_.agg(F.count("*").alias("h"), F.sum("cross").alias("cross"), F.sum("cross") / F.count("*")).first()
+        open_ = written(by_shingle.where(F.col("parts") > 1).select("h", F.col("p.uid").alias("pivot"), *[F.col(f"p.{k}").alias(f"{k}_p") for k in named("")], ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("cross")), "jaccard-open")
+        state = open_.agg(F.count("*").alias("h"), F.sum("cross").alias("cross")).first()
         if not state.h:
             break
         last = round_ == star_rounds or state.cross <= 8 * state.h
         mine = postings.join(open_, "h")
         if last:
-            left = mine.select("h", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            right = mine.select("h", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = left.join(right, (left["h"] == right["h"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+            half = lambda end: mine.select(*[F.col(c).alias(c + end) for c in ("h", "uid", "n", "alone", "parity", "component")])
+            across = (F.col("h_x") == F.col("h_y")) & (F.col("component_x") != F.col("component_y")) & (F.col("uid_x") < F.col("uid_y"))
+            pairs = half("_x").join(half("_y"), across & possible(named("_x"), named("_y"))).select(F.col("uid_x").alias("a"), F.col("uid_y").alias("b")).distinct()
         else:
-            pairs = mine.where((F.col("uid") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.col("uid").alias("a"), F.col("pivot").alias("b")).distinct()
+            near = (F.col("uid") != F.col("pivot")) & possible(named(""), named("_p"))
+            pairs = mine.where(near).select(F.col("uid").alias("a"), F.col("pivot").alias("b")).distinct()
         new = overlapping(pairs, "jaccard-links")
         links = new if links is None else links.unionByName(new)
         if last:
             break
-        parts = written(components(links), "jaccard-parts").withColumnRenamed("vertex", "uid")
-        postings = written(postings.drop("component").join(parts, "uid", "left").withColumn("component", F.coalesce("component", "uid")), "jaccard-postings")
+        parts = written(contracted(links), "jaccard-parts").withColumnRenamed("vertex", "uid")
+        left = postings.join(open_.select("h"), "h", "left_semi").drop("component")  # a closed shingle stays closed
+        postings = written(left.join(parts, "uid", "left").withColumn("component", F.coalesce("component", "uid")), "jaccard-postings")
     return links if links is not None else sets.select(F.col("uid").alias("a"), F.col("uid").alias("b"))
