@@ -62,7 +62,7 @@ V6_SQL = (
   coalesce(max(CASE WHEN feature = '#caplines' THEN count END)::DOUBLE, 0.0001) AS C, coalesce(max(CASE WHEN feature = '#allcapswords' THEN count END)::DOUBLE, 0) AS allcaps, coalesce(max(CASE WHEN feature = '#commas' THEN count END)::DOUBLE, 0) AS commas
   FROM features GROUP BY vol, page), p2 AS (SELECT *, CASE WHEN T0 < 0.1 THEN 0.001 ELSE T0 END AS T, (types + 1) / (W + 1.5) AS tt FROM pg)
 SELECT p.vol, page, CASE WHEN max_page = 0 THEN NULL ELSE page / max_page END AS pos_in_vol, round(T / mean_lines, 4) AS line_length_ratio, round(C / T, 4) AS cap_ratio, round(W / mean_words, 4) AS word_ratio,
-  CASE WHEN max_page = 0 THEN NULL ELSE abs(page - max_page // 2) / max_page END AS distance_from_mid, round(allcaps / W, 4) AS all_cap_ratio, round(W / T, 4) AS words_per_line, round(tt, 4) AS type_token, round(commas / W, 4) AS commas_norm, round(T / L, 4) AS textlines_per_line,
+  CASE WHEN max_page = 0 THEN NULL ELSE abs(page - max_page // 2) / max_page END AS distance_from_mid, round(allcaps / W, 4) AS all_cap_ratio, round(W / T, 3) AS words_per_line, round(tt, 4) AS type_token, round(commas / W, 4) AS commas_norm, round(T / L, 4) AS textlines_per_line,
   round(tt * ln(W + 50), 4) AS log_type_token, round(abs(W - mean_words) / mean_words, 4) AS abs_word_ratio FROM p2 p JOIN vt USING (vol)"""
 )
 
@@ -71,7 +71,7 @@ SELECT p.vol, page, CASE WHEN max_page = 0 THEN NULL ELSE page / max_page END AS
 def v6(spark, d):
     f = V.structural_features(features_of(spark, d))
     rounded = ["line_length_ratio", "cap_ratio", "word_ratio", "all_cap_ratio", "words_per_line", "type_token", "commas_norm", "textlines_per_line", "log_type_token", "abs_word_ratio"]
-    return f.select("vol", "page", "pos_in_vol", "distance_from_mid", *[F.round(c, 4).alias(c) for c in rounded])
+    return f.select("vol", "page", "pos_in_vol", "distance_from_mid", *[F.round(c, 3 if c == "words_per_line" else 4).alias(c) for c in rounded])
 
 
 LONG = EVENT_PAGES + ", long AS (SELECT vol, page, genre AS feature, words AS x FROM event_pages)"
