@@ -31,7 +31,7 @@ def paged_text(spark: SparkSession, path: str, keep_last: bool = True, suffix: s
     ``keep_last`` says whether a last page without end mark counts; ``drop_divs`` leaves out division
     markup and trims lines.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(_volume(suffix).alias("vol"), F.split("value", r"(?m)^<pb>.*(?:\r?\n|$)").alias("pages"))
+    whole = spark.read.text(path, wholetext=True).select(_volume(suffix).alias("vol"), F.split("value", r"(?m)^<pb>.*(?:\r?\n|$)").alias("pages"))
     pages = whole.withColumn("pages", F.when(F.lit(keep_last), F.col("pages")).otherwise(F.slice("pages", 1, F.size("pages") - 1)))
     lines = pages.select("vol", F.posexplode("pages").alias("page", "body")).select("vol", "page", F.posexplode(F.split(F.regexp_replace("body", r"\r?\n$", ""), r"\r?\n")).alias("line", "text"))
     if drop_divs:
@@ -128,7 +128,7 @@ def marc_records(spark: SparkSession, path: str) -> DataFrame:
 
 def work_list(spark: SparkSession, path: str) -> DataFrame:
     """``work, seq, vol`` of a JSON object ``{work: [vol, ..]}`` or a list of volumes, each then its own work."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     as_map = raw.where(F.trim("value").startswith("{")).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("work", "vols")).select("work", F.posexplode("vols").alias("seq", "vol"))
     as_list = raw.where(F.trim("value").startswith("[")).select(F.explode(F.from_json("value", "array<string>")).alias("vol")).select(F.col("vol").alias("work"), F.lit(0).alias("seq"), "vol")
     return as_map.unionByName(as_list)
@@ -146,7 +146,7 @@ def word_counts_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 def vocabulary(spark: SparkSession, path: str, first: int = 5000) -> DataFrame:
     """``idx, word, duplicate`` of the first lines of a vocabulary file, which fits one task."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.slice(F.split(F.trim("value"), r"\r?\n"), 1, first)).alias("idx", "word"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.slice(F.split(F.trim("value"), r"\r?\n"), 1, first)).alias("idx", "word"))
     from pyspark.sql import Window
 
     return rows.withColumn("duplicate", F.row_number().over(Window.partitionBy("word").orderBy("idx")) > 1)
@@ -154,7 +154,7 @@ def vocabulary(spark: SparkSession, path: str, first: int = 5000) -> DataFrame:
 
 def rule_table(spark: SparkSession, path: str, columns: list[str], lower: bool = False) -> DataFrame:
     """A small table of rules from a tab-separated file without header; mixed line ends."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", r"\r\n|\r|\n")).alias("value")).where("value <> ''").select(F.split("value", "\t").alias("f"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\r\n|\r|\n")).alias("value")).where("value <> ''").select(F.split("value", "\t").alias("f"))
     field = lambda i: F.lower(F.get("f", F.lit(i))) if lower else F.get("f", F.lit(i))
     return rows.select(*[field(i).alias(c) for i, c in enumerate(columns)])
 
