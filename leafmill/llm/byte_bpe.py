@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from leafmill.llm.common import shipped_file
 from leafmill.llm.token_counts import pre_tokens
 
-STATES, CACHED = 150_000, 400_000
+STATES, CACHED = 300_000, 400_000
 _state: dict = {}
 
 
@@ -37,10 +38,10 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """BPE by its definition: the adjacent pair of lowest rank is merged, the leftmost first, again and again."""
+def merged(piece: bytes, ranks: dict[bytes, int], stop: int = 1) -> list[bytes]:
+    """BPE by its definition: the adjacent pair of lowest rank is merged, the leftmost first, until ``stop`` parts are left."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
+    while len(parts) > stop:
         rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
         if rank == 1 << 62:
             break
@@ -48,17 +49,11 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-def shared(a: list[bytes], b: list[bytes]) -> list[bytes]:
-    """The longest common beginning."""
-    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    return a[:n]
-
-
 class State:
-    __slots__ = ("arcs", "left", "pending", "last")
+    __slots__ = ("arcs", "last", "left", "live", "pending")
 
-    def __init__(self, left: bytes | None, pending: bytes, last: tuple[bytes, ...]):
-        self.left, self.pending, self.last, self.arcs = left, pending, last, {}
+    def __init__(self, left: bytes | None, pending: bytes, last: tuple[bytes, ...], live: tuple[int, ...]):
+        self.left, self.pending, self.last, self.live, self.arcs = left, pending, last, live, {}
 
     def path(self, at: int) -> list[bytes]:
         """The tokens of the pending bytes up to ``at``, from the right."""
@@ -74,55 +69,84 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        # A token that merging its own bytes doesn't give back never comes out of the merges.
-        self.tokens = {t for t in ranks if len(t) == 1 or merged(t, ranks) == [t]}
-        self.longest = max(map(len, ranks), default=1)
-        self.begins = {t[:i] for t in self.tokens for i in range(len(t))}
+        # The two parts whose merge makes a token. One that merging its own bytes doesn't give back never comes out.
+        self.parts: dict[bytes, tuple[bytes, bytes] | None] = {}
+        for t in ranks:
+            if len(t) == 1:
+                self.parts[t] = None
+            elif len(ends := merged(t, ranks, stop=2)) == 2 and ends[0] + ends[1] in ranks:
+                self.parts[t] = (ends[0], ends[1])
+        self.begins = {t[:i] for t in self.parts for i in range(len(t))}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.states: dict[tuple[bytes | None, bytes], State] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.states: dict[tuple[bytes | None, bytes], State] = {}
-        self.start = self.state(None, b"", ())
-        if len(self.pairs) > 4 * STATES:
+        for s in self.states.values():
+            s.arcs.clear()  # states refer to each other
+        self.states = {}
+        self.start = self.state(None, b"", (), (0,))
+        if len(self.pairs) > STATES:
             self.pairs.clear()
 
-    def state(self, left: bytes | None, pending: bytes, last: tuple[bytes, ...]) -> State:
+    def state(self, left: bytes | None, pending: bytes, last: tuple[bytes, ...], live: tuple[int, ...]) -> State:
         found = self.states.get((left, pending))
         if found is None:
-            found = self.states[left, pending] = State(left, pending, last)
+            found = self.states[left, pending] = State(left, pending, last, live)
         return found
 
     def valid(self, a: bytes | None, b: bytes) -> bool:
+        """Whether the merges leave ``a`` and ``b`` side by side.
+
+        They don't if, while the two were built, their facing parts could merge before one of them was
+        complete. So the merge that came last is undone, on either side, again and again; a merge across
+        the border that ranks before the undone one comes first, as does one of equal rank left of it.
+        """
         if a is None:
             return True
         found = self.pairs.get((a, b))
-        if found is None:
-            found = self.pairs[a, b] = merged(a + b, self.ranks) == [a, b]
+        if found is not None:
+            return found
+        x, y, before, found = a, b, 1 << 62, True
+        while True:
+            if self.ranks.get(x + y, 1 << 62) < before:
+                found = False
+                break
+            p, q = self.parts[x], self.parts[y]
+            if p is None and q is None:
+                break
+            if q is None or p is not None and self.ranks[x] > self.ranks[y]:
+                before, x = self.ranks[x], p[1]
+            else:
+                before, y = self.ranks[y] + 1, q[0]
+        self.pairs[a, b] = found
         return found
 
     def arc(self, s: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """The state after ``byte`` and the ids that have become certain."""
         pending = s.pending + bytes((byte,))
         n = len(pending)
-        for at in range(max(0, n - self.longest), n):
+        for at in s.live:
             token = pending[at:]
-            if token in self.tokens and self.valid(s.last[at - 1] if at else s.left, token):
+            if token in self.parts and self.valid(s.last[at - 1] if at else s.left, token):
                 break
         else:
             raise ValueError("these ranks have no token for a byte")
-        grown = State(s.left, pending, (*s.last, token))
-        common: list[bytes] | None = None
-        for at in range(max(0, n - self.longest), n + 1):
-            if pending[at:] in self.begins:
-                path = grown.path(at)[::-1]
-                common = path if common is None else shared(common, path)
-            if common == []:
-                break
-        gone = sum(map(len, common))
-        left = common[-1] if common else s.left
-        after = self.state(left, pending[gone:], grown.last[gone:])
-        found = s.arcs[byte] = (after, tuple(self.ranks[t] for t in common))
+        grown = State(s.left, pending, (*s.last, token), ())
+        live = [at for at in s.live if pending[at:] in self.begins] + [n]
+        # The certain part ends where the paths of all live positions meet.
+        meet = set(live)
+        while len(meet) > 1:
+            at = max(meet)
+            meet.remove(at)
+            meet.add(at - len(grown.last[at - 1]))
+        gone = meet.pop()
+        common = grown.path(gone)[::-1]
+        live = tuple([at - gone for at in live])
+        # Only a token that starts at the first uncertain byte looks at the token before it.
+        left = None if live[0] else common[-1] if common else s.left
+        after = self.state(left, pending[gone:], grown.last[gone:], live)
+        found = s.arcs[byte] = (after, tuple([self.ranks[t] for t in common]))
         return found
 
     def encode(self, piece: bytes) -> list[int]:
@@ -157,7 +181,7 @@ class StreamDecoder:
 def _machine(key: str, content: bytes) -> dict:
     if _state.get("key") != key:
         ranks = read_ranks(content)
-        _state.update(key=key, transducer=Transducer(ranks), cache={}, tokens={i: t for t, i in ranks.items()})
+        _state.update(key=key, transducer=Transducer(ranks), cache={}, pieces={}, tokens={i: t for t, i in ranks.items()})
     return _state
 
 
@@ -175,11 +199,19 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(*file.value)
-        transducer, cache = machine["transducer"], machine["cache"]
+        transducer, cache, pieces = machine["transducer"], machine["cache"], machine["pieces"]  # bytes of ids by chunk, and by pre-token
         find = regex.compile(pattern).findall
 
+        def of_piece(piece: str) -> bytes:
+            ids = pieces.get(piece)
+            if ids is None:
+                ids = array("I", transducer.encode(piece.encode())).tobytes()
+                if len(piece) <= 40:
+                    pieces[piece] = ids
+            return ids
+
         def of_chunk(chunk: str) -> bytes:
-            return array("I", [i for p in find(chunk) for i in transducer.encode(p.encode())]).tobytes()
+            return b"".join(map(of_piece, find(chunk)))
 
         def of(text: str) -> bytes:
             chunks = pre_tokens(text, find)
@@ -192,10 +224,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                if len(cache) > CACHED:
-                    cache.clear()
+                for kept in (cache, pieces):
+                    if len(kept) > CACHED:
+                        kept.clear()
                 part = batch.slice(start, 256)
                 ids = [of(t or "") for t in part.column(at).to_pylist()]
+                gc.freeze()  # the states just built are kept; don't search them for garbage
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=schema.names)
 
     return docs.mapInArrow(encode, schema)
