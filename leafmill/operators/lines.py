@@ -145,12 +145,26 @@ def running_headers(lines: DataFrame, least: float = 0.8) -> DataFrame:
     first = accepted_lines(lines).where(F.col("line") < 5).withColumn("key", F.lower(F.trim(F.regexp_replace(F.regexp_replace("s", r"\p{Nd}", ""), "iii|ii|xx", ""))))
     first = first.where((F.length("key") >= 5) & (F.length("key") <= 200))
     rank = F.row_number().over(Window.partitionBy(*PAGE).orderBy("line"))
-    heads = first.withColumn("rank", rank).where("rank <= 2").select(*PAGE, "line", "key")
+    heads = first.withColumn("rank", rank).where("rank <= 2").select(*PAGE, "line", "key").join(page_order(lines), PAGE)
     large = heads.groupBy("vol").agg(F.count_distinct("page").alias("n")).where("n >= 5").select("vol")
-    heads = heads.join(large, "vol", "left_semi")
-    a, b = heads.alias("a"), heads.select("vol", F.explode(F.array(F.col("page") + 1, F.col("page") + 2)).alias("page"), F.col("page").alias("page_b"), F.col("line").alias("line_b"), F.col("key").alias("key_b")).alias("b")
+    pairs = near_pairs(heads.join(large, "vol", "left_semi"))
     size = F.greatest(F.length("key"), F.length("key_b"))
-    pairs = a.join(b, PAGE).where((F.col("page") >= 2) & (F.least(F.length("key"), F.length("key_b")) > least * size) & (1 - F.levenshtein("key", "key_b") / size > least))
+    pairs = pairs.where((F.least(F.length("key"), F.length("key_b")) > least * size) & (1 - F.levenshtein("key", "key_b") / size > least))
+    return both_lines(pairs)
+
+
+def page_order(lines: DataFrame) -> DataFrame:
+    """``vol, page, seq``: the place of a page in its volume."""
+    return lines.select(*PAGE).distinct().withColumn("seq", F.row_number().over(Window.partitionBy("vol").orderBy("page")) - 1)
+
+
+def near_pairs(heads: DataFrame) -> DataFrame:
+    """Each head line with those of the two pages before, as an equi-join on the place they would have."""
+    other = heads.select("vol", F.explode(F.array(F.col("seq") + 1, F.col("seq") + 2)).alias("seq"), F.col("page").alias("page_b"), F.col("line").alias("line_b"), F.col("key").alias("key_b"))
+    return heads.where("seq >= 2").join(other, ["vol", "seq"])
+
+
+def both_lines(pairs: DataFrame) -> DataFrame:
     return pairs.select("vol", F.inline(F.array(F.struct("page", "line"), F.struct(F.col("page_b").alias("page"), F.col("line_b").alias("line"))))).distinct()
 
 

@@ -241,31 +241,40 @@ def l27(spark, d):
     return m.select("vol", F.when(F.col("n") < 10, "short").when(F.col("rate") < 0.6, "not english").otherwise("good").alias("status"))
 
 
-HEADERS = ACC + r""", k AS (SELECT vol, page, line, lower(trim(regexp_replace(regexp_replace(s, '\p{Nd}', '', 'g'), 'iii|ii|xx', '', 'g'), ' ')) AS key FROM acc WHERE line < 5),
+HEADED = "CASE WHEN i = 1 AND page % 4 < 3 THEN 'Journal of ' || vol || ' part ' || page ELSE l[i] END AS text"  # a running title on three of four pages
+
+
+def headed_lines(spark, d):
+    title = F.concat(F.lit("Journal of "), "vol", F.lit(" part "), F.col("page").cast("string"))
+    return volume_lines(spark, d).withColumn("text", F.when((F.col("line") == 0) & (F.col("page") % 4 < 3), title).otherwise(F.col("text")))
+
+
+HEADERS = ACC.replace("l[i] AS text", HEADED) + r""", k AS (SELECT vol, page, line, lower(trim(regexp_replace(regexp_replace(s, '\p{Nd}', '', 'g'), 'iii|ii|xx', '', 'g'), ' ')) AS key FROM acc WHERE line < 5),
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vol, page ORDER BY line) AS rank FROM k WHERE length(key) BETWEEN 5 AND 200) x WHERE rank <= 2),
-heads AS (SELECT * FROM h WHERE vol IN (SELECT vol FROM h GROUP BY vol HAVING count(DISTINCT page) >= 5)),
-hp AS (SELECT a.vol, a.page, a.line, b.page AS page_b, b.line AS line_b FROM heads a JOIN heads b ON a.vol = b.vol AND b.page BETWEEN a.page - 2 AND a.page - 1 AND a.page >= 2
+seqs AS (SELECT vol, page, row_number() OVER (PARTITION BY vol ORDER BY page) - 1 AS seq FROM vol_pages),
+heads AS (SELECT h.*, seq FROM h JOIN seqs USING (vol, page) WHERE vol IN (SELECT vol FROM h GROUP BY vol HAVING count(DISTINCT page) >= 5)),
+hp AS (SELECT a.vol, a.page, a.line, b.page AS page_b, b.line AS line_b FROM heads a JOIN heads b ON a.vol = b.vol AND b.seq BETWEEN a.seq - 2 AND a.seq - 1 AND a.seq >= 2
   WHERE least(length(a.key), length(b.key)) > 0.8 * greatest(length(a.key), length(b.key)) AND 1 - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key)) > 0.8),
 headers AS (SELECT vol, page, line FROM hp UNION SELECT vol, page_b, line_b FROM hp)"""
 
 
 @query("l28_running_headers", "WITH " + HEADERS + " SELECT vol, page, line FROM headers")
 def l28(spark, d):
-    return L.running_headers(volume_lines(spark, d))
+    return L.running_headers(headed_lines(spark, d))
 
 
-@query("l29_header_upvote", "WITH " + WORD_COUNTS + ", " + HEADERS.split(", acc AS", 1)[1].join(["acc AS", ""]) + f""", hw AS (SELECT DISTINCT vol, page, lower({STRIP}) AS word FROM tokens WHERE (vol, page, line) IN (SELECT vol, page, line FROM headers)),
+@query("l29_header_upvote", "WITH " + WORD_COUNTS.replace("l[i] AS text", HEADED) + ", " + HEADERS.split(", acc AS", 1)[1].join(["acc AS", ""]) + f""", hw AS (SELECT DISTINCT vol, page, lower({STRIP}) AS word FROM tokens WHERE (vol, page, line) IN (SELECT vol, page, line FROM headers)),
 more AS (SELECT * FROM hw WHERE word IN ({", ".join(f"'{w}'" for w in words.HEADER_WORDS)}))
 SELECT coalesce(c.vol, m.vol) AS vol, coalesce(c.page, m.page) AS page, sum(coalesce(c.n, 0) + CASE WHEN m.word IS NULL THEN 0 ELSE 2 END) AS n FROM word_counts c FULL JOIN more m ON c.vol = m.vol AND c.page = m.page AND c.word = m.word GROUP BY 1, 2""")
 def l29(spark, d):
-    lines = volume_lines(spark, d)
+    lines = headed_lines(spark, d)
     up = L.header_upvote(L.word_counts(L.tokens(lines)), lines, L.running_headers(lines))
     return up.groupBy("vol", "page").agg(F.sum("n").alias("n"))
 
 
 @query("l30_header_removal", "WITH " + HEADERS + " SELECT vol, page, count(*) AS lines FROM lines l WHERE NOT EXISTS (SELECT 1 FROM headers h WHERE h.vol = l.vol AND h.page = l.page AND h.line = l.line) GROUP BY vol, page")
 def l30(spark, d):
-    lines = volume_lines(spark, d)
+    lines = headed_lines(spark, d)
     return L.without_headers(lines, L.running_headers(lines)).groupBy("vol", "page").agg(F.count("*").alias("lines"))
 
 
@@ -309,3 +318,105 @@ SELECT vol, page, n, share, abs(share - avg(share) OVER w) > 2.25 * stddev_pop(s
 )
 def l40(spark, d):
     return L.caps_outliers(volume_lines(spark, d))
+
+
+# Correction. Rule tables are picked from the lexicon of the documents by the first letter of a digest.
+
+RULES = LEXICON + "".join(f", {name} AS (SELECT word AS source, {target} AS target FROM lexicon WHERE substr(md5(word), 1, 1) = '{x}')" for name, target, x in (("corrections", "reverse(word)", "2"), ("hyphens", "word || ' ' || word", "3"), ("syncopes", "word || 'e'", "4"), ("variants", "'x' || word", "5")))
+
+
+def correction_rules(lexicon):
+    pick = lambda x, target: lexicon.where(F.substring(F.md5("word"), 1, 1) == x).select(F.col("word").alias("source"), target.alias("target"))
+    w = F.col("word")
+    return pick("2", F.reverse(w)), pick("3", F.concat_ws(" ", w, w)), pick("4", F.concat(w, F.lit("e"))), pick("5", F.concat(F.lit("x"), w))
+
+
+@query(
+    "l18_l25_corrections",
+    "WITH " + RULES + r""", known AS (SELECT word FROM lexicon WHERE substr(md5(word), 1, 1) NOT IN ('3', '4', '5')), t AS (SELECT vol, word, regexp_replace(word, '\P{L}', '', 'g') AS letters FROM plain),
+f AS (SELECT vol, coalesce(c1.target, c2.target, CASE WHEN word IN (SELECT word FROM known) THEN word END, h.target, s.target, v.target, CASE WHEN letters IN (SELECT word FROM known) THEN letters END, word) AS form
+  FROM t LEFT JOIN corrections c1 ON c1.source = word LEFT JOIN corrections c2 ON c2.source = letters LEFT JOIN hyphens h ON h.source = word LEFT JOIN syncopes s ON s.source = word LEFT JOIN variants v ON v.source = word),
+e AS (SELECT vol, unnest(string_split(form, ' ')) AS form FROM f)
+SELECT vol, form, count(*) AS n FROM e GROUP BY vol, form HAVING count(*) > 3""",
+)
+def l25(spark, d):
+    from leafmill.operators import correction as K
+
+    t = tokens_of(spark, d)
+    lexicon = L.lexicon_of(t, 20)
+    known = lexicon.where(~F.substring(F.md5("word"), 1, 1).isin("3", "4", "5"))
+    return K.correct(t, known, *correction_rules(lexicon)).groupBy("vol", "form").agg(F.count("*").alias("n")).where("n > 3")
+
+
+@query(
+    "l32_disambiguated",
+    "WITH " + TOKENS + """, low AS (SELECT *, lower(token) AS word FROM tokens), t AS (SELECT *, lag(word) OVER w AS b, lead(word) OVER w AS a FROM low WINDOW w AS (PARTITION BY vol ORDER BY page, line, pos)),
+c AS (SELECT word, count(*) AS n FROM low GROUP BY word HAVING count(*) >= 5), logs AS (SELECT word, round(ln(n), 6) AS log FROM c),
+bigrams AS (SELECT word AS x, a AS y, count(*) AS weight FROM t WHERE a IS NOT NULL GROUP BY ALL HAVING count(*) >= 3),
+p AS (SELECT word AS first, replace(word, 'f', 's') AS second FROM c WHERE contains(word, 'f')),
+s AS (SELECT t.vol, t.page, t.word, p.second AS other, 3 + coalesce(lj.log, 0) AS dj, 3 + coalesce(lh.log, 0) AS dh, jb.weight AS jb, ja.weight AS ja, hb.weight AS hb, ha.weight AS ha FROM t JOIN p ON p.first = t.word
+  LEFT JOIN logs lj ON lj.word = t.word LEFT JOIN logs lh ON lh.word = p.second LEFT JOIN bigrams jb ON jb.x = t.b AND jb.y = t.word LEFT JOIN bigrams ja ON ja.x = t.word AND ja.y = t.a
+  LEFT JOIN bigrams hb ON hb.x = t.b AND hb.y = p.second LEFT JOIN bigrams ha ON ha.x = p.second AND ha.y = t.a)
+SELECT vol, word, CASE WHEN coalesce(hb, dh) * coalesce(ha, dh) > coalesce(jb, dj) * coalesce(ja, dj) THEN other ELSE word END AS form, count(*) AS n FROM s GROUP BY ALL""",
+)
+def l32(spark, d):
+    from leafmill.operators import correction as K
+
+    t = tokens_of(spark, d)
+    low = t.withColumn("word", F.lower("token"))
+    counts = low.groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
+    bigrams = low.select(F.col("word").alias("a"), F.lead("word").over(K.in_volume()).alias("b")).where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("weight")).where("weight >= 3")
+    pairs = counts.where(F.col("word").contains("f")).select(F.col("word").alias("first"), F.replace("word", F.lit("f"), F.lit("s")).alias("second"))
+    found = K.disambiguate(t, pairs, bigrams, counts.select("word", F.round(F.log("n"), 6).alias("log")))
+    return found.groupBy("vol", "word", "form").agg(F.count("*").alias("n"))
+
+
+VERSE = LINES + r""", f AS (SELECT vol, page, line, text, regexp_extract(text, '[\p{Lu}\p{Ll}\p{N}<]') AS c, row_number() OVER (PARTITION BY vol ORDER BY page, line) AS nr FROM lines),
+g AS (SELECT *, CASE WHEN length(text) < 1 THEN 'blank' WHEN regexp_matches(c, '\p{Lu}') THEN 'yes' WHEN regexp_matches(c, '\p{Ll}') THEN 'no' WHEN regexp_matches(c, '\p{N}') THEN 'number' WHEN c = '<' THEN 'blank' ELSE 'amb' END AS t0 FROM f),
+h AS (SELECT *, CASE WHEN t0 = 'no' AND lag(t0) OVER w = 'yes' AND length(text) < 29 AND lag(length(text)) OVER w - length(text) > 12 THEN 'runon' ELSE t0 END AS tag FROM g WINDOW w AS (PARTITION BY vol ORDER BY nr)),
+i AS (SELECT *, CASE WHEN tag = 'yes' THEN 1 ELSE 0 END AS cap, sum(CASE WHEN tag = 'no' THEN 1 ELSE 0 END) OVER (PARTITION BY vol ORDER BY nr) AS part FROM h),
+k AS (SELECT *, least(4, sum(cap) OVER (PARTITION BY vol, part ORDER BY nr RANGE BETWEEN 8 PRECEDING AND CURRENT ROW)) AS b, least(5, sum(cap) OVER (PARTITION BY vol, part ORDER BY nr RANGE BETWEEN CURRENT ROW AND 8 FOLLOWING)) AS a FROM i),
+verse AS (SELECT vol, page, line, text, tag, tag <> 'no' AND b + a > 4 AND a > 0 AS verse FROM k)"""
+
+
+@query("l36_l37_verse_lines", "WITH " + VERSE + " SELECT vol, page, count(*) FILTER (WHERE tag IN ('yes', 'no', 'runon')) AS lines, count(*) FILTER (WHERE tag = 'yes') AS caps, count(*) FILTER (WHERE verse) AS verse FROM verse GROUP BY vol, page")
+def l36(spark, d):
+    from leafmill.operators import correction as K
+
+    v = K.verse_lines(volume_lines(spark, d))
+    return v.groupBy("vol", "page").agg(F.count_if(F.col("tag").isin("yes", "no", "runon")).alias("lines"), F.count_if(F.col("tag") == "yes").alias("caps"), F.count_if("verse").alias("verse"))
+
+
+@query("l38_verse_word_counts", "WITH " + VERSE + ", w AS (SELECT vol, verse, unnest(string_split(lower(text), ' ')) AS word FROM verse) SELECT vol, verse, word, count(*) AS n FROM w GROUP BY ALL HAVING count(*) > 5")
+def l38(spark, d):
+    from leafmill.operators import correction as K
+
+    w = K.verse_lines(volume_lines(spark, d)).select("vol", "verse", F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    return w.groupBy("vol", "verse", "word").agg(F.count("*").alias("n")).where("n > 5")
+
+
+@query(
+    "l39_hyphen_rejoin",
+    "WITH " + LINES + r""", hy AS (SELECT vol, page, line * 2 AS line, CASE WHEN length(text) > 40 THEN substr(text, 1, 20) || '-' ELSE text END AS text FROM lines UNION ALL SELECT vol, page, line * 2 + 1, substr(text, 21) FROM lines WHERE length(text) > 40),
+fr AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM lines) x GROUP BY word),
+s AS (SELECT vol, page, line, lower(trim(text, ' ')) AS s, lead(lower(trim(text, ' '))) OVER (PARTITION BY vol, page ORDER BY line) AS f FROM hy WHERE trim(text, ' ') <> ''),
+p AS (SELECT vol, page, line, regexp_replace(string_split_regex(s, '\s+')[-1], '[-—]+$', '') AS last, string_split_regex(f, '\s+')[1] AS token FROM s WHERE regexp_matches(s, '[-—]$') AND f IS NOT NULL),
+q AS (SELECT vol, page, line, last, """ + STRIP + r""" AS next FROM p)
+SELECT vol, page, line, last, next FROM q LEFT JOIN fr a ON a.word = last LEFT JOIN fr b ON b.word = next LEFT JOIN fr c ON c.word = last || next WHERE (coalesce(a.n, 0) + coalesce(b.n, 0)) / 3 < coalesce(c.n, 0)""",
+)
+def l39(spark, d):
+    from leafmill.operators import correction as K
+
+    lines = volume_lines(spark, d)
+    long = F.length("text") > 40
+    first = lines.select("vol", "page", (F.col("line") * 2).alias("line"), F.when(long, F.concat(F.substring("text", 1, 20), F.lit("-"))).otherwise(F.col("text")).alias("text"))
+    rest = lines.where(long).select("vol", "page", (F.col("line") * 2 + 1).alias("line"), F.expr("substring(text, 21)").alias("text"))
+    frequencies = lines.select(F.explode(F.split(F.lower("text"), " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return K.rejoin_hyphens(first.unionByName(rest), frequencies)
+
+
+@query("l28_running_headers_exact")
+def l28_exact(spark, d):
+    from leafmill.operators import correction as K
+
+    return K.running_headers_exact(headed_lines(spark, d))
