@@ -84,3 +84,81 @@ def chunks(assembled: DataFrame, n: int = 10, more_than: int = 20) -> DataFrame:
     w = Window.partitionBy("work")
     sized = assembled.withColumn("pages", F.count("*").over(w)).where(F.col("pages") > more_than)
     return sized.withColumn("chunk", F.ntile(n).over(w.orderBy("pos")))
+
+
+def flatten_marc(records: DataFrame) -> DataFrame:
+    """``htid, recordid, oclc, title, author, imprint, genres, subjects, field, leader`` of MARC records (see ``marc_records``).
+
+    Lists are joined by semicolons; records without an id are left out; missing text is ``<blank>``.
+    """
+    control = lambda tag: F.get(F.filter("controlfield", lambda x: x["_tag"] == tag), F.lit(0))["_VALUE"]
+
+    def values(tags: list[str], codes: list[str]) -> Column:
+        fields = F.filter("datafield", lambda x: x["_tag"].isin(tags))
+        subs = F.flatten(F.transform(fields, lambda x: F.filter(x["subfield"], lambda s: s["_code"].isin(codes))))
+        return F.array_distinct(F.transform(subs, lambda s: F.trim(F.regexp_replace(s["_VALUE"], r"[\s.,:;/]+$", ""))))
+
+    text = lambda tags, codes, by=" ": F.when(F.size(values(tags, codes)) > 0, F.array_join(values(tags, codes), by)).otherwise("<blank>")
+    flat = records.select(
+        F.explode(values(["974"], ["u"])).alias("htid"), F.coalesce(control("001"), F.lit("<blank>")).alias("recordid"), text(["035"], ["a"], ";").alias("oclc"), text(["245"], ["a", "b"]).alias("title"),
+        text(["100"], ["a"]).alias("author"), text(["260"], ["a", "b", "c"]).alias("imprint"), text(["655", "155"], ["a"], ";").alias("genres"),
+        text(["600", "610", "650", "651"], ["a", "x"], ";").alias("subjects"), control("008").alias("field"), "leader",
+    )
+    return flat.where(F.col("htid") != "")
+
+
+def text_date(text: Column) -> Column:
+    """The first four-digit year of a century from 15 to 20 in an imprint, with misread digits repaired; ``<estimate=..>`` for an uncertain one, else ``<blank>``."""
+    fixed = F.regexp_replace(F.regexp_replace(text, r"\bl(?=[5-9])", "1"), r"(?<=\d)l|l(?=\d)", "1")
+    fixed = F.regexp_replace(fixed, r"(?<=\d)[\[\]() ](?=\d)", "")
+    year = F.regexp_extract(fixed, r"(1[5-9]\d\d|20\d\d)", 1)
+    guess = F.regexp_extract(fixed, r"(1[5-9]\d?[-?_]+\??)", 1)
+    return F.when(year != "", year).when(guess != "", F.concat(F.lit('<estimate="'), guess, F.lit('">'))).otherwise("<blank>")
+
+
+def date_range(text: Column) -> Column:
+    """``start, end`` years of a range whose end may be short (``1871-4`` ends in 1874); null where there is none."""
+    flat = F.regexp_replace(F.regexp_replace(text, r"\s*[-–—]+\s*", "-"), r"[^\d-]+$", "")
+    start, end = F.regexp_extract(flat, r"(1[5-9]\d\d|20\d\d)-(\d{1,4})(?!\d)", 1), F.regexp_extract(flat, r"(1[5-9]\d\d|20\d\d)-(\d{1,4})(?!\d)", 2)
+    full = F.when(end != "", F.concat(F.substring(start, 1, 4 - F.length(end)), end).cast("int"))
+    first = F.when(start != "", start.cast("int"))
+    return F.struct(first.alias("start"), F.when(full >= first, full).alias("end"))
+
+
+def narrower_date(volume: Column, date: Column) -> Column:
+    """A year in the volume's own designation if it lies in the record's range or nothing is known, else the record's date."""
+    own, range_ = text_date(volume), date_range(date)
+    inside = own.rlike("^[0-9]{4}$") & (range_["start"].isNull() | own.cast("int").between(range_["start"], F.coalesce(range_["end"], range_["start"])))
+    return F.when(inside, own).otherwise(date)
+
+
+def serial_date(kind: Column, date: Column, volume: Column) -> Column:
+    """For a serial without date: the last word of its volume number if that begins with a year."""
+    last = F.element_at(F.split(F.trim(volume), r"\s+"), -1)
+    return F.when(kind.startswith("serial") & (date == "<blank>") & last.rlike("^(1[5-9]|20)[0-9]{2}"), F.substring(last, 1, 4)).otherwise(date)
+
+
+def metadata_evidence(volumes: DataFrame) -> DataFrame:
+    """Six 0/1 flags of ``volumes(vol, maxgenre, tags, non, bio, poe, dra, fic)``: what tags and a volume model (any column null: none) say of the pages' main category.
+
+    Biography counts as nonfiction in the model's answer.
+    """
+    has = lambda *t: F.arrays_overlap("tags", F.array(*map(F.lit, t)))
+    strong = {
+        "fic": has("Fiction", "Novel"), "poe": has("Poetry", "Poems"), "dra": has("Drama", "Tragedies", "Comedies"),
+        "non": has("Biography", "Autobiography", "Catalog", "Dictionary", "Bibliographies"),
+    }
+    g = F.col("maxgenre")
+    confirm, deny = F.lit(False), F.lit(False)
+    for k, flag in strong.items():
+        confirm, deny = confirm | (flag & (g == k)), deny | (flag & (g != k))
+    weak = has("Not fiction")
+    names = ["non", "bio", "poe", "dra", "fic"]
+    known = F.col("non").isNotNull()
+    best = F.array_max(F.array(*[F.struct(F.col(c).alias("p"), F.lit(c).alias("g")) for c in names]))["g"]
+    model = F.when(best == "bio", "non").otherwise(best)
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return volumes.select(
+        "vol", flag(weak & (g == "non")).alias("weak_confirmation"), flag(weak & (g == "fic")).alias("weak_denial"), flag(confirm).alias("strong_confirmation"), flag(deny).alias("strong_denial"),
+        flag(known & (model == g)).alias("model_agrees"), flag(known & (model != g)).alias("model_disagrees"),
+    )

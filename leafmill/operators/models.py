@@ -59,3 +59,70 @@ def cross_validate(pages: DataFrame, genres: list[str], n: int = 5, extra: DataF
 def forest(train: DataFrame, trees: int = 500, per_split: int = 22, seed: int = 10):
     """A random forest on ``features`` and ``label``."""
     return RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(per_split), seed=seed).fit(train)
+
+
+def all_vs_all(train: DataFrame, genres: list[str], ridge: float = 0.002, iterations: int = 50) -> dict:
+    """A ridge logistic model for each pair of categories, on their rows only."""
+    fit = LogisticRegression(regParam=ridge, elasticNetParam=0.0, maxIter=iterations, labelCol="is")
+    pairs = [(a, b) for i, a in enumerate(genres) for b in genres[i + 1 :]]
+    return {(a, b): fit.fit(train.where(F.col("genre").isin(a, b)).withColumn("is", (F.col("genre") == a).cast("double"))) for a, b in pairs}
+
+
+def score_pairs(models: dict, genres: list[str], pages: DataFrame) -> DataFrame:
+    """``pages`` with ``probs``: each category's positive probabilities summed over its pairs and normalised; ``raw`` the best."""
+    out = pages
+    for i, m in enumerate(models.values()):
+        out = m.setProbabilityCol(f"_p{i}").setPredictionCol(f"_y{i}").setRawPredictionCol(f"_r{i}").transform(out).withColumn(f"_p{i}", vector_to_array(f"_p{i}")[1]).drop(f"_r{i}", f"_y{i}")
+    sums = [sum((F.col(f"_p{i}") if a == g else 1 - F.col(f"_p{i}")) for i, (a, b) in enumerate(models) if g in (a, b)) for g in genres]
+    total = sum(sums)
+    probs = F.array(*[s / total for s in sums])
+    out = out.withColumn("probs", probs).drop(*[f"_p{i}" for i in range(len(models))])
+    return out.withColumn("raw", F.element_at(F.array(*[F.lit(g) for g in genres]), F.array_position("probs", F.array_max("probs")).cast("int")))
+
+
+def bagged(train: DataFrame, genres: list[str], ridges: tuple[float, ...] = (0.1, 10.0, 50.0), share: float = 0.66, seed: int = 10) -> list[dict]:
+    """One-vs-all models on samples with replacement, one for each ridge; score each and average."""
+    return [one_vs_all(train.sample(True, share, seed + i), genres, ridge=r, iterations=50) for i, r in enumerate(ridges)]
+
+
+def score_bagged(bags: list[dict], genres: list[str], pages: DataFrame) -> DataFrame:
+    out = pages
+    for i, models in enumerate(bags):
+        out = score(models, out).withColumnRenamed("probs", f"_b{i}").drop("raw")
+    mean = F.array(*[sum(F.get(f"_b{i}", F.lit(k)) for i in range(len(bags))) / len(bags) for k in range(len(genres))])
+    out = out.withColumn("probs", mean).drop(*[f"_b{i}" for i in range(len(bags))])
+    return out.withColumn("raw", F.element_at(F.array(*[F.lit(g) for g in genres]), F.array_position("probs", F.array_max("probs")).cast("int")))
+
+
+def ensemble(models: dict[str, dict], pages: DataFrame) -> DataFrame:
+    """The pages once for each named model, with a ``model`` column."""
+    out = None
+    for name, m in models.items():
+        part = score(m, pages).withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def by_date(scored: DataFrame, volumes: DataFrame, early: str, late: str, turn: int = 1900) -> DataFrame:
+    """Of an ensemble's rows those of the model for the volume's year."""
+    return scored.join(volumes.select("vol", "year"), "vol").where(F.col("model") == F.when(F.col("year") < turn, early).otherwise(late))
+
+
+def batch(scorer, pages: DataFrame, words: str = "words") -> DataFrame:
+    """Scores new volumes; those with at most one word give no rows."""
+    some = pages.groupBy("vol").agg(F.sum(words).alias("_w")).where("_w > 1").select("vol")
+    return scorer(pages.join(some, "vol", "left_semi"))
+
+
+def save(models: dict, side_tables: dict[str, DataFrame], path: str) -> None:
+    """A model bundle: one folder for each category's model, and Parquet side tables."""
+    for g, m in models.items():
+        m.write().overwrite().save(f"{path}/models/{g}")
+    for name, t in side_tables.items():
+        t.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(path: str, genres: list[str]) -> dict:
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    return {g: LogisticRegressionModel.load(f"{path}/models/{g}") for g in genres}
