@@ -88,10 +88,13 @@ def rejoin_hyphens(lines: DataFrame, frequencies: DataFrame) -> DataFrame:
     return t.where((n("last") + n("next")) / 3 < n("joined")).select(*PAGE, "line", "last", "next")
 
 
-@F.pandas_udf("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The share of matching characters in blocks of two strings."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+def similarity(a: str, b: str):
+    """The share of matching characters in blocks of two string columns."""
+
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return F.pandas_udf(ratio, "double")(a, b)
 
 
 def running_headers_exact(lines: DataFrame, least: float = 0.8) -> DataFrame:
