@@ -100,7 +100,6 @@ class ShardStore:
         The rows are read and written once, by arrival; then the arrivals are committed one by one.
         Rows with a null arrival come first.
         """
-        self.schema = self.schema or arrivals.drop(arrival_col).schema.json()
         run = f"data/run-{uuid.uuid4().hex}"
         columns = [c for c in arrivals.columns if c != arrival_col]
         numbered = arrivals.select(*columns, F.coalesce(F.col(arrival_col).cast("long"), F.lit(-1)).alias("arrival_"))
