@@ -1,0 +1 @@
+"""No operator here works on streams: volumes are complete when they are read."""
