@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -9,19 +11,23 @@ from pyspark.sql import functions as F
 
 
 def undersample(rows: DataFrame, positive: str, key: str) -> DataFrame:
-    """All positives, and at most ``ceil(ln(1.73 + neg / pos) * pos)`` negatives, those with the smallest hashes.
+    """All positives, and at most ``ceil(ln(1.73 + neg / pos) * pos)`` negatives, those with the smallest hashes of ``key``.
 
-    The hash is cut at the share wanted plus a margin, so that only few rows more than needed are
-    ranked.
+    A histogram over four hex digits of the hash (65,536 counts) shows where to cut; only the rows of
+    the digit group that the cut goes through are sorted.
     """
     n = rows.agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("q")).first()
-    import math
-
     most = math.ceil(math.log(1.73 + n.q / n.p) * n.p) if n.p else n.q
-    share = min(1.0, most / max(n.q, 1) * 1.05 + 100 / max(n.q, 1))
     digest = F.md5(F.col(key).cast("string"))
-    near = rows.where(~F.col(positive)).where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") <= share * 2**32).withColumn("_h", digest)
-    return rows.where(positive).unionByName(near.orderBy("_h", key).limit(most).drop("_h"))
+    negatives = rows.where(~F.col(positive)).withColumn("_h", digest).withColumn("_g", F.substring("_h", 1, 4))
+    left, cut = most, "~"  # a tilde sorts after all hex digits
+    for r in sorted(negatives.groupBy("_g").count().collect(), key=lambda r: r["_g"]):
+        if r["count"] > left:
+            cut = r["_g"]
+            break
+        left -= r["count"]
+    edge = negatives.where(F.col("_g") == cut).orderBy("_h", key).limit(left)
+    return rows.where(positive).unionByName(negatives.where(F.col("_g") < cut).unionByName(edge).drop("_h", "_g"))
 
 
 def folds(pages: DataFrame, n: int = 5) -> DataFrame:

@@ -107,3 +107,24 @@ def genre_order(truth: DataFrame, position: str) -> DataFrame:
     first = truth.groupBy("genre").agg(F.min(position).alias("first"))
     order = first.withColumn("idx", F.row_number().over(Window.orderBy("first", "genre")) + 1).select("idx", "genre")
     return truth.sparkSession.createDataFrame([(0, "begin"), (1, "end")], "idx int, genre string").unionByName(order)
+
+
+# The tags that stand for each kind of evidence.
+EVIDENCE_TAGS = {"biography": ["Biography", "Autobiography"], "fiction": ["Fiction", "Novel"], "poetry": ["Poetry", "Poems"], "drama": ["Drama", "Tragedies", "Comedies"]}
+
+
+def tag_evidence(volumes: DataFrame, metadata: DataFrame) -> DataFrame:
+    """A flag for each kind of tag in ``metadata(vol, genres)`` (``;``-separated); all false for volumes without metadata."""
+    tags = F.split("genres", ";")
+    flags = [F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, names))), F.lit(False)).alias(kind) for kind, names in EVIDENCE_TAGS.items()]
+    return volumes.join(metadata, "vol", "left").select("vol", *flags)
+
+
+def dense_vectors(long: DataFrame, order: DataFrame) -> DataFrame:
+    """``vol, page, features``: an ML vector of each page from ``long(vol, page, feature, z)``, by the index of ``order(feature, idx)``; absent features are 0."""
+    from pyspark.ml.functions import array_to_vector
+
+    n = order.count()
+    entries = long.join(F.broadcast(order) if n <= 10_000 else order, "feature").groupBy("vol", "page").agg(F.map_from_entries(F.collect_list(F.struct("idx", "z"))).alias("m"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return entries.select("vol", "page", array_to_vector(cells).alias("features"))

@@ -139,3 +139,26 @@ def b4(spark, d):
     return t.select("o_orderkey", "text", date.alias("date"), C.date_range(F.col("text")).alias("r"), C.narrower_date(F.col("volume"), F.col("text")).alias("narrower"), C.serial_date(F.lit("serial"), date, F.col("volume")).alias("serial")).select("o_orderkey", "text", "date", "r.start", "r.end", "narrower", "serial")
 
 
+
+
+@query("v1_tag_evidence", "WITH " + VOLUMES + ", m AS (SELECT vol, array_to_string(tags, ';') AS genres FROM volumes WHERE vol % 3 <> 0), s AS (SELECT v.vol, string_split(genres, ';') AS tags FROM volumes v LEFT JOIN m ON m.vol = v.vol)"
+       " SELECT vol, coalesce(list_has_any(tags, ['Biography', 'Autobiography']), FALSE) AS biography, coalesce(list_has_any(tags, ['Fiction', 'Novel']), FALSE) AS fiction, coalesce(list_has_any(tags, ['Poetry', 'Poems']), FALSE) AS poetry, coalesce(list_has_any(tags, ['Drama', 'Tragedies', 'Comedies']), FALSE) AS drama FROM s")
+def v1(spark, d):
+    from leafmill.operators.vectors import tag_evidence
+
+    v = volumes_of(spark, d)
+    return tag_evidence(v.select("vol"), v.where("vol % 3 <> 0").select("vol", F.array_join("tags", ";").alias("genres")))
+
+
+@query("v9_dense_vectors")
+def v9(spark, d):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import Window
+
+    from leafmill.operators.vectors import dense_vectors, zscore_apply, zscore_fit
+    from leafmill.plans.page_queries import long_of
+
+    long = long_of(spark, d)
+    stats = zscore_fit(long)
+    order = stats.select("feature", (F.row_number().over(Window.orderBy("feature")) - 1).alias("idx"))
+    return dense_vectors(zscore_apply(long, stats), order).select("vol", "page", F.transform(vector_to_array("features"), lambda x: F.round(x, 5)).alias("features"))
