@@ -25,35 +25,71 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import new_path, shipped_file
 
-CACHED = 500_000
+CHUNKS, PARTS = 800_000, 1_000_000
 _state: dict = {}
 
 
+def parts_of(chunk: str) -> tuple[str, ...]:
+    """Parts that a lower-casing tokenizer encodes one after the other as it encodes the chunk.
+
+    A comma or full stop at the end, after a letter, is a pre-token of its own. Letters are lowered
+    only where all characters are in Latin-1, for which every lower-casing rule says the same.
+    """
+    if chunk.isascii() or max(chunk) < "\u0100":
+        chunk = chunk.lower()
+    if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha():
+        return chunk[:-1], chunk[-1]
+    return (chunk,)
+
+
 def chunk_encoder(key: str, content: bytes):
-    """A function from texts to little-endian unsigned 32-bit ids, for tokenizers that never cross a space.
+    """A function from texts to little-endian unsigned 32-bit ids, for tokenizers that lower-case and drop white space.
 
-    The ids of a text are those of its space-separated chunks in a row; each distinct chunk is encoded
-    once by the library and kept in a bounded cache that tasks of one worker share. Texts in which a
-    special token could stand go to the library whole.
+    The ids of a text are those of its white-space-separated chunks in a row. Each distinct part of a
+    chunk is encoded once by the library and kept in a bounded cache that tasks of one worker share.
+    Texts in which a special token could stand, or separators that only Python takes for white space,
+    go to the library whole.
     """
     if _state.get("key") != key:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _state.update(key=key, tokenizer=Tokenizer.from_str(content.decode()), cache={})
-    tokenizer, cache = _state["tokenizer"], _state["cache"]
-    specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        tokenizer = Tokenizer.from_str(content.decode())
+        vocabulary = tokenizer.get_vocab()
+        ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        _state.update(key=key, tokenizer=tokenizer, ends_word=ends_word, chunks={}, parts={})
+    tokenizer, ends_word, chunks, parts = _state["tokenizer"], _state["ends_word"], _state["chunks"], _state["parts"]
+    apart = [*[t.content for t in tokenizer.get_added_tokens_decoder().values()], "\x1c", "\x1d", "\x1e", "\x1f"]
+
+    def learn(new: list[str]) -> None:
+        """Encodes parts. Words of Latin-1 letters are one pre-token each, so many go in one call and are told apart by their ends."""
+        single = [p for p in new if not (p.isalpha() and (p.isascii() or max(p) < "\u0100"))]
+        plain = list(set(new).difference(single))
+        packs = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for own, e in zip(packs, tokenizer.encode_batch_fast([" ".join(x) for x in packs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = (np.flatnonzero(ends_word[ids]) + 1).tolist()
+            if len(ends) != len(own):
+                single += own
+                continue
+            for p, a, b in zip(own, [0, *ends], ends, strict=False):
+                parts[p] = ids[a:b].tobytes()
+        for p, e in zip(single, tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            parts[p] = array("I", e.ids).tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in specials)}
-        chunks = [[] if i in whole else t.split(" ") for i, t in enumerate(texts)]
-        if len(cache) > CACHED:
-            cache.clear()
-        missing = list({c for cs in chunks for c in cs if c not in cache})
-        for c, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            cache[c] = array("I", e.ids).tobytes()
-        get = cache.__getitem__
-        return [array("I", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes() if i in whole else b"".join(map(get, cs)) for i, cs in enumerate(chunks)]
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in apart)}
+        split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
+        for cache, most in ((chunks, CHUNKS), (parts, PARTS)):
+            if len(cache) > most:
+                cache.clear()
+        missing = {c: parts_of(c) for c in set().union(*split) if c not in chunks}
+        learn(list({p for ps in missing.values() for p in ps if p not in parts}))
+        for c, ps in missing.items():
+            chunks[c] = parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]]
+        get = chunks.__getitem__
+        return [array("I", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes() if i in whole else b"".join(map(get, cs)) for i, cs in enumerate(split)]
 
     return encode
 
