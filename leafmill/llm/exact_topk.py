@@ -1,8 +1,8 @@
 """Exact top-k inner products through a pivot-distance index.
 
 Vectors are keyed by their nearest pivot and the distance to it. The distances of one pivot are cut
-into annuli, so there are at most ``pivots * rings`` cells whatever the data; inside a cell vectors lie
-in sorted blocks of bounded size. For a query q, a cell of pivot p with distances in [lo, hi] and
+into annuli, so there are at most ``pivots * rings`` cells whatever the data (fewer where they would
+hold under ``CELL`` vectors); inside a cell vectors lie in sorted blocks of bounded size. For a query q, a cell of pivot p with distances in [lo, hi] and
 largest norm m holds no score above
 
     min((|q|^2 + m^2 - max(0, |q - p| - hi, lo - |q - p|)^2) / 2,  q.p + |q| * hi,  |q| * m)
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import written
 
-BLOCK, QUERY_PACK = 512, 256
+BLOCK, QUERY_PACK, CELL = 512, 256, 512
 LARGEST = 1 << 20  # components beyond it would not give exact 64-bit scores
 
 
@@ -86,6 +86,8 @@ def build_index(vectors: DataFrame, pivots: int = 64, rings: int = 64, sample: i
     if dims is None:
         return None
     vectors = vectors.where(F.col("dim") == dims.dim)
+    pivots = min(pivots, max(1, dims["count"] // (4 * CELL)))
+    rings = min(rings, max(2, dims["count"] // (CELL * pivots)))
     few = vectors.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").toArrow()["v"].to_pylist()
     chosen = choose_pivots(np.array([np.frombuffer(x, np.int32) for x in few], np.float64), pivots)
     reach = float(_distances(np.array([np.frombuffer(x, np.int32) for x in few], np.float64), chosen).min(axis=1).max())
@@ -201,7 +203,7 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str =
             now = asked.join(kth, "id", "left")
         visits = now.mapInArrow(_visits(index, k, first, count), "cell int, id long, v binary, least long")
         pack = visits.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(packs)).alias("p")).agg(F.collect_list(F.struct("id", "v", "least")).alias("pack"))
-        found = pack.join(index.blocks, "cell").select("pack", "ids", "m").mapInArrow(_scan(k), schema)
+        found = pack.join(index.blocks.hint("merge"), "cell").select("pack", "ids", "m").mapInArrow(_scan(k), schema)
         every = found if best is None else best.drop("rank").unionByName(found)
         best = written(every.withColumn("rank", rank).where(F.col("rank") <= k), f"topk-round{at}")
         at += 1
