@@ -178,29 +178,44 @@ class StreamDecoder:
         return self.utf8.decode(b"", True)
 
 
-def _machine(key: str, content: bytes) -> dict:
-    if _state.get("key") != key:
-        ranks = read_ranks(content)
-        _state.update(key=key, transducer=Transducer(ranks), cache={}, pieces={}, tokens={i: t for t, i in ranks.items()})
+def _encoder(key: str, content: bytes) -> dict:
+    if _state.get("encoder") != key:
+        _state.update(encoder=key, transducer=Transducer(read_ranks(content)), cache={}, pieces={})
     return _state
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def _tokens(key: str, content: bytes) -> dict[int, bytes]:
+    if _state.get("decoder") != key:
+        _state.update(decoder=key, tokens={i: t for t, i in read_ranks(content).items()})
+    return _state["tokens"]
+
+
+def decoded_text(raw: bytes, tokens: dict[int, bytes], step: int) -> str:
+    """The text of packed ids, decoded as a stream of ``step`` ids at a time."""
+    ids, stream = array("I", raw), StreamDecoder(tokens)
+    return "".join([stream.feed(ids[i : i + step]) for i in range(0, len(ids), step)]) + stream.end()
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", with_decoded: bool = False, step: int = 4096) -> DataFrame:
     """``docs`` with ``ids`` (binary: little-endian unsigned 32-bit integers) and ``n_tokens`` (long) added.
 
+    ``with_decoded`` also adds ``decoded``, the ids decoded again in the same task, as a check of the
+    round trip.
+
     Each match of ``pattern`` is encoded separately, without special tokens; a null text counts as
     empty. Each row is encoded for itself, so repeated rows and ties need no rule. Columns of ``docs``
     named like the added ones are replaced. An empty table gives an empty result.
     """
-    docs = docs.drop("ids", "n_tokens")
+    docs = docs.drop("ids", "n_tokens", *["decoded"] * with_decoded)
     file = shipped_file(docs.sparkSession, ranks_path)
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("decoded", T.StringType())] * with_decoded])
     at = docs.columns.index(text_col)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _machine(*file.value)
+        machine = _encoder(*file.value)
         transducer, cache, pieces = machine["transducer"], machine["cache"], machine["pieces"]  # bytes of ids by chunk, and by pre-token
         find = regex.compile(pattern).findall
+        tokens = _tokens(*file.value) if with_decoded else {}
 
         def of_piece(piece: str) -> bytes:
             ids = pieces.get(piece)
@@ -230,7 +245,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
                 part = batch.slice(start, 256)
                 ids = [of(t or "") for t in part.column(at).to_pylist()]
                 gc.freeze()  # the states just built are kept; don't search them for garbage
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=schema.names)
+                decoded = [pa.array([decoded_text(x, tokens, step) for x in ids], pa.string())] if with_decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), *decoded], names=schema.names)
 
     return docs.mapInArrow(encode, schema)
 
@@ -243,18 +259,12 @@ def decode_documents(encoded: DataFrame, ranks_path: str, ids_col: str = "ids",
     at = encoded.columns.index(ids_col)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _machine(*file.value)["tokens"]
-
-        def of(raw: bytes | None) -> str | None:
-            if raw is None:
-                return None
-            ids, stream = array("I", raw), StreamDecoder(tokens)
-            return "".join([stream.feed(ids[i : i + step]) for i in range(0, len(ids), step)]) + stream.end()
+        tokens = _tokens(*file.value)
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([of(x) for x in part.column(at).to_pylist()], pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if x is None else decoded_text(x, tokens, step) for x in part.column(at).to_pylist()], pa.string())], names=schema.names)
 
     return encoded.mapInArrow(decode, schema)
 

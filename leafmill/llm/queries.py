@@ -67,8 +67,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode_documents(encoded.drop("text"), ranks))
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, with_decoded=True)
+    return byte_bpe.digests(encoded)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

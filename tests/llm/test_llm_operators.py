@@ -216,6 +216,8 @@ def test_byte_bpe_round_trip(docs, empty):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     encoded = byte_bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN)
     got = byte_bpe.decode_documents(encoded, RANKS, step=7).collect()
+    both = byte_bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN, with_decoded=True, step=7)
+    assert {r.doc_id: r.decoded for r in both.collect()} == {r.doc_id: r.decoded for r in got}
     assert len(got) == len(corpus())
     for r in got:
         ids = library.encode_ordinary(r.text or "")
