@@ -371,3 +371,22 @@ def test_shard_store_without_rows(spark, empty):
     store = shards.ShardStore(spark, new_path(spark, "store"))
     assert store.append_all(empty.withColumn("arrival", F.lit(1)), "arrival") == []
     assert store.compact() == 0 and store.read().count() == 0
+
+
+def test_exact_topk_keeps_large_components_and_every_dimension(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    rows += [(300 + i, (rng.normal(size=8) * 10.0 ** rng.integers(3, 6)).tolist()) for i in range(60)]  # beyond 4096
+    rows += [(400 + i, [float(rng.integers(-(1 << 20), 1 << 20)), 1e6 + i, *[0.5] * 6]) for i in range(5)]  # scores beyond 2**53
+    rows += [(420, [0.0] * 8), (450, [1e30] + [0.0] * 7)]
+    other = [(500 + i, rng.normal(size=3).tolist()) for i in range(120)] + [(700, [0.0, 5e5, 0.0])]
+    schema = "vec_id long, embedding array<double>"
+    small = [r for r in rows if r[0] != 450]
+    df = spark.createDataFrame(small + other, schema).repartition(3)
+    queries = df.where("vec_id % 10 = 0 OR vec_id BETWEEN 400 AND 405")
+    got = sorted(tuple(r) for r in exact_topk.exact_topk(queries, df, steps=(2, 4)).collect())
+    asked = [i for i, _ in small + other if i % 10 == 0 or 400 <= i <= 405]
+    assert got == sorted(brute_topk(small, asked, 5) + brute_topk(other, asked, 5))
+    assert any(abs(r[3]) > 1 << 53 for r in got)
+    zeros = spark.createDataFrame([(420, [0.0] * 8), (450, [1e30] + [0.0] * 7), (451, [0.0, 1.0] + [0.0] * 6)], schema)
+    assert sorted(tuple(r) for r in exact_topk.exact_topk(zeros, zeros).collect()) == [(420, 1, 450, 0), (420, 2, 451, 0), (450, 1, 420, 0), (450, 2, 451, 0), (451, 1, 420, 0), (451, 2, 450, 0)]
