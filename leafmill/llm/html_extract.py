@@ -5,9 +5,11 @@ from the body. For every node Spark counts, over the host's distinct pages, the
 blocks and the child sequences of its elements. The entropy of each distribution, as a share of the
 largest possible, is the node's content or presentation importance: near 0 where pages repeat
 themselves, near 1 where each page has its own. A branch whose importance is low is removed from each
-page of the host. Elements whose own name or class says what they are (navigation, forms, scripts,
-comments, ...) are removed at once; the branch of an article or main element is never removed by
-importance alone, and hosts with fewer than ``min_pages`` distinct pages have no importances.
+page of the host. Elements whose tag or role says what they are (navigation, forms, scripts, ...) are
+removed at once, but a header or form around an article or main element doesn't take that with it. A
+class or id that sounds like navigation, comments, ... is evidence only: a block inside is removed
+where the importance of its own node is below a higher threshold. The rest of an article or main element is never removed
+by importance, and hosts with fewer than ``min_pages`` distinct pages have no importances.
 """
 
 from __future__ import annotations
@@ -28,27 +30,30 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 BOILERPLATE = frozenset("nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu head title".split())
 RAW = frozenset("script style noscript template iframe object svg canvas title textarea".split())
 MAIN = frozenset("article main".split())
-OTHER, MAIN_PART, NAMED, NAMED_IN_MAIN = range(4)
+SOFT = frozenset("header form".split())  # they may stand around the main text
+OTHER, MAIN_PART, NAMED, NAMED_IN_MAIN, HINTED, HINTED_IN_MAIN = range(6)
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus\w*|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 MAX_DEPTH = 24
+IN_MAIN = "main:"  # before the paths of a tree of their own, that of hinted blocks in main elements
 BLANK = re.compile(r"\s+")
 
 
 class PageTree(HTMLParser):
     """The text blocks of a page in order: ``(path, text, part)``; and ``(path, child names)`` of its elements.
 
-    ``part`` is MAIN_PART inside an article or main element, NAMED where an element says that it holds
-    no main text, else OTHER. Scripts, styles and the like have no blocks.
+    ``part`` is NAMED where an element's tag or role says that it holds no main text, HINTED where only
+    a class or id says so, else OTHER, or MAIN_PART inside an article or main element, which ends hints
+    from above. Scripts, styles and the like have no blocks.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, str, int]] = []
-        self.open: list[tuple[str, str, bool, bool, list[str]]] = []  # tag, path, named, main, names of children
+        self.open: list[tuple[str, str, int, bool, bool, list[str]]] = []  # tag, path, named (1 by SOFT only), hint, main, names of children
         self.elements: list[tuple[str, str]] = []
         self.text: list[str] = []
 
@@ -56,11 +61,11 @@ class PageTree(HTMLParser):
         text = BLANK.sub(" ", "".join(self.text)).strip()
         self.text.clear()
         if text and not any(x[0] in RAW for x in self.open):
-            _, path, named, main, _ = self.open[-1] if self.open else ("", "", False, False, [])
-            self.blocks.append((path, text, (NAMED_IN_MAIN if main else NAMED) if named else MAIN_PART if main else OTHER))
+            _, path, named, hint, main, _ = self.open[-1] if self.open else ("", "", 0, False, False, [])
+            self.blocks.append((path, text, ((NAMED, NAMED_IN_MAIN) if named else (HINTED, HINTED_IN_MAIN) if hint else (OTHER, MAIN_PART))[main]))
 
     def close_top(self) -> None:
-        _, path, _, main, children = self.open.pop()
+        _, path, _, _, main, children = self.open.pop()
         if children and not main:
             self.elements.append((path, " ".join(children)))
 
@@ -80,15 +85,21 @@ class PageTree(HTMLParser):
                         self.close_top()
                     tags = [x[0] for x in self.open]
         own = {k: v or "" for k, v in attrs}
-        _, above, named, main, children = self.open[-1] if self.open else ("", "", False, False, [])
+        _, above, named, hint, main, children = self.open[-1] if self.open else ("", "", 0, False, False, [])
         names = f"{own.get('class', '')} {own.get('id', '')}".strip()
         in_main = main or tag in MAIN or own.get("role") in MAIN
         container = tag in MAIN or own.get("role") in MAIN
-        named = named or tag in BOILERPLATE or (tag == "header" and not main) or own.get("role") in ROLES or "hidden" in own or own.get("aria-hidden") == "true" or (bool(names) and not container and NAMES.search(names) is not None)
+        if container:
+            named, hint = (2 if named == 2 else 0), False
+        if tag in SOFT and (tag == "form" or not main) or own.get("role") in SOFT:
+            named = max(named, 1)
+        if tag in BOILERPLATE - SOFT or own.get("role") in ROLES - SOFT or "hidden" in own or own.get("aria-hidden") == "true":
+            named = 2
         step = tag + ("." + re.sub(r"\d+", "0", own["class"]).replace(" ", ".") if own.get("class") else "")
         children.append(step)
         path = f"{above}/{step}" if len(self.open) < MAX_DEPTH else above
-        self.open.append((tag, path, named, in_main, []))
+        hint = hint or bool(names) and not container and NAMES.search(names) is not None
+        self.open.append((tag, path, named, hint, in_main, []))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE or tag in VOID:
@@ -118,29 +129,33 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _style_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hosts, pages, kinds, paths, contents = [], [], [], [], []
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            page = PageTree.of(html)
-            found = [("content", p, t) for p, t, part in page.blocks if part in (OTHER, NAMED)] + [("presentation", p, c) for p, c in page.elements]
-            digest = xxhash.xxh3_64_intdigest((html or "").encode()) >> 1
-            for kind, path, content in found:
-                hosts.append(host)
-                pages.append(digest)
-                kinds.append(kind)
-                paths.append(path)
-                contents.append(xxhash.xxh3_64_intdigest(content.encode()) >> 1)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(kinds, pa.string()), pa.array(paths, pa.string()), pa.array(contents, pa.int64())], names=["host", "page", "kind", "path", "content"])
-
-
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", gamma: float = 0.9) -> DataFrame:
+def _style_nodes(parts: tuple[int, ...]):
+    def style_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, pages, kinds, paths, contents = [], [], [], [], []
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                page = PageTree.of(html)
+                found = [("content", IN_MAIN + p if part == HINTED_IN_MAIN else p, t) for p, t, part in page.blocks if part in parts] + [("presentation", p, c) for p, c in page.elements]
+                digest = xxhash.xxh3_64_intdigest((html or "").encode()) >> 1
+                for kind, path, content in found:
+                    hosts.append(host)
+                    pages.append(digest)
+                    kinds.append(kind)
+                    paths.append(path)
+                    contents.append(xxhash.xxh3_64_intdigest(content.encode()) >> 1)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(kinds, pa.string()), pa.array(paths, pa.string()), pa.array(contents, pa.int64())], names=["host", "page", "kind", "path", "content"])
+
+    return style_nodes
+
+
+def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", gamma: float = 0.9, hinted_in_main: bool = False) -> DataFrame:
     """``host, path, pages, importance`` of the style nodes outside main elements, navigation and the like included, of all hosts.
 
-    Pages with the same html on one host count once. The importance of a node joins that of its own
+    Pages with the same html on one host count once. With ``hinted_in_main`` the contents inside main
+    elements that a class or id hints at have nodes too, under ``IN_MAIN``. The importance of a node joins that of its own
     presentation with the mean content importance of the nodes in its branch.
     """
-    nodes = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_style_nodes, "host string, page long, kind string, path string, content long")
+    nodes = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_style_nodes((OTHER, NAMED, HINTED, HINTED_IN_MAIN) if hinted_in_main else (OTHER, NAMED, HINTED)), "host string, page long, kind string, path string, content long")
     once = nodes.groupBy("host", "kind", "path", "content", "page").agg(F.lit(1).alias("one"))
     counts = once.groupBy("host", "kind", "path", "content").agg(F.count("*").alias("c"))
     n, c = F.sum("c"), F.col("c").cast("double")
@@ -155,39 +170,41 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", g
     return both.select("host", "path", "pages", F.when(F.col("looks").isNull(), F.col("content")).otherwise((1 - gamma) * F.col("looks") + gamma * F.col("content")).alias("importance"))
 
 
-def _texts(schema_names: list[str], html_at: int, noise_at: int):
+def _texts(schema_names: list[str], html_at: int, noise_at: int, likely_at: int):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for html, noise in zip(batch.column(html_at).to_pylist(), batch.column(noise_at).to_pylist(), strict=True):
-                low = frozenset(noise or ())
-                blocks = PageTree.of(html).blocks
+            for html, noise, likely in zip(batch.column(html_at).to_pylist(), batch.column(noise_at).to_pylist(), batch.column(likely_at).to_pylist(), strict=True):
+                low, doubted = frozenset(noise or ()), frozenset(likely or ())
 
-                def kept(path: str, low: frozenset = low) -> bool:
+                def kept(path: str, part: int, low: frozenset = low, doubted: frozenset = doubted) -> bool:
+                    if part == HINTED_IN_MAIN:
+                        return IN_MAIN + path not in doubted
                     steps = path.split("/")
-                    return not any("/".join(steps[:i]) in low for i in range(1, len(steps) + 1))
+                    return not (part == HINTED and path in doubted or any("/".join(steps[:i]) in low for i in range(1, len(steps) + 1)))
 
-                found.append("\n".join([t for p, t, part in blocks if part == MAIN_PART or part == OTHER and kept(p)]))
-            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i not in (html_at, noise_at)] + [pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=schema_names)
+                found.append("\n".join([t for p, t, part in PageTree.of(html).blocks if part == MAIN_PART or part not in (NAMED, NAMED_IN_MAIN) and kept(p, part)]))
+            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i not in (html_at, noise_at, likely_at)] + [pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=schema_names)
 
     return texts
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.3, min_pages: int = 10, broadcast_rows: int = 20_000) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.3, min_pages: int = 10, broadcast_rows: int = 20_000, hinted_threshold: float = 0.5) -> DataFrame:
     """One row for each row of ``pages``: ``page_id, url, text, n_chars`` (code points).
 
     Blocks in page order, one newline between them; white space inside a block is one space. A null
     html counts as empty and gives an empty text; a null url belongs to the host without name. Each
     row is extracted for itself, repeated ones too. Other columns are ignored. An empty table gives an
-    empty result. The low-importance branches are broadcast if they are at most ``broadcast_rows``
+    empty result. Branches below ``threshold`` go, and blocks that a class or id hints at below ``hinted_threshold``;
+    they stay where a host has too few pages to tell. The low-importance branches are broadcast if they are at most ``broadcast_rows``
     (counted first); else they are joined by host.
     """
-    noise = style_tree(pages, url_col, html_col).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold) & (F.col("path") != ""))
-    noise = written(noise.select("host", "path"), "style-noise")
-    by_host = noise.groupBy("host").agg(F.collect_set("path").alias("noise"))  # the style nodes of one host
+    noise = style_tree(pages, url_col, html_col, hinted_in_main=True).where((F.col("pages") >= min_pages) & (F.col("importance") < max(threshold, hinted_threshold)) & (F.col("path") != ""))
+    noise = written(noise.select("host", F.when(F.col("importance") < threshold, F.col("path")).alias("low"), F.when(F.col("importance") < hinted_threshold, F.col("path")).alias("doubted")), "style-noise")
+    by_host = noise.groupBy("host").agg(F.collect_set("low").alias("noise"), F.collect_set("doubted").alias("likely"))  # the style nodes of one host
     by_host = F.broadcast(by_host) if noise.count() <= broadcast_rows else written(by_host, "style-hosts")
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = own.join(by_host, "host", "left").select("page_id", "url", "html", "noise")
+    joined = own.join(by_host, "host", "left").select("page_id", "url", "html", "noise", "likely")
     kind = pages.schema[id_col].dataType.simpleString()
     names = ["page_id", "url", "text", "n_chars"]
-    return joined.mapInArrow(_texts(names, 2, 3), f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(_texts(names, 2, 3, 4), f"page_id {kind}, url string, text string, n_chars long")

@@ -390,3 +390,15 @@ def test_exact_topk_keeps_large_components_and_every_dimension(spark):
     assert any(abs(r[3]) > 1 << 53 for r in got)
     zeros = spark.createDataFrame([(420, [0.0] * 8), (450, [1e30] + [0.0] * 7), (451, [0.0, 1.0] + [0.0] * 6)], schema)
     assert sorted(tuple(r) for r in exact_topk.exact_topk(zeros, zeros).collect()) == [(420, 1, 450, 0), (420, 2, 451, 0), (450, 1, 420, 0), (450, 2, 451, 0), (451, 1, 420, 0), (451, 2, 450, 0)]
+
+
+NAMED_PAGE = """<div class="layout with-sidebar"><form><article class="post-navigation"><p>Main {n}</p><div class="elementor-widget elementor-widget-text-editor"><p>Text {n}</p></div><div class="comments"><p>same</p></div></article></form>
+<div class="page has-navigation"><p>Body {n}</p></div><div class="sidebar"><p>links</p></div><nav><article>menu {n}</article></nav></div>"""
+
+
+def test_html_extract_class_names_are_only_evidence(spark):
+    rows = [(i, "http://h.example.com/x", NAMED_PAGE.format(n=i)) for i in range(12)] + [(50, "http://few.example.com", NAMED_PAGE.format(n=50))]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == f"Main {i}\nText {i}\nBody {i}"
+    assert got[50] == "Main 50\nText 50\nsame\nBody 50\nlinks"  # too few pages to confirm the names
