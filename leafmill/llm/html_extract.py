@@ -1,10 +1,11 @@
 """Main text of web pages by a site style tree.
 
 The DOMs of all pages of one host are merged: a style node is the path of element names and classes
-from the body. For every node Spark counts, over the host's distinct pages, the contents of its text
-blocks and the child sequences of its elements. The entropy of each distribution, as a share of the
-largest possible, is the node's content or presentation importance: near 0 where pages repeat
-themselves, near 1 where each page has its own. A branch whose importance is low is removed from each
+from the body. For every node Spark counts on how many of the host's distinct pages each content of its
+text blocks and each child sequence of its elements is. The entropy of one content over the P pages is
+log(pages with it) / log(P): 1 where all pages have it, 0 where one has. One less its mean over the
+node's contents, each weighted by its pages, is the node's content or presentation importance: near 0
+where pages repeat themselves, however many items they repeat, near 1 where each page has its own. A branch whose importance is low is removed from each
 page of the host. Elements whose tag or role says what they are (navigation, forms, scripts, ...) are
 removed at once, but a header or form around an article or main element doesn't take that with it. A
 class or id that sounds like navigation, comments, ... is evidence only: a block inside is removed
@@ -137,7 +138,7 @@ def _style_nodes(parts: tuple[int, ...]):
                 page = PageTree.of(html)
                 found = [("content", IN_MAIN + p if part == HINTED_IN_MAIN else p, t) for p, t, part in page.blocks if part in parts] + [("presentation", p, c) for p, c in page.elements]
                 digest = xxhash.xxh3_64_intdigest((html or "").encode()) >> 1
-                for kind, path, content in found:
+                for kind, path, content in [*found, ("page", "", "")]:
                     hosts.append(host)
                     pages.append(digest)
                     kinds.append(kind)
@@ -149,7 +150,7 @@ def _style_nodes(parts: tuple[int, ...]):
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", gamma: float = 0.9, hinted_in_main: bool = False) -> DataFrame:
-    """``host, path, pages, importance`` of the style nodes outside main elements, navigation and the like included, of all hosts.
+    """``host, path, pages`` (the host's distinct pages), ``importance`` of the style nodes outside main elements, navigation and the like included, of all hosts.
 
     Pages with the same html on one host count once. With ``hinted_in_main`` the contents inside main
     elements that a class or id hints at have nodes too, under ``IN_MAIN``. The importance of a node joins that of its own
@@ -160,11 +161,13 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", g
     counts = once.groupBy("host", "kind", "path", "content").agg(F.count("*").alias("c"))
     n, c = F.sum("c"), F.col("c").cast("double")
     spread = counts.groupBy("host", "kind", "path").agg(n.alias("n"), F.sum(c * F.log(c)).alias("clogc"))
-    entropy = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), (F.log(F.col("n").cast("double")) - F.col("clogc") / F.col("n")) / F.log(F.col("n").cast("double")))).otherwise(1.0)
-    scored = written(spread.withColumn("importance", entropy), "style-nodes")
+    spread = written(spread, "style-spread")
+    hosts = spread.where("kind = 'page'").select("host", F.col("n").alias("pages"))
+    importance = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("clogc") / F.col("n") / F.log(F.col("pages").cast("double")))).otherwise(1.0)
+    scored = written(spread.where("kind <> 'page'").join(hosts, "host").withColumn("importance", importance), "style-nodes")
     steps = F.split("path", "/")
-    branches = scored.where("kind = 'content'").select("host", "n", "importance", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("path"))
-    content = branches.groupBy("host", "path").agg((F.sum(F.col("importance") * F.col("n")) / F.sum("n")).alias("content"), F.max("n").alias("pages"))
+    branches = scored.where("kind = 'content'").select("host", "n", "pages", "importance", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("path"))
+    content = branches.groupBy("host", "path").agg((F.sum(F.col("importance") * F.col("n")) / F.sum("n")).alias("content"), F.first("pages").alias("pages"))
     looks = scored.where("kind = 'presentation'").select("host", "path", F.col("importance").alias("looks"))
     both = content.join(looks, ["host", "path"], "left")
     return both.select("host", "path", "pages", F.when(F.col("looks").isNull(), F.col("content")).otherwise((1 - gamma) * F.col("looks") + gamma * F.col("content")).alias("importance"))

@@ -402,3 +402,16 @@ def test_html_extract_class_names_are_only_evidence(spark):
     for i in range(12):
         assert got[i] == f"Main {i}\nText {i}\nBody {i}"
     assert got[50] == "Main 50\nText 50\nsame\nBody 50\nlinks"  # too few pages to confirm the names
+
+
+def test_style_tree_removes_menus_of_many_items(spark):
+    menu = "".join(f"<li>item {chr(97 + i)}</li>" for i in range(20))
+    page = "<div class='top'><ul>" + menu + "</ul></div><div class='text'><p>Own {n}</p><p>More {n}</p></div>"
+    rows = [(i, "http://h.example.com/x", page.format(n=i)) for i in range(12)] + [(100 + i, "http://few.example.com/x", page.format(n=i)) for i in range(9)]
+    df = spark.createDataFrame(rows + [(200, "http://few.example.com/y", rows[-1][2])], "page_id long, url string, html string")
+    nodes = {(r.host, r.path): (r.pages, r.importance) for r in html_extract.style_tree(df).collect()}
+    assert nodes["h.example.com", "/div.top/ul/li"] == (12, pytest.approx(0, abs=1e-9)) and nodes["h.example.com", "/div.text/p"] == (12, pytest.approx(1))
+    assert nodes["few.example.com", "/div.text/p"][0] == 9  # the tenth page is a copy
+    got = {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
+    assert all(got[i] == f"Own {i}\nMore {i}" for i in range(12))
+    assert all("item a" in got[100 + i] for i in range(9))
