@@ -24,22 +24,24 @@ def flattened(text: Column) -> Column:
     return F.when(odd, F.regexp_replace(text, BLANKS, " ")).otherwise(text)
 
 
-def template_of(line: Column, depth: int, min_constants: int) -> Column:
-    """The template of a flattened line as a string, null where fewer than ``min_constants`` leading tokens are constant."""
+def template_of(line: Column, depth: int, min_constants: int, short_lines: bool = False) -> Column:
+    """The template of a flattened line as a string; where fewer than ``min_constants`` leading tokens are constant, the line itself or, without ``short_lines``, null."""
     flat = F.trim(line)
     n = F.octet_length(flat) - F.octet_length(F.replace(flat, F.lit(" "), F.lit(""))) + 1
     lead = F.substring_index(flat, " ", depth)
     lead = F.when(lead.rlike("[0-9]"), F.regexp_replace(lead, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(lead)
     fields = (F.octet_length(lead) - F.octet_length(F.replace(lead, F.lit(FIELD), F.lit("")))) / len(FIELD)
-    return F.when((flat != "") & (F.least(n, F.lit(depth)) - fields >= min_constants), F.concat_ws(" ", n.cast("string"), lead))
+    found = F.when((flat != "") & (F.least(n, F.lit(depth)) - fields >= min_constants), F.concat_ws(" ", n.cast("string"), lead))
+    return found.when(flat != "", F.concat(F.lit("= "), flat)) if short_lines else found  # a template begins with a number
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 12, min_constants: int = 5, min_docs: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 12, min_constants: int = 5, min_docs: int = 2, short_lines: bool = False) -> DataFrame:
     """``docs`` with recurring lines removed from ``text_col``, and ``n_lines``, ``n_dropped`` (long) added.
 
     Lines are what newlines separate. A template recurs when at least ``min_docs`` distinct ids have
     it. Lines with fewer than ``min_constants`` constant leading tokens have no template and always
-    stay, blank ones too. Texts of rows with a null id stay as they are and count for no template;
+    stay, blank ones too; with ``short_lines`` such a line, all its tokens kept, is its own template, and
+    only blank ones always stay. Texts of rows with a null id stay as they are and count for no template;
     rows that repeat an id count once. A null text stays null with 0 lines. An empty table gives an
     empty result. Columns of ``docs`` named like the added ones are replaced.
     """
@@ -47,7 +49,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc, text = F.col(id_col).alias("_doc"), F.col(text_col)
     ided = docs.where(F.col(id_col).isNotNull() & text.isNotNull())
     lines = ided.select(doc, F.xxhash64(text).alias("_row"), F.posexplode(F.split(flattened(text), "\n")).alias("_at", "_line"))
-    postings = written(lines.select("_doc", "_row", "_at", template_of(F.col("_line"), depth, min_constants).alias("_template")).where(F.col("_template").isNotNull()), "line-postings")
+    postings = written(lines.select("_doc", "_row", "_at", template_of(F.col("_line"), depth, min_constants, short_lines).alias("_template")).where(F.col("_template").isNotNull()), "line-postings")
 
     by_doc = postings.groupBy("_template", "_doc").agg(F.lit(1).alias("_one"))
     recurring = by_doc.groupBy("_template").agg(F.count("*").alias("_n"), F.min("_doc").alias("_home")).where(F.col("_n") >= min_docs)

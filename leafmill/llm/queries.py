@@ -120,6 +120,16 @@ SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORD
 FROM judged GROUP BY doc_id
 """
 
+
+def op9_line_dedup_short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"), short_lines=True)
+    return found.select("doc_id", "text", "n_lines", "n_dropped")
+
+
+#: OP9_SQL with the whole line as the template where constants are too few.
+OP9_SHORT_SQL = OP9_SQL.replace("THEN n || ' ' || lead END", "THEN n || ' ' || lead WHEN flat <> '' THEN '= ' || flat END")
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
@@ -134,6 +144,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_line_dedup": op9_line_dedup,
+    "op9_line_dedup_short_lines": op9_line_dedup_short_lines,
     "op10_html_extract": op10_html_extract,
 }
-ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op2_sharding": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op2_sharding": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op9_line_dedup_short_lines": OP9_SHORT_SQL}

@@ -415,3 +415,10 @@ def test_style_tree_removes_menus_of_many_items(spark):
     got = {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
     assert all(got[i] == f"Own {i}\nMore {i}" for i in range(12))
     assert all("item a" in got[100 + i] for i in range(9))
+
+
+def test_line_dedup_short_lines(spark):
+    rows = [(1, "Share this\n\n1 2 3 4 5 6 7\n你好世界\nalone"), (2, "Share  this\n\n1 2 3 4 5 6 8\n你好世界"), (3, "share this\n\n1 2 3 4 5 6 7"), (None, "Share this")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.line_dedup(df, short_lines=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\n1 2 3 4 5 6 8", 2), 3: ("share this\n", 1), None: ("Share this", 0)}
