@@ -99,7 +99,7 @@ def similarity(a: str, b: str):
 
 def running_headers_exact(lines: DataFrame, least: float = 0.8) -> DataFrame:
     """Like ``running_headers`` with the block-matching ratio; pairs whose lengths rule the bound out are never compared."""
-    first = accepted_lines(lines).where(F.col("line") < 5).withColumn("key", F.lower(F.trim(F.regexp_replace("s", r"\p{Nd}", "")))).where((F.length("key") >= 5) & (F.length("key") <= 200))
+    first = accepted_lines(lines).where(F.col("line") < 5).withColumn("key", F.lower(F.trim(F.regexp_replace("s", r"\p{Nd}", "")))).where(F.length("key") >= 5)
     heads = first.withColumn("rank", F.row_number().over(Window.partitionBy(*PAGE).orderBy("line"))).where("rank <= 2").select(*PAGE, "line", "key").join(page_order(lines), PAGE)
     a, b = F.length("key"), F.length("key_b")
     pairs = near_pairs(heads).where(2 * F.least(a, b) > least * (a + b)).withColumn("ratio", similarity("key", "key_b"))

@@ -56,6 +56,12 @@ def v4(spark, d):
     return shares.groupBy("vol", F.col("feature").alias("word")).agg(F.round(F.sum("share"), 6).alias("share"), F.sum("count").alias("n")).where("n > 3").drop("n")
 
 
+@query("v4_relative_frequencies_all", "WITH " + WORD_COUNTS + " SELECT vol, word, round(sum(share), 6) AS share FROM (SELECT vol, page, word, n / (0.0001::DOUBLE + sum(n) OVER (PARTITION BY vol, page)) AS share FROM word_counts) x GROUP BY vol, word".replace("SELECT vol, page, word, n / ", "SELECT vol, page, word, n AS n_, n / "))
+def v4_all(spark, d):
+    shares = V.relative_frequencies(features_of(spark, d)).join(features_of(spark, d), ["vol", "page", "feature"])
+    return shares.groupBy("vol", F.col("feature").alias("word")).agg(F.round(F.sum("share"), 6).alias("share"), F.sum("count").alias("n")).drop("n")
+
+
 V6_SQL = (
     "WITH " + TOTALS + r""", pg AS (SELECT vol, page, 0.0001::DOUBLE + coalesce(sum(CASE WHEN NOT starts_with(feature, '#') THEN count END), 0) AS W,
   sum(CASE WHEN NOT starts_with(feature, '#') THEN 1 ELSE 0 END) AS types, coalesce(max(CASE WHEN feature = '#textlines' THEN count END)::DOUBLE, 0.0001) AS T0, coalesce(max(CASE WHEN feature = '#lines' THEN count END)::DOUBLE, 0.0001) AS L,
@@ -98,6 +104,11 @@ def v10(spark, d):
     return L.word_counts(L.tokens(volume_lines(spark, d))).groupBy("vol", "word").agg(F.sum("n").alias("n")).where("n > 4")
 
 
+@query("v10_volume_vectors_all", "WITH " + WORD_COUNTS + " SELECT vol, word, CAST(sum(n) AS BIGINT) AS n FROM word_counts GROUP BY vol, word")
+def v10_all(spark, d):
+    return L.word_counts(L.tokens(volume_lines(spark, d))).groupBy("vol", "word").agg(F.sum("n").alias("n"))
+
+
 @query("v11_magnitudes", "SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding])), 5) AS magnitude FROM embeddings")
 def v11(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(V.magnitude(F.col("embedding")), 5).alias("magnitude"))

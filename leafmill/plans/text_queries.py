@@ -129,6 +129,12 @@ def l10(spark, d):
     return t.groupBy("token", "stripped").agg(F.count("*").alias("n")).where("n > 3")
 
 
+@query("l10_strip_punctuation_all", "WITH " + TOKENS + f", s AS (SELECT token, {STRIP} AS stripped FROM tokens) SELECT token, stripped, count(*) AS n FROM s WHERE token <> stripped GROUP BY ALL")
+def l10_all(spark, d):
+    t = tokens_of(spark, d).select("token", words.stripped(F.col("token")).alias("stripped")).where("token <> stripped")
+    return t.groupBy("token", "stripped").agg(F.count("*").alias("n"))
+
+
 CASE = r"""CASE WHEN regexp_matches(token, '\p{Ll}') AND NOT regexp_matches(token, '[\p{Lu}\p{Lt}]') THEN 'lower'
   WHEN regexp_matches(replace(token, '''', ''), '\p{Lu}') AND NOT regexp_matches(replace(token, '''', ''), '[\p{Ll}\p{Lt}]') THEN 'upper'
   WHEN regexp_matches(replace(token, '''', ''), '\p{Lu}') AND NOT regexp_matches(replace(token, '''', ''), '\p{L}\p{Lu}') AND NOT regexp_matches(replace(token, '''', ''), '(^|\P{L})\p{Ll}') THEN 'title'
@@ -166,6 +172,11 @@ def l17(spark, d):
     return tokens_of(spark, d).groupBy(words.without_possessive(F.col("token")).alias("word")).agg(F.count("*").alias("n")).where("n > 10")
 
 
+@query("l17_possessives_all", "WITH " + TOKENS + r" SELECT CASE WHEN length(token) > 2 THEN regexp_replace(token, '''[sS]$', '') ELSE token END AS word, count(*) AS n FROM tokens GROUP BY 1")
+def l17_all(spark, d):
+    return tokens_of(spark, d).groupBy(words.without_possessive(F.col("token")).alias("word")).agg(F.count("*").alias("n"))
+
+
 FORMS = LEXICON + PERSONAL + rf""", cased AS (SELECT vol, page, token, {CASE} AS kind FROM tokens WHERE regexp_matches(token, '[\p{{L}}\p{{Nd}}]')),
 c2 AS (SELECT vol, page, kind, CASE WHEN kind = 'heterogenous' THEN token ELSE lower(token) END AS token FROM cased),
 c3 AS (SELECT vol, page, kind, {STRIP} AS token FROM c2),
@@ -184,6 +195,12 @@ def l19(spark, d):
     return L.normal_form(t, *rules_of(t)).groupBy("vol", "form").agg(F.count("*").alias("n")).where("n > 2")
 
 
+@query("l14_l19_l21_forms_all", "WITH " + FORMS + " SELECT vol, form, count(*) AS n FROM forms GROUP BY ALL")
+def l19_all(spark, d):
+    t = tokens_of(spark, d)
+    return L.normal_form(t, *rules_of(t)).groupBy("vol", "form").agg(F.count("*").alias("n"))
+
+
 @query("l20_allcaps_words", "WITH " + TOKENS + f" SELECT vol, page, count(*) FILTER (WHERE {CASE} = 'upper') AS allcaps FROM tokens GROUP BY vol, page")
 def l20(spark, d):
     return tokens_of(spark, d).groupBy("vol", "page").agg(F.count_if(words.case_of(F.col("token")) == "upper").alias("allcaps"))
@@ -194,6 +211,11 @@ def l21(spark, d):
     return L.word_counts(tokens_of(spark, d)).where("n > 1")
 
 
+@query("l21_word_counts_all", "WITH " + WORD_COUNTS + " SELECT vol, page, word, n FROM word_counts")
+def l21_all(spark, d):
+    return L.word_counts(tokens_of(spark, d))
+
+
 @query(
     "l22_l26_match_rates",
     "WITH " + LEXICON + rf""", f AS (SELECT *, word || lead(word) OVER (PARTITION BY vol ORDER BY page, line, pos) AS fused FROM plain)
@@ -263,6 +285,11 @@ def l28(spark, d):
     return L.running_headers(headed_lines(spark, d))
 
 
+@query("l28_running_headers_all", "WITH " + HEADERS.replace("BETWEEN 5 AND 200", ">= 5") + " SELECT vol, page, line FROM headers")
+def l28_all(spark, d):
+    return L.running_headers(headed_lines(spark, d), longest=None)
+
+
 @query("l29_header_upvote", "WITH " + WORD_COUNTS.replace("l[i] AS text", HEADED) + ", " + HEADERS.split(", acc AS", 1)[1].join(["acc AS", ""]) + f""", hw AS (SELECT DISTINCT vol, page, lower({STRIP}) AS word FROM tokens WHERE (vol, page, line) IN (SELECT vol, page, line FROM headers)),
 more AS (SELECT * FROM hw WHERE word IN ({", ".join(f"'{w}'" for w in words.HEADER_WORDS)}))
 SELECT coalesce(c.vol, m.vol) AS vol, coalesce(c.page, m.page) AS page, sum(coalesce(c.n, 0) + CASE WHEN m.word IS NULL THEN 0 ELSE 2 END) AS n FROM word_counts c FULL JOIN more m ON c.vol = m.vol AND c.page = m.page AND c.word = m.word GROUP BY 1, 2""")
@@ -348,6 +375,23 @@ def l25(spark, d):
     return K.correct(t, known, *correction_rules(lexicon)).groupBy("vol", "form").agg(F.count("*").alias("n")).where("n > 3")
 
 
+@query(
+    "l18_l25_corrections_all",
+    "WITH " + RULES + r""", known AS (SELECT word FROM lexicon WHERE substr(md5(word), 1, 1) NOT IN ('3', '4', '5')), t AS (SELECT vol, word, regexp_replace(word, '\P{L}', '', 'g') AS letters FROM plain),
+f AS (SELECT vol, coalesce(c1.target, c2.target, CASE WHEN word IN (SELECT word FROM known) THEN word END, h.target, s.target, v.target, CASE WHEN letters IN (SELECT word FROM known) THEN letters END, word) AS form
+  FROM t LEFT JOIN corrections c1 ON c1.source = word LEFT JOIN corrections c2 ON c2.source = letters LEFT JOIN hyphens h ON h.source = word LEFT JOIN syncopes s ON s.source = word LEFT JOIN variants v ON v.source = word),
+e AS (SELECT vol, unnest(string_split(form, ' ')) AS form FROM f)
+SELECT vol, form, count(*) AS n FROM e GROUP BY vol, form""",
+)
+def l25_all(spark, d):
+    from leafmill.operators import correction as K
+
+    t = tokens_of(spark, d)
+    lexicon = L.lexicon_of(t, 20)
+    known = lexicon.where(~F.substring(F.md5("word"), 1, 1).isin("3", "4", "5"))
+    return K.correct(t, known, *correction_rules(lexicon)).groupBy("vol", "form").agg(F.count("*").alias("n"))
+
+
 @query(
     "l32_disambiguated",
     "WITH " + TOKENS + """, low AS (SELECT *, lower(token) AS word FROM tokens), t AS (SELECT *, lag(word) OVER w AS b, lead(word) OVER w AS a FROM low WINDOW w AS (PARTITION BY vol ORDER BY page, line, pos)),
@@ -395,6 +439,14 @@ def l38(spark, d):
     return w.groupBy("vol", "verse", "word").agg(F.count("*").alias("n")).where("n > 5")
 
 
+@query("l38_verse_word_counts_all", "WITH " + VERSE + ", w AS (SELECT vol, verse, unnest(string_split(lower(text), ' ')) AS word FROM verse) SELECT vol, verse, word, count(*) AS n FROM w GROUP BY ALL")
+def l38_all(spark, d):
+    from leafmill.operators import correction as K
+
+    w = K.verse_lines(volume_lines(spark, d)).select("vol", "verse", F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    return w.groupBy("vol", "verse", "word").agg(F.count("*").alias("n"))
+
+
 @query(
     "l39_hyphen_rejoin",
     "WITH " + LINES + r""", hy AS (SELECT vol, page, line * 2 AS line, CASE WHEN length(text) > 40 THEN substr(text, 1, 20) || '-' ELSE text END AS text FROM lines UNION ALL SELECT vol, page, line * 2 + 1, substr(text, 21) FROM lines WHERE length(text) > 40),

@@ -243,3 +243,14 @@ def test_leave_one_out_and_lowess(spark):
     assert len(out) == 60 and sum((r.score > 0.5) == (r.vol % 2 == 1) for r in out) > 55
     curve = spark.createDataFrame([("c", i, i / 100) for i in range(100)], "curve string, idx int, y double")
     assert all(abs(r.smoothed - r.idx / 100) < 0.01 for r in fits.smooth_curves(curve).collect())
+
+
+def test_running_headers_longer_than_200_characters(spark):
+    from leafmill.operators import correction, lines
+
+    title = "the history of the town " * 12
+    rows = [("v", p, 0, f"{title}part {p}") for p in range(6)] + [("v", p, 1, "abcdefghij"[p] * 20) for p in range(6)]
+    frame = spark.createDataFrame(rows, "vol string, page int, line int, text string")
+    want = [("v", p, 0) for p in range(6)]
+    assert sorted(tuple(r) for r in correction.running_headers_exact(frame).select("vol", "page", "line").collect()) == want
+    assert sorted(tuple(r) for r in lines.running_headers(frame, longest=None).select("vol", "page", "line").collect()) == want
