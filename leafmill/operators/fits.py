@@ -41,8 +41,8 @@ def _ridge_logistic(x: np.ndarray, y: np.ndarray, c: float, steps: int = 25) ->
 def leave_one_out(volumes: DataFrame, features: list[str], label: str, key: str = "vol", c: float = 0.1) -> DataFrame:
     """``key, score``: each volume scored by a model of all others.
 
-    The labelled volumes are few (some hundred, tagged by hand); each task fits the models of one block
-    of them over a copy of the table.
+    Each task fits the models of one block of volumes over a copy of the table, so the work grows with
+    the square of the volumes, and one task holds the whole table.
     """
     small = volumes.select(key, *features, label)
     copies = small.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("mine", F.pmod(F.xxhash64(key), F.lit(16)).cast("int") == F.col("block"))

@@ -254,3 +254,12 @@ def test_running_headers_longer_than_200_characters(spark):
     want = [("v", p, 0) for p in range(6)]
     assert sorted(tuple(r) for r in correction.running_headers_exact(frame).select("vol", "page", "line").collect()) == want
     assert sorted(tuple(r) for r in lines.running_headers(frame, longest=None).select("vol", "page", "line").collect()) == want
+
+
+def test_leave_one_out_scores_volumes_of_any_id(spark, monkeypatch):
+    from leafmill.plans import model_queries
+
+    rows = [(i, (i % 7) / 7, (i % 5) / 5, float(i % 3), 1.0, 0.9 + (i % 4) / 40) for i in range(380, 440)]
+    frame = spark.createDataFrame(rows, "vol long, gap double, maxprob double, flips double, runs double, accuracy double")
+    monkeypatch.setattr(model_queries, "accuracy_table", lambda spark, d: frame)
+    assert sorted(r.vol for r in model_queries.o8(spark, "").collect()) == list(range(380, 440))
