@@ -6,8 +6,9 @@ import math
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def undersample(rows: DataFrame, positive: str, key: str) -> DataFrame:
@@ -32,7 +33,9 @@ def undersample(rows: DataFrame, positive: str, key: str) -> DataFrame:
 
 def folds(pages: DataFrame, n: int = 5) -> DataFrame:
     """``vol, fold``: whole volumes, dealt in the order of their names."""
-    return pages.select("vol").distinct().withColumn("fold", (F.row_number().over(Window.orderBy("vol")) - 1) % n)
+    vols = pages.select("vol").distinct().orderBy("vol")
+    dealt = vols.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] % n))  # numbered by range partition and offset
+    return pages.sparkSession.createDataFrame(dealt, T.StructType([vols.schema["vol"], T.StructField("fold", T.IntegerType())]))
 
 
 def one_vs_all(train: DataFrame, genres: list[str], ridge: float = 0.002, iterations: int = 100) -> dict:

@@ -263,3 +263,11 @@ def test_leave_one_out_scores_volumes_of_any_id(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "vol long, gap double, maxprob double, flips double, runs double, accuracy double")
     monkeypatch.setattr(model_queries, "accuracy_table", lambda spark, d: frame)
     assert sorted(r.vol for r in model_queries.o8(spark, "").collect()) == list(range(380, 440))
+
+
+def test_folds_number_volumes_without_one_window(spark):
+    from leafmill.operators import models
+
+    found = models.folds(spark.createDataFrame([(f"v{i:02d}", p) for i in range(23) for p in range(2)], "vol string, page int").repartition(4))
+    assert "Window" not in found._jdf.queryExecution().toString()
+    assert sorted((r.vol, r.fold) for r in found.collect()) == [(f"v{i:02d}", i % 5) for i in range(23)]
