@@ -1,26 +1,32 @@
-"""Helpers that the training-data operators share: the shared folder and written tables."""
+"""Helpers that the training-data operators share: the shared folder, written tables and the state of Python workers."""
 
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_held: dict[str, Any] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests in local mode) a temporary folder of the driver is used.
+    Where it is unset, local mode (as in tests) takes a temporary folder; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="leafmill-")
@@ -52,3 +58,17 @@ def shipped_file(spark: SparkSession, path: str):
     with open(path, "rb") as f:
         content = f.read()
     return spark.sparkContext.broadcast((hashlib.sha256(content).hexdigest(), content))
+
+
+def worker_state(owner: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks, one thing at a time.
+
+    Asking for another owner or key drops what was held, so that nothing of one operator stays in the
+    memory of workers that go on with the next. Results never depend on it.
+    """
+    if _held.get("for") != (owner, key):
+        _held.clear()
+        gc.unfreeze()
+        gc.collect()
+        _held.update({"for": (owner, key), "state": make()})
+    return _held["state"]

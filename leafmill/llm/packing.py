@@ -23,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import new_path, shipped_file
+from leafmill.llm.common import new_path, shipped_file, worker_state
 
 CHUNKS, PARTS = 800_000, 1_000_000
-_state: dict = {}
 
 
 def parts_of(chunk: str) -> tuple[str, ...]:
@@ -50,7 +49,8 @@ def chunk_encoder(key: str, content: bytes):
     Texts in which a special token could stand, or separators that only Python takes for white space,
     go to the library whole.
     """
-    if _state.get("key") != key:
+
+    def make() -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,8 +58,9 @@ def chunk_encoder(key: str, content: bytes):
         vocabulary = tokenizer.get_vocab()
         ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        _state.update(key=key, tokenizer=tokenizer, ends_word=ends_word, chunks={}, parts={})
-    tokenizer, ends_word, chunks, parts = _state["tokenizer"], _state["ends_word"], _state["chunks"], _state["parts"]
+        return tokenizer, ends_word, {}, {}
+
+    tokenizer, ends_word, chunks, parts = worker_state("packing", key, make)
     apart = [*[t.content for t in tokenizer.get_added_tokens_decoder().values()], "\x1c", "\x1d", "\x1e", "\x1f"]
 
     def learn(new: list[str]) -> None:
