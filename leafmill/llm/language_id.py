@@ -7,27 +7,26 @@ scores by its log frequencies. An unseen word falls back to its n-grams of the l
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import written
+from leafmill.llm.common import worker_state, written
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 CACHED = 300_000
-_caches: dict = {}
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters."""
+    """Lower-cased runs of letters, with the marks on them."""
     return WORD.findall(text.lower())
 
 
@@ -38,21 +37,63 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Bounded: at most ``fit``'s ``max_words`` words and ``max_grams`` n-grams."""
+    """Words and n-grams, each as one string of lines, with a row of ``logs`` for each, words first."""
 
-    name: str
     langs: list[str]
-    words: dict[str, int] = field(default_factory=dict)
-    grams: dict[str, int] = field(default_factory=dict)
-    logs: np.ndarray = None  # a row for each word and n-gram, a column for each language
+    words: str = ""
+    grams: str = ""
+    logs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     max_n: int = 5
 
+    @property
+    def name(self) -> str:
+        return f"{len(self.logs)}-{float(self.logs.sum()):.6f}-{','.join(self.langs)}"
+
+
+class Scorer(dict):
+    """Rows of ``scores`` by word: those of known words, and those of unseen ones as they come."""
+
+    def __init__(self, model: Model):
+        words, grams = (x.split("\n") if x else [] for x in (model.words, model.grams))
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.model, self.words = model, len(words)
+        self.grams = dict(zip(grams, range(len(words), len(words) + len(grams)), strict=True))
+        self.scores = np.concatenate([model.logs[: len(words)], np.zeros((1024, len(model.langs)), np.float32)])
+        self.unseen: list[str] = []
+
     def backoff(self, word: str) -> np.ndarray:
-        for n in range(self.max_n, 0, -1):
+        for n in range(self.model.max_n, 0, -1):
             known = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
             if known:
-                return self.logs[known].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return self.model.logs[known].mean(axis=0)
+        return np.zeros(len(self.model.langs), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        row = self.words + len(self.unseen)
+        if row == len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros((len(self.unseen), len(self.model.langs)), np.float32)])
+        self.scores[row] = self.backoff(word)
+        self[word] = row
+        self.unseen.append(word)
+        return row
+
+    def trim(self, most: int) -> None:
+        """Forgets unseen words once there are more than ``most``."""
+        if len(self.unseen) > most:
+            for w in self.unseen:
+                del self[w]
+            self.unseen.clear()
+            self.scores = self.scores[: self.words + 1024].copy()
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        found = Counter(words_of(text or ""))
+        if not found or not self.model.langs:
+            return UNKNOWN, 0.0
+        rows = [self[w] for w in found]
+        total = np.fromiter(found.values(), np.float64, len(found)) @ self.scores[rows]
+        p = np.exp(total - total.max())
+        best = int(total.argmax())
+        return self.model.langs[best], float(p[best] / p.sum())
 
 
 def held_out(id_: Column) -> Column:
@@ -60,116 +101,81 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_docs: int = 20_000, max_words: int = 150_000, max_grams: int = 150_000, max_n: int = 5) -> Model:
-    """Fits a model on about ``sample_docs`` labelled rows of ``docs``, chosen by a hash of ``key_col``.
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_docs: int = 20_000, min_count: int = 2, max_n: int = 5) -> Model:
+    """Fits a model on about ``sample_docs`` labelled rows of ``docs``, chosen by a hash of key and text.
 
-    The bound is on the model's training rows only; fewer labelled rows are all used. Words and
-    n-grams are counted in Spark; the most frequent ``max_words`` and ``max_grams`` come to the driver.
-    Rows without text or language are left out. Without any the model knows no language.
+    The bound is on the training rows only; fewer labelled rows are all used, whole texts each. Words
+    and n-grams are counted in Spark; all that occur at least ``min_count`` times come to the driver, so
+    the model's size is bounded by that of the sample. Rows without text or language are left out;
+    repeated rows count each. Without any row, or in an empty table, the model knows no language.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = labelled.select(lang_col).count()
-    share = F.pmod(F.xxhash64(F.col(key_col)), F.lit(1 << 30))
+    share = F.pmod(F.xxhash64(F.col(key_col), F.col(text_col)), F.lit(1 << 30))
     sample = labelled.where(share < int((1 << 30) * min(1.0, sample_docs / max(n, 1)))) if n > sample_docs else labelled
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: Counter = Counter()
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w, c in Counter(words_of(text)).items():
-                    if w.isalpha():
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                found: Counter = Counter()
+                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for w, c in Counter(words_of(text)).items():
                         found[lang, w] += c
-            grams: Counter = Counter()
-            for (lang, w), c in found.items():
-                for k in range(1, max_n + 1):
-                    for g in grams_of(w, k):
-                        grams[lang, g] += c
-            for kind, counts in ((True, found), (False, grams)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(counts), pa.bool_()), pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())],
-                    names=["is_word", "lang", "part", "n"],
-                )
+                grams: Counter = Counter()
+                for (lang, w), c in found.items():
+                    for k in range(1, max_n + 1):
+                        for g in grams_of(w, k):
+                            grams[lang, g] += c
+                for kind, counts in ((True, found), (False, grams)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([kind] * len(counts), pa.bool_()), pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())],
+                        names=["is_word", "lang", "part", "n"],
+                    )
 
     counts = sample.select(lang_col, text_col).mapInArrow(count, "is_word boolean, lang string, part string, n long").groupBy("is_word", "part", "lang").agg(F.sum("n").alias("n"))
     counts = written(counts, "language-counts")
-    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
-    model = Model("", langs, max_n=max_n)
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())  # labels of the sample
     if not langs:
-        return model
-    by_part = counts.groupBy("is_word", "part").agg(F.sum("n").alias("total"), *[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)])
-    kept = []
-    for is_word, most in ((True, max_words), (False, max_grams)):
-        own = by_part.where(F.col("is_word") == is_word)
-        sizes = own.groupBy(F.least("total", F.lit(100_000)).alias("total")).count().collect()  # a histogram of at most 100,000 rows
-        least, room = 100_001, most
-        for total, parts in sorted(((r["total"], r["count"]) for r in sizes), reverse=True):
-            room -= parts
-            if room < 0:
-                break
-            least = total
-        kept.append(own.where(F.col("total") >= least).orderBy("part").toArrow())
-    rows = pa.concat_tables(kept)
-    table = np.stack([rows[f"n{i}"].to_numpy() for i in range(len(langs))], axis=1).astype(np.float32).reshape(-1, len(langs))
-    kinds = np.zeros(len(rows), np.int64)  # 0: words, else the n-gram's length
-    for i, (is_word, part) in enumerate(zip(rows["is_word"].to_pylist(), rows["part"].to_pylist(), strict=True)):
-        (model.words if is_word else model.grams)[part] = i
-        kinds[i] = 0 if is_word else len(part)
+        return Model([], max_n=max_n)
+    by_part = counts.groupBy("is_word", "part").agg(F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns"), F.sum("n").alias("total"))
+    rows = by_part.where(F.col("total") >= min_count).drop("total").toArrow().sort_by([("is_word", "descending"), ("part", "ascending")])
+    is_word, parts = np.array(rows["is_word"].to_pylist(), bool), rows["part"].to_pylist()
+    number = {x: i for i, x in enumerate(langs)}
+    table = np.full((len(parts), len(langs)), 0.5, np.float32)
+    of = np.repeat(np.arange(len(parts)), rows["langs"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
+    table[of, [number[x] for x in rows["langs"].combine_chunks().flatten().to_pylist()]] += rows["ns"].combine_chunks().flatten().to_numpy().astype(np.float32)
+    kinds = np.where(is_word, 0, np.array([len(p) for p in parts], np.int64))  # 0: words, else the n-gram's length
     for k in range(max_n + 1):  # log frequencies among words, and among n-grams of one length
-        rows_k = kinds == k
-        if rows_k.any():
-            part = table[rows_k] + 0.5
-            table[rows_k] = np.log(part / part.sum(axis=0))
-    model.logs = table
-    model.name = f"{len(rows)}-{float(table.sum()):.6f}-{','.join(langs)}"
-    return model
+        own = kinds == k
+        if own.any():
+            table[own] = np.log(table[own] / table[own].sum(axis=0))
+    words = int(is_word.sum())
+    return Model(langs, "\n".join(parts[:words]), "\n".join(parts[words:]), table, max_n)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` (string) and ``score`` (double from 0 to 1) added.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``docs`` with ``pred_col`` (string) and ``score_col`` (double from 0 to 1) added.
 
     The score is the posterior of the predicted language under equal priors. Texts that are null or
     have no letters get ``und`` and 0; so do all texts where the model knows no language. Ties go to
-    the language that sorts first. Columns of ``docs`` named like the added ones are replaced.
+    the language that sorts first. Every row is predicted for itself, repeated ones too, from its whole
+    text, however long. Columns of ``docs`` named like the added ones are replaced; pass other names to
+    keep them. An empty table gives an empty result.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(pred_col, score_col)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    name = model.name
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     at = docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        if m.name not in _caches:
-            _caches.clear()
-            _caches[m.name] = {}
-        unseen = _caches[m.name]  # word -> its backoff scores, None for words that are no letters
-
-        def of(text: str | None) -> tuple[str, float]:
-            total, letters = np.zeros(len(m.langs)), False
-            rows, times = [], []
-            for w, c in Counter(words_of(text or "")).items():
-                i = m.words.get(w)
-                if i is not None:
-                    rows.append(i)
-                    times.append(c)
-                    continue
-                if w not in unseen:
-                    if len(unseen) > CACHED:
-                        unseen.clear()
-                    unseen[w] = m.backoff(w) if w.isalpha() else None
-                v = unseen[w]
-                if v is not None:
-                    letters = True
-                    total += c * v
-            if rows:
-                total += np.asarray(times, np.float64) @ m.logs[rows]
-            if not (letters or rows) or not m.langs:
-                return UNKNOWN, 0.0
-            p = np.exp(total - total.max())
-            best = int(total.argmax())
-            return m.langs[best], float(p[best] / p.sum())
-
-        for batch in batches:
-            found = [of(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=schema.names)
+        scorer = worker_state("language_id", name, lambda: Scorer(shipped.value))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
+                scorer.trim(CACHED)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=schema.names)
 
     return docs.mapInArrow(predict, schema)
