@@ -1,10 +1,15 @@
 """Line dedup by a log-template tree. DataFrame functions only.
 
-A line is parsed at fixed depth: the first level of the tree is its token count, the next levels are
-its leading tokens, in which a token that holds a digit is a variable field (``<*>``). What follows
-the leading tokens is generalised to variable fields. So a path of the tree is a template: token count
-and leading constants. A template that recurs across documents is dropped from all of them but the
+A line goes down a tree of fixed depth: the first level is its token count, the next levels are its
+leading tokens, in which a token that holds a digit is a variable field (``<*>``). The lines that meet
+in a leaf are compared position by position over their whole length: a token that no other line of the
+leaf has at its position is a variable field too. A line whose constant tokens are at least
+``min_constants`` and ``similarity`` percent of all is generalised so; any other line is its own
+template, all tokens kept. A template that recurs across documents is dropped from all of them but the
 one with the smallest id, so that each passage stays in the corpus once.
+
+Lines of a leaf are never paired: positions are counted and the counts joined back. Only leaves with two
+different lines are looked at, all others need no more than 128-bit digests of their lines.
 """
 
 from __future__ import annotations
@@ -24,46 +29,72 @@ def flattened(text: Column) -> Column:
     return F.when(odd, F.regexp_replace(text, BLANKS, " ")).otherwise(text)
 
 
-def template_of(line: Column, depth: int, min_constants: int, short_lines: bool = False) -> Column:
-    """The template of a flattened line as a string; where fewer than ``min_constants`` leading tokens are constant, the line itself or, without ``short_lines``, null."""
-    flat = F.trim(line)
-    n = F.octet_length(flat) - F.octet_length(F.replace(flat, F.lit(" "), F.lit(""))) + 1
-    lead = F.substring_index(flat, " ", depth)
-    lead = F.when(lead.rlike("[0-9]"), F.regexp_replace(lead, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(lead)
-    fields = (F.octet_length(lead) - F.octet_length(F.replace(lead, F.lit(FIELD), F.lit("")))) / len(FIELD)
-    found = F.when((flat != "") & (F.least(n, F.lit(depth)) - fields >= min_constants), F.concat_ws(" ", n.cast("string"), lead))
-    return found.when(flat != "", F.concat(F.lit("= "), flat)) if short_lines else found  # a template begins with a number
+def _masked(flat: Column) -> Column:
+    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(flat)
+
+
+def _size(flat: Column) -> Column:
+    return F.octet_length(flat) - F.octet_length(F.replace(flat, F.lit(" "), F.lit(""))) + 1
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 12, min_constants: int = 5, min_docs: int = 2, short_lines: bool = False) -> DataFrame:
-    """``docs`` with recurring lines removed from ``text_col``, and ``n_lines``, ``n_dropped`` (long) added.
+def _digest(template: Column) -> Column:
+    return F.unhex(F.md5(template))
+
+
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_constants: int = 5, similarity: int = 80, min_docs: int = 2, lines_col: str = "n_lines", dropped_col: str = "n_dropped"
+) -> DataFrame:
+    """``docs`` with recurring lines removed from ``text_col``, and ``lines_col``, ``dropped_col`` (long) added.
 
     Lines are what newlines separate. A template recurs when at least ``min_docs`` distinct ids have
-    it. Lines with fewer than ``min_constants`` constant leading tokens have no template and always
-    stay, blank ones too; with ``short_lines`` such a line, all its tokens kept, is its own template, and
-    only blank ones always stay. Texts of rows with a null id stay as they are and count for no template;
-    rows that repeat an id count once. A null text stays null with 0 lines. An empty table gives an
-    empty result. Columns of ``docs`` named like the added ones are replaced.
+    it. Blank lines have no template and always stay; short lines have one like any other. Texts of
+    rows with a null id stay as they are and count for no template; rows that repeat an id count once,
+    and each of them keeps or loses its lines. A line that one text repeats stays or goes everywhere in
+    it. A null text stays null with 0 lines. Texts of any length are taken whole, in time linear in
+    their lines. An empty table gives an empty result. Columns of ``docs`` named like the added ones
+    are replaced; pass other names to keep them.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.drop(lines_col, dropped_col)
     doc, text = F.col(id_col).alias("_doc"), F.col(text_col)
     ided = docs.where(F.col(id_col).isNotNull() & text.isNotNull())
-    lines = ided.select(doc, F.xxhash64(text).alias("_row"), F.posexplode(F.split(flattened(text), "\n")).alias("_at", "_line"))
-    postings = written(lines.select("_doc", "_row", "_at", template_of(F.col("_line"), depth, min_constants, short_lines).alias("_template")).where(F.col("_template").isNotNull()), "line-postings")
+    lines = ided.select(doc, F.xxhash64(text).alias("_row"), F.posexplode(F.split(flattened(text), "\n")).alias("_at", "_line")).select("_doc", "_row", "_at", F.trim("_line").alias("_flat")).where(F.col("_flat") != "")
+    parsed = lines.select("_doc", "_row", "_at", "_flat", _masked(F.col("_flat")).alias("_masked"), _size(F.col("_flat")).alias("_n"))
+    fields = F.when(F.col("_masked").contains(FIELD), F.size(F.filter(F.split("_masked", " "), lambda t: t == FIELD))).otherwise(0)
+    enough = lambda c: (c >= min_constants) & (100 * c >= similarity * F.col("_n"))
+    leaf = F.concat_ws(" ", F.col("_n").cast("string"), F.substring_index("_masked", " ", depth))
+    parsed = parsed.select("_doc", "_row", "_at", "_flat", "_masked", "_n", F.when(enough(F.col("_n") - fields), leaf).alias("_leaf"))
+    line = F.when(F.col("_leaf").isNotNull(), F.col("_masked")).otherwise(F.concat(F.lit("\n"), F.col("_flat")))
+    postings = written(parsed.select("_doc", "_row", "_at", F.xxhash64("_leaf").alias("_branch"), F.col("_leaf").isNotNull().alias("_in_leaf"), F.xxhash64("_masked").alias("_hash"), _digest(line).alias("_own")), "line-postings")
+
+    # Leaves in which different lines meet, and their lines, once each.
+    shared = postings.where("_in_leaf").groupBy("_branch").agg(F.min("_hash").alias("_a"), F.max("_hash").alias("_b")).where(F.col("_a") != F.col("_b")).select("_branch")
+    shared = written(shared, "line-leaves")
+    met = parsed.where(F.col("_leaf").isNotNull()).withColumn("_branch", F.xxhash64("_leaf")).join(shared, "_branch", "left_semi")
+    met = written(met.groupBy("_leaf", "_masked", "_n").agg(F.lit(1).alias("_one")), "line-variants")
+    places = met.select(_digest(F.col("_masked")).alias("_own"), "_leaf", "_n", F.posexplode(F.split("_masked", " ")).alias("_pos", "_token"))
+    constant = places.where(F.col("_token") != FIELD).groupBy("_leaf", "_pos", "_token").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c").withColumn("_constant", F.lit(True))
+    judged = places.join(constant, ["_leaf", "_pos", "_token"], "left")
+    tokens = F.sort_array(F.collect_list(F.struct("_pos", F.when(F.col("_constant"), F.col("_token")).otherwise(FIELD).alias("_token"))))  # the tokens of one line
+    general = judged.groupBy("_own", "_n").agg(tokens.alias("_tokens"), F.count("_constant").alias("_constants"))
+    general = written(general.where(enough(F.col("_constants"))).select("_own", _digest(F.array_join("_tokens._token", " ")).alias("_general")), "line-general")
+    placed = postings.join(general, "_own", "left").select("_doc", "_row", "_at", F.coalesce("_general", "_own").alias("_template"))
 
-    by_doc = postings.groupBy("_template", "_doc").agg(F.lit(1).alias("_one"))
+    by_doc = placed.groupBy("_template", "_doc").agg(F.lit(1).alias("_one"))
     recurring = by_doc.groupBy("_template").agg(F.count("*").alias("_n"), F.min("_doc").alias("_home")).where(F.col("_n") >= min_docs)
     recurring = written(recurring.select("_template", "_home"), "line-templates")
 
     # Both sides are read from files, so the join may split a template that very many documents share.
-    hits = postings.join(recurring, "_template").where(F.col("_doc") != F.col("_home"))
-    dropped = hits.groupBy("_doc", "_row").agg(F.collect_set("_at").alias("_dropped"))  # at most the lines of one text
+    hits = placed.join(recurring, "_template").where(F.col("_doc") != F.col("_home"))
+    dropped = hits.groupBy("_doc", "_row").agg(F.sort_array(F.collect_set("_at")).alias("_dropped"))  # at most the lines of one text
+    before = F.concat(F.array(F.lit(-1)), F.slice("_dropped", 1, F.size("_dropped") - 1))
+    marks = F.array_join(F.zip_with("_dropped", before, lambda p, q: F.concat(F.repeat(F.lit("0"), p - q - 1), F.lit("1"))), "")  # a 1 for each dropped line
+    dropped = dropped.select("_doc", "_row", F.size("_dropped").alias("_n"), marks.cast("binary").alias("_marks"))
 
     kept = docs.join(dropped, (F.col(id_col) == F.col("_doc")) & (F.xxhash64(text) == F.col("_row")), "left")
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_dropped", i)), "\n")
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: F.substring(F.col("_marks"), i + 1, 1) != F.lit(b"1")), "\n")
     n_lines = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     return kept.select(
-        *[F.when(F.col("_dropped").isNull(), text).otherwise(rest).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long").alias("n_dropped"),
+        *[F.when(F.col("_marks").isNull(), text).otherwise(rest).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        n_lines.cast("long").alias(lines_col),
+        F.coalesce("_n", F.lit(0)).cast("long").alias(dropped_col),
     )
