@@ -1,24 +1,31 @@
 """Exact dedup through an extendible-hash index on shared files. DataFrame functions only.
 
-Keys are 64-bit hashes of the normalised text. A directory of ``2**depth`` cells maps the leading bits
-of a key to a bucket; it doubles, and overfull buckets split, until every bucket holds at most
-``bucket_capacity`` keys or ``max_depth`` is reached. The index files lie in the shared folder, one
-folder a bucket. Entries of one key are chained by content: they come from a grouping by the whole
-text, so texts are told apart by their bytes and never by the hash alone.
-
-Hot groups: equal texts are pre-aggregated on the map side, so a group of any size is one row for each
-map task; postings are then joined to the written index by a sort-merge join whose large partitions
-adaptive execution may split.
+Keys are 64-bit hashes of the normalised text. A bucket is named by a number of leading bits, its local
+depth. The directory starts from as many buckets as the keys need at least and doubles while a bucket
+holds more than ``bucket_capacity`` keys, which splits that bucket only. All of this runs on the table of
+keys; the driver holds no more than the list of local depths.
+
+Every row is routed by the directory to its bucket, and the owners of the buckets decide: inside a
+bucket, rows of one key are compared by the bytes of their texts, and each distinct text becomes an
+entry of the key's chain. The entries are written as index files sorted by bucket and key, so that one
+file is one key range. A row is looked up by bucket and key and takes the entry of its chain whose
+256-bit digest of the text is its own.
+
+Hot groups: equal texts are combined on the map side, so a group of any size reaches its owner as one
+row for each map task; the look-up joins files, so adaptive execution may split a hot key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import new_path, written
 
 WHITE = r"[\x20\x09-\x0D]+"
+BROADCAST_BUCKETS = 1_000_000  # of 20 bytes each
 
 
 def normalised(text: Column) -> Column:
@@ -26,62 +33,67 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
 
 
-def split_directory(counts: dict[int, int], capacity: int, max_depth: int) -> list[tuple[int, int, int]]:
-    """``(cell, bucket, local_depth)`` for each of the ``2**max_depth`` cells that hold keys.
+def prefix(key: Column, depth: int) -> Column:
+    """The leading ``depth`` bits of a key."""
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def directory(keys: DataFrame, capacity: int) -> DataFrame:
+    """``depth, bits, keys``: the buckets of the distinct ``key`` values, each with at most ``capacity`` of them.
 
-    Starts from one bucket and doubles the directory while a bucket holds more than ``capacity`` keys.
-    A bucket is named by its leading bits and its depth. Works on at most ``2**max_depth`` counts.
+    Buckets that hold no key have no row. No keys: no buckets.
     """
-    done, open_ = [], [(0, 0, sorted(counts))]
-    while open_:
-        bits, depth, cells = open_.pop()
-        if depth == max_depth or sum(counts[c] for c in cells) <= capacity:
-            done += [(c, (1 << depth) | bits, depth) for c in cells]
-            continue
-        shift = max_depth - depth - 1
-        for side in (0, 1):
-            half = [c for c in cells if (c >> shift) & 1 == side]
-            if half:
-                open_.append((bits << 1 | side, depth + 1, half))
-    return sorted(done)
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 65536, max_depth: int = 12) -> DataFrame:
+    depth, rows = max(0, (keys.count() // capacity).bit_length() - 1), []
+    open_ = keys
+    while True:
+        counts = written(open_.groupBy(prefix(F.col("key"), depth).alias("bits")).agg(F.count("*").alias("keys")), "dedup-buckets")
+        fits = F.col("keys") <= capacity if depth < 64 else F.lit(True)
+        rows.append(counts.where(fits).select(F.lit(depth).alias("depth"), "bits", "keys"))
+        full = counts.where(~fits).select("bits")
+        if full.isEmpty():
+            return written(reduce(DataFrame.unionByName, rows), "dedup-directory")
+        open_ = open_.join(full.withColumnRenamed("bits", "bits_"), prefix(F.col("key"), depth) == F.col("bits_"), "left_semi")
+        depth += 1
+
+
+def routed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` with ``bucket`` ("depth:bits") of their ``key`` added."""
+    small = buckets.count() <= BROADCAST_BUCKETS
+    depths = sorted(r.depth for r in buckets.select("depth").distinct().collect())  # at most 65
+    for d in depths:
+        own = buckets.where(F.col("depth") == d).select(F.col("bits").alias(f"bits_{d}"), F.lit(True).alias(f"is_{d}"))
+        rows = rows.join(F.broadcast(own) if small else own, prefix(F.col("key"), d) == F.col(f"bits_{d}"), "left")
+    named = F.coalesce(*[F.when(F.col(f"is_{d}"), F.concat_ws(":", F.lit(str(d)), F.col(f"bits_{d}").cast("string"))) for d in depths], F.lit(None).cast("string"))
+    return rows.withColumn("bucket", named).drop(*[f"{c}_{d}" for d in depths for c in ("bits", "is")])
+
+
+def build_index(docs: DataFrame, buckets: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The entries ``bucket, key, sha, keep_id, group_size``, read from index files sorted by bucket and key."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("key", F.xxhash64("norm"))
+    chains = routed(rows, buckets).groupBy("bucket", "key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    entries = written(chains.select("bucket", "key", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "dedup-entries")
+    path = new_path(docs.sparkSession, "dedup-index")
+    entries.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key").write.parquet(path)
+    return docs.sparkSession.read.schema(entries.schema).parquet(path)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 1 << 20) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256, bucket``.
 
     Rows are equal when their normalised texts are identical. ``keep_id`` is the smallest id of the
-    group. Null texts count as empty and so form one group with empty ones. Rows that repeat an id
-    with an equal text share its decision; a null id is never the one that stays unless the whole
-    group has null ids. Other columns of ``docs`` are ignored. An empty table gives an empty result.
+    group. Null texts count as empty and so form one group with empty ones. Texts of any length are
+    compared whole. Rows that repeat an id with an equal text share its decision; a null id is never
+    the one that stays unless the whole group has null ids. Other columns of ``docs`` are ignored,
+    whatever their names. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    keyed = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("key", F.xxhash64("norm"))
-
-    # Chains: one entry for each distinct byte sequence of a key.
-    chains = keyed.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = (
-        chains.select("key", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
-        .groupBy("key", "sha")
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("texts"))
-        .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share both hashes")).cast("long")))
-        .drop("texts")
-    )
-    staged = written(entries, "dedup-entries").withColumn("cell", F.shiftrightunsigned("key", 64 - max_depth).cast("int"))
-
-    counts = {r.cell: r.n for r in staged.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most 2**max_depth rows
-    directory = spark.createDataFrame(split_directory(counts, bucket_capacity, max_depth), "cell int, bucket int, local_depth int")
-    path = new_path(spark, "dedup-index")
-    (
-        staged.join(F.broadcast(directory), "cell")
-        .select("key", "sha", "keep_id", "group_size", "bucket")
-        .repartitionByRange("bucket", "key")
-        .sortWithinPartitions("bucket", "key")
-        .write.partitionBy("bucket")
-        .parquet(path)
-    )
-    index = spark.read.schema("key long, sha binary, keep_id " + docs.schema[id_col].dataType.simpleString() + ", group_size long, bucket int").parquet(path)
+    keyed = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    staged = written(keyed.select("doc_id", F.xxhash64("norm").alias("key"), F.unhex(F.sha2("norm", 256)).alias("sha")), "dedup-rows")
+    buckets = directory(written(staged.select("key").distinct(), "dedup-keys"), bucket_capacity)
+    return look_up(routed(staged, buckets), build_index(docs, buckets, id_col, text_col))
+
 
-    postings = keyed.select("doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("sha"))
-    return postings.join(index, ["key", "sha"]).select(
+def look_up(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows ``doc_id, bucket, key, sha`` with the decision of their entry in the chain of ``bucket`` and ``key``."""
+    return rows.join(index, ["bucket", "key", "sha"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket"
     )
