@@ -27,11 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import shipped_file
-from leafmill.llm.token_counts import pre_tokens
+from leafmill.llm.common import shipped_file, worker_state
+from leafmill.llm.token_counts import chunks_of
 
 STATES, CACHED = 300_000, 400_000
-_state: dict = {}
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -179,15 +178,15 @@ class StreamDecoder:
 
 
 def _encoder(key: str, content: bytes) -> dict:
-    if _state.get("encoder") != key:
-        _state.update(encoder=key, transducer=Transducer(read_ranks(content)), cache={}, pieces={})
-    return _state
+    def make() -> dict:
+        ranks = read_ranks(content)
+        return {"transducer": Transducer(ranks), "cache": {}, "pieces": {}, "tokens": {i: t for t, i in ranks.items()}}
+
+    return worker_state("byte_bpe", key, make)
 
 
 def _tokens(key: str, content: bytes) -> dict[int, bytes]:
-    if _state.get("decoder") != key:
-        _state.update(decoder=key, tokens={i: t for t, i in read_ranks(content).items()})
-    return _state["tokens"]
+    return worker_state("byte_bpe.decode", key, lambda: {i: t for t, i in read_ranks(content).items()})
 
 
 def decoded_text(raw: bytes, tokens: dict[int, bytes], step: int) -> str:
@@ -215,7 +214,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
         machine = _encoder(*file.value)
         transducer, cache, pieces = machine["transducer"], machine["cache"], machine["pieces"]  # bytes of ids by chunk, and by pre-token
         find = regex.compile(pattern).findall
-        tokens = _tokens(*file.value) if with_decoded else {}
+        tokens = machine["tokens"]
 
         def of_piece(piece: str) -> bytes:
             ids = pieces.get(piece)
@@ -229,7 +228,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
             return b"".join(map(of_piece, find(chunk)))
 
         def of(text: str) -> bytes:
-            chunks = pre_tokens(text, find)
+            chunks = chunks_of(text, find)
             for c in chunks:
                 if c not in cache:
                     if len(c) > 200:  # long chunks hardly recur; encode them each time
