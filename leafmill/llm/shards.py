@@ -1,24 +1,32 @@
 """Sharded storage with size-tiered compaction and an atomically committed, versioned manifest.
 
 A store is a folder in shared storage: ``data/`` holds immutable Parquet shards, ``manifest/`` one
-small JSON file for each version. An arrival is appended as small shards. When a tier (shards within
-a factor of ``fanout`` in size) holds at least ``fanout`` of them, they are merged by a Spark job into
-files of about ``target_bytes``, and the next version lists the new shards instead of the merged ones.
-A version is committed by creating its manifest file without overwriting, so of two writers one fails
-and starts again from the new version; readers hold on to the version they have read. Shards that no
-kept version lists are removed by ``vacuum``.
+small JSON file for each version and the segments that versions name. An arrival is appended as small
+shards. When a tier (shards within a factor of ``fanout`` in size) holds at least ``fanout`` of them,
+they are merged by a Spark job into files of about ``target_bytes``, and the next version lists the new
+shards instead of the merged ones. Shards of target size are final; ``SEGMENT`` of them at a time move
+into an immutable segment file, so that a version lists few shards itself however large the store is.
+
+A version is committed by creating its manifest file without overwriting. Of two writers one fails,
+reads the new version and commits its change to that; a compaction whose shards another one has merged
+gives up and deletes what it wrote. Readers hold on to the version they have read. ``vacuum`` removes
+old versions, and shards and segments that no kept version lists, those of failed writers too.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SEGMENT = 1000
+
 
 class CommitConflict(Exception):
     """Another writer has committed this version."""
@@ -31,85 +39,137 @@ class Shard:
     rows: int
 
 
+@dataclass(frozen=True)
+class Version:
+    number: int
+    segments: tuple[str, ...] = ()  # files of final shards
+    shards: tuple[Shard, ...] = ()  # all others
+
+
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, schema: str | None = None, target_bytes: int = 128 << 20, fanout: int = 4):
-        self.spark, self.root, self.schema, self.target_bytes, self.fanout = spark, root.rstrip("/"), schema, target_bytes, fanout
+    def __init__(self, spark: SparkSession, root: str, schema: str | None = None, target_bytes: int = 128 << 20, fanout: int = 4, retries: int = 20):
+        self.spark, self.root, self.schema, self.target_bytes, self.fanout, self.retries = spark, root.rstrip("/"), schema, target_bytes, fanout, retries
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     # Manifest
 
-    def versions(self) -> list[int]:
-        folder = self._path(f"{self.root}/manifest")
-        if not self._fs.exists(folder):
+    def _names(self, folder: str) -> list[tuple[str, int, float]]:
+        """Name, size and age in seconds of what a folder holds."""
+        path = self._path(f"{self.root}/{folder}")
+        if not self._fs.exists(path):
             return []
-        names = [str(x.getPath().getName()) for x in self._fs.listStatus(folder)]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
-
-    def manifest(self, version: int | None = None) -> tuple[int, list[Shard]]:
-        """A version (by default the last; 0 if there is none) and its shards."""
-        version = version if version is not None else max(self.versions(), default=0)
-        if version == 0:
-            return 0, []
-        stream = self._fs.open(self._path(self._manifest_file(version)))
+        return [(str(x.getPath().getName()), x.getLen(), time.time() - x.getModificationTime() / 1000) for x in self._fs.listStatus(path)]
+
+    def _text(self, file: str) -> str:
+        stream = self._fs.open(self._path(f"{self.root}/{file}"))
         try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return version, [Shard(**x) for x in json.loads(text)["shards"]]
-
-    def _manifest_file(self, version: int) -> str:
-        return f"{self.root}/manifest/v{version:010d}.json"
 
-    def commit(self, version: int, shards: list[Shard]) -> int:
-        """Publishes ``version``: written under another name, then renamed, which fails if it is there."""
-        final = self._path(self._manifest_file(version))
-        draft = self._path(f"{self.root}/manifest/draft-{uuid.uuid4().hex}")
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in shards]}).encode()))
+    def _create(self, file: str, content: dict) -> None:
+        stream = self._fs.create(self._path(f"{self.root}/{file}"), False)
+        stream.write(bytearray(json.dumps(content).encode()))
         stream.close()
+
+    def versions(self) -> list[int]:
+        return sorted(int(n[1:-5]) for n, _, _ in self._names("manifest") if n.startswith("v") and n.endswith(".json"))
+
+    def manifest(self, number: int | None = None) -> Version:
+        """A version, by default the last; number 0 and nothing if there is none."""
+        number = number if number is not None else max(self.versions(), default=0)
+        if number == 0:
+            return Version(0)
+        found = json.loads(self._text(self._manifest_file(number)))
+        return Version(number, tuple(found["segments"]), tuple(Shard(**x) for x in found["shards"]))
+
+    def shards(self, number: int | None = None) -> list[Shard]:
+        """All shards of a version, those of its segments too."""
+        version = self.manifest(number)
+        return [Shard(**x) for s in version.segments for x in json.loads(self._text(f"manifest/{s}"))["shards"]] + list(version.shards)
+
+    def _manifest_file(self, number: int) -> str:
+        return f"manifest/v{number:010d}.json"
+
+    def commit(self, version: Version) -> int:
+        """Publishes a version: written under another name, then renamed, which fails if it is there."""
+        draft = f"manifest/draft-{uuid.uuid4().hex}"
+        self._create(draft, {"version": version.number, "segments": list(version.segments), "shards": [asdict(s) for s in version.shards]})
         jvm = self.spark.sparkContext._jvm
-        none = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+        kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        options[0] = kinds.NONE
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-        options[0] = none
         try:
-            context.rename(draft, final, options)
+            context.rename(self._path(f"{self.root}/{draft}"), self._path(f"{self.root}/{self._manifest_file(version.number)}"), options)
         except Exception as e:
-            self._fs.delete(draft, False)
+            self._fs.delete(self._path(f"{self.root}/{draft}"), False)
             if "AlreadyExists" in str(e):
-                raise CommitConflict(version) from e
+                raise CommitConflict(version.number) from e
             raise
-        return version
+        return version.number
+
+    def _update(self, change: Callable[[tuple[Shard, ...]], list[Shard] | None]) -> int | None:
+        """Commits ``change`` of the last version's own shards, again on the next one if another writer was first. None: given up."""
+        for _ in range(self.retries):
+            last = self.manifest()
+            shards = change(last.shards)
+            if shards is None:
+                return None
+            segments, final = last.segments, [s for s in shards if self.tier(s) < 0]
+            if len(final) >= SEGMENT:
+                name = f"segment-{uuid.uuid4().hex}.json"
+                self._create(f"manifest/{name}", {"shards": [asdict(s) for s in final]})
+                segments, shards = (*segments, name), [s for s in shards if self.tier(s) >= 0]
+            try:
+                return self.commit(Version(last.number + 1, segments, tuple(shards)))
+            except CommitConflict:
+                continue
+        raise CommitConflict(f"not committed in {self.retries} attempts")
 
     # Data
 
     def _listed(self, folder: str) -> list[Shard]:
-        """The shards that a job has written, with rows counted from the files' footers."""
-        files = [(str(x.getPath().getName()), x.getLen()) for x in self._fs.listStatus(self._path(f"{self.root}/{folder}")) if str(x.getPath().getName()).endswith(".parquet")]
+        """The shards that one job has written, with rows counted from the files' footers."""
+        files = [(n, size) for n, size, _ in self._names(folder) if n.endswith(".parquet")]
         if not files:
             return []
-        counted = self.spark.read.schema(self.schema).parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("f")).count().collect()  # a row for each file
+        counted = self.spark.read.schema(self.schema).parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("f")).count().collect()  # a row for each file of the job
         rows = {r["f"]: r["count"] for r in counted}
         return sorted((Shard(f"{folder}/{n}", size, rows.get(n, 0)) for n, size in files if rows.get(n, 0)), key=lambda s: s.path)
 
+    def _schema_of(self, rows: DataFrame) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def append(self, arrival: DataFrame) -> int | None:
+        """Appends the rows as shards of their own; the new version, or None where there are no rows.
+
+        Rows are kept as they are: nulls, repeated rows and texts of any length. Columns must be those
+        of the store.
+        """
+        self.schema = self.schema or self._schema_of(arrival)
+        run = f"data/run-{uuid.uuid4().hex}"
+        arrival.write.parquet(f"{self.root}/{run}")
+        new = self._listed(run)
+        return self._update(lambda shards: [*shards, *new]) if new else None
+
     def append_all(self, arrivals: DataFrame, arrival_col: str) -> list[int]:
         """Appends every arrival of ``arrivals`` in the order of ``arrival_col``, each as a version of its own.
 
         The rows are read and written once, by arrival; then the arrivals are committed one by one.
-        Rows with a null arrival come first.
+        Rows with a null arrival come first. ``arrival_col`` itself isn't stored.
         """
-        run = f"data/run-{uuid.uuid4().hex}"
-        columns = [c for c in arrivals.columns if c != arrival_col]
-        numbered = arrivals.select(*columns, F.coalesce(F.col(arrival_col).cast("long"), F.lit(-1)).alias("arrival_"))
-        self.schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in arrivals.select(*columns).schema)
-        numbered.write.partitionBy("arrival_").parquet(f"{self.root}/{run}")
-        folders = sorted((int(n.split("=")[1]), n) for x in self._fs.listStatus(self._path(f"{self.root}/{run}")) if (n := str(x.getPath().getName())).startswith("arrival_="))
+        run, label = f"data/run-{uuid.uuid4().hex}", f"arrival_{uuid.uuid4().hex}"
+        rows = arrivals.drop(arrival_col)
+        self.schema = self.schema or self._schema_of(rows)
+        numbered = arrivals.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(F.col(arrival_col).cast("long"), F.lit(-1)).alias(label))
+        numbered.write.partitionBy(label).parquet(f"{self.root}/{run}")
         out = []
-        for _, name in folders:
-            version, shards = self.manifest()
-            out.append(self.commit(version + 1, shards + self._listed(f"{run}/{name}")))
+        for _, name in sorted((int(n.split("=")[1]), n) for n, _, _ in self._names(run) if n.startswith(label)):
+            new = self._listed(f"{run}/{name}")
+            out.append(self._update(lambda shards, new=new: [*shards, *new]))
         return out
 
     def tier(self, shard: Shard) -> int:
@@ -118,24 +178,28 @@ class ShardStore:
             return -1
         return max(0, int(math.log(max(1, shard.bytes), self.fanout)))
 
-    def compact_once(self) -> bool:
-        """Merges the lowest tier that is full; False if none is."""
-        version, shards = self.manifest()
+    def full_tiers(self) -> dict[int, list[Shard]]:
+        """The tiers of the last version that have enough shards to be merged."""
         tiers: dict[int, list[Shard]] = {}
-        for s in shards:
+        for s in self.manifest().shards:
             tiers.setdefault(self.tier(s), []).append(s)
-        full = sorted(t for t, own in tiers.items() if t >= 0 and len(own) >= self.fanout)
+        return {t: own for t, own in tiers.items() if t >= 0 and len(own) >= self.fanout}
+
+    def compact_once(self) -> bool:
+        """Merges the lowest tier that is full; False if none is, or another writer has merged those shards."""
+        full = self.full_tiers()
         if not full:
             return False
-        old = tiers[full[0]]
-        total = sum(s.bytes for s in old)
-        files = max(1, round(total / self.target_bytes))
+        old = full[min(full)]
+        files = max(1, round(sum(s.bytes for s in old) / self.target_bytes))
         run = f"data/run-{uuid.uuid4().hex}"
         merged = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{s.path}" for s in old])
         merged.coalesce(files).write.parquet(f"{self.root}/{run}")  # shards of one tier are alike in size, so no shuffle is needed
-        gone = {s.path for s in old}
-        self.commit(version + 1, [s for s in shards if s.path not in gone] + self._listed(run))
-        return True
+        new, gone = self._listed(run), set(old)
+        done = self._update(lambda shards: [*[s for s in shards if s not in gone], *new] if gone <= set(shards) else None)
+        if done is None:
+            self._fs.delete(self._path(f"{self.root}/{run}"), True)
+        return done is not None
 
     def compact(self) -> int:
         """Compacts until no tier is full; the number of merges."""
@@ -144,21 +208,35 @@ class ShardStore:
             merges += 1
         return merges
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes shards that none of the last ``keep`` versions lists; the number of deleted files."""
+    def vacuum(self, keep: int = 1, min_age: float = 86_400) -> int:
+        """Deletes all but the last ``keep`` versions, and what no kept version lists; the number of deleted shards.
+
+        Files that no version has ever listed may be those of a writer at work; they go once they are
+        ``min_age`` seconds old.
+        """
         versions = self.versions()
-        kept = {s.path for v in versions[-keep:] for s in self.manifest(v)[1]}
-        gone = {s.path for v in versions[:-keep] for s in self.manifest(v)[1]} - kept
+        kept, old = versions[-keep:], versions[:-keep]
+        live = {s.path for v in kept for s in self.shards(v)}
+        listed = {s.path for v in old for s in self.shards(v)}
+        segments = {s for v in kept for s in self.manifest(v).segments}
+        gone = listed - live
+        for run, _, _ in self._names("data"):
+            folders = [f"data/{run}", *[f"data/{run}/{n}" for n, _, _ in self._names(f"data/{run}") if "=" in n]]
+            gone |= {f"{f}/{n}" for f in folders for n, _, age in self._names(f) if n.endswith(".parquet") and age >= min_age and f"{f}/{n}" not in live}
         for path in gone:
             self._fs.delete(self._path(f"{self.root}/{path}"), False)
-        for v in versions[:-keep]:
-            self._fs.delete(self._path(self._manifest_file(v)), False)
+        for v in old:
+            self._fs.delete(self._path(f"{self.root}/{self._manifest_file(v)}"), False)
+        for n, _, age in self._names("manifest"):
+            if (n.startswith("segment-") and n not in segments or n.startswith("draft-")) and age >= min_age:
+                self._fs.delete(self._path(f"{self.root}/manifest/{n}"), False)
         return len(gone)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with ``shard`` (path in the store) added."""
-        _, shards = self.manifest(version)
+    def read(self, number: int | None = None, shard_col: str | None = None) -> DataFrame:
+        """The rows of a version; with ``shard_col`` the path of each row's shard under that name. An empty store has none."""
+        shards = self.shards(number)
         if not shards:
-            return self.spark.createDataFrame([], self.schema).withColumn("shard", F.lit(""))
+            rows = self.spark.createDataFrame([], self.schema)
+            return rows.withColumn(shard_col, F.lit("")) if shard_col else rows
         rows = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{s.path}" for s in shards])
-        return rows.withColumn("shard", F.col("_metadata.file_path"))
+        return rows.withColumn(shard_col, F.col("_metadata.file_path")) if shard_col else rows
