@@ -1,23 +1,27 @@
 """Main text of web pages by a site style tree.
 
 The DOMs of all pages of one host are merged: a style node is the path of element names and classes
-from the body. For every node Spark counts on how many of the host's distinct pages each content of its
-text blocks and each child sequence of its elements is. The entropy of one content over the P pages is
-log(pages with it) / log(P): 1 where all pages have it, 0 where one has. One less its mean over the
-node's contents, each weighted by its pages, is the node's content or presentation importance: near 0
-where pages repeat themselves, however many items they repeat, near 1 where each page has its own. A branch whose importance is low is removed from each
-page of the host. Elements whose tag or role says what they are (navigation, forms, scripts, ...) are
-removed at once, but a header or form around an article or main element doesn't take that with it. A
-class or id that sounds like navigation, comments, ... is evidence only: a block inside is removed
-where the importance of its own node is below a higher threshold. The rest of an article or main element is never removed
-by importance, and hosts with fewer than ``min_pages`` distinct pages have no importances.
+from the body, held as a digest so that depth costs nothing. For every node Spark counts on how many of
+the host's P distinct pages each content of its text blocks and each child sequence of its elements is.
+The entropy of one content is log(its pages) / log(P + 8): 0 where one page has it, near 1 where all of
+many have it; the 8 keeps a few equal pages from telling. One less its mean over the node's contents,
+each weighted by its pages, is the node's content or presentation importance; both are joined into one.
+
+A branch is noise when the importance of every node in it is low, so a block of text is removed when
+that of its own node is. What counts as low depends on evidence in the page: the importance is
+multiplied by a prior of 1/4 in elements whose tag, role or class says what they are (navigation,
+footers, forms, comments, ...), by 1/2 where a part of a class or id sounds like it, and by 1/2 outside
+the article or main element of a page that has one. An article or main element ends what classes around it and a form or
+header around it say. All nodes are judged so, those inside article and main elements too.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -32,43 +36,67 @@ BOILERPLATE = frozenset("nav footer aside form script style noscript template if
 RAW = frozenset("script style noscript template iframe object svg canvas title textarea".split())
 MAIN = frozenset("article main".split())
 SOFT = frozenset("header form".split())  # they may stand around the main text
-OTHER, MAIN_PART, NAMED, NAMED_IN_MAIN, HINTED, HINTED_IN_MAIN = range(6)
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus\w*|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
-)
+NAME = r"(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus\w*|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)"
+WHOLE_NAME = re.compile(rf"(?:^|\s){NAME}(?:$|\s)", re.I)
+NAME_PART = re.compile(rf"(?:^|[\s_-]){NAME}(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-MAX_DEPTH = 24
-IN_MAIN = "main:"  # before the paths of a tree of their own, that of hinted blocks in main elements
+ITEMS = frozenset("p li tr td th dt dd option".split())  # an item ends the open item before it, and a block ends an open paragraph
+SCOPES = frozenset("ul ol table dl article main".split())  # but not through these
+SMOOTHING = 8
+BATCH = 64
 BLANK = re.compile(r"\s+")
 
 
+class Open(NamedTuple):
+    """An open element."""
+
+    tag: str
+    node: int
+    label: tuple[str, ...]  # the last steps of the path
+    prior: int  # 1, 2 or 4: what the importance is divided by
+    raw: bool
+    main: bool
+    strict: bool  # whether the prior comes from a tag that no article inside can lift
+    near: dict[str, int]  # where the open items of this scope are
+    children: list[str]
+
+
+ROOT = Open("", 0, ("",), 1, False, False, False, {}, [])
+
+
 class PageTree(HTMLParser):
-    """The text blocks of a page in order: ``(path, text, part)``; and ``(path, child names)`` of its elements.
+    """The text blocks of a page in order: ``(node, label, text, prior)``; and ``(node, label, child names)`` of its elements.
 
-    ``part`` is NAMED where an element's tag or role says that it holds no main text, HINTED where only
-    a class or id says so, else OTHER, or MAIN_PART inside an article or main element, which ends hints
-    from above. Scripts, styles and the like have no blocks.
+    Scripts, styles and the like have no blocks. Takes time in proportion to the page, however deep
+    elements are nested and whatever is left open.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, str, int]] = []
-        self.open: list[tuple[str, str, int, bool, bool, list[str]]] = []  # tag, path, named (1 by SOFT only), hint, main, names of children
-        self.elements: list[tuple[str, str]] = []
+        self.found: list[tuple[int, tuple[str, ...], str, int, bool]] = []
+        self.open: list[Open] = []
+        self.counts: Counter = Counter()
+        self.elements: list[tuple[int, tuple[str, ...], str]] = []
         self.text: list[str] = []
+        self.has_main = False
+
+    @property
+    def top(self) -> Open:
+        return self.open[-1] if self.open else ROOT
 
     def flush(self) -> None:
         text = BLANK.sub(" ", "".join(self.text)).strip()
         self.text.clear()
-        if text and not any(x[0] in RAW for x in self.open):
-            _, path, named, hint, main, _ = self.open[-1] if self.open else ("", "", 0, False, False, [])
-            self.blocks.append((path, text, ((NAMED, NAMED_IN_MAIN) if named else (HINTED, HINTED_IN_MAIN) if hint else (OTHER, MAIN_PART))[main]))
+        top = self.top
+        if text and not top.raw:
+            self.found.append((top.node, top.label, text, top.prior, top.main))
 
-    def close_top(self) -> None:
-        _, path, _, _, main, children = self.open.pop()
-        if children and not main:
-            self.elements.append((path, " ".join(children)))
+    def close_to(self, size: int) -> None:
+        while len(self.open) > size:
+            done = self.open.pop()
+            self.counts[done.tag] -= 1
+            if done.children:
+                self.elements.append((done.node, done.label, " ".join(done.children)))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in INLINE:
@@ -78,50 +106,51 @@ class PageTree(HTMLParser):
         self.flush()
         if tag in VOID or tag in ("html", "body"):
             return
-        tags = [x[0] for x in self.open]
-        if tag in ("li", "tr", "td", "th", "dt", "dd", "option", "p") or "p" in tags:  # a block ends an open paragraph, an item ends the item before
-            for name in ("p", tag) if tag not in ("p",) else ("p",):
-                if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and name in tags and not any(x in ("ul", "ol", "table", "dl", "article", "main") for x in tags[len(tags) - tags[::-1].index(name) :]):
-                    while self.open and len(self.open) >= len(tags) - tags[::-1].index(name):
-                        self.close_top()
-                    tags = [x[0] for x in self.open]
-        own = {k: v or "" for k, v in attrs}
-        _, above, named, hint, main, children = self.open[-1] if self.open else ("", "", 0, False, False, [])
-        names = f"{own.get('class', '')} {own.get('id', '')}".strip()
-        in_main = main or tag in MAIN or own.get("role") in MAIN
-        container = tag in MAIN or own.get("role") in MAIN
+        ends = [at for name in {"p", tag} & ITEMS if (at := self.top.near.get(name)) is not None]
+        if ends:
+            self.close_to(min(ends))
+        own, top = {k: v or "" for k, v in attrs}, self.top
+        role, names = own.get("role"), f"{own.get('class', '')} {own.get('id', '')}".strip()
+        container = tag in MAIN or role in MAIN
+        prior, strict = top.prior, top.strict
         if container:
-            named, hint = (2 if named == 2 else 0), False
-        if tag in SOFT and (tag == "form" or not main) or own.get("role") in SOFT:
-            named = max(named, 1)
-        if tag in BOILERPLATE - SOFT or own.get("role") in ROLES - SOFT or "hidden" in own or own.get("aria-hidden") == "true":
-            named = 2
+            self.has_main = True
+            prior = prior if strict else 1
+        elif names and NAME_PART.search(names):
+            prior = max(prior, 4 if WHOLE_NAME.search(names) else 2)
+        if tag in BOILERPLATE - SOFT or role in ROLES - SOFT or "hidden" in own or own.get("aria-hidden") == "true":
+            prior, strict = 4, True
+        elif tag == "form" or role in SOFT or tag in SOFT and not top.main:
+            prior = 4
         step = tag + ("." + re.sub(r"\d+", "0", own["class"]).replace(" ", ".") if own.get("class") else "")
-        children.append(step)
-        path = f"{above}/{step}" if len(self.open) < MAX_DEPTH else above
-        hint = hint or bool(names) and not container and NAMES.search(names) is not None
-        self.open.append((tag, path, named, hint, in_main, []))
+        top.children.append(step)
+        near = {} if tag in SCOPES else {**top.near, tag: len(self.open)} if tag in ITEMS else top.near
+        node = xxhash.xxh3_64_intdigest(step.encode(), seed=top.node) >> 1
+        self.open.append(Open(tag, node, (*top.label, step)[-8:], prior, top.raw or tag in RAW, top.main or container, strict, near, []))
+        self.counts[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE or tag in VOID:
             return
         self.flush()
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is not None:
-            while len(self.open) > at:
-                self.close_top()
+        if self.counts[tag]:
+            self.close_to(next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i].tag == tag))
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
 
+    @property
+    def blocks(self) -> list[tuple[int, tuple[str, ...], str, int]]:
+        return [(node, label, text, prior if main or not self.has_main else 2 * prior) for node, label, text, prior, main in self.found]
+
     @classmethod
     def of(cls, html: str | None) -> PageTree:
+        ROOT.children.clear()
         page = cls()
         page.feed(html or "")
         page.close()
         page.flush()
-        while page.open:
-            page.close_top()
+        page.close_to(0)
         return page
 
 
@@ -130,84 +159,72 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _style_nodes(parts: tuple[int, ...]):
-    def style_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, pages, kinds, paths, contents = [], [], [], [], []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+def _style_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["host", "page", "kind", "node", "label", "content"]
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            part, rows = batch.slice(at, BATCH), []
+            for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 page = PageTree.of(html)
-                found = [("content", IN_MAIN + p if part == HINTED_IN_MAIN else p, t) for p, t, part in page.blocks if part in parts] + [("presentation", p, c) for p, c in page.elements]
                 digest = xxhash.xxh3_64_intdigest((html or "").encode()) >> 1
-                for kind, path, content in [*found, ("page", "", "")]:
-                    hosts.append(host)
-                    pages.append(digest)
-                    kinds.append(kind)
-                    paths.append(path)
-                    contents.append(xxhash.xxh3_64_intdigest(content.encode()) >> 1)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(kinds, pa.string()), pa.array(paths, pa.string()), pa.array(contents, pa.int64())], names=["host", "page", "kind", "path", "content"])
-
-    return style_nodes
+                found = [("content", n, x, t) for n, x, t, _ in page.blocks] + [("presentation", n, x, c) for n, x, c in page.elements]
+                rows += [(host, digest, kind, n, "/".join(x), xxhash.xxh3_64_intdigest(c.encode()) >> 1) for kind, n, x, c in [*found, ("page", 0, (), "")]]
+            types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", gamma: float = 0.9, hinted_in_main: bool = False) -> DataFrame:
-    """``host, path, pages`` (the host's distinct pages), ``importance`` of the style nodes outside main elements, navigation and the like included, of all hosts.
+def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", gamma: float = 0.9) -> DataFrame:
+    """``host, node, path, pages`` (the host's distinct pages), ``importance`` of the style nodes that hold text.
 
-    Pages with the same html on one host count once. With ``hinted_in_main`` the contents inside main
-    elements that a class or id hints at have nodes too, under ``IN_MAIN``. The importance of a node joins that of its own
-    presentation with the mean content importance of the nodes in its branch.
+    ``path`` shows the last eight steps. Pages with the same html on one host count once. The importance
+    of a node is its content importance, by ``gamma``, and its presentation importance, where elements
+    of it have children, by the rest.
     """
-    nodes = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_style_nodes((OTHER, NAMED, HINTED, HINTED_IN_MAIN) if hinted_in_main else (OTHER, NAMED, HINTED)), "host string, page long, kind string, path string, content long")
-    once = nodes.groupBy("host", "kind", "path", "content", "page").agg(F.lit(1).alias("one"))
-    counts = once.groupBy("host", "kind", "path", "content").agg(F.count("*").alias("c"))
-    n, c = F.sum("c"), F.col("c").cast("double")
-    spread = counts.groupBy("host", "kind", "path").agg(n.alias("n"), F.sum(c * F.log(c)).alias("clogc"))
+    nodes = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_style_nodes, "host string, page long, kind string, node long, label string, content long")
+    once = nodes.groupBy("host", "kind", "node", "content", "page").agg(F.min("label").alias("label"))
+    counts = once.groupBy("host", "kind", "node", "content").agg(F.count("*").alias("c"), F.min("label").alias("label"))
+    c = F.col("c").cast("double")
+    spread = counts.groupBy("host", "kind", "node").agg(F.sum("c").alias("n"), F.sum(c * F.log(c)).alias("clogc"), F.min("label").alias("path"))
     spread = written(spread, "style-spread")
     hosts = spread.where("kind = 'page'").select("host", F.col("n").alias("pages"))
-    importance = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("clogc") / F.col("n") / F.log(F.col("pages").cast("double")))).otherwise(1.0)
-    scored = written(spread.where("kind <> 'page'").join(hosts, "host").withColumn("importance", importance), "style-nodes")
-    steps = F.split("path", "/")
-    branches = scored.where("kind = 'content'").select("host", "n", "pages", "importance", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("path"))
-    content = branches.groupBy("host", "path").agg((F.sum(F.col("importance") * F.col("n")) / F.sum("n")).alias("content"), F.first("pages").alias("pages"))
-    looks = scored.where("kind = 'presentation'").select("host", "path", F.col("importance").alias("looks"))
-    both = content.join(looks, ["host", "path"], "left")
-    return both.select("host", "path", "pages", F.when(F.col("looks").isNull(), F.col("content")).otherwise((1 - gamma) * F.col("looks") + gamma * F.col("content")).alias("importance"))
+    scored = spread.where("kind <> 'page'").join(hosts, "host").withColumn("importance", F.greatest(F.lit(0.0), 1 - F.col("clogc") / F.col("n") / F.log(F.col("pages") + float(SMOOTHING))))
+    looks = scored.where("kind = 'presentation'").select("host", "node", F.col("importance").alias("looks"))
+    both = scored.where("kind = 'content'").join(looks, ["host", "node"], "left")
+    return both.select("host", "node", "path", "pages", F.when(F.col("looks").isNull(), F.col("importance")).otherwise((1 - gamma) * F.col("looks") + gamma * F.col("importance")).alias("importance"))
 
 
-def _texts(schema_names: list[str], html_at: int, noise_at: int, likely_at: int):
+def _texts(names: list[str], html_at: int, low_at: tuple[int, ...]):
+    """The texts of pages whose columns ``low_at`` list the nodes that are low at priors of 1, 1/2 and 1/4."""
+
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for html, noise, likely in zip(batch.column(html_at).to_pylist(), batch.column(noise_at).to_pylist(), batch.column(likely_at).to_pylist(), strict=True):
-                low, doubted = frozenset(noise or ()), frozenset(likely or ())
-
-                def kept(path: str, part: int, low: frozenset = low, doubted: frozenset = doubted) -> bool:
-                    if part == HINTED_IN_MAIN:
-                        return IN_MAIN + path not in doubted
-                    steps = path.split("/")
-                    return not (part == HINTED and path in doubted or any("/".join(steps[:i]) in low for i in range(1, len(steps) + 1)))
-
-                found.append("\n".join([t for p, t, part in PageTree.of(html).blocks if part == MAIN_PART or part not in (NAMED, NAMED_IN_MAIN) and kept(p, part)]))
-            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i not in (html_at, noise_at, likely_at)] + [pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=schema_names)
+            for at in range(0, batch.num_rows, BATCH):
+                part, found = batch.slice(at, BATCH), []
+                for html, *low in zip(*[part.column(i).to_pylist() for i in (html_at, *low_at)], strict=True):
+                    sets = {prior: frozenset(x or ()) for prior, x in zip((1, 2), low, strict=True)}
+                    found.append("\n".join([text for node, _, text, prior in PageTree.of(html).blocks if prior < 4 and node not in sets[prior]]))
+                yield pa.RecordBatch.from_arrays([x for i, x in enumerate(part.columns) if i not in (html_at, *low_at)] + [pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=names)
 
     return texts
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.3, min_pages: int = 10, broadcast_rows: int = 20_000, hinted_threshold: float = 0.5) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.3, broadcast_rows: int = 20_000) -> DataFrame:
     """One row for each row of ``pages``: ``page_id, url, text, n_chars`` (code points).
 
-    Blocks in page order, one newline between them; white space inside a block is one space. A null
-    html counts as empty and gives an empty text; a null url belongs to the host without name. Each
-    row is extracted for itself, repeated ones too. Other columns are ignored. An empty table gives an
-    empty result. Branches below ``threshold`` go, and blocks that a class or id hints at below ``hinted_threshold``;
-    they stay where a host has too few pages to tell. The low-importance branches are broadcast if they are at most ``broadcast_rows``
-    (counted first); else they are joined by host.
+    Blocks in page order, one newline between them; white space inside a block is one space. A block
+    goes where its node's importance times its prior is below ``threshold``, which must be over 1/4. A
+    null html counts as empty and gives an empty text; a null url belongs to the host without name. Each
+    row is extracted for itself, repeated ones too, from its whole html, however long or deep. Other
+    columns are ignored, whatever their names. An empty table gives an empty result. The nodes of low
+    importance are broadcast if they are at most ``broadcast_rows`` (counted first); else they are joined
+    by host.
     """
-    noise = style_tree(pages, url_col, html_col, hinted_in_main=True).where((F.col("pages") >= min_pages) & (F.col("importance") < max(threshold, hinted_threshold)) & (F.col("path") != ""))
-    noise = written(noise.select("host", F.when(F.col("importance") < threshold, F.col("path")).alias("low"), F.when(F.col("importance") < hinted_threshold, F.col("path")).alias("doubted")), "style-noise")
-    by_host = noise.groupBy("host").agg(F.collect_set("low").alias("noise"), F.collect_set("doubted").alias("likely"))  # the style nodes of one host
-    by_host = F.broadcast(by_host) if noise.count() <= broadcast_rows else written(by_host, "style-hosts")
+    low = style_tree(pages, url_col, html_col).where(F.col("importance") < 2 * threshold)
+    low = written(low.select("host", F.when(F.col("importance") < threshold, F.col("node")).alias("noise"), F.col("node").alias("doubted")), "style-noise")
+    by_host = low.groupBy("host").agg(F.collect_set("noise").alias("noise"), F.collect_set("doubted").alias("doubted"))  # the style nodes of one host
+    by_host = F.broadcast(by_host) if low.count() <= broadcast_rows else written(by_host, "style-hosts")
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = own.join(by_host, "host", "left").select("page_id", "url", "html", "noise", "likely")
+    joined = own.join(by_host, "host", "left").select("page_id", "url", "html", "noise", "doubted")
     kind = pages.schema[id_col].dataType.simpleString()
     names = ["page_id", "url", "text", "n_chars"]
-    return joined.mapInArrow(_texts(names, 2, 3, 4), f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(_texts(names, 2, (3, 4)), f"page_id {kind}, url string, text string, n_chars long")
