@@ -37,16 +37,23 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight arrivals of documents, compacted; the rows of the last version as its shards hold them."""
+    """Eight arrivals of documents, compacted; the rows of the last version as its shards hold them.
+
+    ``compacted`` says that no tier is left to merge, that fewer shards are listed than were written,
+    and that the manifest counts the rows that arrived.
+    """
     store = shards.ShardStore(spark, new_path(spark, "shard-store"), target_bytes=128 << 20, fanout=4)
     docs = table(spark, sf_dir, "documents")
     store.append_all(docs.withColumn("arrival", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(8))), "arrival")
+    written = store.shards()
     store.compact()
     store.vacuum()
-    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+    left = store.shards()
+    compacted = not store.full_tiers() and (len(left) < len(written) or len(written) < 4) and sum(s.rows for s in left) == sum(s.rows for s in written)
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), F.lit(compacted).alias("compacted"))
 
 
-OP2_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+OP2_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256, TRUE AS compacted FROM documents"
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,37 +104,44 @@ OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, lines[i] AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) s, unnest(range(1, len(lines) + 1)) AS u(i)
-), tokens AS (
+), flats AS (
   SELECT doc_id, i, line, trim(regexp_replace(line, '[ \t\r\f\x0B]+', ' ', 'g'), ' ') AS flat FROM lines
-), leads AS (
-  SELECT doc_id, i, line, flat, len(string_split(flat, ' ')) AS n,
-    regexp_replace(array_to_string(string_split(flat, ' ')[1:12], ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS lead
-  FROM tokens
 ), parsed AS (
-  SELECT doc_id, i, line, CASE WHEN flat <> '' AND
-      least(n, 12) - (length(lead) - length(replace(lead, '<*>', ''))) / 3 >= 5
-    THEN n || ' ' || lead END AS template
-  FROM leads
+  SELECT doc_id, i, line, flat, regexp_replace(flat, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked, len(string_split(flat, ' ')) AS n FROM flats
+), judged AS (
+  SELECT *, n - len(list_filter(string_split(masked, ' '), lambda t: t = '<*>')) AS constants FROM parsed
+), variants AS (
+  SELECT DISTINCT masked, n, array_to_string(string_split(masked, ' ')[1:3], ' ') AS lead FROM judged WHERE flat <> '' AND constants >= 5 AND 100 * constants >= 80 * n
+), places AS (
+  SELECT masked, n, lead, pos, string_split(masked, ' ')[pos] AS token FROM variants, unnest(range(1, n + 1)) AS u(pos)
+), support AS (
+  SELECT n, lead, pos, token FROM places WHERE token <> '<*>' GROUP BY n, lead, pos, token HAVING count(*) > 1
+), general AS (
+  SELECT p.masked, p.n, string_agg(CASE WHEN s.token IS NOT NULL THEN p.token ELSE '<*>' END, ' ' ORDER BY p.pos) AS template, count(s.token) AS constants
+  FROM places p LEFT JOIN support s ON p.n = s.n AND p.lead = s.lead AND p.pos = s.pos AND p.token = s.token
+  GROUP BY p.masked, p.n
+), templates AS (
+  SELECT v.masked, CASE WHEN g.constants >= 5 AND 100 * g.constants >= 80 * g.n THEN g.template ELSE v.masked END AS template
+  FROM variants v JOIN general g ON v.masked = g.masked
+), placed AS (
+  SELECT j.doc_id, j.i, j.line, CASE WHEN j.flat <> '' THEN coalesce(t.template, chr(10) || j.flat) END AS template
+  FROM judged j LEFT JOIN templates t ON j.masked = t.masked
 ), recurring AS (
-  SELECT template, min(doc_id) AS home FROM parsed WHERE template IS NOT NULL
+  SELECT template, min(doc_id) AS home FROM placed WHERE template IS NOT NULL
   GROUP BY template HAVING count(DISTINCT doc_id) >= 2
-), judged AS (
+), marked AS (
   SELECT p.doc_id, p.i, p.line, r.home IS NOT NULL AND p.doc_id <> r.home AS gone
-  FROM parsed p LEFT JOIN recurring r ON p.template = r.template
+  FROM placed p LEFT JOIN recurring r ON p.template = r.template
 )
 SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY i), '') AS text,
   count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped
-FROM judged GROUP BY doc_id
+FROM marked GROUP BY doc_id
 """
 
 
 def op9_line_dedup_short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"), short_lines=True)
-    return found.select("doc_id", "text", "n_lines", "n_dropped")
-
-
-#: OP9_SQL with the whole line as the template where constants are too few.
-OP9_SHORT_SQL = OP9_SQL.replace("THEN n || ' ' || lead END", "THEN n || ' ' || lead WHEN flat <> '' THEN '= ' || flat END")
+    """The same rows: short lines are templates like any other."""
+    return op9_line_dedup(spark, sf_dir)
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,4 +161,4 @@ QUERIES = {
     "op9_line_dedup_short_lines": op9_line_dedup_short_lines,
     "op10_html_extract": op10_html_extract,
 }
-ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op2_sharding": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op9_line_dedup_short_lines": OP9_SHORT_SQL}
+ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op2_sharding": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op9_line_dedup_short_lines": OP9_SQL}

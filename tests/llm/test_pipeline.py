@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 
-from test_llm_operators import brute_components, template  # noqa: E402
+from test_llm_operators import brute_components, brute_line_dedup  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,14 +53,7 @@ def test_language_stage_rejects_only_texts_without_letters(stages):
 
 def test_line_stage(stages):
     (_, before, after, *_), _ = stages
-    homes = defaultdict(set)
-    for i, t, *_ in before:
-        for line in t.split("\n") if i is not None else []:
-            if template(line):
-                homes[template(line)].add(i)
-    want = {}
-    for i, t, *_ in before:
-        want[i] = "\n".join(x for x in t.split("\n") if i is None or not template(x) or min(homes[template(x)]) == i)
+    want = dict(brute_line_dedup([(r[0], r[1]) for r in before]))
     assert {r[0]: r[1] for r in after} == want and len(after) == len(before)
     assert any(r[1] != dict((x[0], x[1]) for x in before)[r[0]] for r in after)
 
@@ -97,3 +90,23 @@ def test_every_query_is_registered():
 
     names = set(__spark_entry__.queries())
     assert {"pipeline"} | {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names}
+
+
+def test_stages_keep_clashing_columns_and_repeated_rows(spark):
+    line = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(1, line + "\nown text of one", "en", "s", 9, "kept", 1.5, 7), (1, line + "\nown text of one", "en", "s", 9, "kept", 1.5, 7), (2, line + "\nother words here", "en", "s", 9, "kept", 2.5, 8), (3, None, "en", "s", 0, "kept", 3.5, 9)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang_pred string, score double, n_dropped int")
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES[:3]):
+        out = f(spark, docs, "")
+        assert out.columns == docs.columns
+        found = sorted(tuple(r) for r in out.collect())
+        assert [(r[0], *r[5:]) for r in found] == [(1, "kept", 1.5, 7), (1, "kept", 1.5, 7), (2, "kept", 2.5, 8)]
+        docs = spark.createDataFrame(found, docs.schema)
+    assert [r[1] for r in found] == [rows[0][1], rows[0][1], "other words here"]
+    assert corpus_pipeline.STAGES[3][1](spark, docs, "").count() == 3
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, docs, "").count() == 0
