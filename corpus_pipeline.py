@@ -1,35 +1,47 @@
 """The corpus pipeline: language id, line dedup, near-duplicate removal, packing.
 
-Each stage works on all that its predecessor kept. All but the last return the columns of documents.
+Each stage works on all that its predecessor kept. All but the last return the columns of documents,
+extra ones too, with their own values. Nulls and texts are handled as the operators say; rows that
+repeat an id share its decisions; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import jaccard_join, language_id, line_dedup, packing
 from leafmill.llm.common import written
 
 
+MADE = "pipeline_made_"  # before the names of columns that stages add and take away again
+
+
+def named(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model, fitted on their own labels, can tell; ``und`` ones go."""
-    found = language_id.identify(docs, language_id.fit(docs))
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    found = language_id.identify(docs, language_id.fit(docs), pred_col=f"{MADE}lang", score_col=f"{MADE}score")
+    return found.where(F.col(f"{MADE}lang") != language_id.UNKNOWN).select(*named(docs))
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template an earlier document has are cut out of the texts; no document goes."""
-    cut = line_dedup.line_dedup(docs)
-    return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Lines whose template an earlier document has are cut out of the texts; no document goes. ``n_chars``, if there, follows."""
+    cut = line_dedup.line_dedup(docs, lines_col=f"{MADE}lines", dropped_col=f"{MADE}dropped")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col(f"{MADE}dropped") > 0, F.length("text")).otherwise(F.col("n_chars")))
+    return cut.select(*named(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that n-gram Jaccard links reach, the one with the smallest id; null ids name no group and stay."""
     groups = jaccard_join.jaccard_components(docs)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select(*named(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
