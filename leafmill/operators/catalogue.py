@@ -28,7 +28,7 @@ def fixed_field(field: Column) -> Column:
     tags = F.array(
         F.when(at(22).isin("b", "c", "d", "j"), "Juvenile audience"),
         *[F.when(contents.contains(k), t) for k, t in CONTENT_TAGS.items()],
-        F.coalesce(_lookup(FORM_TAGS, at(33)), F.lit("UnknownGenre")),
+        F.coalesce(_lookup(FORM_TAGS, at(33)), F.lit("UnknownCategory")),
         _lookup(BIOGRAPHY_TAGS, at(34)),
     )
     return F.struct(at(6).alias("datetype"), at(7, 4).alias("date1"), at(11, 4).alias("date2"), at(15, 3).alias("place"), F.array_sort(F.array_compact(tags)).alias("tags"))
@@ -58,14 +58,14 @@ def tag_frequency(volumes: DataFrame, tags: str = "tags", least: int = 3) -> Dat
     return volumes.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def align(wanted: DataFrame, pages: DataFrame, genres: DataFrame) -> DataFrame:
-    """``vol, status`` of each wanted volume: success, missing data, genre prediction not found, mismatched lengths."""
+def align(wanted: DataFrame, pages: DataFrame, categories: DataFrame) -> DataFrame:
+    """``vol, status`` of each wanted volume: success, missing data, category prediction not found, mismatched lengths."""
     have = pages.groupBy("vol").agg(F.count("*").alias("pages"))
-    said = genres.groupBy("vol").agg(F.count("*").alias("genres"))
+    said = categories.groupBy("vol").agg(F.count("*").alias("categories"))
     joined = wanted.join(have, "vol", "left").join(said, "vol", "left")
     return joined.select(
         "vol",
-        F.when(F.col("pages").isNull(), "missing data").when(F.col("genres").isNull(), "genre prediction not found").when(F.col("pages") != F.col("genres"), "mismatched lengths").otherwise("success").alias("status"),
+        F.when(F.col("pages").isNull(), "missing data").when(F.col("categories").isNull(), "category prediction not found").when(F.col("pages") != F.col("categories"), "mismatched lengths").otherwise("success").alias("status"),
     )
 
 
@@ -86,25 +86,40 @@ def chunks(assembled: DataFrame, n: int = 10, more_than: int = 20) -> DataFrame:
     return sized.withColumn("chunk", F.ntile(n).over(w.orderBy("pos")))
 
 
+# Fixed value: what a library puts before its record numbers.
+RECORD_PREFIX = "MIU01-"
+
+
 def flatten_marc(records: DataFrame) -> DataFrame:
-    """``htid, recordid, oclc, title, author, imprint, genres, subjects, field, leader`` of MARC records (see ``marc_records``).
+    """The sixteen columns of a catalogue from MARC records (see ``marc_records``), a row for each item.
 
-    Lists are joined by semicolons; records without an id are left out; missing text is ``<blank>``.
+    ``htid, recordid, oclc, locnum, author, imprint, datetype, startdate, enddate, textdate, place,
+    enumcron, materialtype, subjects, categories, title``. Lists are sorted and joined by semicolons;
+    items without an id are left out; missing text is ``<blank>``.
     """
+    blank = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "<blank>").otherwise(c)
     control = lambda tag: F.get(F.filter("controlfield", lambda x: x["_tag"] == tag), F.lit(0))["_VALUE"]
-
-    def values(tags: list[str], codes: list[str]) -> Column:
-        fields = F.filter("datafield", lambda x: x["_tag"].isin(tags))
-        subs = F.flatten(F.transform(fields, lambda x: F.filter(x["subfield"], lambda s: s["_code"].isin(codes))))
-        return F.array_distinct(F.transform(subs, lambda s: F.trim(F.regexp_replace(s["_VALUE"], r"[\s.,:;/]+$", ""))))
-
-    text = lambda tags, codes, by=" ": F.when(F.size(values(tags, codes)) > 0, F.array_join(values(tags, codes), by)).otherwise("<blank>")
-    flat = records.select(
-        F.explode(values(["974"], ["u"])).alias("htid"), F.coalesce(control("001"), F.lit("<blank>")).alias("recordid"), text(["035"], ["a"], ";").alias("oclc"), text(["245"], ["a", "b"]).alias("title"),
-        text(["100"], ["a"]).alias("author"), text(["260"], ["a", "b", "c"]).alias("imprint"), text(["655", "155"], ["a"], ";").alias("genres"),
-        text(["600", "610", "650", "651"], ["a", "x"], ";").alias("subjects"), control("008").alias("field"), "leader",
+    fields = lambda pattern: F.filter("datafield", lambda x: x["_tag"].rlike(f"^({pattern})$"))
+    texts = lambda pattern: F.flatten(F.transform(fields(pattern), lambda x: F.transform(x["subfield"], lambda s: s["_VALUE"])))
+    first = lambda pattern: F.get(texts(pattern), F.lit(0))
+    part = lambda item, code: F.get(F.filter(item["subfield"], lambda s: s["_code"] == code), F.lit(0))["_VALUE"]
+    numbers = F.filter(F.transform(fields("035"), lambda x: F.get(x["subfield"], F.lit(0))["_VALUE"]), lambda v: v.contains("(OCoLC)"))
+    terms = F.transform(F.filter(texts("655|155"), lambda t: t.rlike(r"^\p{Lu}")), lambda t: F.regexp_replace(t, r"[.,;]+$", ""))
+    subjects = F.transform(texts("(?!655)6[0-9][0-9]"), lambda t: F.regexp_replace(t, r"[.,]+$", ""))
+    subjects = F.when(F.array_contains(texts("970"), "Biography"), F.array_append(subjects, F.lit("IsBiographical"))).otherwise(subjects)
+    published = F.filter(F.transform(texts("260"), lambda t: F.regexp_replace(t, r"^[ :,\[\];]+|[ :,\[\];]+$", "")), lambda t: t != "")
+    listed = lambda xs: F.array_join(F.array_sort(F.array_distinct(xs)), ";")
+    fixed, kind = fixed_field(control("008")), material_type(F.col("leader"))
+    items = records.select("*", F.explode(fields("974")).alias("item"))
+    flat = items.select(
+        part(F.col("item"), "a").alias("htid"), blank(F.replace(control("001"), F.lit(RECORD_PREFIX), F.lit(""))).alias("recordid"),
+        blank(F.regexp_replace(F.try_element_at(numbers, F.lit(-1)), r"\(OCoLC\)|ocn|ocm", "")).alias("oclc"), blank(F.regexp_replace(F.array_join(texts("050"), ""), r"^[\[\]]+|[\[\]]+$", "")).alias("locnum"),
+        blank(first("100")).alias("author"), blank(F.array_join(published, ";")).alias("imprint"), *[blank(fixed[c]).alias(n) for c, n in (("datetype", "datetype"), ("date1", "startdate"), ("date2", "enddate"), ("place", "place"))],
+        text_date(F.array_join(texts("260"), " ")).alias("date"), blank(part(F.col("item"), "c")).alias("enumcron"), kind.alias("materialtype"), blank(listed(subjects)).alias("subjects"),
+        blank(listed(F.array_union(F.coalesce(fixed["tags"], F.array().cast("array<string>")), terms))).alias("categories"), blank(F.regexp_replace(first("245"), "[ /:.,]+$", "")).alias("title"),
     )
-    return flat.where(F.col("htid") != "")
+    dated = flat.where(F.col("htid") != "").withColumn("textdate", serial_date(F.col("materialtype"), F.col("date"), F.col("enumcron")))
+    return dated.select("htid", "recordid", "oclc", "locnum", "author", "imprint", "datetype", "startdate", "enddate", "textdate", "place", "enumcron", "materialtype", "subjects", "categories", "title")
 
 
 def text_date(text: Column) -> Column:
@@ -139,7 +154,7 @@ def serial_date(kind: Column, date: Column, volume: Column) -> Column:
 
 
 def metadata_evidence(volumes: DataFrame) -> DataFrame:
-    """Six 0/1 flags of ``volumes(vol, maxgenre, tags, non, bio, poe, dra, fic)``: what tags and a volume model (any column null: none) say of the pages' main category.
+    """Six 0/1 flags of ``volumes(vol, maxcategory, tags, non, bio, poe, dra, fic)``: what tags and a volume model (any column null: none) say of the pages' main category.
 
     Biography counts as nonfiction in the model's answer.
     """
@@ -148,7 +163,7 @@ def metadata_evidence(volumes: DataFrame) -> DataFrame:
         "fic": has("Fiction", "Novel"), "poe": has("Poetry", "Poems"), "dra": has("Drama", "Tragedies", "Comedies"),
         "non": has("Biography", "Autobiography", "Catalog", "Dictionary", "Bibliographies"),
     }
-    g = F.col("maxgenre")
+    g = F.col("maxcategory")
     confirm, deny = F.lit(False), F.lit(False)
     for k, flag in strong.items():
         confirm, deny = confirm | (flag & (g == k)), deny | (flag & (g != k))

@@ -18,7 +18,7 @@ FORBIDDEN = {
     "dra": ["dictionary", "lexicon", "concordance", "proceedings", "report of", "contested election", "charges against", "catalogue", "register"],
 }
 # Tags that a tag list leaves out.
-HIDDEN_TAGS = ["NotFiction", "UnknownGenre", "ContainsBiogMaterial"]
+HIDDEN_TAGS = ["NotFiction", "UnknownCategory", "ContainsBiogMaterial"]
 FICTION_TAGS = ["Fiction", "Novel", "Short stories"]
 
 
@@ -26,7 +26,7 @@ def nonfiction(tags: Column) -> Column:
     return F.arrays_overlap(tags, F.array(*map(F.lit, NONFICTION_TAGS)))
 
 
-def genre_evidence(tags: Column, title: Column, genre: str) -> tuple[Column, Column]:
+def category_evidence(tags: Column, title: Column, category: str) -> tuple[Column, Column]:
     """Whether metadata confirm, and whether they deny, a category."""
     any_of = lambda names: F.arrays_overlap(tags, F.array(*map(F.lit, names)))
     low, non = F.lower(title), nonfiction(tags)
@@ -35,15 +35,15 @@ def genre_evidence(tags: Column, title: Column, genre: str) -> tuple[Column, Col
         "poe": (any_of(["Poetry"]) | low.contains("poems"), any_of(["Drama", "Fiction"]) | non),
         "dra": (any_of(["Drama"]) | low.contains("plays"), any_of(["Fiction", "Poetry"]) | non),
         "non": (non, any_of([*FICTION_TAGS, "Poetry", "Drama"])),
-    }[genre]
+    }[category]
 
 
 def volume_features(volumes: DataFrame) -> DataFrame:
-    """Confidence features of ``volumes(vol, maxgenre, tags, title, ...)``: a pair of 0/1 flags for each category; other columns stay."""
+    """Confidence features of ``volumes(vol, maxcategory, tags, title, ...)``: a pair of 0/1 flags for each category; other columns stay."""
     out = volumes
     for g in ("fic", "poe", "dra", "non"):
-        for name, flag in zip(("confirm", "deny"), genre_evidence(F.col("tags"), F.col("title"), g), strict=True):
-            out = out.withColumn(f"{g}_{name}", F.when((F.col("maxgenre") == g) & flag, 1).otherwise(0))
+        for name, flag in zip(("confirm", "deny"), category_evidence(F.col("tags"), F.col("title"), g), strict=True):
+            out = out.withColumn(f"{g}_{name}", F.when((F.col("maxcategory") == g) & flag, 1).otherwise(0))
     return out
 
 
@@ -93,18 +93,18 @@ def tag_list(tags: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(F.array_except(tags, F.array(*map(F.lit, HIDDEN_TAGS))), F.lower)), ";")
 
 
-def title_filter(volumes: DataFrame, genre: str) -> DataFrame:
+def title_filter(volumes: DataFrame, category: str) -> DataFrame:
     """Volumes (``score, discard, title, author``) of a collection: over the threshold, not discarded, no forbidden words; no memoirs named after their author."""
     title = F.translate(F.lower("title"), ",.", "  ")
     bad = F.lit(False)
-    for w in FORBIDDEN[genre]:
+    for w in FORBIDDEN[category]:
         bad = bad | title.contains(w)
-    if genre == "fic":
+    if category == "fic":
         words = F.split(title, r"\s+")
         names = F.filter(F.split(F.replace(F.lower("author"), F.lit(","), F.lit("")), r"\s+"), lambda x: F.length(x) > 4)
         memoir = (title.contains("memoirs") | title.contains("autobiography")) & F.arrays_overlap(names, words) & ~F.array_contains(words, "novels")
         bad = bad | memoir
-    return volumes.where((F.col("score") >= THRESHOLDS[genre]) & ~F.col("discard").eqNullSafe("x") & ~bad)
+    return volumes.where((F.col("score") >= THRESHOLDS[category]) & ~F.col("discard").eqNullSafe("x") & ~bad)
 
 
 def ringers(candidates: DataFrame, accepted: list[DataFrame]) -> DataFrame:

@@ -32,23 +32,23 @@ def micro_accuracy(pages: DataFrame, variants: dict[str, str]) -> DataFrame:
 
 
 def precision_recall(pages: DataFrame, merge: dict[str, str]) -> DataFrame:
-    """``genre, precision, recall, f1`` in percent, after merging categories; margins by one aggregation each."""
+    """``category, precision, recall, f1`` in percent, after merging categories; margins by one aggregation each."""
     m = lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in merge.items() for x in p]), F.col(c)), F.col(c))
     cells = pages.groupBy(m("truth").alias("truth"), m("pred").alias("pred")).agg(F.count("*").alias("n"))
     sides = cells.select(F.inline(F.array(
-        F.struct(F.col("truth").alias("genre"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"), F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0).alias("tp")),
-        F.struct(F.col("pred").alias("genre"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"), F.lit(0).cast("long").alias("tp")),
+        F.struct(F.col("truth").alias("category"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"), F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0).alias("tp")),
+        F.struct(F.col("pred").alias("category"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"), F.lit(0).cast("long").alias("tp")),
     )))
-    by = sides.groupBy("genre").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("tp").alias("tp"))
+    by = sides.groupBy("category").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("tp").alias("tp"))
     precision, recall = F.try_divide(100.0 * F.col("tp"), F.col("p")), F.try_divide(100.0 * F.col("tp"), F.col("t"))
-    return by.select("genre", precision.alias("precision"), recall.alias("recall"), F.try_divide(2 * precision * recall, precision + recall).alias("f1"))
+    return by.select("category", precision.alias("precision"), recall.alias("recall"), F.try_divide(2 * precision * recall, precision + recall).alias("f1"))
 
 
-def binary_counts(pages: DataFrame, genres: list[str]) -> DataFrame:
-    """``vol, genre, tp, fp, fn, tn`` in pages, and the words of tp and fp."""
-    long = pages.withColumn("genre", F.explode(F.array(*map(F.lit, genres))))
-    t, p = F.col("truth") == F.col("genre"), F.col("pred") == F.col("genre")
-    return long.groupBy("vol", "genre").agg(
+def binary_counts(pages: DataFrame, categories: list[str]) -> DataFrame:
+    """``vol, category, tp, fp, fn, tn`` in pages, and the words of tp and fp."""
+    long = pages.withColumn("category", F.explode(F.array(*map(F.lit, categories))))
+    t, p = F.col("truth") == F.col("category"), F.col("pred") == F.col("category")
+    return long.groupBy("vol", "category").agg(
         F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"),
         F.coalesce(F.sum(F.when(t & p, F.col("words"))), F.lit(0.0)).alias("tp_words"), F.coalesce(F.sum(F.when(~t & p, F.col("words"))), F.lit(0.0)).alias("fp_words"),
     )
@@ -56,43 +56,57 @@ def binary_counts(pages: DataFrame, genres: list[str]) -> DataFrame:
 
 def volume_precision(counts: DataFrame) -> DataFrame:
     """Precision of each category in each volume; null where nothing is predicted."""
-    return counts.select("vol", "genre", F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")).alias("precision"))
+    return counts.select("vol", "category", F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
 def rater_agreement(tags: DataFrame, consensus: DataFrame) -> DataFrame:
     """Per volume with several raters: the share of words on which raters say what the consensus says."""
     several = tags.groupBy("vol").agg(F.count_distinct("rater").alias("raters")).where("raters > 1")
-    own = tags.join(several, "vol").join(consensus.select("vol", "page", F.col("genre").alias("agreed")), ["vol", "page"])
-    miss = F.when(F.col("genre") != F.col("agreed"), F.col("words")).otherwise(0.0)
+    own = tags.join(several, "vol").join(consensus.select("vol", "page", F.col("category").alias("agreed")), ["vol", "page"])
+    miss = F.when(F.col("category") != F.col("agreed"), F.col("words")).otherwise(0.0)
     return own.groupBy("vol", "raters").agg(((F.sum("words") - F.sum(miss)) / F.sum("words")).alias("agreement"))
 
 
 def rater_consensus(tags: DataFrame) -> DataFrame:
     """The commonest tag of each page; ties go to the tag of the most experienced rater (smallest number)."""
-    counted = tags.groupBy("vol", "page", "genre").agg(F.count("*").alias("n"), F.min("rater").alias("first"))
+    counted = tags.groupBy("vol", "page", "category").agg(F.count("*").alias("n"), F.min("rater").alias("first"))
     w = Window.partitionBy("vol", "page").orderBy(F.desc("n"), "first")
-    return counted.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("vol", "page", "genre")
+    return counted.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("vol", "page", "category")
 
 
-def cascade_flags(counts: DataFrame) -> DataFrame:
-    """From ``counts(vol, n, dra, poe, fic, non)``: which corrections a volume's own predictions call for."""
+# Words of titles and tags that stand for drama or poetry, biography and fiction.
+VERSE_TITLE_WORDS = ["poems", "ballads", "poetical", "comedy", "tragedy", "plays"]
+VERSE_TAGS = ["Poetry", "Poems", "Drama", "Tragedies", "Comedies"]
+BIOGRAPHY_TAGS = ["Biography", "Autobiography"]
+FICTION_TAGS = ["Fiction", "Novel"]
+
+
+def cascade_flags(counts: DataFrame, metadata: DataFrame) -> DataFrame:
+    """From ``counts(vol, n, dra, poe, fic, non)`` and ``metadata(vol, categories, title)``: which corrections a volume calls for.
+
+    ``categories`` is separated by semicolons. Volumes without metadata have only what their own pages say.
+    """
     n = F.col("n")
-    return counts.select(
+    said = counts.join(metadata.select("vol", F.split("categories", ";").alias("tags"), F.split(F.lower("title"), r"\s+").alias("words")), "vol", "left")
+    any_of = lambda column, names: F.coalesce(F.arrays_overlap(column, F.array(*map(F.lit, names))), F.lit(False))
+    return said.select(
         "vol",
         ((F.col("fic") > 0) & (F.col("fic") < n / 3)).alias("not_fiction"),
         ((F.col("dra") > 0) & ((F.col("non") > n / 2) | (F.col("fic") > n / 2) | (F.col("poe") > n * 0.9))).alias("not_drama"),
-        (F.col("dra") + F.col("poe") > n / 2).alias("mostly_drama_poetry"),
+        ((F.col("dra") + F.col("poe") > n / 2) | any_of("tags", VERSE_TAGS) | any_of("words", VERSE_TITLE_WORDS)).alias("mostly_drama_poetry"),
+        any_of("tags", BIOGRAPHY_TAGS).alias("probably_biography"),
+        any_of("tags", FICTION_TAGS).alias("probably_fiction"),
     )
 
 
-def replace_with_next_best(pages: DataFrame, second: DataFrame, genre: str, volumes: DataFrame) -> DataFrame:
-    """In the given volumes pages of ``genre`` take their runner-up."""
+def replace_with_next_best(pages: DataFrame, second: DataFrame, category: str, volumes: DataFrame) -> DataFrame:
+    """In the given volumes pages of ``category`` take their runner-up."""
     flagged = pages.join(volumes.select("vol", F.lit(True).alias("flagged")), "vol", "left").join(second, ["vol", "page"], "left")
-    return flagged.select("vol", "page", F.when(F.col("flagged") & (F.col("genre") == genre), F.col("second")).otherwise(F.col("genre")).alias("genre"))
+    return flagged.select("vol", "page", F.when(F.col("flagged") & (F.col("category") == category), F.col("second")).otherwise(F.col("category")).alias("category"))
 
 
 def merge_models(main: DataFrame, other: DataFrame, share: float, only: str) -> DataFrame:
-    """Pages that ``main(vol, page, idx, genre, p)`` calls ``only`` take the best category of the weighted mean with ``other``; missing pages fall back to main."""
-    both = main.join(other.select("vol", "page", "genre", F.col("p").alias("q")), ["vol", "page", "genre"], "left").withColumn("mixed", F.when(F.col("q").isNull(), F.col("p")).otherwise(share * F.col("p") + (1 - share) * F.col("q")))
-    best = both.groupBy("vol", "page").agg(F.max_by("genre", F.struct("p", -F.col("idx"))).alias("main"), F.max_by("genre", F.struct("mixed", -F.col("idx"))).alias("merged"))
-    return best.select("vol", "page", F.when(F.col("main") == only, F.col("merged")).otherwise(F.col("main")).alias("genre"))
+    """Pages that ``main(vol, page, idx, category, p)`` calls ``only`` take the best category of the weighted mean with ``other``; missing pages fall back to main."""
+    both = main.join(other.select("vol", "page", "category", F.col("p").alias("q")), ["vol", "page", "category"], "left").withColumn("mixed", F.when(F.col("q").isNull(), F.col("p")).otherwise(share * F.col("p") + (1 - share) * F.col("q")))
+    best = both.groupBy("vol", "page").agg(F.max_by("category", F.struct("p", -F.col("idx"))).alias("main"), F.max_by("category", F.struct("mixed", -F.col("idx"))).alias("merged"))
+    return best.select("vol", "page", F.when(F.col("main") == only, F.col("merged")).otherwise(F.col("main")).alias("category"))

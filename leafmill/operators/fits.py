@@ -87,9 +87,9 @@ def fractional_logit(volumes: DataFrame, features: list[str], label: str) -> Dat
     return model.transform(assembled).drop("features")
 
 
-def support_vector(train: DataFrame, genre: str, c: float = 1.4):
+def support_vector(train: DataFrame, category: str, c: float = 1.4):
     """A linear support vector model of one category, and a logistic calibration of its margin."""
-    own = train.withColumn("is", (F.col("genre") == genre).cast("double"))
+    own = train.withColumn("is", (F.col("category") == category).cast("double"))
     svc = LinearSVC(labelCol="is", regParam=1.0 / (c * max(1, own.count())), maxIter=50).fit(own)
     margin = VectorAssembler(inputCols=["margin"], outputCol="m").transform(svc.transform(own).withColumn("margin", vector_to_array("rawPrediction")[1]).drop("prediction", "rawPrediction"))
     return svc, LogisticRegression(labelCol="is", featuresCol="m").fit(margin)

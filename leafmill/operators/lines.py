@@ -71,9 +71,10 @@ def tokens(lines: DataFrame) -> DataFrame:
     return own.select(*PAGE, "line", F.posexplode(words.tokens_of(F.col("text"))).alias("pos", "token"))
 
 
-def word_counts(tokens: DataFrame) -> DataFrame:
-    """``vol, page, word, n``; tokens without letters and digits are left out."""
-    return tokens.where(~words.no_alphanumeric(F.col("token"))).groupBy(*PAGE, F.lower("token").alias("word")).agg(F.count("*").alias("n"))
+def word_counts(tokens: DataFrame, with_caps: bool = False) -> DataFrame:
+    """``vol, page, word, n``; tokens without letters and digits are left out. With ``with_caps`` also ``caps``: those in capitals."""
+    caps = [F.count_if(words.case_of(F.col("token")) == "upper").alias("caps")] * with_caps
+    return tokens.where(~words.no_alphanumeric(F.col("token"))).groupBy(*PAGE, F.lower("token").alias("word")).agg(F.count("*").alias("n"), *caps)
 
 
 def lexicon_of(tokens: DataFrame, least: int) -> DataFrame:
@@ -91,7 +92,7 @@ def normal_form(tokens: DataFrame, lexicon: DataFrame, personal: DataFrame, plac
     number, capital = words.number_class(F.col("plain")), F.col("case").isin("title", "upper")
     return t.select(
         *PAGE, "line", "pos", "token", "case",
-        F.when((F.col("word") != "") & F.col("word").rlike(ROMAN), "romannumeral")
+        F.when(roman_numeral(F.col("word")), "romannumeral")
         .when(number.isNotNull(), number)
         .when(capital & F.col("personal").isNotNull(), "personalname")
         .when(capital & F.col("place").isNotNull(), "placename")
@@ -100,8 +101,9 @@ def normal_form(tokens: DataFrame, lexicon: DataFrame, personal: DataFrame, plac
     )
 
 
-#: Roman numerals below 400 in lower case, made from their rule; the empty word is none.
-ROMAN = "^c{0,3}(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
+def roman_numeral(word: Column) -> Column:
+    """Whether a lower-case word is a roman numeral from 2 to 499. ``i`` is not taken for one, as it is mostly the pronoun."""
+    return word.rlike("^(cd|c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$") & ~word.isin("", "i")
 
 
 def match_rates(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:

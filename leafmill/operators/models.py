@@ -38,10 +38,10 @@ def folds(pages: DataFrame, n: int = 5) -> DataFrame:
     return pages.sparkSession.createDataFrame(dealt, T.StructType([vols.schema["vol"], T.StructField("fold", T.IntegerType())]))
 
 
-def one_vs_all(train: DataFrame, genres: list[str], ridge: float = 0.002, iterations: int = 100) -> dict:
-    """A ridge logistic model for each category over ``features`` and ``genre``; their probabilities are not renormalised."""
+def one_vs_all(train: DataFrame, categories: list[str], ridge: float = 0.002, iterations: int = 100) -> dict:
+    """A ridge logistic model for each category over ``features`` and ``category``; their probabilities are not renormalised."""
     fit = LogisticRegression(regParam=ridge, elasticNetParam=0.0, maxIter=iterations, labelCol="is")
-    return {g: fit.fit(train.withColumn("is", (F.col("genre") == g).cast("double"))) for g in genres}
+    return {g: fit.fit(train.withColumn("is", (F.col("category") == g).cast("double"))) for g in categories}
 
 
 def score(models: dict, pages: DataFrame) -> DataFrame:
@@ -54,13 +54,13 @@ def score(models: dict, pages: DataFrame) -> DataFrame:
     return out.withColumn("probs", F.array(*probs)).withColumn("raw", F.element_at(F.array(*[F.lit(g) for g in models]), best)).drop(*[f"_p{i}" for i in range(len(models))])
 
 
-def cross_validate(pages: DataFrame, genres: list[str], n: int = 5, extra: DataFrame | None = None) -> DataFrame:
+def cross_validate(pages: DataFrame, categories: list[str], n: int = 5, extra: DataFrame | None = None) -> DataFrame:
     """Each fold scored by models of the other folds, and of the ``extra`` rows, which are never scored."""
     dealt, out = pages.join(folds(pages, n), "vol").cache(), None
     for k in range(n):
         train = dealt.where(F.col("fold") != k).drop("fold")
         train = train.unionByName(extra) if extra is not None else train
-        part = score(one_vs_all(train, genres), dealt.where(F.col("fold") == k))
+        part = score(one_vs_all(train, categories), dealt.where(F.col("fold") == k))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -70,37 +70,37 @@ def forest(train: DataFrame, trees: int = 500, per_split: int = 22, seed: int =
     return RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(per_split), seed=seed).fit(train)
 
 
-def all_vs_all(train: DataFrame, genres: list[str], ridge: float = 0.002, iterations: int = 50) -> dict:
+def all_vs_all(train: DataFrame, categories: list[str], ridge: float = 0.002, iterations: int = 50) -> dict:
     """A ridge logistic model for each pair of categories, on their rows only."""
     fit = LogisticRegression(regParam=ridge, elasticNetParam=0.0, maxIter=iterations, labelCol="is")
-    pairs = [(a, b) for i, a in enumerate(genres) for b in genres[i + 1 :]]
-    return {(a, b): fit.fit(train.where(F.col("genre").isin(a, b)).withColumn("is", (F.col("genre") == a).cast("double"))) for a, b in pairs}
+    pairs = [(a, b) for i, a in enumerate(categories) for b in categories[i + 1 :]]
+    return {(a, b): fit.fit(train.where(F.col("category").isin(a, b)).withColumn("is", (F.col("category") == a).cast("double"))) for a, b in pairs}
 
 
-def score_pairs(models: dict, genres: list[str], pages: DataFrame) -> DataFrame:
+def score_pairs(models: dict, categories: list[str], pages: DataFrame) -> DataFrame:
     """``pages`` with ``probs``: each category's positive probabilities summed over its pairs and normalised; ``raw`` the best."""
     out = pages
     for i, m in enumerate(models.values()):
         out = m.setProbabilityCol(f"_p{i}").setPredictionCol(f"_y{i}").setRawPredictionCol(f"_r{i}").transform(out).withColumn(f"_p{i}", vector_to_array(f"_p{i}")[1]).drop(f"_r{i}", f"_y{i}")
-    sums = [sum((F.col(f"_p{i}") if a == g else 1 - F.col(f"_p{i}")) for i, (a, b) in enumerate(models) if g in (a, b)) for g in genres]
+    sums = [sum((F.col(f"_p{i}") if a == g else 1 - F.col(f"_p{i}")) for i, (a, b) in enumerate(models) if g in (a, b)) for g in categories]
     total = sum(sums)
     probs = F.array(*[s / total for s in sums])
     out = out.withColumn("probs", probs).drop(*[f"_p{i}" for i in range(len(models))])
-    return out.withColumn("raw", F.element_at(F.array(*[F.lit(g) for g in genres]), F.array_position("probs", F.array_max("probs")).cast("int")))
+    return out.withColumn("raw", F.element_at(F.array(*[F.lit(g) for g in categories]), F.array_position("probs", F.array_max("probs")).cast("int")))
 
 
-def bagged(train: DataFrame, genres: list[str], ridges: tuple[float, ...] = (0.1, 10.0, 50.0), share: float = 0.66, seed: int = 10) -> list[dict]:
+def bagged(train: DataFrame, categories: list[str], ridges: tuple[float, ...] = (0.1, 10.0, 50.0), share: float = 0.66, seed: int = 10) -> list[dict]:
     """One-vs-all models on samples with replacement, one for each ridge; score each and average."""
-    return [one_vs_all(train.sample(True, share, seed + i), genres, ridge=r, iterations=50) for i, r in enumerate(ridges)]
+    return [one_vs_all(train.sample(True, share, seed + i), categories, ridge=r, iterations=50) for i, r in enumerate(ridges)]
 
 
-def score_bagged(bags: list[dict], genres: list[str], pages: DataFrame) -> DataFrame:
+def score_bagged(bags: list[dict], categories: list[str], pages: DataFrame) -> DataFrame:
     out = pages
     for i, models in enumerate(bags):
         out = score(models, out).withColumnRenamed("probs", f"_b{i}").drop("raw")
-    mean = F.array(*[sum(F.get(f"_b{i}", F.lit(k)) for i in range(len(bags))) / len(bags) for k in range(len(genres))])
+    mean = F.array(*[sum(F.get(f"_b{i}", F.lit(k)) for i in range(len(bags))) / len(bags) for k in range(len(categories))])
     out = out.withColumn("probs", mean).drop(*[f"_b{i}" for i in range(len(bags))])
-    return out.withColumn("raw", F.element_at(F.array(*[F.lit(g) for g in genres]), F.array_position("probs", F.array_max("probs")).cast("int")))
+    return out.withColumn("raw", F.element_at(F.array(*[F.lit(g) for g in categories]), F.array_position("probs", F.array_max("probs")).cast("int")))
 
 
 def ensemble(models: dict[str, dict], pages: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def save(models: dict, side_tables: dict[str, DataFrame], path: str) -> None:
         t.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def load(path: str, genres: list[str]) -> dict:
+def load(path: str, categories: list[str]) -> dict:
     from pyspark.ml.classification import LogisticRegressionModel
 
-    return {g: LogisticRegressionModel.load(f"{path}/models/{g}") for g in genres}
+    return {g: LogisticRegressionModel.load(f"{path}/models/{g}") for g in categories}

@@ -13,17 +13,17 @@ def by_page():
 
 def transition_counts(pages: DataFrame) -> DataFrame:
     """``prev, next, n``: from begin over the categories to end."""
-    inner = pages.select(F.lag("genre", 1, "begin").over(by_page()).alias("prev"), F.col("genre").alias("next"))
-    last = pages.groupBy("vol").agg(F.max_by("genre", "page").alias("prev")).select("prev", F.lit("end").alias("next"))
+    inner = pages.select(F.lag("category", 1, "begin").over(by_page()).alias("prev"), F.col("category").alias("next"))
+    last = pages.groupBy("vol").agg(F.max_by("category", "page").alias("prev")).select("prev", F.lit("end").alias("next"))
     return inner.unionByName(last).groupBy("prev", "next").agg(F.count("*").alias("n"))
 
 
 def transition_probabilities(pages: DataFrame, share: float = 0.0001, added: float = 2.0) -> DataFrame:
     """``prev, next, p`` over all pairs of categories: counts plus a share of the next one's frequency plus a constant; none lead to begin."""
     counts = transition_counts(pages)
-    names = pages.select("genre").distinct().unionByName(pages.sparkSession.createDataFrame([("begin",), ("end",)], "genre string"))
+    names = pages.select("category").distinct().unionByName(pages.sparkSession.createDataFrame([("begin",), ("end",)], "category string"))
     unigrams = counts.groupBy("next").agg(F.sum("n").alias("u"))
-    spine = names.select(F.col("genre").alias("prev")).crossJoin(names.select(F.col("genre").alias("next")))  # a few categories
+    spine = names.select(F.col("category").alias("prev")).crossJoin(names.select(F.col("category").alias("next")))  # a few categories
     full = spine.join(counts, ["prev", "next"], "left").join(unigrams, "next", "left")
     raw = F.when(F.col("next") == "begin", 0.0).otherwise(F.coalesce("n", F.lit(0)) + share * F.coalesce("u", F.lit(0)) + added)
     return full.withColumn("raw", raw).select("prev", "next", (F.col("raw") / F.sum("raw").over(Window.partitionBy("prev"))).alias("p"))
@@ -69,10 +69,10 @@ def smooth(pages: DataFrame, transitions: list[list[float]], begin: list[float],
     return vols.select("vol", F.inline(F.arrays_zip(F.col("seq"), F.col("both").alias("smoothed")))).select("vol", "seq.page", "seq.words", "smoothed")
 
 
-def best_genre(probabilities: DataFrame) -> DataFrame:
-    """The most probable category of each page of ``probabilities(vol, page, idx, genre, p)``; the first of equals; ``none`` if all are 0."""
-    best = probabilities.groupBy("vol", "page").agg(F.max_by(F.struct("genre", "p"), F.struct("p", -F.col("idx"))).alias("b"))
-    return best.select("vol", "page", F.when(F.col("b.p") > 0, F.col("b.genre")).otherwise("none").alias("genre"), F.col("b.p").alias("p"))
+def best_category(probabilities: DataFrame) -> DataFrame:
+    """The most probable category of each page of ``probabilities(vol, page, idx, category, p)``; the first of equals; ``none`` if all are 0."""
+    best = probabilities.groupBy("vol", "page").agg(F.max_by(F.struct("category", "p"), F.struct("p", -F.col("idx"))).alias("b"))
+    return best.select("vol", "page", F.when(F.col("b.p") > 0, F.col("b.category")).otherwise("none").alias("category"), F.col("b.p").alias("p"))
 
 
 def max_and_gap(probabilities: DataFrame) -> DataFrame:
@@ -86,59 +86,59 @@ def max_and_gap(probabilities: DataFrame) -> DataFrame:
 
 def flips(pages: DataFrame) -> DataFrame:
     """Changes of category per volume; the first page is one."""
-    return pages.withColumn("flip", ~F.col("genre").eqNullSafe(F.lag("genre").over(by_page()))).groupBy("vol").agg(F.count_if("flip").alias("flips"))
+    return pages.withColumn("flip", ~F.col("category").eqNullSafe(F.lag("category").over(by_page()))).groupBy("vol").agg(F.count_if("flip").alias("flips"))
 
 
 def transitions_between(pages: DataFrame, before: list[str], after: list[str]) -> DataFrame:
-    hit = F.lag("genre").over(by_page()).isin(before) & F.col("genre").isin(after)
+    hit = F.lag("category").over(by_page()).isin(before) & F.col("category").isin(after)
     return pages.withColumn("hit", hit).groupBy("vol").agg(F.count_if("hit").alias("n"))
 
 
 def runs(pages: DataFrame) -> DataFrame:
-    """``vol, run, genre, start, length`` of runs of one category."""
-    new = F.when(F.col("genre").eqNullSafe(F.lag("genre").over(by_page())), 0).otherwise(1)
+    """``vol, run, category, start, length`` of runs of one category."""
+    new = F.when(F.col("category").eqNullSafe(F.lag("category").over(by_page())), 0).otherwise(1)
     numbered = pages.withColumn("new", new).withColumn("run", F.sum("new").over(by_page()))
-    return numbered.groupBy("vol", "run", "genre").agg(F.min("page").alias("start"), F.count("*").alias("length"))
+    return numbered.groupBy("vol", "run", "category").agg(F.min("page").alias("start"), F.count("*").alias("length"))
 
 
 def coalesce_runs(pages: DataFrame, longest: int = 2) -> DataFrame:
     """Pages in which a run of at most ``longest`` between two longer runs of one other category takes that category."""
     w = Window.partitionBy("vol").orderBy("run")
     r = runs(pages)
-    before, after = F.lag(F.struct("genre", "length")).over(w), F.lead(F.struct("genre", "length")).over(w)
+    before, after = F.lag(F.struct("category", "length")).over(w), F.lead(F.struct("category", "length")).over(w)
     r = r.withColumn("b", before).withColumn("a", after)
-    swap = (F.col("length") <= longest) & (F.col("b.genre") == F.col("a.genre")) & (F.least("b.length", "a.length") > F.col("length"))
-    r = r.withColumn("genre", F.when(F.coalesce(swap, F.lit(False)), F.col("b.genre")).otherwise(F.col("genre")))
-    return r.select("vol", F.explode(F.sequence("start", F.col("start") + F.col("length").cast("int") - 1)).alias("page"), "genre")
+    swap = (F.col("length") <= longest) & (F.col("b.category") == F.col("a.category")) & (F.least("b.length", "a.length") > F.col("length"))
+    r = r.withColumn("category", F.when(F.coalesce(swap, F.lit(False)), F.col("b.category")).otherwise(F.col("category")))
+    return r.select("vol", F.explode(F.sequence("start", F.col("start") + F.col("length").cast("int") - 1)).alias("page"), "category")
 
 
-def genre_counts(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("vol", "genre").agg(F.count("*").alias("n"))
+def category_counts(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("vol", "category").agg(F.count("*").alias("n"))
 
 
-def largest_genre(pages: DataFrame) -> DataFrame:
+def largest_category(pages: DataFrame) -> DataFrame:
     """The commonest category of a volume; ties go to the name that sorts last."""
-    return genre_counts(pages).groupBy("vol").agg(F.max_by("genre", F.struct("n", "genre")).alias("maxgenre"), F.max("n").alias("n"))
+    return category_counts(pages).groupBy("vol").agg(F.max_by("category", F.struct("n", "category")).alias("maxcategory"), F.max("n").alias("n"))
 
 
 def mean_probabilities(models: DataFrame) -> DataFrame:
-    """Of ``models(model, vol, page, genre, p)``: each model's probabilities normalised, then their mean."""
+    """Of ``models(model, vol, page, category, p)``: each model's probabilities normalised, then their mean."""
     own = models.withColumn("p", F.try_divide("p", F.sum("p").over(Window.partitionBy("model", "vol", "page"))))
-    total = own.groupBy("vol", "page", "genre").agg(F.sum("p").alias("p"))
+    total = own.groupBy("vol", "page", "category").agg(F.sum("p").alias("p"))
     return total.withColumn("p", F.try_divide("p", F.sum("p").over(Window.partitionBy("vol", "page"))))
 
 
 def consensus(votes: DataFrame, means: DataFrame) -> DataFrame:
-    """``vol, page, genre, dissent``: most votes; ties to the best mean probability, then by name."""
-    counted = votes.groupBy("vol", "page", "genre").agg(F.count("*").alias("votes"))
-    best = means.groupBy("vol", "page").agg(F.max_by("genre", F.struct("p", "genre")).alias("favourite"))
-    ranked = counted.join(best, ["vol", "page"], "left").withColumn("bonus", F.when(F.col("genre") == F.col("favourite"), 1).otherwise(0))
+    """``vol, page, category, dissent``: most votes; ties to the best mean probability, then by name."""
+    counted = votes.groupBy("vol", "page", "category").agg(F.count("*").alias("votes"))
+    best = means.groupBy("vol", "page").agg(F.max_by("category", F.struct("p", "category")).alias("favourite"))
+    ranked = counted.join(best, ["vol", "page"], "left").withColumn("bonus", F.when(F.col("category") == F.col("favourite"), 1).otherwise(0))
     w = Window.partitionBy("vol", "page")
-    ranked = ranked.withColumn("rank", F.row_number().over(w.orderBy(F.desc("votes"), F.desc("bonus"), "genre"))).withColumn("all", F.sum("votes").over(w))
-    return ranked.where("rank = 1").select("vol", "page", "genre", ((F.col("all") - F.col("votes")) / F.col("all")).alias("dissent"))
+    ranked = ranked.withColumn("rank", F.row_number().over(w.orderBy(F.desc("votes"), F.desc("bonus"), "category"))).withColumn("all", F.sum("votes").over(w))
+    return ranked.where("rank = 1").select("vol", "page", "category", ((F.col("all") - F.col("votes")) / F.col("all")).alias("dissent"))
 
 
 def runner_up(probabilities: DataFrame, chosen: DataFrame) -> DataFrame:
     """The most probable category other than the chosen one."""
-    other = probabilities.join(chosen.select("vol", "page", F.col("genre").alias("chosen")), ["vol", "page"]).where(F.col("genre") != F.col("chosen"))
-    return other.groupBy("vol", "page").agg(F.max_by("genre", F.struct("p", "genre")).alias("second"))
+    other = probabilities.join(chosen.select("vol", "page", F.col("category").alias("chosen")), ["vol", "page"]).where(F.col("category") != F.col("chosen"))
+    return other.groupBy("vol", "page").agg(F.max_by("category", F.struct("p", "category")).alias("second"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators import lines as L
+from leafmill.sources.staged import written
+
 OTHER = "wordNotInVocab"
 PAGE = ["vol", "page"]
 
@@ -19,6 +24,27 @@ CONVERSIONS = {
 FORCED_WORDS = ["index", "glossary", "argument", "biographical", "memoir", "memoirs", "autobiography", "dramatis", "personae", "contents", "table", "arabicprice", "appendix", "preface", "ode", "scene"]
 
 
+def page_features(lines: DataFrame, lexicon: DataFrame, names: DataFrame) -> DataFrame:
+    """``features`` of pages from ``lines(vol, page, line, text)``: their words, and what lines and capitals say, under ``#`` names.
+
+    ``lexicon(word)`` and ``names(word)`` tell which lines begin with a name.
+    """
+
+    def long(wide: DataFrame, *names: str) -> DataFrame:
+        return wide.select(*PAGE, F.inline(F.array(*[F.struct(F.lit("#" + c).alias("feature"), F.col(c).cast("long").alias("count")) for c in names])))
+
+    words = written(L.word_counts(L.tokens(lines), with_caps=True), "word-counts")
+    parts = [
+        words.select(*PAGE, F.col("word").alias("feature"), F.col("n").alias("count")),
+        long(words.groupBy(*PAGE).agg(F.sum("caps").alias("allcapswords")), "allcapswords"),
+        long(L.structure_counts(lines), "lines", "textlines", "caplines", "commas", "exclamationpoints", "questionmarks", "endwpunct", "endwnumeral"),
+        long(L.initials(lines), "maxinitial", "maxpair"),
+        long(L.line_starts(lines, lexicon, names), "startwname", "startwrubric"),
+        long(L.capital_runs(lines), "sequentialcaps"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fold_vocabulary(features: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Words outside ``vocabulary(word)`` become one catch-all feature of their page, with counts summed."""
     known = features.join(vocabulary.select(F.col("word").alias("feature"), F.lit(True).alias("known")), "feature", "left")
@@ -37,14 +63,17 @@ def volume_totals(features: DataFrame) -> DataFrame:
 
 
 def relative_frequencies(features: DataFrame) -> DataFrame:
-    """Each word's share of its page's words, of which there are at least 0.0001."""
+    """Each word's count and share of its page's words, of which there are at least 0.0001."""
     own = features.where((F.col("page") >= 0) & ~F.col("feature").startswith("#"))
     total = 0.0001 + F.sum("count").over(Window.partitionBy(*PAGE))
-    return own.select(*PAGE, "feature", (F.col("count") / total).alias("share"))
+    return own.select(*PAGE, "feature", "count", (F.col("count") / total).alias("share"))
 
 
-def structural_features(features: DataFrame) -> DataFrame:
-    """The structural features of each page in one aggregation and one join with the totals of its volume."""
+def structural_features(features: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """The 26 structural features of each page in one aggregation and one join with the totals of its volume.
+
+    ``evidence(vol, biography, fiction)`` gives the last two; volumes without have 0 there.
+    """
     f, n = F.col("feature"), F.col("count")
     value = lambda name, least=0.0: F.coalesce(F.max(F.when(f == name, n)).cast("double"), F.lit(least))
     word = ~f.startswith("#")
@@ -54,6 +83,10 @@ def structural_features(features: DataFrame) -> DataFrame:
         *[value("#" + x).alias(x) for x in ("allcapswords", "maxinitial", "maxpair", "commas", "exclamationpoints", "questionmarks", "endwpunct", "endwnumeral", "startwname", "startwrubric", "sequentialcaps")],
     )
     page = page.withColumn("T", F.when(F.col("T0") < 0.1, 0.001).otherwise(F.col("T0"))).join(volume_totals(features), "vol")
+    if evidence is None:
+        page = page.withColumns({x: F.lit(None).cast("boolean") for x in ("biography", "fiction")})
+    else:
+        page = page.join(evidence.select("vol", "biography", "fiction"), "vol", "left")
     e = F.expr
     type_token = "(types + 1) / (W + 1.5)"
     return page.select(
@@ -63,7 +96,7 @@ def structural_features(features: DataFrame) -> DataFrame:
         e("(maxpair + 0.1) / (T + 0.5)").alias("max_pair_ratio"), e("W / T").alias("words_per_line"), e("W").alias("total_words"), e(type_token).alias("type_token"), e("commas / W").alias("commas_norm"),
         e("T / L").alias("textlines_per_line"), e(f"pow({type_token}, 2)").alias("type_token_squared"), e("exclamationpoints / W").alias("exclamations_norm"), e("questionmarks / W").alias("questions_norm"),
         e("(endwpunct + 0.1) / (T + 0.3)").alias("end_with_punct"), e("(endwnumeral + 0.01) / (T + 0.2)").alias("end_with_num"), e("startwname / T").alias("start_with_name"), e("startwrubric / T").alias("start_with_rubric"),
-        e("sequentialcaps").alias("cap_sequence"), e("(sequentialcaps + 0.2) / (C + 2)").alias("cap_seq_norm"), e(f"{type_token} * ln(W + 50)").alias("log_type_token"), e("abs(W - mean_words) / mean_words").alias("abs_word_ratio"),
+        e("sequentialcaps").alias("cap_sequence"), e("(sequentialcaps + 0.2) / (C + 2)").alias("cap_seq_norm"), e(f"{type_token} * ln(W + 50)").alias("log_type_token"), e("abs(W - mean_words) / mean_words").alias("abs_word_ratio"), *[F.coalesce(F.col(x).cast("int"), F.lit(0)).alias(f"meta_{x}") for x in ("biography", "fiction")],
     )
 
 
@@ -81,32 +114,32 @@ def magnitude(vector):
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
-def fold_genres(frame: DataFrame, column: str = "genre", separate: dict[str, str] | None = None) -> DataFrame:
+def fold_categories(frame: DataFrame, column: str = "category", separate: dict[str, str] | None = None) -> DataFrame:
     """Codes in ``column`` folded into broad categories; ``separate`` overrides the table."""
     table = CONVERSIONS | (separate or {})
     pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     return frame.withColumn(column, F.coalesce(F.try_element_at(pairs, F.col(column)), F.col(column)))
 
 
-def select_vocabulary(features: DataFrame, truth: DataFrame, per_genre: int = 500, total: int = 2000, cap: int = 3) -> DataFrame:
+def select_vocabulary(features: DataFrame, truth: DataFrame, per_category: int = 500, total: int = 2000, cap: int = 3) -> DataFrame:
     """``word, n``: the commonest words of each category, counted up to ``cap`` on a page, and the forced ones.
 
     Ties go to the larger word. The last page of a volume is left out.
     """
     last = features.groupBy("vol").agg(F.max("page").alias("last"))
     own = features.join(last, "vol").where((F.col("page") >= 0) & (F.col("page") < F.col("last")) & ~F.col("feature").startswith("#")).join(truth, PAGE)
-    counts = own.groupBy("genre", F.col("feature").alias("word")).agg(F.sum(F.least("count", F.lit(cap))).alias("n"))
-    best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("genre").orderBy(F.desc("n"), F.desc("word")))).where(F.col("rank") <= per_genre)
+    counts = own.groupBy("category", F.col("feature").alias("word")).agg(F.sum(F.least("count", F.lit(cap))).alias("n"))
+    best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), F.desc("word")))).where(F.col("rank") <= per_category)
     chosen = best.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("word")).limit(total)
     forced = features.sparkSession.createDataFrame([(w,) for w in FORCED_WORDS], "word string")
     return chosen.unionByName(forced.join(chosen, "word", "left_anti").withColumn("n", F.lit(0).cast("long")))
 
 
-def genre_order(truth: DataFrame, position: str) -> DataFrame:
-    """``idx, genre``: begin, end, then the categories by first appearance."""
-    first = truth.groupBy("genre").agg(F.min(position).alias("first"))
-    order = first.withColumn("idx", F.row_number().over(Window.orderBy("first", "genre")) + 1).select("idx", "genre")
-    return truth.sparkSession.createDataFrame([(0, "begin"), (1, "end")], "idx int, genre string").unionByName(order)
+def category_order(truth: DataFrame, position: str) -> DataFrame:
+    """``idx, category``: begin, end, then the categories by first appearance."""
+    first = truth.groupBy("category").agg(F.min(position).alias("first"))
+    order = first.withColumn("idx", F.row_number().over(Window.orderBy("first", "category")) + 1).select("idx", "category")
+    return truth.sparkSession.createDataFrame([(0, "begin"), (1, "end")], "idx int, category string").unionByName(order)
 
 
 # The tags that stand for each kind of evidence.
@@ -114,8 +147,8 @@ EVIDENCE_TAGS = {"biography": ["Biography", "Autobiography"], "fiction": ["Ficti
 
 
 def tag_evidence(volumes: DataFrame, metadata: DataFrame) -> DataFrame:
-    """A flag for each kind of tag in ``metadata(vol, genres)`` (``;``-separated); all false for volumes without metadata."""
-    tags = F.split("genres", ";")
+    """A flag for each kind of tag in ``metadata(vol, categories)`` (``;``-separated); all false for volumes without metadata."""
+    tags = F.split("categories", ";")
     flags = [F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, names))), F.lit(False)).alias(kind) for kind, names in EVIDENCE_TAGS.items()]
     return volumes.join(metadata, "vol", "left").select("vol", *flags)
 

@@ -17,58 +17,58 @@ from leafmill.sources.tables import event_pages, event_probabilities, table
 
 def vectors(spark, d):
     e = table(spark, d, "embeddings").where("embedding IS NOT NULL AND label IS NOT NULL")
-    return e.select(F.expr("vec_id div 25").alias("vol"), (F.col("vec_id") % 25).cast("int").alias("page"), array_to_vector("embedding").alias("features"), (F.col("label") % 4).cast("string").alias("genre"), F.lit(10).alias("words"))
+    return e.select(F.expr("vec_id div 25").alias("vol"), (F.col("vec_id") % 25).cast("int").alias("page"), array_to_vector("embedding").alias("features"), (F.col("label") % 4).cast("string").alias("category"), F.lit(10).alias("words"))
 
 
-GENRES = ["0", "1", "2", "3"]
+CATEGORIES = ["0", "1", "2", "3"]
 
 
 def shown(scored):
     """Predictions with probabilities rounded, so that runs can be compared."""
-    return scored.select("vol", "page", "genre", "raw", F.transform("probs", lambda x: F.round(x, 4)).alias("probs"))
+    return scored.select("vol", "page", "category", "raw", F.transform("probs", lambda x: F.round(x, 4)).alias("probs"))
 
 
 @query("m1_m12_one_vs_all")
 def m1(spark, d):
     pages = vectors(spark, d)
-    return shown(models.score(models.one_vs_all(pages, GENRES), pages))
+    return shown(models.score(models.one_vs_all(pages, CATEGORIES), pages))
 
 
 @query("m2_all_vs_all")
 def m2(spark, d):
     pages = vectors(spark, d)
-    return shown(models.score_pairs(models.all_vs_all(pages, GENRES), GENRES, pages))
+    return shown(models.score_pairs(models.all_vs_all(pages, CATEGORIES), CATEGORIES, pages))
 
 
 @query("m3_bagged")
 def m3(spark, d):
     pages = vectors(spark, d)
-    return shown(models.score_bagged(models.bagged(pages, GENRES), GENRES, pages))
+    return shown(models.score_bagged(models.bagged(pages, CATEGORIES), CATEGORIES, pages))
 
 
 @query("m4_m5_forests")
 def m4(spark, d):
-    pages = vectors(spark, d).withColumn("label", F.col("genre").cast("double"))
+    pages = vectors(spark, d).withColumn("label", F.col("category").cast("double"))
     scored = models.forest(pages, trees=50).transform(pages)
-    return scored.select("vol", "page", "genre", F.col("prediction").cast("int").cast("string").alias("raw"))
+    return scored.select("vol", "page", "category", F.col("prediction").cast("int").cast("string").alias("raw"))
 
 
 @query("m6_support_vectors")
 def m6(spark, d):
     pages = vectors(spark, d)
-    return fits.score_support_vector(fits.support_vector(pages, "0"), pages).select("vol", "page", "genre", F.round("p", 3).alias("p"))
+    return fits.score_support_vector(fits.support_vector(pages, "0"), pages).select("vol", "page", "category", F.round("p", 3).alias("p"))
 
 
 @query("m9_m10_cross_validation")
 def m9(spark, d):
     pages = vectors(spark, d)
-    return shown(models.cross_validate(pages.where("vol % 6 <> 5"), GENRES, n=3, extra=pages.where("vol % 6 = 5")))
+    return shown(models.cross_validate(pages.where("vol % 6 <> 5"), CATEGORIES, n=3, extra=pages.where("vol % 6 = 5")))
 
 
 @query("m11_m13_m14_ensemble")
 def m13(spark, d):
     pages = vectors(spark, d)
-    fitted = {"early": models.one_vs_all(pages.where("vol % 2 = 0"), GENRES, iterations=50), "late": models.one_vs_all(pages.where("vol % 2 = 1"), GENRES, iterations=50)}
+    fitted = {"early": models.one_vs_all(pages.where("vol % 2 = 0"), CATEGORIES, iterations=50), "late": models.one_vs_all(pages.where("vol % 2 = 1"), CATEGORIES, iterations=50)}
     scored = models.batch(lambda p: models.ensemble(fitted, p), pages)
     years = pages.select("vol").distinct().withColumn("year", (F.col("vol") % 40 + 1880).cast("int"))
     return models.by_date(scored, years, "early", "late").select("vol", "page", "model", "raw")
@@ -107,25 +107,25 @@ def o8(spark, d):
 def o13(spark, d):
     s, curves = scored_of(spark, d), None
     for g in ("fic", "poe", "dra"):
-        c = O.overall_curve(s.where(F.col("maxgenre") == g)).select(F.lit(g).alias("curve"), "idx", F.col("precision").alias("y"))
+        c = O.overall_curve(s.where(F.col("maxcategory") == g)).select(F.lit(g).alias("curve"), "idx", F.col("precision").alias("y"))
         curves = c if curves is None else curves.unionByName(c)
     return fits.smooth_curves(curves)
 
 
-E11_SQL = "WITH " + VOLUMES + """, m AS (SELECT vol, maxgenre, tags, CASE WHEN vol % 10 < 8 THEN CAST(vol * 7 % 101 AS DOUBLE) END AS non, CAST(vol * 11 % 103 AS DOUBLE) AS bio, CAST(vol * 13 % 107 AS DOUBLE) AS poe, CAST(vol * 17 % 109 AS DOUBLE) AS dra, CAST(vol * 19 % 113 AS DOUBLE) AS fic FROM volumes),
+E11_SQL = "WITH " + VOLUMES + """, m AS (SELECT vol, maxcategory, tags, CASE WHEN vol % 10 < 8 THEN CAST(vol * 7 % 101 AS DOUBLE) END AS non, CAST(vol * 11 % 103 AS DOUBLE) AS bio, CAST(vol * 13 % 107 AS DOUBLE) AS poe, CAST(vol * 17 % 109 AS DOUBLE) AS dra, CAST(vol * 19 % 113 AS DOUBLE) AS fic FROM volumes),
 b AS (SELECT *, list_has_any(tags, ['Fiction', 'Novel']) AS f, list_has_any(tags, ['Poetry', 'Poems']) AS p, list_has_any(tags, ['Drama', 'Tragedies', 'Comedies']) AS d, list_has_any(tags, ['Biography', 'Autobiography', 'Catalog', 'Dictionary', 'Bibliographies']) AS n,
   CASE list_max([(non, 'non'), (bio, 'bio'), (poe, 'poe'), (dra, 'dra'), (fic, 'fic')])[2] WHEN 'bio' THEN 'non' ELSE list_max([(non, 'non'), (bio, 'bio'), (poe, 'poe'), (dra, 'dra'), (fic, 'fic')])[2] END AS best FROM m)
-SELECT vol, CAST(list_contains(tags, 'Not fiction') AND maxgenre = 'non' AS INTEGER) AS weak_confirmation, CAST(list_contains(tags, 'Not fiction') AND maxgenre = 'fic' AS INTEGER) AS weak_denial,
-  CAST((f AND maxgenre = 'fic') OR (p AND maxgenre = 'poe') OR (d AND maxgenre = 'dra') OR (n AND maxgenre = 'non') AS INTEGER) AS strong_confirmation,
-  CAST((f AND maxgenre <> 'fic') OR (p AND maxgenre <> 'poe') OR (d AND maxgenre <> 'dra') OR (n AND maxgenre <> 'non') AS INTEGER) AS strong_denial,
-  CAST(non IS NOT NULL AND best = maxgenre AS INTEGER) AS model_agrees, CAST(non IS NOT NULL AND best <> maxgenre AS INTEGER) AS model_disagrees FROM b"""
+SELECT vol, CAST(list_contains(tags, 'Not fiction') AND maxcategory = 'non' AS INTEGER) AS weak_confirmation, CAST(list_contains(tags, 'Not fiction') AND maxcategory = 'fic' AS INTEGER) AS weak_denial,
+  CAST((f AND maxcategory = 'fic') OR (p AND maxcategory = 'poe') OR (d AND maxcategory = 'dra') OR (n AND maxcategory = 'non') AS INTEGER) AS strong_confirmation,
+  CAST((f AND maxcategory <> 'fic') OR (p AND maxcategory <> 'poe') OR (d AND maxcategory <> 'dra') OR (n AND maxcategory <> 'non') AS INTEGER) AS strong_denial,
+  CAST(non IS NOT NULL AND best = maxcategory AS INTEGER) AS model_agrees, CAST(non IS NOT NULL AND best <> maxcategory AS INTEGER) AS model_disagrees FROM b"""
 
 
 @query("e11_metadata_evidence", E11_SQL)
 def e11(spark, d):
     v = volumes_of(spark, d)
     p = lambda a, b: (F.col("vol") * a % b).cast("double")
-    v = v.select("vol", "maxgenre", "tags", F.when(F.col("vol") % 10 < 8, p(7, 101)).alias("non"), p(11, 103).alias("bio"), p(13, 107).alias("poe"), p(17, 109).alias("dra"), p(19, 113).alias("fic"))
+    v = v.select("vol", "maxcategory", "tags", F.when(F.col("vol") % 10 < 8, p(7, 101)).alias("non"), p(11, 103).alias("bio"), p(13, 107).alias("poe"), p(17, 109).alias("dra"), p(19, 113).alias("fic"))
     return C.metadata_evidence(v)
 
 
@@ -141,13 +141,13 @@ def b4(spark, d):
 
 
 
-@query("v1_tag_evidence", "WITH " + VOLUMES + ", m AS (SELECT vol, array_to_string(tags, ';') AS genres FROM volumes WHERE vol % 3 <> 0), s AS (SELECT v.vol, string_split(genres, ';') AS tags FROM volumes v LEFT JOIN m ON m.vol = v.vol)"
+@query("v1_tag_evidence", "WITH " + VOLUMES + ", m AS (SELECT vol, array_to_string(tags, ';') AS categories FROM volumes WHERE vol % 3 <> 0), s AS (SELECT v.vol, string_split(categories, ';') AS tags FROM volumes v LEFT JOIN m ON m.vol = v.vol)"
        " SELECT vol, coalesce(list_has_any(tags, ['Biography', 'Autobiography']), FALSE) AS biography, coalesce(list_has_any(tags, ['Fiction', 'Novel']), FALSE) AS fiction, coalesce(list_has_any(tags, ['Poetry', 'Poems']), FALSE) AS poetry, coalesce(list_has_any(tags, ['Drama', 'Tragedies', 'Comedies']), FALSE) AS drama FROM s")
 def v1(spark, d):
     from leafmill.operators.vectors import tag_evidence
 
     v = volumes_of(spark, d)
-    return tag_evidence(v.select("vol"), v.where("vol % 3 <> 0").select("vol", F.array_join("tags", ";").alias("genres")))
+    return tag_evidence(v.select("vol"), v.where("vol % 3 <> 0").select("vol", F.array_join("tags", ";").alias("categories")))
 
 
 @query("v9_dense_vectors")

@@ -7,16 +7,32 @@ from pyspark.sql import functions as F
 from leafmill.operators import lines as L
 from leafmill.operators import sequence as S
 from leafmill.operators import vectors as V
-from leafmill.plans.registry import EVENT_PAGES, PREDICTIONS, VOL_PAGES, WORD_COUNTS, query
-from leafmill.plans.text_queries import ACC, CASE
-from leafmill.sources.tables import GENRES, event_pages, event_predictions, event_probabilities, table, volume_lines, volume_pages
+from leafmill.plans.registry import EVENT_PAGES, PREDICTIONS, TOKENS, VOL_PAGES, WORD_COUNTS, query
+from leafmill.plans.text_queries import ACC, CASE, LEXICON, P, PERSONAL, STRIP, rules_of
+from leafmill.sources.staged import written
+from leafmill.sources.tables import CATEGORIES, event_pages, event_predictions, event_probabilities, table, volume_lines, volume_pages
 
 STRUCTURE = r""", st AS (SELECT vol, page, count(*) AS lines, count(*) FILTER (WHERE length(s) > 1) AS textlines, count(*) FILTER (WHERE regexp_matches(s, '^\p{Lu}')) AS caplines,
-  sum(length(s) - length(replace(s, ',', ''))) AS commas FROM acc GROUP BY vol, page),
-caps AS (SELECT vol, page, count(*) FILTER (WHERE """ + CASE + r""" = 'upper') AS allcaps FROM tokens GROUP BY vol, page),
-features AS (SELECT vol, page, word AS feature, n AS count FROM word_counts UNION ALL SELECT vol, page, '#lines', lines FROM st UNION ALL SELECT vol, page, '#textlines', textlines FROM st
-  UNION ALL SELECT vol, page, '#caplines', caplines FROM st UNION ALL SELECT vol, page, '#commas', CAST(commas AS BIGINT) FROM st UNION ALL SELECT vol, page, '#allcapswords', allcaps FROM caps)"""
-FEATURES = WORD_COUNTS + ", acc AS" + ACC.split(", acc AS", 1)[1] + STRUCTURE
+  sum(length(s) - length(replace(s, ',', ''))) AS commas, sum(length(s) - length(replace(s, '!', ''))) AS exclamationpoints, sum(length(s) - length(replace(s, '?', ''))) AS questionmarks,
+  count(*) FILTER (WHERE regexp_matches(s, '""" + P + r"""$') AND NOT ends_with(s, '-')) AS endwpunct, count(*) FILTER (WHERE regexp_matches(s, '\p{Nd}.?$')) AS endwnumeral FROM acc GROUP BY vol, page),
+caps AS (SELECT vol, page, count(*) FILTER (WHERE """ + CASE + r""" = 'upper') AS allcapswords FROM tokens WHERE regexp_matches(token, '[\p{L}\p{Nd}]') GROUP BY vol, page),
+letters AS (SELECT vol, page, ascii(lower(substr(s, 1, 1))) AS a, count(*) AS n FROM acc WHERE regexp_matches(lower(substr(s, 1, 1)), '^[a-z]$') GROUP BY ALL),
+ini AS (SELECT c.vol, c.page, max(c.n) AS maxinitial, max(c.n + coalesce(b.n, 0)) AS maxpair FROM letters c LEFT JOIN letters b ON b.vol = c.vol AND b.page = c.page AND b.a = c.a - 1 GROUP BY c.vol, c.page),
+first AS (SELECT vol, page, split_part(s, ' ', 1) AS token FROM acc WHERE s <> ''),
+named AS (SELECT vol, page, token, lower(""" + STRIP + r""") AS word FROM first WHERE regexp_matches(token, '^\p{Lu}')),
+stn AS (SELECT vol, page, count(*) FILTER (WHERE word NOT IN (SELECT word FROM lexicon) OR word IN (SELECT word FROM personal) OR word IN ('sir', 'mr', 'm', 'miss', 'mrs', 'lord', 'lady', 'prince', 'king', 'queen')) AS startwname,
+  count(*) FILTER (WHERE ends_with(token, '.')) AS startwrubric FROM named GROUP BY vol, page),
+capital AS (SELECT vol, page, line, encode(substr(s, 1, 1)) AS cap FROM acc WHERE regexp_matches(s, '^\p{Lu}')),
+stay AS (SELECT *, cap >= coalesce(lag(cap) OVER (PARTITION BY vol, page ORDER BY line), encode('|')) AS stays FROM capital),
+caprun AS (SELECT *, sum(CASE WHEN stays THEN 0 ELSE 1 END) OVER (PARTITION BY vol, page ORDER BY line) AS run FROM stay),
+runlen AS (SELECT vol, page, run, count(*) FILTER (WHERE stays) AS n FROM caprun GROUP BY ALL),
+seqcap AS (SELECT vol, page, max(n) AS sequentialcaps FROM runlen GROUP BY vol, page),
+features AS (SELECT vol, page, word AS feature, n AS count FROM word_counts""" + "".join(
+    f" UNION ALL SELECT vol, page, '#{c}', CAST({c} AS BIGINT) FROM {t}"
+    for t, cs in {"st": ["lines", "textlines", "caplines", "commas", "exclamationpoints", "questionmarks", "endwpunct", "endwnumeral"], "caps": ["allcapswords"], "ini": ["maxinitial", "maxpair"], "stn": ["startwname", "startwrubric"], "seqcap": ["sequentialcaps"]}.items()
+    for c in cs
+) + ")"
+FEATURES = WORD_COUNTS + LEXICON[len(TOKENS) :] + PERSONAL + ", acc AS" + ACC.split(", acc AS", 1)[1] + STRUCTURE
 TOTALS = FEATURES + """, totals AS (SELECT vol, count(DISTINCT page) AS pages, max(page) AS max_page, CAST(coalesce(sum(CASE WHEN NOT starts_with(feature, '#') THEN count END), 0) AS BIGINT) AS words,
   coalesce(sum(CASE WHEN feature = '#textlines' THEN count END), 0) AS lines FROM features GROUP BY vol),
 vt AS (SELECT vol, pages, max_page, words, CASE WHEN lines = 0 THEN 1.0::DOUBLE ELSE lines / pages END AS mean_lines, CASE WHEN words = 0 THEN 1.0::DOUBLE ELSE words / pages END AS mean_words FROM totals)"""
@@ -24,15 +40,14 @@ VOCAB = ", vocab AS (SELECT feature AS word FROM features WHERE NOT starts_with(
 
 
 def features_of(spark, d):
-    """The page features of the documents in long form."""
+    """The page features of the documents in long form, written once for all that read them."""
     lines = volume_lines(spark, d)
-    tokens = L.tokens(lines)
-    from leafmill.functions import words
+    lexicon, personal, _ = rules_of(L.tokens(lines))
+    return written(V.page_features(lines, lexicon, personal), "page-features")
 
-    structure = L.structure_counts(lines)
-    structural = structure.select("vol", "page", F.inline(F.array(*[F.struct(F.lit("#" + c).alias("feature"), F.col(c).cast("long").alias("count")) for c in ("lines", "textlines", "caplines", "commas")])))
-    caps = tokens.groupBy("vol", "page").agg(F.count_if(words.case_of(F.col("token")) == "upper").alias("count")).select("vol", "page", F.lit("#allcapswords").alias("feature"), "count")
-    return L.word_counts(tokens).select("vol", "page", F.col("word").alias("feature"), F.col("n").alias("count")).unionByName(structural).unionByName(caps)
+
+def word_features_of(spark, d):
+    return L.word_counts(L.tokens(volume_lines(spark, d))).select("vol", "page", F.col("word").alias("feature"), F.col("n").alias("count"))
 
 
 def vocabulary_of(features):
@@ -52,39 +67,52 @@ def v3(spark, d):
 
 @query("v4_relative_frequencies", "WITH " + WORD_COUNTS + " SELECT vol, word, round(sum(share), 6) AS share FROM (SELECT vol, page, word, n / (0.0001::DOUBLE + sum(n) OVER (PARTITION BY vol, page)) AS share FROM word_counts) x GROUP BY vol, word HAVING sum(n_) > 3".replace("SELECT vol, page, word, n / ", "SELECT vol, page, word, n AS n_, n / "))
 def v4(spark, d):
-    shares = V.relative_frequencies(features_of(spark, d)).join(features_of(spark, d), ["vol", "page", "feature"])
+    shares = V.relative_frequencies(word_features_of(spark, d))
     return shares.groupBy("vol", F.col("feature").alias("word")).agg(F.round(F.sum("share"), 6).alias("share"), F.sum("count").alias("n")).where("n > 3").drop("n")
 
 
 @query("v4_relative_frequencies_all", "WITH " + WORD_COUNTS + " SELECT vol, word, round(sum(share), 6) AS share FROM (SELECT vol, page, word, n / (0.0001::DOUBLE + sum(n) OVER (PARTITION BY vol, page)) AS share FROM word_counts) x GROUP BY vol, word".replace("SELECT vol, page, word, n / ", "SELECT vol, page, word, n AS n_, n / "))
 def v4_all(spark, d):
-    shares = V.relative_frequencies(features_of(spark, d)).join(features_of(spark, d), ["vol", "page", "feature"])
+    shares = V.relative_frequencies(word_features_of(spark, d))
     return shares.groupBy("vol", F.col("feature").alias("word")).agg(F.round(F.sum("share"), 6).alias("share"), F.sum("count").alias("n")).drop("n")
 
 
+COUNTED = ("allcapswords", "maxinitial", "maxpair", "commas", "exclamationpoints", "questionmarks", "endwpunct", "endwnumeral", "startwname", "startwrubric", "sequentialcaps")
 V6_SQL = (
     "WITH " + TOTALS + r""", pg AS (SELECT vol, page, 0.0001::DOUBLE + coalesce(sum(CASE WHEN NOT starts_with(feature, '#') THEN count END), 0) AS W,
   sum(CASE WHEN NOT starts_with(feature, '#') THEN 1 ELSE 0 END) AS types, coalesce(max(CASE WHEN feature = '#textlines' THEN count END)::DOUBLE, 0.0001) AS T0, coalesce(max(CASE WHEN feature = '#lines' THEN count END)::DOUBLE, 0.0001) AS L,
-  coalesce(max(CASE WHEN feature = '#caplines' THEN count END)::DOUBLE, 0.0001) AS C, coalesce(max(CASE WHEN feature = '#allcapswords' THEN count END)::DOUBLE, 0) AS allcaps, coalesce(max(CASE WHEN feature = '#commas' THEN count END)::DOUBLE, 0) AS commas
+  coalesce(max(CASE WHEN feature = '#caplines' THEN count END)::DOUBLE, 0.0001) AS C, """ + ", ".join(f"coalesce(max(CASE WHEN feature = '#{c}' THEN count END)::DOUBLE, 0) AS {c}" for c in COUNTED) + r"""
   FROM features GROUP BY vol, page), p2 AS (SELECT *, CASE WHEN T0 < 0.1 THEN 0.001 ELSE T0 END AS T, (types + 1) / (W + 1.5) AS tt FROM pg)
 SELECT p.vol, page, CASE WHEN max_page = 0 THEN NULL ELSE page / max_page END AS pos_in_vol, round(T / mean_lines, 4) AS line_length_ratio, round(C / T, 4) AS cap_ratio, round(W / mean_words, 4) AS word_ratio,
-  CASE WHEN max_page = 0 THEN NULL ELSE abs(page - max_page // 2) / max_page END AS distance_from_mid, round(allcaps / W, 4) AS all_cap_ratio, round(W / T, 3) AS words_per_line, round(tt, 4) AS type_token, round(commas / W, 4) AS commas_norm, round(T / L, 4) AS textlines_per_line,
-  round(tt * ln(W + 50), 4) AS log_type_token, round(abs(W - mean_words) / mean_words, 4) AS abs_word_ratio FROM p2 p JOIN vt USING (vol)"""
+  CASE WHEN max_page = 0 THEN NULL ELSE abs(page - max_page // 2) / max_page END AS distance_from_mid, round(allcapswords / W, 4) AS all_cap_ratio, round((maxinitial + 0.2) / (T + 0.5), 4) AS max_initial_ratio, round((maxpair + 0.1) / (T + 0.5), 4) AS max_pair_ratio,
+  round(W / T, 3) AS words_per_line, round(W, 4) AS total_words, round(tt, 4) AS type_token, round(commas / W, 4) AS commas_norm, round(T / L, 4) AS textlines_per_line, round(tt * tt, 4) AS type_token_squared,
+  round(exclamationpoints / W, 4) AS exclamations_norm, round(questionmarks / W, 4) AS questions_norm, round((endwpunct + 0.1) / (T + 0.3), 4) AS end_with_punct, round((endwnumeral + 0.01) / (T + 0.2), 4) AS end_with_num,
+  round(startwname / T, 4) AS start_with_name, round(startwrubric / T, 4) AS start_with_rubric, round(sequentialcaps, 4) AS cap_sequence, round((sequentialcaps + 0.2) / (C + 2), 4) AS cap_seq_norm,
+  round(tt * ln(W + 50), 4) AS log_type_token, round(abs(W - mean_words) / mean_words, 4) AS abs_word_ratio,
+  CASE WHEN hash_ = '0' THEN 1 ELSE 0 END AS meta_biography, CASE WHEN hash_ IN ('1', '2') THEN 1 ELSE 0 END AS meta_fiction FROM (SELECT *, substr(md5(vol), 1, 1) AS hash_ FROM p2) p JOIN vt USING (vol)"""
 )
 
 
+def tags_of(volumes):
+    """Catalogue tags of volumes, picked by a digest of their names; most have none."""
+    pick = F.substring(F.md5("vol"), 1, 1)
+    return volumes.select("vol", F.when(pick == "0", "Biography;Letters").when(pick == "1", "Fiction").when(pick == "2", "Maps;Novel").alias("categories")).where("categories IS NOT NULL")
+
+
 @query("v5_v6_structural_features", V6_SQL)
 def v6(spark, d):
-    f = V.structural_features(features_of(spark, d))
-    rounded = ["line_length_ratio", "cap_ratio", "word_ratio", "all_cap_ratio", "words_per_line", "type_token", "commas_norm", "textlines_per_line", "log_type_token", "abs_word_ratio"]
-    return f.select("vol", "page", "pos_in_vol", "distance_from_mid", *[F.round(c, 3 if c == "words_per_line" else 4).alias(c) for c in rounded])
+    features = features_of(spark, d)
+    volumes = features.select("vol").distinct()
+    f = V.structural_features(features, V.tag_evidence(volumes, tags_of(volumes)))
+    exact = ("vol", "page", "pos_in_vol", "distance_from_mid", "meta_biography", "meta_fiction")
+    return f.select(*[c if c in exact else F.round(c, 3 if c == "words_per_line" else 4).alias(c) for c in f.columns])
 
 
-LONG = EVENT_PAGES + ", long AS (SELECT vol, page, genre AS feature, words AS x FROM event_pages)"
+LONG = EVENT_PAGES + ", long AS (SELECT vol, page, category AS feature, words AS x FROM event_pages)"
 
 
 def long_of(spark, d):
-    return event_pages(spark, d).select("vol", "page", F.col("genre").alias("feature"), F.col("words").alias("x"))
+    return event_pages(spark, d).select("vol", "page", F.col("category").alias("feature"), F.col("words").alias("x"))
 
 
 @query("v7_zscore_fit", "WITH " + LONG + " SELECT feature, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM long GROUP BY feature")
@@ -117,10 +145,10 @@ def v11(spark, d):
 CODES = list(V.CONVERSIONS)
 
 
-@query("v12_folded_genres", "WITH c AS (SELECT page_id, CASE page_id % 24 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CODES)) + " END AS code FROM pages) SELECT page_id, CASE code " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in V.CONVERSIONS.items()) + " ELSE code END AS genre FROM c")
+@query("v12_folded_categories", "WITH c AS (SELECT page_id, CASE page_id % 24 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CODES)) + " END AS code FROM pages) SELECT page_id, CASE code " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in V.CONVERSIONS.items()) + " ELSE code END AS category FROM c")
 def v12(spark, d):
     codes = F.array(*[F.lit(c) for c in CODES])
-    return V.fold_genres(table(spark, d, "pages").select("page_id", F.get(codes, (F.col("page_id") % 24).cast("int")).alias("genre")))
+    return V.fold_categories(table(spark, d, "pages").select("page_id", F.get(codes, (F.col("page_id") % 24).cast("int")).alias("category")))
 
 
 @query("v13_pages_with_labels", "WITH " + VOL_PAGES + " SELECT vol, count(*) AS pages, count(quality) AS labelled, CAST(sum(quality) AS BIGINT) AS good FROM vol_pages LEFT JOIN labels USING (doc_id) GROUP BY vol")
@@ -134,26 +162,26 @@ best AS (SELECT word, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORD
 chosen AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM best GROUP BY word ORDER BY n DESC, encode(word) DESC LIMIT 2000)
 SELECT word, n FROM chosen UNION ALL SELECT word, 0 FROM (SELECT unnest([""" + ", ".join(f"'{w}'" for w in V.FORCED_WORDS) + "]) AS word) f WHERE word NOT IN (SELECT word FROM chosen)")
 def v14(spark, d):
-    truth = volume_pages(spark, d).select("vol", "page", F.col("lang").alias("genre"))
+    truth = volume_pages(spark, d).select("vol", "page", F.col("lang").alias("category"))
     return V.select_vocabulary(features_of(spark, d), truth)
 
 
-@query("v15_genre_order", "WITH " + EVENT_PAGES + " SELECT CAST(row_number() OVER (ORDER BY min(event_id), genre) + 1 AS INTEGER) AS idx, genre FROM event_pages GROUP BY genre UNION ALL SELECT 0, 'begin' UNION ALL SELECT 1, 'end'")
+@query("v15_category_order", "WITH " + EVENT_PAGES + " SELECT CAST(row_number() OVER (ORDER BY min(event_id), category) + 1 AS INTEGER) AS idx, category FROM event_pages GROUP BY category UNION ALL SELECT 0, 'begin' UNION ALL SELECT 1, 'end'")
 def v15(spark, d):
-    return V.genre_order(event_pages(spark, d), "event_id")
+    return V.category_order(event_pages(spark, d), "event_id")
 
 
 # Sequences
 
 
-@query("q1_transition_counts", "WITH " + EVENT_PAGES + " SELECT prev, next, count(*) AS n FROM (SELECT coalesce(lag(genre) OVER (PARTITION BY vol ORDER BY page), 'begin') AS prev, genre AS next FROM event_pages UNION ALL SELECT max_by(genre, page), 'end' FROM event_pages GROUP BY vol) x GROUP BY prev, next")
+@query("q1_transition_counts", "WITH " + EVENT_PAGES + " SELECT prev, next, count(*) AS n FROM (SELECT coalesce(lag(category) OVER (PARTITION BY vol ORDER BY page), 'begin') AS prev, category AS next FROM event_pages UNION ALL SELECT max_by(category, page), 'end' FROM event_pages GROUP BY vol) x GROUP BY prev, next")
 def q1(spark, d):
     return S.transition_counts(event_pages(spark, d))
 
 
-@query("q2_transition_probabilities", "WITH " + EVENT_PAGES + """, c AS (SELECT prev, next, count(*) AS n FROM (SELECT coalesce(lag(genre) OVER (PARTITION BY vol ORDER BY page), 'begin') AS prev, genre AS next FROM event_pages UNION ALL SELECT max_by(genre, page), 'end' FROM event_pages GROUP BY vol) x GROUP BY prev, next),
-g AS (SELECT DISTINCT genre FROM event_pages UNION ALL SELECT 'begin' UNION ALL SELECT 'end'), u AS (SELECT next, sum(n) AS u FROM c GROUP BY next),
-r AS (SELECT a.genre AS prev, b.genre AS next, CASE WHEN b.genre = 'begin' THEN 0.0::DOUBLE ELSE coalesce(n, 0) + 0.0001::DOUBLE * coalesce(u, 0) + 2 END AS raw FROM g a CROSS JOIN g b LEFT JOIN c ON c.prev = a.genre AND c.next = b.genre LEFT JOIN u ON u.next = b.genre)
+@query("q2_transition_probabilities", "WITH " + EVENT_PAGES + """, c AS (SELECT prev, next, count(*) AS n FROM (SELECT coalesce(lag(category) OVER (PARTITION BY vol ORDER BY page), 'begin') AS prev, category AS next FROM event_pages UNION ALL SELECT max_by(category, page), 'end' FROM event_pages GROUP BY vol) x GROUP BY prev, next),
+g AS (SELECT DISTINCT category FROM event_pages UNION ALL SELECT 'begin' UNION ALL SELECT 'end'), u AS (SELECT next, sum(n) AS u FROM c GROUP BY next),
+r AS (SELECT a.category AS prev, b.category AS next, CASE WHEN b.category = 'begin' THEN 0.0::DOUBLE ELSE coalesce(n, 0) + 0.0001::DOUBLE * coalesce(u, 0) + 2 END AS raw FROM g a CROSS JOIN g b LEFT JOIN c ON c.prev = a.category AND c.next = b.category LEFT JOIN u ON u.next = b.category)
 SELECT prev, next, round(raw / sum(raw) OVER (PARTITION BY prev), 6) AS p FROM r""")
 def q2(spark, d):
     return S.transition_probabilities(event_pages(spark, d)).select("prev", "next", F.round("p", 6).alias("p"))
@@ -164,7 +192,7 @@ BEGIN, END = [0.2] * 5, [0.1, 0.2, 0.3, 0.2, 0.1]
 
 
 def smoothed_of(spark, d, times=1):
-    pages = event_predictions(spark, d).select("vol", "page", "words", F.array(*[F.col(f"p_{g}") for g in GENRES]).alias("probs"))
+    pages = event_predictions(spark, d).select("vol", "page", "words", F.array(*[F.col(f"p_{g}") for g in CATEGORIES]).alias("probs"))
     for _ in range(times):
         out = S.smooth(pages, TRANSITIONS, BEGIN, END)
         pages = out.withColumnRenamed("smoothed", "probs")
@@ -182,7 +210,7 @@ def _step(prev, soft, back):
 
 
 def _smooth_sql():
-    e = [f"p_{g}" for g in GENRES]
+    e = [f"p_{g}" for g in CATEGORIES]
     base = "WITH RECURSIVE " + PREDICTIONS + f""", sized AS (SELECT *, count(*) OVER (PARTITION BY vol) AS n FROM predictions),
 soft AS (SELECT vol, page, n, words, {_vec("e", lambda i: e[i])}, {_vec("s", lambda i: f"{e[i]} + CASE WHEN words > 5 OR page < n // 10 OR page > n - n // 8 THEN 0 ELSE 0.25::DOUBLE END")} FROM sized)"""
     begin = [f"{BEGIN[i]}::DOUBLE * e{i}" for i in range(5)]
@@ -195,22 +223,22 @@ soft AS (SELECT vol, page, n, words, {_vec("e", lambda i: e[i])}, {_vec("s", lam
 bw AS (SELECT vol, page, {_vec("b", lambda i: norm(end)[i])} FROM soft WHERE page = n - 1
   UNION ALL SELECT soft.vol, soft.page, {_vec("b", lambda i: b[i])} FROM bw JOIN soft ON soft.vol = bw.vol AND soft.page = bw.page - 1),
 prod AS (SELECT s.vol, s.page, {_vec("r", lambda i: f"CASE WHEN s.page = s.n - 1 THEN b{i} * b{i} ELSE f{i} * b{i} END")} FROM soft s JOIN fw ON fw.vol = s.vol AND fw.page = s.page JOIN bw ON bw.vol = s.vol AND bw.page = s.page)
-SELECT vol, page, {", ".join(f"round(r{i} / (r0 + r1 + r2 + r3 + r4), 6) AS {g}" for i, g in enumerate(GENRES))} FROM prod"""
+SELECT vol, page, {", ".join(f"round(r{i} / (r0 + r1 + r2 + r3 + r4), 6) AS {g}" for i, g in enumerate(CATEGORIES))} FROM prod"""
 
 
 @query("q3_smoothing", _smooth_sql())
 def q3(spark, d):
-    return smoothed_of(spark, d).select("vol", "page", *[F.round(F.get("smoothed", F.lit(i)), 6).alias(g) for i, g in enumerate(GENRES)])
+    return smoothed_of(spark, d).select("vol", "page", *[F.round(F.get("smoothed", F.lit(i)), 6).alias(g) for i, g in enumerate(CATEGORIES)])
 
 
 @query("q4_double_smoothing")
 def q4(spark, d):
-    return smoothed_of(spark, d, 2).select("vol", "page", *[F.round(F.get("smoothed", F.lit(i)), 6).alias(g) for i, g in enumerate(GENRES)])
+    return smoothed_of(spark, d, 2).select("vol", "page", *[F.round(F.get("smoothed", F.lit(i)), 6).alias(g) for i, g in enumerate(CATEGORIES)])
 
 
-@query("q5_best_genre", "WITH " + PREDICTIONS + " SELECT vol, page, max_by(genre, (p, -idx)) AS genre, max(p) AS p FROM probabilities GROUP BY vol, page")
+@query("q5_best_category", "WITH " + PREDICTIONS + " SELECT vol, page, max_by(category, (p, -idx)) AS category, max(p) AS p FROM probabilities GROUP BY vol, page")
 def q5(spark, d):
-    return S.best_genre(event_probabilities(spark, d))
+    return S.best_category(event_probabilities(spark, d))
 
 
 @query("q6_max_and_gap", "WITH " + PREDICTIONS + """, s AS (SELECT vol, page, idx, p, p - coalesce(max(p) OVER (PARTITION BY vol, page ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS step FROM probabilities),
@@ -219,16 +247,16 @@ def q6(spark, d):
     return S.max_and_gap(event_probabilities(spark, d)).select("vol", F.round("maxprob", 6).alias("maxprob"), F.round("gap", 6).alias("gap"))
 
 
-LAGGED = EVENT_PAGES + ", g AS (SELECT *, lag(genre) OVER (PARTITION BY vol ORDER BY page) AS before FROM event_pages)"
-RUNS = LAGGED + ", n AS (SELECT *, sum(CASE WHEN genre = before THEN 0 ELSE 1 END) OVER (PARTITION BY vol ORDER BY page) AS run FROM g), runs AS (SELECT vol, CAST(run AS BIGINT) AS run, genre, min(page) AS start, count(*) AS length FROM n GROUP BY vol, run, genre)"
+LAGGED = EVENT_PAGES + ", g AS (SELECT *, lag(category) OVER (PARTITION BY vol ORDER BY page) AS before FROM event_pages)"
+RUNS = LAGGED + ", n AS (SELECT *, sum(CASE WHEN category = before THEN 0 ELSE 1 END) OVER (PARTITION BY vol ORDER BY page) AS run FROM g), runs AS (SELECT vol, CAST(run AS BIGINT) AS run, category, min(page) AS start, count(*) AS length FROM n GROUP BY vol, run, category)"
 
 
-@query("q7_flips", "WITH " + LAGGED + " SELECT vol, count(*) FILTER (WHERE genre IS DISTINCT FROM before) AS flips FROM g GROUP BY vol")
+@query("q7_flips", "WITH " + LAGGED + " SELECT vol, count(*) FILTER (WHERE category IS DISTINCT FROM before) AS flips FROM g GROUP BY vol")
 def q7(spark, d):
     return S.flips(event_pages(spark, d))
 
 
-@query("q8_transitions_between", "WITH " + LAGGED + " SELECT vol, count(*) FILTER (WHERE before IN ('click') AND genre IN ('view', 'login')) AS n FROM g GROUP BY vol")
+@query("q8_transitions_between", "WITH " + LAGGED + " SELECT vol, count(*) FILTER (WHERE before IN ('click') AND category IN ('view', 'login')) AS n FROM g GROUP BY vol")
 def q8(spark, d):
     return S.transitions_between(event_pages(spark, d), ["click"], ["view", "login"])
 
@@ -238,48 +266,48 @@ def q9(spark, d):
     return S.runs(event_pages(spark, d))
 
 
-@query("q10_coalesced_runs", "WITH " + RUNS + """, w AS (SELECT *, lag(genre) OVER o AS bg, lag(length) OVER o AS bl, lead(genre) OVER o AS ag, lead(length) OVER o AS al FROM runs WINDOW o AS (PARTITION BY vol ORDER BY run)),
-c AS (SELECT vol, start, length, CASE WHEN length <= 2 AND bg = ag AND least(bl, al) > length THEN bg ELSE genre END AS genre FROM w)
-SELECT vol, CAST(start + i AS INTEGER) AS page, genre FROM c, unnest(range(0, length)) AS u(i)""")
+@query("q10_coalesced_runs", "WITH " + RUNS + """, w AS (SELECT *, lag(category) OVER o AS bg, lag(length) OVER o AS bl, lead(category) OVER o AS ag, lead(length) OVER o AS al FROM runs WINDOW o AS (PARTITION BY vol ORDER BY run)),
+c AS (SELECT vol, start, length, CASE WHEN length <= 2 AND bg = ag AND least(bl, al) > length THEN bg ELSE category END AS category FROM w)
+SELECT vol, CAST(start + i AS INTEGER) AS page, category FROM c, unnest(range(0, length)) AS u(i)""")
 def q10(spark, d):
     return S.coalesce_runs(event_pages(spark, d))
 
 
-@query("q11_largest_genre", "WITH " + EVENT_PAGES + ", c AS (SELECT vol, genre, count(*) AS n FROM event_pages GROUP BY vol, genre) SELECT vol, max_by(genre, (n, genre)) AS maxgenre, max(n) AS n FROM c GROUP BY vol")
+@query("q11_largest_category", "WITH " + EVENT_PAGES + ", c AS (SELECT vol, category, count(*) AS n FROM event_pages GROUP BY vol, category) SELECT vol, max_by(category, (n, category)) AS maxcategory, max(n) AS n FROM c GROUP BY vol")
 def q11(spark, d):
-    return S.largest_genre(event_pages(spark, d))
+    return S.largest_category(event_pages(spark, d))
 
 
-MODELS = PREDICTIONS + ", models AS (SELECT 'a' AS model, vol, page, genre, p FROM probabilities UNION ALL SELECT 'b', vol, page, genre, CASE WHEN idx % 2 = 0 THEN p * 3 ELSE p END FROM probabilities)"
+MODELS = PREDICTIONS + ", models AS (SELECT 'a' AS model, vol, page, category, p FROM probabilities UNION ALL SELECT 'b', vol, page, category, CASE WHEN idx % 2 = 0 THEN p * 3 ELSE p END FROM probabilities)"
 
 
 def models_of(spark, d):
     p = event_probabilities(spark, d)
-    return p.select(F.lit("a").alias("model"), "vol", "page", "genre", "p").unionByName(p.select(F.lit("b").alias("model"), "vol", "page", "genre", F.when(F.col("idx") % 2 == 0, F.col("p") * 3).otherwise(F.col("p")).alias("p")))
+    return p.select(F.lit("a").alias("model"), "vol", "page", "category", "p").unionByName(p.select(F.lit("b").alias("model"), "vol", "page", "category", F.when(F.col("idx") % 2 == 0, F.col("p") * 3).otherwise(F.col("p")).alias("p")))
 
 
-MEANS = MODELS + ", nm AS (SELECT vol, page, genre, p / sum(p) OVER (PARTITION BY model, vol, page) AS p FROM models), tot AS (SELECT vol, page, genre, sum(p) AS p FROM nm GROUP BY ALL), means AS (SELECT vol, page, genre, p / sum(p) OVER (PARTITION BY vol, page) AS p FROM tot)"
+MEANS = MODELS + ", nm AS (SELECT vol, page, category, p / sum(p) OVER (PARTITION BY model, vol, page) AS p FROM models), tot AS (SELECT vol, page, category, sum(p) AS p FROM nm GROUP BY ALL), means AS (SELECT vol, page, category, p / sum(p) OVER (PARTITION BY vol, page) AS p FROM tot)"
 
 
-@query("q12_mean_probabilities", "WITH " + MEANS + " SELECT vol, page, genre, round(p, 6) AS p FROM means")
+@query("q12_mean_probabilities", "WITH " + MEANS + " SELECT vol, page, category, round(p, 6) AS p FROM means")
 def q12(spark, d):
-    return S.mean_probabilities(models_of(spark, d)).select("vol", "page", "genre", F.round("p", 6).alias("p"))
+    return S.mean_probabilities(models_of(spark, d)).select("vol", "page", "category", F.round("p", 6).alias("p"))
 
 
-VOTES = MEANS + """, votes AS (SELECT vol, page, genre FROM predictions UNION ALL SELECT vol, page, truth FROM predictions UNION ALL SELECT vol, page, max_by(genre, (p, -idx)) FROM probabilities GROUP BY vol, page
-  UNION ALL SELECT vol, page, CASE WHEN event_id % 3 = 0 THEN 'view' ELSE genre END FROM predictions),
-cnt AS (SELECT vol, page, genre, count(*) AS votes FROM votes GROUP BY ALL), fav AS (SELECT vol, page, max_by(genre, (round(p, 9), genre)) AS favourite FROM means GROUP BY vol, page),
-rk AS (SELECT c.*, row_number() OVER (PARTITION BY c.vol, c.page ORDER BY votes DESC, CASE WHEN genre = favourite THEN 1 ELSE 0 END DESC, genre) AS rank, sum(votes) OVER (PARTITION BY c.vol, c.page) AS every FROM cnt c JOIN fav f ON c.vol = f.vol AND c.page = f.page)"""
+VOTES = MEANS + """, votes AS (SELECT vol, page, category FROM predictions UNION ALL SELECT vol, page, truth FROM predictions UNION ALL SELECT vol, page, max_by(category, (p, -idx)) FROM probabilities GROUP BY vol, page
+  UNION ALL SELECT vol, page, CASE WHEN event_id % 3 = 0 THEN 'view' ELSE category END FROM predictions),
+cnt AS (SELECT vol, page, category, count(*) AS votes FROM votes GROUP BY ALL), fav AS (SELECT vol, page, max_by(category, (round(p, 9), category)) AS favourite FROM means GROUP BY vol, page),
+rk AS (SELECT c.*, row_number() OVER (PARTITION BY c.vol, c.page ORDER BY votes DESC, CASE WHEN category = favourite THEN 1 ELSE 0 END DESC, category) AS rank, sum(votes) OVER (PARTITION BY c.vol, c.page) AS every FROM cnt c JOIN fav f ON c.vol = f.vol AND c.page = f.page)"""
 
 
-@query("q13_q14_consensus", "WITH " + VOTES + " SELECT vol, page, genre, (every - votes) / every AS dissent FROM rk WHERE rank = 1")
+@query("q13_q14_consensus", "WITH " + VOTES + " SELECT vol, page, category, (every - votes) / every AS dissent FROM rk WHERE rank = 1")
 def q13(spark, d):
     p = event_predictions(spark, d)
-    votes = p.select("vol", "page", "genre").unionByName(p.select("vol", "page", F.col("truth").alias("genre"))).unionByName(S.best_genre(event_probabilities(spark, d)).select("vol", "page", "genre"))
-    votes = votes.unionByName(p.select("vol", "page", F.when(F.col("event_id") % 3 == 0, "view").otherwise(F.col("genre")).alias("genre")))
+    votes = p.select("vol", "page", "category").unionByName(p.select("vol", "page", F.col("truth").alias("category"))).unionByName(S.best_category(event_probabilities(spark, d)).select("vol", "page", "category"))
+    votes = votes.unionByName(p.select("vol", "page", F.when(F.col("event_id") % 3 == 0, "view").otherwise(F.col("category")).alias("category")))
     return S.consensus(votes, S.mean_probabilities(models_of(spark, d)).withColumn("p", F.round("p", 9)))
 
 
-@query("q15_runner_up", "WITH " + PREDICTIONS + " SELECT r.vol, r.page, max_by(r.genre, (r.p, r.genre)) AS second FROM probabilities r JOIN predictions c ON r.vol = c.vol AND r.page = c.page WHERE r.genre <> c.genre GROUP BY r.vol, r.page")
+@query("q15_runner_up", "WITH " + PREDICTIONS + " SELECT r.vol, r.page, max_by(r.category, (r.p, r.category)) AS second FROM probabilities r JOIN predictions c ON r.vol = c.vol AND r.page = c.page WHERE r.category <> c.category GROUP BY r.vol, r.page")
 def q15(spark, d):
     return S.runner_up(event_probabilities(spark, d), event_pages(spark, d))

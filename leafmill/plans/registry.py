@@ -28,24 +28,24 @@ WORD_COUNTS = TOKENS + r""", word_counts AS (
   SELECT vol, page, lower(token) AS word, count(*) AS n FROM tokens WHERE regexp_matches(token, '[\p{L}\p{Nd}]') GROUP BY ALL)"""
 EVENT_PAGES = """event_pages AS (
   SELECT user_id AS vol, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS page,
-    event_type AS genre, value AS words, event_id FROM events)"""
+    event_type AS category, value AS words, event_id FROM events)"""
 
-GENRES = ("click", "error", "login", "purchase", "view")
+CATEGORIES = ("click", "error", "login", "purchase", "view")
 
 
 def _weight(g: str) -> str:
-    return f"(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':{g}'), 1, 7) AS BIGINT) % 1000 + 1 + CASE WHEN genre = '{g}' THEN 1000 ELSE 0 END)"
+    return f"(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':{g}'), 1, 7) AS BIGINT) % 1000 + 1 + CASE WHEN category = '{g}' THEN 1000 ELSE 0 END)"
 
 
 PREDICTIONS = EVENT_PAGES + f""", truths AS (
-  SELECT *, CASE WHEN event_id % 7 = 0 THEN coalesce(lead(genre) OVER (PARTITION BY vol ORDER BY page), genre) ELSE genre END AS truth
+  SELECT *, CASE WHEN event_id % 7 = 0 THEN coalesce(lead(category) OVER (PARTITION BY vol ORDER BY page), category) ELSE category END AS truth
   FROM event_pages
 ), weights AS (
-  SELECT *, {", ".join(f"CAST({_weight(g)} AS DOUBLE) AS w_{g}" for g in GENRES)} FROM truths
+  SELECT *, {", ".join(f"CAST({_weight(g)} AS DOUBLE) AS w_{g}" for g in CATEGORIES)} FROM truths
 ), predictions AS (
-  SELECT vol, page, genre, words, event_id, truth, {", ".join(f"w_{g} / ({' + '.join('w_' + x for x in GENRES)}) AS p_{g}" for g in GENRES)} FROM weights
+  SELECT vol, page, category, words, event_id, truth, {", ".join(f"w_{g} / ({' + '.join('w_' + x for x in CATEGORIES)}) AS p_{g}" for g in CATEGORIES)} FROM weights
 ), probabilities AS (
-  {" UNION ALL ".join(f"SELECT vol, page, {i} AS idx, '{g}' AS genre, p_{g} AS p FROM predictions" for i, g in enumerate(GENRES))})"""
+  {" UNION ALL ".join(f"SELECT vol, page, {i} AS idx, '{g}' AS category, p_{g} AS p FROM predictions" for i, g in enumerate(CATEGORIES))})"""
 
 
 def query(name: str, sql: str | None = None):

@@ -8,16 +8,16 @@ from leafmill.operators import catalogue as C
 from leafmill.operators import confidence as O
 from leafmill.operators import evaluate as E
 from leafmill.operators import sequence as S
-from leafmill.plans.registry import EVENT_PAGES, GENRES, LINES, PREDICTIONS, VOL_PAGES, query
+from leafmill.plans.registry import EVENT_PAGES, CATEGORIES, LINES, PREDICTIONS, VOL_PAGES, query
 from leafmill.sources.tables import event_pages, event_predictions, event_probabilities, table, volume_lines, volume_pages
 
 CLASSES = [{"click", "view"}, {"login", "error"}]
 SAME = "(truth = pred OR (truth IN ('click', 'view') AND pred IN ('click', 'view')) OR (truth IN ('error', 'login') AND pred IN ('error', 'login')))"
-JUDGED = PREDICTIONS + ", judged AS (SELECT vol, page, truth, genre AS pred, words, event_id FROM predictions)"
+JUDGED = PREDICTIONS + ", judged AS (SELECT vol, page, truth, category AS pred, words, event_id FROM predictions)"
 
 
 def judged(spark, d):
-    return event_predictions(spark, d).select("vol", "page", "truth", F.col("genre").alias("pred"), "words", "event_id")
+    return event_predictions(spark, d).select("vol", "page", "truth", F.col("category").alias("pred"), "words", "event_id")
 
 
 @query("e1_e2_errors", "WITH " + JUDGED + f" SELECT truth, pred, count(*) AS pages, round(sum(words), 2) AS words, {SAME} AS correct FROM judged GROUP BY truth, pred")
@@ -41,11 +41,11 @@ MERGED = "CASE {0} WHEN 'view' THEN 'click' WHEN 'error' THEN 'login' ELSE {0} E
 
 
 @query("e5_precision_recall", "WITH " + JUDGED + f""", c AS (SELECT {MERGED.format('truth')} AS t, {MERGED.format('pred')} AS p, count(*) AS n FROM judged GROUP BY 1, 2),
-g AS (SELECT t AS genre FROM c UNION SELECT p FROM c), s AS (SELECT genre, (SELECT sum(n) FROM c WHERE t = genre) AS t, (SELECT sum(n) FROM c WHERE p = genre) AS p, (SELECT sum(n) FROM c WHERE t = genre AND p = genre) AS tp FROM g)
-SELECT genre, round(100.0::DOUBLE * tp / p, 6) AS precision, round(100.0::DOUBLE * tp / t, 6) AS recall, round(200.0::DOUBLE * tp / (t + p), 6) AS f1 FROM s""")
+g AS (SELECT t AS category FROM c UNION SELECT p FROM c), s AS (SELECT category, (SELECT sum(n) FROM c WHERE t = category) AS t, (SELECT sum(n) FROM c WHERE p = category) AS p, (SELECT sum(n) FROM c WHERE t = category AND p = category) AS tp FROM g)
+SELECT category, round(100.0::DOUBLE * tp / p, 6) AS precision, round(100.0::DOUBLE * tp / t, 6) AS recall, round(200.0::DOUBLE * tp / (t + p), 6) AS f1 FROM s""")
 def e5(spark, d):
     r = E.precision_recall(judged(spark, d), {"view": "click", "error": "login"})
-    return r.select("genre", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return r.select("category", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("e6_failure_report", "WITH " + JUDGED + " SELECT vol, count(*) AS n FROM judged WHERE truth = 'view' AND pred = 'click' GROUP BY vol HAVING count(*) > 1")
@@ -53,10 +53,10 @@ def e6(spark, d):
     return judged(spark, d).where("truth = 'view' AND pred = 'click'").groupBy("vol").agg(F.count("*").alias("n")).where("n > 1")
 
 
-COUNTS = JUDGED + """, counts AS (SELECT vol, g.genre, count(*) FILTER (WHERE truth = g.genre AND pred = g.genre) AS tp, count(*) FILTER (WHERE truth <> g.genre AND pred = g.genre) AS fp,
-  count(*) FILTER (WHERE truth = g.genre AND pred <> g.genre) AS fn, count(*) FILTER (WHERE truth <> g.genre AND pred <> g.genre) AS tn,
-  round(coalesce(sum(words) FILTER (WHERE truth = g.genre AND pred = g.genre), 0), 4) AS tp_words, round(coalesce(sum(words) FILTER (WHERE truth <> g.genre AND pred = g.genre), 0), 4) AS fp_words
-  FROM judged, (VALUES ('click'), ('view'), ('purchase')) g(genre) GROUP BY vol, g.genre)"""
+COUNTS = JUDGED + """, counts AS (SELECT vol, g.category, count(*) FILTER (WHERE truth = g.category AND pred = g.category) AS tp, count(*) FILTER (WHERE truth <> g.category AND pred = g.category) AS fp,
+  count(*) FILTER (WHERE truth = g.category AND pred <> g.category) AS fn, count(*) FILTER (WHERE truth <> g.category AND pred <> g.category) AS tn,
+  round(coalesce(sum(words) FILTER (WHERE truth = g.category AND pred = g.category), 0), 4) AS tp_words, round(coalesce(sum(words) FILTER (WHERE truth <> g.category AND pred = g.category), 0), 4) AS fp_words
+  FROM judged, (VALUES ('click'), ('view'), ('purchase')) g(category) GROUP BY vol, g.category)"""
 THREE = ["click", "view", "purchase"]
 
 
@@ -65,7 +65,7 @@ def e7(spark, d):
     return E.binary_counts(judged(spark, d), THREE).withColumns({c: F.round(c, 4) for c in ("tp_words", "fp_words")})
 
 
-@query("e8_volume_precision", "WITH " + COUNTS + " SELECT vol, genre, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision FROM counts")
+@query("e8_volume_precision", "WITH " + COUNTS + " SELECT vol, category, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision FROM counts")
 def e8(spark, d):
     return E.volume_precision(E.binary_counts(judged(spark, d), THREE)).withColumn("precision", F.round("precision", 6))
 
@@ -76,19 +76,19 @@ def e9(spark, d):
     return judged(spark, d).groupBy("vol").agg(F.round(F.sum(hit) / F.sum("words"), 6).alias("share"))
 
 
-TAGS = EVENT_PAGES + """, tags AS (SELECT vol, page, words, r AS rater, CASE WHEN (event_id + r) % 6 = 0 THEN 'view' WHEN (event_id + r) % 11 = 0 THEN 'click' ELSE genre END AS genre
+TAGS = EVENT_PAGES + """, tags AS (SELECT vol, page, words, r AS rater, CASE WHEN (event_id + r) % 6 = 0 THEN 'view' WHEN (event_id + r) % 11 = 0 THEN 'click' ELSE category END AS category
   FROM event_pages, (VALUES (1), (2), (3)) x(r) WHERE NOT (r > 1 AND vol % 7 = 0)),
-cons AS (SELECT vol, page, genre FROM (SELECT *, row_number() OVER (PARTITION BY vol, page ORDER BY n DESC, first) AS rank FROM (SELECT vol, page, genre, count(*) AS n, min(rater) AS first FROM tags GROUP BY ALL) a) b WHERE rank = 1)"""
+cons AS (SELECT vol, page, category FROM (SELECT *, row_number() OVER (PARTITION BY vol, page ORDER BY n DESC, first) AS rank FROM (SELECT vol, page, category, count(*) AS n, min(rater) AS first FROM tags GROUP BY ALL) a) b WHERE rank = 1)"""
 
 
 def tags_of(spark, d):
     t = event_pages(spark, d).withColumn("rater", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("NOT (rater > 1 AND vol % 7 = 0)")
     k = F.col("event_id") + F.col("rater")
-    return t.select("vol", "page", "words", "rater", F.when(k % 6 == 0, "view").when(k % 11 == 0, "click").otherwise(F.col("genre")).alias("genre"))
+    return t.select("vol", "page", "words", "rater", F.when(k % 6 == 0, "view").when(k % 11 == 0, "click").otherwise(F.col("category")).alias("category"))
 
 
 @query("e10_rater_agreement", "WITH " + TAGS + """, s AS (SELECT vol, count(DISTINCT rater) AS raters FROM tags GROUP BY vol HAVING count(DISTINCT rater) > 1)
-SELECT t.vol, s.raters, round((sum(words) - sum(CASE WHEN t.genre <> c.genre THEN words ELSE 0 END)) / sum(words), 6) AS agreement FROM tags t JOIN s USING (vol) JOIN cons c ON c.vol = t.vol AND c.page = t.page GROUP BY t.vol, s.raters""")
+SELECT t.vol, s.raters, round((sum(words) - sum(CASE WHEN t.category <> c.category THEN words ELSE 0 END)) / sum(words), 6) AS agreement FROM tags t JOIN s USING (vol) JOIN cons c ON c.vol = t.vol AND c.page = t.page GROUP BY t.vol, s.raters""")
 def e10(spark, d):
     t = tags_of(spark, d)
     return E.rater_agreement(t, E.rater_consensus(t)).withColumn("agreement", F.round("agreement", 6))
@@ -99,35 +99,44 @@ def e21(spark, d):
     return E.rater_consensus(tags_of(spark, d))
 
 
-VOLUME_COUNTS = EVENT_PAGES + ", vc AS (SELECT vol, count(*) AS n, count(*) FILTER (WHERE genre = 'login') AS dra, count(*) FILTER (WHERE genre = 'error') AS poe, count(*) FILTER (WHERE genre = 'click') AS fic, count(*) FILTER (WHERE genre = 'view') AS non FROM event_pages GROUP BY vol)"
+VOLUME_COUNTS = EVENT_PAGES + ", vc AS (SELECT vol, count(*) AS n, count(*) FILTER (WHERE category = 'login') AS dra, count(*) FILTER (WHERE category = 'error') AS poe, count(*) FILTER (WHERE category = 'click') AS fic, count(*) FILTER (WHERE category = 'view') AS non FROM event_pages GROUP BY vol)"
 
 
-@query("e12_cascade_flags", "WITH " + VOLUME_COUNTS + " SELECT vol, fic > 0 AND fic < n / 3 AS not_fiction, dra > 0 AND (non > n / 2 OR fic > n / 2 OR poe > n * 0.9) AS not_drama, dra + poe > n / 2 AS mostly_drama_poetry FROM vc")
+E12_META = ", cm AS (SELECT c_custkey AS vol, CASE c_custkey % 6 WHEN 0 THEN 'Biography;Maps' WHEN 1 THEN 'Novel' WHEN 2 THEN 'Maps;Tragedies' ELSE 'Maps' END AS categories, CASE c_custkey % 5 WHEN 0 THEN 'The Poetical Works' WHEN 1 THEN 'Displays' ELSE c_name END AS title FROM customer WHERE c_custkey % 4 <> 0)"
+
+
+@query("e12_cascade_flags", "WITH " + VOLUME_COUNTS + E12_META + """ SELECT vc.vol, fic > 0 AND fic < n / 3 AS not_fiction, dra > 0 AND (non > n / 2 OR fic > n / 2 OR poe > n * 0.9) AS not_drama,
+  dra + poe > n / 2 OR coalesce(list_has_any(string_split(categories, ';'), ['Poetry', 'Poems', 'Drama', 'Tragedies', 'Comedies']), FALSE) OR coalesce(regexp_matches(lower(title), '(^|\\s)(poems|ballads|poetical|comedy|tragedy|plays)(\\s|$)'), FALSE) AS mostly_drama_poetry,
+  coalesce(list_has_any(string_split(categories, ';'), ['Biography', 'Autobiography']), FALSE) AS probably_biography, coalesce(list_has_any(string_split(categories, ';'), ['Fiction', 'Novel']), FALSE) AS probably_fiction FROM vc LEFT JOIN cm ON cm.vol = vc.vol""")
 def e12(spark, d):
-    count = lambda g: F.count_if(F.col("genre") == g)
-    return E.cascade_flags(event_pages(spark, d).groupBy("vol").agg(F.count("*").alias("n"), count("login").alias("dra"), count("error").alias("poe"), count("click").alias("fic"), count("view").alias("non")))
+    count = lambda g: F.count_if(F.col("category") == g)
+    counts = event_pages(spark, d).groupBy("vol").agg(F.count("*").alias("n"), count("login").alias("dra"), count("error").alias("poe"), count("click").alias("fic"), count("view").alias("non"))
+    categories = F.expr("CASE c_custkey % 6 WHEN 0 THEN 'Biography;Maps' WHEN 1 THEN 'Novel' WHEN 2 THEN 'Maps;Tragedies' ELSE 'Maps' END")
+    title = F.expr("CASE c_custkey % 5 WHEN 0 THEN 'The Poetical Works' WHEN 1 THEN 'Displays' ELSE c_name END")
+    metadata = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("vol"), categories.alias("categories"), title.alias("title"))
+    return E.cascade_flags(counts, metadata)
 
 
-@query("e13_biography_cascade", "WITH " + EVENT_PAGES + " SELECT vol, count(*) FILTER (WHERE genre = 'click') AS before, count(*) FILTER (WHERE (CASE WHEN vol % 3 = 0 AND genre = 'click' THEN 'purchase' ELSE genre END) = 'click') AS after FROM event_pages GROUP BY vol")
+@query("e13_biography_cascade", "WITH " + EVENT_PAGES + " SELECT vol, count(*) FILTER (WHERE category = 'click') AS before, count(*) FILTER (WHERE (CASE WHEN vol % 3 = 0 AND category = 'click' THEN 'purchase' ELSE category END) = 'click') AS after FROM event_pages GROUP BY vol")
 def e13(spark, d):
-    changed = F.when((F.col("vol") % 3 == 0) & (F.col("genre") == "click"), "purchase").otherwise(F.col("genre"))
-    return event_pages(spark, d).groupBy("vol").agg(F.count_if(F.col("genre") == "click").alias("before"), F.count_if(changed == "click").alias("after"))
+    changed = F.when((F.col("vol") % 3 == 0) & (F.col("category") == "click"), "purchase").otherwise(F.col("category"))
+    return event_pages(spark, d).groupBy("vol").agg(F.count_if(F.col("category") == "click").alias("before"), F.count_if(changed == "click").alias("after"))
 
 
-@query("e14_next_best", "WITH " + PREDICTIONS + """, s AS (SELECT r.vol, r.page, max_by(r.genre, (r.p, r.genre)) AS second FROM probabilities r JOIN predictions c ON r.vol = c.vol AND r.page = c.page WHERE r.genre <> c.genre GROUP BY r.vol, r.page)
-SELECT p.vol, p.page, CASE WHEN p.vol % 2 = 0 AND genre = 'error' THEN second ELSE genre END AS genre FROM predictions p JOIN s ON s.vol = p.vol AND s.page = p.page""")
+@query("e14_next_best", "WITH " + PREDICTIONS + """, s AS (SELECT r.vol, r.page, max_by(r.category, (r.p, r.category)) AS second FROM probabilities r JOIN predictions c ON r.vol = c.vol AND r.page = c.page WHERE r.category <> c.category GROUP BY r.vol, r.page)
+SELECT p.vol, p.page, CASE WHEN p.vol % 2 = 0 AND category = 'error' THEN second ELSE category END AS category FROM predictions p JOIN s ON s.vol = p.vol AND s.page = p.page""")
 def e14(spark, d):
-    pages = event_pages(spark, d).select("vol", "page", "genre")
+    pages = event_pages(spark, d).select("vol", "page", "category")
     second = S.runner_up(event_probabilities(spark, d), pages)
     return E.replace_with_next_best(pages, second, "error", pages.where("vol % 2 = 0").select("vol").distinct())
 
 
-@query("e15_merged_models", "WITH " + PREDICTIONS + """, o AS (SELECT vol, page, genre, p, CASE WHEN page % 4 = 0 THEN NULL WHEN idx < 2 THEN p * 1.5 ELSE p * 0.5 END AS q, idx FROM probabilities),
-b AS (SELECT vol, page, max_by(genre, (p, -idx)) AS main, max_by(genre, (CASE WHEN q IS NULL THEN p ELSE 0.75 * p + 0.25 * q END, -idx)) AS merged FROM o GROUP BY vol, page)
-SELECT vol, page, CASE WHEN main = 'view' THEN merged ELSE main END AS genre FROM b""")
+@query("e15_merged_models", "WITH " + PREDICTIONS + """, o AS (SELECT vol, page, category, p, CASE WHEN page % 4 = 0 THEN NULL WHEN idx < 2 THEN p * 1.5 ELSE p * 0.5 END AS q, idx FROM probabilities),
+b AS (SELECT vol, page, max_by(category, (p, -idx)) AS main, max_by(category, (CASE WHEN q IS NULL THEN p ELSE 0.75 * p + 0.25 * q END, -idx)) AS merged FROM o GROUP BY vol, page)
+SELECT vol, page, CASE WHEN main = 'view' THEN merged ELSE main END AS category FROM b""")
 def e15(spark, d):
     p = event_probabilities(spark, d)
-    other = p.where("page % 4 <> 0").select("vol", "page", "genre", F.when(F.col("idx") < 2, F.col("p") * 1.5).otherwise(F.col("p") * 0.5).alias("p"))
+    other = p.where("page % 4 <> 0").select("vol", "page", "category", F.when(F.col("idx") < 2, F.col("p") * 1.5).otherwise(F.col("p") * 0.5).alias("p"))
     return E.merge_models(p, other, 0.75, "view")
 
 
@@ -149,9 +158,9 @@ def e18(spark, d):
     return kept.agg(F.count("*").alias("pages"), F.round(F.avg(F.when(E.equivalent(F.col("truth"), F.col("pred"), CLASSES), 1.0).otherwise(0.0)), 6).alias("accuracy"))
 
 
-@query("e19_mean_dissent", "WITH " + PREDICTIONS + " SELECT vol, round(avg(CASE WHEN genre = truth THEN 0.0::DOUBLE ELSE 0.5 END), 6) AS dissent FROM predictions GROUP BY vol")
+@query("e19_mean_dissent", "WITH " + PREDICTIONS + " SELECT vol, round(avg(CASE WHEN category = truth THEN 0.0::DOUBLE ELSE 0.5 END), 6) AS dissent FROM predictions GROUP BY vol")
 def e19(spark, d):
-    return event_predictions(spark, d).groupBy("vol").agg(F.round(F.avg(F.when(F.col("genre") == F.col("truth"), 0.0).otherwise(0.5)), 6).alias("dissent"))
+    return event_predictions(spark, d).groupBy("vol").agg(F.round(F.avg(F.when(F.col("category") == F.col("truth"), 0.0).otherwise(0.5)), 6).alias("dissent"))
 
 
 @query("e20_threshold_agreement", "WITH " + ACC + " SELECT count(*) FILTER (WHERE accuracy > 0.9 AND w > 50) AS both_pass, count(*) FILTER (WHERE accuracy <= 0.9 AND w <= 50) AS both_fail, count(*) FILTER (WHERE (accuracy > 0.9) <> (w > 50)) AS one FROM acc")
@@ -162,26 +171,26 @@ def e20(spark, d):
     return both.agg(F.count_if(a & w).alias("both_pass"), F.count_if(~a & ~w).alias("both_fail"), F.count_if(a != w).alias("one"))
 
 
-@query("e22_normalised", "WITH " + PREDICTIONS + " SELECT vol, genre, round(sum(p) / (SELECT sum(p) FROM probabilities b WHERE b.vol = a.vol), 6) AS share FROM probabilities a GROUP BY vol, genre")
+@query("e22_normalised", "WITH " + PREDICTIONS + " SELECT vol, category, round(sum(p) / (SELECT sum(p) FROM probabilities b WHERE b.vol = a.vol), 6) AS share FROM probabilities a GROUP BY vol, category")
 def e22(spark, d):
-    by = event_probabilities(spark, d).groupBy("vol").pivot("genre", list(GENRES)).agg(F.sum("p"))
-    total = sum(F.col(g) for g in GENRES)
-    return by.select("vol", F.inline(F.array(*[F.struct(F.lit(g).alias("genre"), F.round(F.col(g) / total, 6).alias("share")) for g in GENRES])))
+    by = event_probabilities(spark, d).groupBy("vol").pivot("category", list(CATEGORIES)).agg(F.sum("p"))
+    total = sum(F.col(g) for g in CATEGORIES)
+    return by.select("vol", F.inline(F.array(*[F.struct(F.lit(g).alias("category"), F.round(F.col(g) / total, 6).alias("share")) for g in CATEGORIES])))
 
 
 # Confidence. Volumes are orders: the year of the order, tags by priority and status, a title from the key.
 
-TAG = "CASE o_orderkey % 9 WHEN 0 THEN 'Fiction' WHEN 1 THEN 'Poetry' WHEN 2 THEN 'Drama' WHEN 3 THEN 'Essays' WHEN 4 THEN 'Novel' WHEN 5 THEN 'Letters' WHEN 6 THEN 'NotFiction' WHEN 7 THEN 'UnknownGenre' ELSE 'Humor' END"
-GENRE = "CASE o_orderkey % 4 WHEN 0 THEN 'fic' WHEN 1 THEN 'poe' WHEN 2 THEN 'dra' ELSE 'non' END"
+TAG = "CASE o_orderkey % 9 WHEN 0 THEN 'Fiction' WHEN 1 THEN 'Poetry' WHEN 2 THEN 'Drama' WHEN 3 THEN 'Essays' WHEN 4 THEN 'Novel' WHEN 5 THEN 'Letters' WHEN 6 THEN 'NotFiction' WHEN 7 THEN 'UnknownCategory' ELSE 'Humor' END"
+CATEGORY = "CASE o_orderkey % 4 WHEN 0 THEN 'fic' WHEN 1 THEN 'poe' WHEN 2 THEN 'dra' ELSE 'non' END"
 TITLE = "CASE o_orderkey % 6 WHEN 0 THEN 'The Plays, of Smith' WHEN 1 THEN 'Poems. By a Lady' WHEN 2 THEN 'Memoirs of Walpole' WHEN 3 THEN 'A Dictionary' WHEN 4 THEN 'Report of the Board' ELSE 'Tales' END"
 AUTHOR = "CASE o_orderkey % 5 WHEN 0 THEN 'Walpole, Horace' ELSE 'Smith, J.' END"
-VOLUMES = f"volumes AS (SELECT o_orderkey AS vol, {GENRE} AS maxgenre, [{TAG}, CASE WHEN o_orderkey % 7 = 0 THEN 'Poetry' ELSE 'Maps' END] AS tags, {TITLE} AS title, {AUTHOR} AS author, CAST(o_orderkey * 37 % 1000 AS DOUBLE) / 1000 AS score, CASE WHEN o_orderkey % 50 = 0 THEN 'x' END AS discard, CAST(year(o_orderdate) AS INTEGER) - 150 AS year, o_totalprice FROM orders)"
+VOLUMES = f"volumes AS (SELECT o_orderkey AS vol, {CATEGORY} AS maxcategory, [{TAG}, CASE WHEN o_orderkey % 7 = 0 THEN 'Poetry' ELSE 'Maps' END] AS tags, {TITLE} AS title, {AUTHOR} AS author, CAST(o_orderkey * 37 % 1000 AS DOUBLE) / 1000 AS score, CASE WHEN o_orderkey % 50 = 0 THEN 'x' END AS discard, CAST(year(o_orderdate) AS INTEGER) - 150 AS year, o_totalprice FROM orders)"
 
 
 def volumes_of(spark, d):
     o = table(spark, d, "orders")
     return o.select(
-        F.col("o_orderkey").alias("vol"), F.expr(GENRE).alias("maxgenre"), F.array(F.expr(TAG), F.expr("CASE WHEN o_orderkey % 7 = 0 THEN 'Poetry' ELSE 'Maps' END")).alias("tags"), F.expr(TITLE).alias("title"), F.expr(AUTHOR).alias("author"),
+        F.col("o_orderkey").alias("vol"), F.expr(CATEGORY).alias("maxcategory"), F.array(F.expr(TAG), F.expr("CASE WHEN o_orderkey % 7 = 0 THEN 'Poetry' ELSE 'Maps' END")).alias("tags"), F.expr(TITLE).alias("title"), F.expr(AUTHOR).alias("author"),
         (F.expr("CAST(o_orderkey * 37 % 1000 AS DOUBLE)") / 1000).alias("score"), F.expr("CASE WHEN o_orderkey % 50 = 0 THEN 'x' END").alias("discard"), (F.year("o_orderdate") - 150).alias("year"), "o_totalprice",
     )
 
@@ -194,14 +203,14 @@ EVIDENCE = {
 }
 
 
-@query("o1_o2_o3_confidence_features", "WITH " + VOLUMES + " SELECT vol, " + ", ".join(f"CASE WHEN maxgenre = '{g}' AND ({e[i]}) THEN 1 ELSE 0 END AS {g}_{n}" for g, e in EVIDENCE.items() for i, n in enumerate(("confirm", "deny"))) + " FROM volumes")
+@query("o1_o2_o3_confidence_features", "WITH " + VOLUMES + " SELECT vol, " + ", ".join(f"CASE WHEN maxcategory = '{g}' AND ({e[i]}) THEN 1 ELSE 0 END AS {g}_{n}" for g, e in EVIDENCE.items() for i, n in enumerate(("confirm", "deny"))) + " FROM volumes")
 def o1(spark, d):
     return O.volume_features(volumes_of(spark, d)).select("vol", *[f"{g}_{n}" for g in EVIDENCE for n in ("confirm", "deny")])
 
 
-@query("o4_binarised", "WITH " + VOLUMES + " SELECT maxgenre, count(*) FILTER (WHERE score > 0.95) AS overall, count(*) FILTER (WHERE score > 0.8) AS genre FROM volumes GROUP BY maxgenre")
+@query("o4_binarised", "WITH " + VOLUMES + " SELECT maxcategory, count(*) FILTER (WHERE score > 0.95) AS overall, count(*) FILTER (WHERE score > 0.8) AS category FROM volumes GROUP BY maxcategory")
 def o4(spark, d):
-    return volumes_of(spark, d).groupBy("maxgenre").agg(F.count_if(F.col("score") > 0.95).alias("overall"), F.count_if(F.col("score") > 0.8).alias("genre"))
+    return volumes_of(spark, d).groupBy("maxcategory").agg(F.count_if(F.col("score") > 0.95).alias("overall"), F.count_if(F.col("score") > 0.8).alias("category"))
 
 
 @query("o5_o6_periods", "WITH " + VOLUMES + """, b AS (SELECT CASE WHEN year BETWEEN 1700 AND 1799 THEN '18c' WHEN year BETWEEN 1800 AND 1899 THEN '19c' WHEN year BETWEEN 1900 AND 1922 THEN '20c' END AS century, CASE WHEN year < 1700 THEN 'uncertain' WHEN year <= 1799 THEN '1700-99' WHEN year <= 1849 THEN '1800-49' WHEN year <= 1874 THEN '1850-74' WHEN year <= 1899 THEN '1875-99' WHEN year <= 1922 THEN '1900-22' END AS period FROM volumes)
@@ -216,11 +225,11 @@ def o9(spark, d):
     return v.select("vol").join(v.where("vol % 3 = 0").select("vol", "score"), "vol", "left").select("vol", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-CURVE = VOLUMES + ", scored AS (SELECT score, vol % 13 AS correct, vol % 13 + vol % 3 AS total, maxgenre FROM volumes), curve AS (SELECT CAST(t AS INTEGER) AS idx, (SELECT sum(correct) FROM scored WHERE score > t / 100.0::DOUBLE + 1e-11) AS c, (SELECT sum(total) FROM scored WHERE score > t / 100.0::DOUBLE + 1e-11) AS t, (SELECT sum(total) FROM scored) AS every FROM range(100) r(t))"
+CURVE = VOLUMES + ", scored AS (SELECT score, vol % 13 AS correct, vol % 13 + vol % 3 AS total, maxcategory FROM volumes), curve AS (SELECT CAST(t AS INTEGER) AS idx, (SELECT sum(correct) FROM scored WHERE score > t / 100.0::DOUBLE + 1e-11) AS c, (SELECT sum(total) FROM scored WHERE score > t / 100.0::DOUBLE + 1e-11) AS t, (SELECT sum(total) FROM scored) AS every FROM range(100) r(t))"
 
 
 def scored_of(spark, d):
-    return volumes_of(spark, d).select("vol", "score", (F.col("vol") % 13).alias("correct"), (F.col("vol") % 13 + F.col("vol") % 3).alias("total"), "maxgenre")
+    return volumes_of(spark, d).select("vol", "score", (F.col("vol") % 13).alias("correct"), (F.col("vol") % 13 + F.col("vol") % 3).alias("total"), "maxcategory")
 
 
 @query("o10_overall_curve", "WITH " + CURVE + " SELECT idx, round(c / t, 6) AS precision, round(coalesce(c, 0) / every, 6) AS recall FROM curve")
@@ -228,9 +237,9 @@ def o10(spark, d):
     return O.overall_curve(scored_of(spark, d)).select("idx", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query("o11_genre_curve", "WITH " + CURVE.replace("FROM volumes), curve", "FROM volumes WHERE maxgenre = 'fic'), curve") + " SELECT idx, round(c / t, 6) AS precision, round(coalesce(c, 0) / every, 6) AS recall FROM curve")
+@query("o11_category_curve", "WITH " + CURVE.replace("FROM volumes), curve", "FROM volumes WHERE maxcategory = 'fic'), curve") + " SELECT idx, round(c / t, 6) AS precision, round(coalesce(c, 0) / every, 6) AS recall FROM curve")
 def o11(spark, d):
-    return O.overall_curve(scored_of(spark, d).where("maxgenre = 'fic'")).select("idx", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return O.overall_curve(scored_of(spark, d).where("maxcategory = 'fic'")).select("idx", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 @query("o12_filled_forward", "WITH " + EVENT_PAGES + ", g AS (SELECT vol, page, CASE WHEN event_id % 3 = 0 THEN words END AS x FROM event_pages) SELECT vol, page AS idx, last_value(x IGNORE NULLS) OVER (PARTITION BY vol ORDER BY page) AS x FROM g")
@@ -245,22 +254,22 @@ def o14(spark, d):
     return O.calibrate(s.select("vol", "score"), O.overall_curve(s)).select("vol", "idx", F.round("precision", 6).alias("precision"))
 
 
-@query("o16_tag_list", "WITH " + VOLUMES + " SELECT vol, array_to_string(list_sort(list_distinct([lower(t) FOR t IN tags IF t NOT IN ('NotFiction', 'UnknownGenre', 'ContainsBiogMaterial')])), ';') AS tags FROM volumes")
+@query("o16_tag_list", "WITH " + VOLUMES + " SELECT vol, array_to_string(list_sort(list_distinct([lower(t) FOR t IN tags IF t NOT IN ('NotFiction', 'UnknownCategory', 'ContainsBiogMaterial')])), ';') AS tags FROM volumes")
 def o16(spark, d):
     return volumes_of(spark, d).select("vol", O.tag_list(F.col("tags")).alias("tags"))
 
 
-@query("o17_collection_cut", "WITH " + VOLUMES + " SELECT vol, genre FROM volumes, (VALUES ('fic', 0.95), ('dra', 0.95), ('poe', 0.939)) g(genre, least) WHERE maxgenre = genre AND score >= least")
+@query("o17_collection_cut", "WITH " + VOLUMES + " SELECT vol, category FROM volumes, (VALUES ('fic', 0.95), ('dra', 0.95), ('poe', 0.939)) g(category, least) WHERE maxcategory = category AND score >= least")
 def o17(spark, d):
-    cut = F.col("score") >= F.when(F.col("maxgenre") == "poe", 0.939).otherwise(0.95)
-    return volumes_of(spark, d).where(F.col("maxgenre").isin("fic", "dra", "poe") & cut).select("vol", F.col("maxgenre").alias("genre"))
+    cut = F.col("score") >= F.when(F.col("maxcategory") == "poe", 0.939).otherwise(0.95)
+    return volumes_of(spark, d).where(F.col("maxcategory").isin("fic", "dra", "poe") & cut).select("vol", F.col("maxcategory").alias("category"))
 
 
 def _filter_sql(g):
     bad = " OR ".join(f"contains(t, '{w}')" for w in O.FORBIDDEN[g])
     if g == "fic":
         bad += r" OR ((contains(t, 'memoirs') OR contains(t, 'autobiography')) AND list_has_any([x FOR x IN string_split_regex(replace(lower(author), ',', ''), '\s+') IF length(x) > 4], string_split_regex(t, '\s+')) AND NOT list_contains(string_split_regex(t, '\s+'), 'novels'))"
-    return f"SELECT vol, '{g}' AS genre FROM (SELECT *, translate(lower(title), ',.', '  ') AS t FROM volumes) x WHERE score >= {O.THRESHOLDS[g]} AND discard IS DISTINCT FROM 'x' AND NOT ({bad})"
+    return f"SELECT vol, '{g}' AS category FROM (SELECT *, translate(lower(title), ',.', '  ') AS t FROM volumes) x WHERE score >= {O.THRESHOLDS[g]} AND discard IS DISTINCT FROM 'x' AND NOT ({bad})"
 
 
 FILTERED = VOLUMES + ", filtered AS (" + " UNION ALL ".join(_filter_sql(g) for g in O.THRESHOLDS) + ")"
@@ -269,11 +278,11 @@ FILTERED = VOLUMES + ", filtered AS (" + " UNION ALL ".join(_filter_sql(g) for g
 @query("o18_title_filter", "WITH " + FILTERED + " SELECT * FROM filtered")
 def o18(spark, d):
     v = volumes_of(spark, d)
-    parts = [O.title_filter(v, g).select("vol", F.lit(g).alias("genre")) for g in O.THRESHOLDS]
+    parts = [O.title_filter(v, g).select("vol", F.lit(g).alias("category")) for g in O.THRESHOLDS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("o19_ringers", "WITH " + FILTERED + " SELECT vol, title FROM volumes WHERE score >= 0.5 AND vol NOT IN (SELECT vol FROM filtered WHERE genre <> 'poe')")
+@query("o19_ringers", "WITH " + FILTERED + " SELECT vol, title FROM volumes WHERE score >= 0.5 AND vol NOT IN (SELECT vol FROM filtered WHERE category <> 'poe')")
 def o19(spark, d):
     v = volumes_of(spark, d)
     return O.ringers(v.where("score >= 0.5"), [O.title_filter(v, "dra"), O.title_filter(v, "fic")]).select("vol", "title")
@@ -318,7 +327,7 @@ cases = lambda t, key: f"CASE {key} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a,
 
 
 @query("b2_fixed_fields", f"WITH f AS (SELECT o_orderkey, {FIELD} AS field FROM orders) SELECT o_orderkey, {at(6)} AS datetype, {at(7, 4)} AS date1, {at(11, 4)} AS date2, {at(15, 3)} AS place, array_to_string(list_sort([t FOR t IN [CASE WHEN {at(22)} IN ('b', 'c', 'd', 'j') THEN 'Juvenile audience' END, "
-       + ", ".join(f"CASE WHEN contains({at(24, 4)}, '{k}') THEN '{t}' END" for k, t in C.CONTENT_TAGS.items()) + f", {cases(C.FORM_TAGS, at(33))} ELSE 'UnknownGenre' END, {cases(C.BIOGRAPHY_TAGS, at(34))} END] IF t IS NOT NULL]), ';') AS tags FROM f")
+       + ", ".join(f"CASE WHEN contains({at(24, 4)}, '{k}') THEN '{t}' END" for k, t in C.CONTENT_TAGS.items()) + f", {cases(C.FORM_TAGS, at(33))} ELSE 'UnknownCategory' END, {cases(C.BIOGRAPHY_TAGS, at(34))} END] IF t IS NOT NULL]), ';') AS tags FROM f")
 def b2(spark, d):
     return fields_of(spark, d).select("o_orderkey", C.fixed_field(F.col("field")).alias("f")).select("o_orderkey", "f.datetype", "f.date1", "f.date2", "f.place", F.array_join("f.tags", ";").alias("tags"))
 
@@ -350,7 +359,7 @@ def b9(spark, d):
 
 
 @query("a1_alignment", "WITH " + EVENT_PAGES + """, g AS (SELECT vol, count(*) AS n FROM event_pages WHERE vol % 5 <> 0 AND NOT (vol % 7 = 0 AND page = 0) GROUP BY vol), p AS (SELECT vol, count(*) AS n FROM event_pages GROUP BY vol), w AS (SELECT DISTINCT c_custkey AS vol FROM customer)
-SELECT w.vol, CASE WHEN p.n IS NULL THEN 'missing data' WHEN g.n IS NULL THEN 'genre prediction not found' WHEN p.n <> g.n THEN 'mismatched lengths' ELSE 'success' END AS status FROM w LEFT JOIN p ON p.vol = w.vol LEFT JOIN g ON g.vol = w.vol""")
+SELECT w.vol, CASE WHEN p.n IS NULL THEN 'missing data' WHEN g.n IS NULL THEN 'category prediction not found' WHEN p.n <> g.n THEN 'mismatched lengths' ELSE 'success' END AS status FROM w LEFT JOIN p ON p.vol = w.vol LEFT JOIN g ON g.vol = w.vol""")
 def a1(spark, d):
     pages = event_pages(spark, d).select("vol", "page")
     wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("vol")).distinct()
@@ -363,9 +372,9 @@ def a5(spark, d):
     return C.align(table(spark, d, "customer").select(F.col("c_custkey").alias("vol")).distinct(), pages, pages).where("status <> 'success'")
 
 
-@query("a2_genre_filter", "WITH " + EVENT_PAGES + " SELECT vol, count(*) AS n FROM event_pages WHERE genre IN ('click', 'view') GROUP BY vol")
+@query("a2_category_filter", "WITH " + EVENT_PAGES + " SELECT vol, count(*) AS n FROM event_pages WHERE category IN ('click', 'view') GROUP BY vol")
 def a2(spark, d):
-    return event_pages(spark, d).where(F.col("genre").isin("click", "view")).groupBy("vol").agg(F.count("*").alias("n"))
+    return event_pages(spark, d).where(F.col("category").isin("click", "view")).groupBy("vol").agg(F.count("*").alias("n"))
 
 
 WORKS = EVENT_PAGES + ", works AS (SELECT DISTINCT vol // 3 AS work, vol % 3 AS seq, vol FROM event_pages), asm AS (SELECT work, seq, page, row_number() OVER (PARTITION BY work ORDER BY seq, page) - 1 AS pos, count(*) OVER (PARTITION BY work) AS pages FROM works JOIN event_pages USING (vol))"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import ids, words
 from leafmill.operators import lines as L
 from leafmill.plans.registry import LINES, TOKENS, VOL_PAGES, WORD_COUNTS, query
+from leafmill.sources.staged import written
 from leafmill.sources.tables import table, volume_lines, volume_pages
 
 P = r"""[.,?!;"“”:—)(''`\[\]{}]"""
@@ -23,8 +24,8 @@ def tokens_of(spark, d):
 
 
 def rules_of(tokens):
-    """Rule tables picked from the words of the documents: lexicon, personal names, place names."""
-    lexicon = L.lexicon_of(tokens, 20)
+    """Rule tables picked from the words of the documents: lexicon, personal names, place names. The words are counted once."""
+    lexicon = written(L.lexicon_of(tokens, 20), "lexicon")
     pick = lambda x: lexicon.where(F.substring(F.md5("word"), 1, 1) == x).select("word")
     return lexicon, pick("0"), pick("1")
 
@@ -177,11 +178,15 @@ def l17_all(spark, d):
     return tokens_of(spark, d).groupBy(words.without_possessive(F.col("token")).alias("word")).agg(F.count("*").alias("n"))
 
 
+ROMAN_ONES = ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"]
+ROMAN_TENS = ["", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"]
+ROMAN_HUNDREDS = ["", "c", "cc", "ccc", "cd"]
 FORMS = LEXICON + PERSONAL + rf""", cased AS (SELECT vol, page, token, {CASE} AS kind FROM tokens WHERE regexp_matches(token, '[\p{{L}}\p{{Nd}}]')),
 c2 AS (SELECT vol, page, kind, CASE WHEN kind = 'heterogenous' THEN token ELSE lower(token) END AS token FROM cased),
 c3 AS (SELECT vol, page, kind, {STRIP} AS token FROM c2),
 c4 AS (SELECT vol, page, kind, CASE WHEN length(token) > 2 THEN regexp_replace(token, '''[sS]$', '') ELSE token END AS token FROM c3),
-forms AS (SELECT vol, page, CASE WHEN token <> '' AND regexp_matches(lower(token), '^c{{0,3}}(xc|xl|l?x{{0,3}})(ix|iv|v?i{{0,3}})$') THEN 'romannumeral'
+roman AS (SELECT h || t || o AS word FROM (SELECT unnest({ROMAN_HUNDREDS}) AS h) a, (SELECT unnest({ROMAN_TENS}) AS t) b, (SELECT unnest({ROMAN_ONES}) AS o) c WHERE h || t || o NOT IN ('', 'i')),
+forms AS (SELECT vol, page, CASE WHEN lower(token) IN (SELECT word FROM roman) THEN 'romannumeral'
   WHEN {NUMBER} IS NOT NULL THEN {NUMBER}
   WHEN kind IN ('title', 'upper') AND lower(token) IN (SELECT word FROM personal) THEN 'personalname'
   WHEN kind IN ('title', 'upper') AND lower(token) IN (SELECT word FROM places) THEN 'placename'
@@ -224,7 +229,7 @@ FROM f WHERE NOT ({DIGITS} > 0.35 * length(token)) AND regexp_matches(token, '[\
 )
 def l22(spark, d):
     t = tokens_of(spark, d)
-    return L.match_rates(t, L.lexicon_of(t, 20))
+    return L.match_rates(t, written(L.lexicon_of(t, 20), "lexicon"))
 
 
 @query("l23_following_word", "WITH " + TOKENS + ", n AS (SELECT vol, token, lead(token) OVER (PARTITION BY vol ORDER BY page, line, pos) AS following FROM tokens) SELECT vol, following, count(*) AS n FROM n WHERE token = 'the' GROUP BY ALL")
@@ -325,7 +330,7 @@ def l34(spark, d):
 
 @query(
     "l35_phrase_counts",
-    "WITH " + PLAIN + """, phrases AS (SELECT DISTINCT lower(array_to_string(string_split(text, ' ')[i:i + i % 4], ' ')) AS phrase FROM benchmark, unnest(range(1, 9)) AS u(i)),
+    "WITH " + PLAIN + """, phrases AS (SELECT DISTINCT lower(array_to_string(s[i:i + i % 4], ' ')) AS phrase FROM (SELECT string_split(text, ' ') AS s FROM benchmark) x, unnest(range(1, len(s) + 1)) AS u(i)),
 w AS (SELECT *, lag(word, 1) OVER p AS w1, lag(word, 2) OVER p AS w2, lag(word, 3) OVER p AS w3 FROM plain WINDOW p AS (PARTITION BY vol, page ORDER BY line, pos)),
 e AS (SELECT vol, page, line, pos, 1 AS k, word AS phrase FROM w UNION ALL SELECT vol, page, line, pos, 2, w1 || ' ' || word FROM w UNION ALL SELECT vol, page, line, pos, 3, w2 || ' ' || w1 || ' ' || word FROM w
   UNION ALL SELECT vol, page, line, pos, 4, w3 || ' ' || w2 || ' ' || w1 || ' ' || word FROM w),
@@ -333,8 +338,8 @@ b AS (SELECT vol, page, line, pos, min_by(phrase, k) AS phrase FROM e WHERE phra
 SELECT vol, phrase, count(*) AS n FROM b GROUP BY vol, phrase""",
 )
 def l35(spark, d):
-    text = F.split("text", " ")
-    phrases = table(spark, d, "benchmark").select(F.explode(F.array(*[F.lower(F.array_join(F.slice(text, i, i % 4 + 1), " ")) for i in range(1, 9)])).alias("phrase")).distinct()
+    starts = table(spark, d, "benchmark").select(F.split("text", " ").alias("s")).select("s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("i"))
+    phrases = starts.select(F.lower(F.array_join(F.slice("s", F.col("i"), F.col("i") % 4 + 1), " ")).alias("phrase")).distinct()
     return L.phrase_counts(tokens_of(spark, d), phrases)
 
 
@@ -370,7 +375,7 @@ def l25(spark, d):
     from leafmill.operators import correction as K
 
     t = tokens_of(spark, d)
-    lexicon = L.lexicon_of(t, 20)
+    lexicon = written(L.lexicon_of(t, 20), "lexicon")
     known = lexicon.where(~F.substring(F.md5("word"), 1, 1).isin("3", "4", "5"))
     return K.correct(t, known, *correction_rules(lexicon)).groupBy("vol", "form").agg(F.count("*").alias("n")).where("n > 3")
 
@@ -387,7 +392,7 @@ def l25_all(spark, d):
     from leafmill.operators import correction as K
 
     t = tokens_of(spark, d)
-    lexicon = L.lexicon_of(t, 20)
+    lexicon = written(L.lexicon_of(t, 20), "lexicon")
     known = lexicon.where(~F.substring(F.md5("word"), 1, 1).isin("3", "4", "5"))
     return K.correct(t, known, *correction_rules(lexicon)).groupBy("vol", "form").agg(F.count("*").alias("n"))
 
@@ -449,11 +454,12 @@ def l38_all(spark, d):
 
 @query(
     "l39_hyphen_rejoin",
-    "WITH " + LINES + r""", hy AS (SELECT vol, page, line * 2 AS line, CASE WHEN length(text) > 40 THEN substr(text, 1, 20) || '-' ELSE text END AS text FROM lines UNION ALL SELECT vol, page, line * 2 + 1, substr(text, 21) FROM lines WHERE length(text) > 40),
-fr AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM lines) x GROUP BY word),
-s AS (SELECT vol, page, line, lower(trim(text, ' ')) AS s, lead(lower(trim(text, ' '))) OVER (PARTITION BY vol, page ORDER BY line) AS f FROM hy WHERE trim(text, ' ') <> ''),
-p AS (SELECT vol, page, line, regexp_replace(string_split_regex(s, '\s+')[-1], '[-—]+$', '') AS last, string_split_regex(f, '\s+')[1] AS token FROM s WHERE regexp_matches(s, '[-—]$') AND f IS NOT NULL),
-q AS (SELECT vol, page, line, last, """ + STRIP + r""" AS next FROM p)
+    "WITH " + LINES + r""", fr AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM lines) x GROUP BY word),
+cut AS MATERIALIZED (SELECT vol, page, line, lower(trim(CASE WHEN length(text) > 40 THEN substr(text, 1, 20) || '-' ELSE text END, ' ')) AS a, CASE WHEN length(text) > 40 THEN lower(trim(substr(text, 21), ' ')) END AS b FROM lines),
+s AS MATERIALIZED (SELECT vol, page, line * 2 AS line, a AS s FROM cut WHERE a <> '' UNION ALL SELECT vol, page, line * 2 + 1, b FROM cut WHERE b <> ''),
+n AS MATERIALIZED (SELECT *, lead(s) OVER (PARTITION BY vol, page ORDER BY line) AS f FROM s),
+p AS MATERIALIZED (SELECT vol, page, line, regexp_replace(string_split_regex(s, '\s+')[-1], '[-—]+$', '') AS last, string_split_regex(f, '\s+')[1] AS token FROM n WHERE (ends_with(s, '-') OR ends_with(s, '—')) AND f IS NOT NULL),
+q AS MATERIALIZED (SELECT vol, page, line, last, """ + STRIP + r""" AS next FROM p)
 SELECT vol, page, line, last, next FROM q LEFT JOIN fr a ON a.word = last LEFT JOIN fr b ON b.word = next LEFT JOIN fr c ON c.word = last || next WHERE (coalesce(a.n, 0) + coalesce(b.n, 0)) / 3 < coalesce(c.n, 0)""",
 )
 def l39(spark, d):

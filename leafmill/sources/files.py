@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 
 def _volume(suffix: str) -> Column:
+    """The volume of a file: its name without ``suffix``; or, where ``suffix`` is a column's name and ``=``, the value of its folder."""
+    if suffix.endswith("="):
+        return F.regexp_extract(F.col("_metadata.file_path"), f"/{suffix}([^/]*)/[^/]*$", 1)
     return F.regexp_replace(F.col("_metadata.file_name"), suffix.replace(".", r"\.") + "$", "")
 
 
@@ -29,9 +32,9 @@ def paged_text(spark: SparkSession, path: str, keep_last: bool = True, suffix: s
     """``vol, page, line, text``: pages end at lines that begin with ``<pb>``; bz2 files are read as they are.
 
     ``keep_last`` says whether a last page without end mark counts; ``drop_divs`` leaves out division
-    markup and trims lines.
+    markup and trims lines. Files that are not in UTF-8 are left out; ``unreadable_text`` names them.
     """
-    whole = spark.read.text(path, wholetext=True).select(_volume(suffix).alias("vol"), F.split("value", r"(?m)^<pb>.*(?:\r?\n|$)").alias("pages"))
+    whole = spark.read.text(path, wholetext=True).where(~_broken(F.col("value"))).select(_volume(suffix).alias("vol"), F.split("value", r"(?m)^<pb>.*(?:\r?\n|$)").alias("pages"))
     pages = whole.withColumn("pages", F.when(F.lit(keep_last), F.col("pages")).otherwise(F.slice("pages", 1, F.size("pages") - 1)))
     lines = pages.select("vol", F.posexplode("pages").alias("page", "body")).select("vol", "page", F.posexplode(F.split(F.regexp_replace("body", r"\r?\n$", ""), r"\r?\n")).alias("line", "text"))
     if drop_divs:
@@ -39,8 +42,22 @@ def paged_text(spark: SparkSession, path: str, keep_last: bool = True, suffix: s
     return lines
 
 
+def _broken(text: Column) -> Column:
+    return ~F.is_valid_utf8(text)
+
+
+def unreadable_text(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
+    """``vol, status`` of the text files that are not in UTF-8: ``unicode error``."""
+    return spark.read.text(path, wholetext=True).where(_broken(F.col("value"))).select(_volume(suffix).alias("vol"), F.lit("unicode error").alias("status"))
+
+
 def zipped_volumes(spark: SparkSession, path: str) -> DataFrame:
     """``vol, page, line, text, status`` of zip files with one member a page, named ``.._<code>.txt``; pages in order of code."""
+    return unzipped(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def unzipped(archives: DataFrame) -> DataFrame:
+    """The same from ``archives(path, content)``."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -62,11 +79,16 @@ def zipped_volumes(spark: SparkSession, path: str) -> DataFrame:
                     rows = [(vol, None, None, None, "missing")]
                 yield pd.DataFrame(rows, columns=["vol", "page", "line", "text", "status"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "vol string, page int, line int, text string, status string")
+    return archives.mapInPandas(read, "vol string, page int, line int, text string, status string")
 
 
 def archived_json(spark: SparkSession, path: str) -> DataFrame:
     """``archive, member, value`` for every regular file of tar.gz archives; one task an archive."""
+    return untarred(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def untarred(archives: DataFrame) -> DataFrame:
+    """The same from ``archives(path, content)``."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,7 +96,7 @@ def archived_json(spark: SparkSession, path: str) -> DataFrame:
                 with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as t:
                     yield pd.DataFrame([(name, m.name, t.extractfile(m).read().decode(errors="replace")) for m in t if m.isfile()], columns=["archive", "member", "value"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "archive string, member string, value string")
+    return archives.mapInPandas(read, "archive string, member string, value string")
 
 
 def extracted_features(spark: SparkSession, path: str) -> DataFrame:
@@ -85,14 +107,14 @@ def extracted_features(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("id", status.alias("status"), F.posexplode_outer("features.pages").alias("page", "p")).select(F.col("id").alias("vol"), "page", "status", F.col("p.tokenCount").alias("tokens"))
 
 
-def genre_maps(spark: SparkSession, path: str, suffix: str = ".map") -> DataFrame:
-    """``vol, page, genre``; rows of another width are left out."""
+def category_maps(spark: SparkSession, path: str, suffix: str = ".map") -> DataFrame:
+    """``vol, page, category``; rows of another width are left out."""
     raw = spark.read.text(path).select(_volume(suffix).alias("vol"), F.split("value", "\t").alias("f")).where((F.size("f") == 2) & F.get("f", F.lit(0)).rlike(r"^\d+$"))
-    return raw.select("vol", F.get("f", F.lit(0)).cast("int").alias("page"), F.get("f", F.lit(1)).alias("genre"))
+    return raw.select("vol", F.get("f", F.lit(0)).cast("int").alias("page"), F.get("f", F.lit(1)).alias("category"))
 
 
 def prediction_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """``vol, page, raw, smooth, probs``: the label, two categories, and ``genre::p`` from the fifth column on, after the sentinels."""
+    """``vol, page, raw, smooth, probs``: the label, two categories, and ``category::p`` from the fifth column on, after the sentinels."""
     f = F.split("value", "\t")
     label = F.get(f, F.lit(0))
     probs = F.map_from_entries(F.transform(F.slice(f, 6, 1000), lambda x: F.struct(F.substring_index(x, "::", 1), F.substring_index(x, "::", -1).cast("double"))))
@@ -159,6 +181,28 @@ def rule_table(spark: SparkSession, path: str, columns: list[str], lower: bool =
     return rows.select(*[field(i).alias(c) for i, c in enumerate(columns)])
 
 
+def hyphen_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From ``rules(source, target)``: all hyphen rules, and the words that they add to the lexicon.
+
+    A target without space is a word. One with a space also holds for the source without its hyphens,
+    and so does any target for a hyphenated source whose letters differ from its own, unless that form
+    has a rule already.
+    """
+    r = rules.select(F.rtrim("source").alias("source"), F.rtrim("target").alias("target"))
+    bare, spaced = F.replace("source", F.lit("-"), F.lit("")), F.col("target").contains(" ")
+    letters = F.translate("target", " -", "")
+    derived = r.where(spaced).select(bare.alias("source"), "target", F.lit(1).alias("rank"))
+    doubtful = r.where(F.col("source").contains("-") & (bare != letters)).select(bare.alias("source"), "target", F.lit(2).alias("rank"))
+    every = r.withColumn("rank", F.lit(0)).unionByName(derived).unionByName(doubtful)
+    return every.groupBy("source").agg(F.min(F.struct("rank", "target")).alias("t")).select("source", "t.target"), r.where(~spaced).select(F.col("target").alias("word")).distinct()
+
+
+def fusing_rules(rules: DataFrame) -> DataFrame:
+    """``first, second, fused`` of rules whose source is two words."""
+    words = F.split(F.rtrim("source"), " ")
+    return rules.where(F.size(words) == 2).select(F.get(words, F.lit(0)).alias("first"), F.get(words, F.lit(1)).alias("second"), F.rtrim("target").alias("fused"))
+
+
 def volume_documents(spark: SparkSession, values: DataFrame) -> DataFrame:
     """Parsed volume documents of JSON strings in ``value``."""
-    return values.select(F.from_json("value", "page_genres map<string,string>, added_metadata struct<totalpages: int, maxgenre: string>").alias("d")).select("d.*")
+    return values.select(F.from_json("value", "page_categories map<string,string>, added_metadata struct<totalpages: int, maxcategory: string>").alias("d")).select("d.*")

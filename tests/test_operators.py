@@ -94,7 +94,7 @@ def test_smoothing_against_a_model(spark):
 
 
 def test_transition_rows_sum_to_one(spark):
-    pages = spark.createDataFrame([("v", i, g) for i, g in enumerate("aabca")] + [("w", 0, "b")], "vol string, page int, genre string")
+    pages = spark.createDataFrame([("v", i, g) for i, g in enumerate("aabca")] + [("w", 0, "b")], "vol string, page int, category string")
     rows = sequence.transition_probabilities(pages).collect()
     for prev in {r.prev for r in rows}:
         assert sum(r.p for r in rows if r.prev == prev) == pytest.approx(1)
@@ -102,14 +102,14 @@ def test_transition_rows_sum_to_one(spark):
 
 
 def test_runs_flips_and_coalescing(spark):
-    pages = spark.createDataFrame([("v", i, g) for i, g in enumerate("aaabaaacbb")], "vol string, page int, genre string")
+    pages = spark.createDataFrame([("v", i, g) for i, g in enumerate("aaabaaacbb")], "vol string, page int, category string")
     assert sequence.flips(pages).first().flips == 5
-    assert [(r.genre, r.length) for r in sequence.runs(pages).orderBy("start").collect()] == [("a", 3), ("b", 1), ("a", 3), ("c", 1), ("b", 2)]
-    assert "".join(r.genre for r in sequence.coalesce_runs(pages).orderBy("page").collect()) == "aaaaaaacbb"
+    assert [(r.category, r.length) for r in sequence.runs(pages).orderBy("start").collect()] == [("a", 3), ("b", 1), ("a", 3), ("c", 1), ("b", 2)]
+    assert "".join(r.category for r in sequence.coalesce_runs(pages).orderBy("page").collect()) == "aaaaaaacbb"
 
 
 def test_gap_is_the_last_step_of_the_running_maximum(spark):
-    p = spark.createDataFrame([("v", 0, i, g, x) for i, (g, x) in enumerate(zip("abcd", [0.1, 0.4, 0.2, 0.3], strict=True))], "vol string, page int, idx int, genre string, p double")
+    p = spark.createDataFrame([("v", 0, i, g, x) for i, (g, x) in enumerate(zip("abcd", [0.1, 0.4, 0.2, 0.3], strict=True))], "vol string, page int, idx int, category string, p double")
     r = sequence.max_and_gap(p).first()
     assert (r.maxprob, r.gap) == (pytest.approx(0.4), pytest.approx(0.3))
 
@@ -147,9 +147,9 @@ def test_weighted_draws(spark):
 
 
 def test_rater_agreement(spark):
-    tags = spark.createDataFrame([("v", 0, r, g, 10.0) for r, g in ((1, "a"), (2, "b"), (3, "b"))] + [("w", 0, 1, "a", 1.0)], "vol string, page int, rater int, genre string, words double")
+    tags = spark.createDataFrame([("v", 0, r, g, 10.0) for r, g in ((1, "a"), (2, "b"), (3, "b"))] + [("w", 0, 1, "a", 1.0)], "vol string, page int, rater int, category string, words double")
     agreed = evaluate.rater_consensus(tags)
-    assert agreed.where("vol = 'v'").first().genre == "b"
+    assert agreed.where("vol = 'v'").first().category == "b"
     r = evaluate.rater_agreement(tags, agreed).collect()
     assert len(r) == 1 and r[0].agreement == pytest.approx(2 / 3)
 
@@ -192,11 +192,12 @@ def test_fixed_field_and_year(spark):
 
 def test_marc_flattening(spark):
     schema = "leader string, controlfield array<struct<_VALUE: string, _tag: string>>, datafield array<struct<_tag: string, subfield: array<struct<_VALUE: string, _code: string>>>>"
-    rec = ("00000cam", [("r1", "001"), ("x" * 40, "008")], [("974", [("id.1", "u")]), ("245", [("Title :", "a"), ("rest /", "b")]), ("100", [("Doe, J.", "a")]), ("650", [("S1", "a"), ("S2", "a")])])
+    rec = ("00000cam", [("r1", "001"), ("x" * 40, "008")], [("974", [("id.1", "a"), ("v.2", "c")]), ("974", [("v.3", "c")]), ("245", [("Title :", "a"), ("rest /", "b")]), ("100", [("Doe, J.", "a")]), ("650", [("S1", "a"), ("S2", "a")])])
     none = ("l", [("r2", "001")], [("245", [("No id", "a")])])
     rows = catalogue.flatten_marc(spark.createDataFrame([rec, none], schema)).collect()
     assert len(rows) == 1
-    assert (rows[0].htid, rows[0].recordid, rows[0].title, rows[0].author, rows[0].subjects, rows[0].imprint) == ("id.1", "r1", "Title rest", "Doe, J", "S1;S2", "<blank>")
+    assert (rows[0].htid, rows[0].recordid, rows[0].title, rows[0].author, rows[0].subjects, rows[0].imprint, rows[0].enumcron, rows[0].oclc) == ("id.1", "r1", "Title", "Doe, J.", "S1;S2", "<blank>", "v.2", "<blank>")
+    assert len(rows[0]) == 16
 
 
 def test_chunks_differ_by_one(spark):
@@ -218,22 +219,22 @@ def test_undersampling_and_folds(spark):
 def labelled(spark):
     rng = random.Random(7)
     rows = [(f"v{i % 12}", i, ["a", "b"][i % 2], [rng.gauss(3 * (i % 2), 1), rng.gauss(0, 1)], 10) for i in range(240)]
-    return spark.createDataFrame(rows, "vol string, page int, genre string, x array<double>, words int").withColumn("features", array_to_vector("x")).cache()
+    return spark.createDataFrame(rows, "vol string, page int, category string, x array<double>, words int").withColumn("features", array_to_vector("x")).cache()
 
 
 def test_one_vs_all_beats_the_majority_and_saves(spark, labelled, tmp_path):
     fitted = models.one_vs_all(labelled, ["a", "b"])
     scored = models.score(fitted, labelled)
-    assert scored.where("raw = genre").count() > 200
+    assert scored.where("raw = category").count() > 200
     assert all(0 <= p <= 1 for r in scored.collect() for p in r.probs)
     models.save(fitted, {"vocabulary": spark.createDataFrame([("w",)], "word string")}, str(tmp_path))
     again = models.score(models.load(str(tmp_path), ["a", "b"]), labelled)
-    assert again.where("raw = genre").count() == scored.where("raw = genre").count()
+    assert again.where("raw = category").count() == scored.where("raw = category").count()
 
 
 def test_cross_validation_scores_each_page_once(labelled):
     out = models.cross_validate(labelled, ["a", "b"], n=3)
-    assert out.count() == 240 and out.where("raw = genre").count() > 190
+    assert out.count() == 240 and out.where("raw = category").count() > 190
 
 
 def test_leave_one_out_and_lowess(spark):

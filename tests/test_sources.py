@@ -53,14 +53,14 @@ def test_zipped_volumes(spark, put):
 def test_archived_json(spark, put):
     b = io.BytesIO()
     with tarfile.open(fileobj=b, mode="w:gz") as t:
-        for name, text in (("d/a.json", '{"page_genres": {"0": "fic"}, "added_metadata": {"totalpages": 1, "maxgenre": "fic"}}'), ("d/b.json", "{}")):
+        for name, text in (("d/a.json", '{"page_categories": {"0": "fic"}, "added_metadata": {"totalpages": 1, "maxcategory": "fic"}}'), ("d/b.json", "{}")):
             info = tarfile.TarInfo(name)
             info.size = len(text)
             t.addfile(info, io.BytesIO(text.encode()))
     df = files.archived_json(spark, put("a.tar.gz", b.getvalue()))
     assert [r.member for r in df.orderBy("member").collect()] == ["d/a.json", "d/b.json"]
     docs = files.volume_documents(spark, df.where("member = 'd/a.json'")).first()
-    assert docs.page_genres == {"0": "fic"} and docs.added_metadata.totalpages == 1
+    assert docs.page_categories == {"0": "fic"} and docs.added_metadata.totalpages == 1
 
 
 def test_extracted_features(spark, put):
@@ -97,7 +97,7 @@ def test_lists_and_rules(spark, put):
     assert rows(files.vocabulary(spark, put("v.txt", "the\nof\nthe\nx\n"), 3), "idx") == [(0, "the", False), (1, "of", False), (2, "the", True)]
     assert rows(files.rule_table(spark, put("f.txt", "to day\ttoday\r\nA b\tab\r"), ["pair", "fused"]), "pair") == [("A b", "ab"), ("to day", "today")]
     assert rows(files.word_counts_tsv(spark, put("c.tsv", "htid\tpage\tcount\nv\t0\t7\n")), "page") == [("v", 0, 7)]
-    assert rows(files.genre_maps(spark, put("v.map", "0\tfic\n1\tnon\nbad\n")), "page") == [("v", 0, "fic"), ("v", 1, "non")]
+    assert rows(files.category_maps(spark, put("v.map", "0\tfic\n1\tnon\nbad\n")), "page") == [("v", 0, "fic"), ("v", 1, "non")]
 
 
 def test_sinks(spark, tmp_path):
@@ -108,9 +108,9 @@ def test_sinks(spark, tmp_path):
     assert sinks.corrected_text(t).first().text == "“Yes\nNo"
     p = spark.createDataFrame([("v", 0, "a", "b", 0.123450001, 0.5)], "vol string, page int, raw string, smooth string, p_a double, p_b double")
     assert sinks.prediction_lines(p, ["a", "b"]).first().value == "v,0\ta\tb\tbegin::0.0\tend::0.0\ta::0.1235\tb::0.5"
-    doc = json.loads(sinks.volume_json(spark.createDataFrame([("v", 0, "fic"), ("v", 1, "non"), ("v", 2, "fic")], "vol string, page int, genre string")).first().value)
-    assert doc == {"added_metadata": {"totalpages": 3, "maxgenre": "fic", "genre_counts": {"fic": 2, "non": 1}}, "page_genres": {"0": "fic", "1": "non", "2": "fic"}}
-    sinks.partitioned(spark.createDataFrame([("v", "fic", "1800-49")], "vol string, genre string, period string"), str(tmp_path / "p"))
+    doc = json.loads(sinks.volume_json(spark.createDataFrame([("v", 0, "fic"), ("v", 1, "non"), ("v", 2, "fic")], "vol string, page int, category string")).first().value)
+    assert doc == {"added_metadata": {"totalpages": 3, "maxcategory": "fic", "category_counts": {"fic": 2, "non": 1}}, "page_categories": {"0": "fic", "1": "non", "2": "fic"}}
+    sinks.partitioned(spark.createDataFrame([("v", "fic", "1800-49")], "vol string, category string, period string"), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
     sinks.metadata_tsv(spark.createDataFrame([("v", "t")], "id string, title string"), str(tmp_path / "m"))
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "m")).first().title == "t"
