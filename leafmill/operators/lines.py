@@ -138,15 +138,14 @@ def long_s_suspicion(tokens: DataFrame) -> DataFrame:
     return counted.withColumn("problem", F.col("truths") <= F.col("errors"))
 
 
-def running_headers(lines: DataFrame, least: float = 0.8, longest: int | None = 200) -> DataFrame:
+def running_headers(lines: DataFrame, least: float = 0.8) -> DataFrame:
     """Lines among the first two of a page that resemble one on the two pages before (by edit distance), and those they resemble.
 
-    Of a page's first five lines, the first two that still have five characters without digits, and at
-    most ``longest`` (None: any number), count.
+    Of a page's first five lines, the first two that still have five characters without digits count.
     Volumes of under five pages have no headers.
     """
     first = accepted_lines(lines).where(F.col("line") < 5).withColumn("key", F.lower(F.trim(F.regexp_replace(F.regexp_replace("s", r"\p{Nd}", ""), "iii|ii|xx", ""))))
-    first = first.where((F.length("key") >= 5) & (F.lit(True) if longest is None else F.length("key") <= longest))
+    first = first.where(F.length("key") >= 5)
     rank = F.row_number().over(Window.partitionBy(*PAGE).orderBy("line"))
     heads = first.withColumn("rank", rank).where("rank <= 2").select(*PAGE, "line", "key").join(page_order(lines), PAGE)
     large = heads.groupBy("vol").agg(F.count_distinct("page").alias("n")).where("n >= 5").select("vol")

@@ -65,13 +65,13 @@ def v3(spark, d):
     return V.volume_totals(features_of(spark, d))
 
 
-@query("v4_relative_frequencies", "WITH " + WORD_COUNTS + " SELECT vol, word, round(sum(share), 6) AS share FROM (SELECT vol, page, word, n / (0.0001::DOUBLE + sum(n) OVER (PARTITION BY vol, page)) AS share FROM word_counts) x GROUP BY vol, word HAVING sum(n_) > 3".replace("SELECT vol, page, word, n / ", "SELECT vol, page, word, n AS n_, n / "))
-def v4(spark, d):
-    shares = V.relative_frequencies(word_features_of(spark, d))
-    return shares.groupBy("vol", F.col("feature").alias("word")).agg(F.round(F.sum("share"), 6).alias("share"), F.sum("count").alias("n")).where("n > 3").drop("n")
+V4_RELATIVE_FREQUENCIES_SQL = (
+    "WITH " + WORD_COUNTS + " SELECT vol, word, round(sum(share), 6) AS share FROM (SELECT vol, page, word, n / (0.0001::DOUBLE + sum(n) OVER (PARTITION BY vol, page)) AS share FROM word_counts) x GROUP BY vol, word".replace("SELECT vol, page, word, n / ", "SELECT vol, page, word, n AS n_, n / ")
+)
 
 
-@query("v4_relative_frequencies_all", "WITH " + WORD_COUNTS + " SELECT vol, word, round(sum(share), 6) AS share FROM (SELECT vol, page, word, n / (0.0001::DOUBLE + sum(n) OVER (PARTITION BY vol, page)) AS share FROM word_counts) x GROUP BY vol, word".replace("SELECT vol, page, word, n / ", "SELECT vol, page, word, n AS n_, n / "))
+@query("v4_relative_frequencies", V4_RELATIVE_FREQUENCIES_SQL)
+@query("v4_relative_frequencies_all", V4_RELATIVE_FREQUENCIES_SQL)
 def v4_all(spark, d):
     shares = V.relative_frequencies(word_features_of(spark, d))
     return shares.groupBy("vol", F.col("feature").alias("word")).agg(F.round(F.sum("share"), 6).alias("share"), F.sum("count").alias("n")).drop("n")
@@ -127,12 +127,13 @@ def v8(spark, d):
     return V.zscore_apply(long, V.zscore_fit(long)).select("vol", "page", "feature", F.round("z", 5).alias("z"))
 
 
-@query("v10_volume_vectors", "WITH " + WORD_COUNTS + " SELECT vol, word, CAST(sum(n) AS BIGINT) AS n FROM word_counts GROUP BY vol, word HAVING sum(n) > 4")
-def v10(spark, d):
-    return L.word_counts(L.tokens(volume_lines(spark, d))).groupBy("vol", "word").agg(F.sum("n").alias("n")).where("n > 4")
+V10_VOLUME_VECTORS_SQL = (
+    "WITH " + WORD_COUNTS + " SELECT vol, word, CAST(sum(n) AS BIGINT) AS n FROM word_counts GROUP BY vol, word"
+)
 
 
-@query("v10_volume_vectors_all", "WITH " + WORD_COUNTS + " SELECT vol, word, CAST(sum(n) AS BIGINT) AS n FROM word_counts GROUP BY vol, word")
+@query("v10_volume_vectors", V10_VOLUME_VECTORS_SQL)
+@query("v10_volume_vectors_all", V10_VOLUME_VECTORS_SQL)
 def v10_all(spark, d):
     return L.word_counts(L.tokens(volume_lines(spark, d))).groupBy("vol", "word").agg(F.sum("n").alias("n"))
 

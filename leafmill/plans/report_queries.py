@@ -307,9 +307,9 @@ def o21(spark, d):
     return O.yearly_share(pages).select("year", F.round("share", 6).alias("share"), F.round("smoothed", 6).alias("smoothed"))
 
 
-@query("o22_size_audit", "WITH " + EVENT_PAGES + " SELECT vol, count(*) AS pages FROM event_pages GROUP BY vol ORDER BY pages DESC, vol LIMIT 50")
+@query("o22_size_audit", "WITH " + EVENT_PAGES + " SELECT vol, count(*) AS pages FROM event_pages GROUP BY vol")
 def o22(spark, d):
-    return event_pages(spark, d).groupBy("vol").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "vol").limit(50)
+    return event_pages(spark, d).groupBy("vol").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "vol")
 
 
 # Metadata

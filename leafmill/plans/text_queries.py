@@ -124,13 +124,13 @@ def l9(spark, d):
     return tokens_of(spark, d).groupBy("vol", "page").agg(F.count("*").alias("n"), F.sum(F.length("token")).alias("chars"), F.count_distinct("token").alias("types"))
 
 
-@query("l10_strip_punctuation", "WITH " + TOKENS + f", s AS (SELECT token, {STRIP} AS stripped FROM tokens) SELECT token, stripped, count(*) AS n FROM s WHERE token <> stripped GROUP BY ALL HAVING count(*) > 3")
-def l10(spark, d):
-    t = tokens_of(spark, d).select("token", words.stripped(F.col("token")).alias("stripped")).where("token <> stripped")
-    return t.groupBy("token", "stripped").agg(F.count("*").alias("n")).where("n > 3")
+L10_STRIP_PUNCTUATION_SQL = (
+    "WITH " + TOKENS + f", s AS (SELECT token, {STRIP} AS stripped FROM tokens) SELECT token, stripped, count(*) AS n FROM s WHERE token <> stripped GROUP BY ALL"
+)
 
 
-@query("l10_strip_punctuation_all", "WITH " + TOKENS + f", s AS (SELECT token, {STRIP} AS stripped FROM tokens) SELECT token, stripped, count(*) AS n FROM s WHERE token <> stripped GROUP BY ALL")
+@query("l10_strip_punctuation", L10_STRIP_PUNCTUATION_SQL)
+@query("l10_strip_punctuation_all", L10_STRIP_PUNCTUATION_SQL)
 def l10_all(spark, d):
     t = tokens_of(spark, d).select("token", words.stripped(F.col("token")).alias("stripped")).where("token <> stripped")
     return t.groupBy("token", "stripped").agg(F.count("*").alias("n"))
@@ -168,12 +168,13 @@ def l16(spark, d):
     return tokens_of(spark, d).where(words.no_alphanumeric(F.col("token"))).groupBy("vol", "page").agg(F.count("*").alias("n"))
 
 
-@query("l17_possessives", "WITH " + TOKENS + r" SELECT CASE WHEN length(token) > 2 THEN regexp_replace(token, '''[sS]$', '') ELSE token END AS word, count(*) AS n FROM tokens GROUP BY 1 HAVING count(*) > 10")
-def l17(spark, d):
-    return tokens_of(spark, d).groupBy(words.without_possessive(F.col("token")).alias("word")).agg(F.count("*").alias("n")).where("n > 10")
+L17_POSSESSIVES_SQL = (
+    "WITH " + TOKENS + r" SELECT CASE WHEN length(token) > 2 THEN regexp_replace(token, '''[sS]$', '') ELSE token END AS word, count(*) AS n FROM tokens GROUP BY 1"
+)
 
 
-@query("l17_possessives_all", "WITH " + TOKENS + r" SELECT CASE WHEN length(token) > 2 THEN regexp_replace(token, '''[sS]$', '') ELSE token END AS word, count(*) AS n FROM tokens GROUP BY 1")
+@query("l17_possessives", L17_POSSESSIVES_SQL)
+@query("l17_possessives_all", L17_POSSESSIVES_SQL)
 def l17_all(spark, d):
     return tokens_of(spark, d).groupBy(words.without_possessive(F.col("token")).alias("word")).agg(F.count("*").alias("n"))
 
@@ -194,13 +195,13 @@ forms AS (SELECT vol, page, CASE WHEN lower(token) IN (SELECT word FROM roman) T
   ELSE lower(token) END AS form FROM c4)"""
 
 
-@query("l14_l19_l21_forms", "WITH " + FORMS + " SELECT vol, form, count(*) AS n FROM forms GROUP BY ALL HAVING count(*) > 2")
-def l19(spark, d):
-    t = tokens_of(spark, d)
-    return L.normal_form(t, *rules_of(t)).groupBy("vol", "form").agg(F.count("*").alias("n")).where("n > 2")
+L14_L19_L21_FORMS_SQL = (
+    "WITH " + FORMS + " SELECT vol, form, count(*) AS n FROM forms GROUP BY ALL"
+)
 
 
-@query("l14_l19_l21_forms_all", "WITH " + FORMS + " SELECT vol, form, count(*) AS n FROM forms GROUP BY ALL")
+@query("l14_l19_l21_forms", L14_L19_L21_FORMS_SQL)
+@query("l14_l19_l21_forms_all", L14_L19_L21_FORMS_SQL)
 def l19_all(spark, d):
     t = tokens_of(spark, d)
     return L.normal_form(t, *rules_of(t)).groupBy("vol", "form").agg(F.count("*").alias("n"))
@@ -211,12 +212,13 @@ def l20(spark, d):
     return tokens_of(spark, d).groupBy("vol", "page").agg(F.count_if(words.case_of(F.col("token")) == "upper").alias("allcaps"))
 
 
-@query("l21_word_counts", "WITH " + WORD_COUNTS + " SELECT vol, page, word, n FROM word_counts WHERE n > 1")
-def l21(spark, d):
-    return L.word_counts(tokens_of(spark, d)).where("n > 1")
+L21_WORD_COUNTS_SQL = (
+    "WITH " + WORD_COUNTS + " SELECT vol, page, word, n FROM word_counts"
+)
 
 
-@query("l21_word_counts_all", "WITH " + WORD_COUNTS + " SELECT vol, page, word, n FROM word_counts")
+@query("l21_word_counts", L21_WORD_COUNTS_SQL)
+@query("l21_word_counts_all", L21_WORD_COUNTS_SQL)
 def l21_all(spark, d):
     return L.word_counts(tokens_of(spark, d))
 
@@ -277,7 +279,7 @@ def headed_lines(spark, d):
 
 
 HEADERS = ACC.replace("l[i] AS text", HEADED) + r""", k AS (SELECT vol, page, line, lower(trim(regexp_replace(regexp_replace(s, '\p{Nd}', '', 'g'), 'iii|ii|xx', '', 'g'), ' ')) AS key FROM acc WHERE line < 5),
-h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vol, page ORDER BY line) AS rank FROM k WHERE length(key) BETWEEN 5 AND 200) x WHERE rank <= 2),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vol, page ORDER BY line) AS rank FROM k WHERE length(key) >= 5) x WHERE rank <= 2),
 seqs AS (SELECT vol, page, row_number() OVER (PARTITION BY vol ORDER BY page) - 1 AS seq FROM vol_pages),
 heads AS (SELECT h.*, seq FROM h JOIN seqs USING (vol, page) WHERE vol IN (SELECT vol FROM h GROUP BY vol HAVING count(DISTINCT page) >= 5)),
 hp AS (SELECT a.vol, a.page, a.line, b.page AS page_b, b.line AS line_b FROM heads a JOIN heads b ON a.vol = b.vol AND b.seq BETWEEN a.seq - 2 AND a.seq - 1 AND a.seq >= 2
@@ -285,14 +287,15 @@ hp AS (SELECT a.vol, a.page, a.line, b.page AS page_b, b.line AS line_b FROM hea
 headers AS (SELECT vol, page, line FROM hp UNION SELECT vol, page_b, line_b FROM hp)"""
 
 
-@query("l28_running_headers", "WITH " + HEADERS + " SELECT vol, page, line FROM headers")
-def l28(spark, d):
-    return L.running_headers(headed_lines(spark, d))
+L28_RUNNING_HEADERS_SQL = (
+    "WITH " + HEADERS + " SELECT vol, page, line FROM headers"
+)
 
 
-@query("l28_running_headers_all", "WITH " + HEADERS.replace("BETWEEN 5 AND 200", ">= 5") + " SELECT vol, page, line FROM headers")
+@query("l28_running_headers", L28_RUNNING_HEADERS_SQL)
+@query("l28_running_headers_all", L28_RUNNING_HEADERS_SQL)
 def l28_all(spark, d):
-    return L.running_headers(headed_lines(spark, d), longest=None)
+    return L.running_headers(headed_lines(spark, d))
 
 
 @query("l29_header_upvote", "WITH " + WORD_COUNTS.replace("l[i] AS text", HEADED) + ", " + HEADERS.split(", acc AS", 1)[1].join(["acc AS", ""]) + f""", hw AS (SELECT DISTINCT vol, page, lower({STRIP}) AS word FROM tokens WHERE (vol, page, line) IN (SELECT vol, page, line FROM headers)),
@@ -363,31 +366,17 @@ def correction_rules(lexicon):
     return pick("2", F.reverse(w)), pick("3", F.concat_ws(" ", w, w)), pick("4", F.concat(w, F.lit("e"))), pick("5", F.concat(F.lit("x"), w))
 
 
-@query(
-    "l18_l25_corrections",
+L18_L25_CORRECTIONS_SQL = (
     "WITH " + RULES + r""", known AS (SELECT word FROM lexicon WHERE substr(md5(word), 1, 1) NOT IN ('3', '4', '5')), t AS (SELECT vol, word, regexp_replace(word, '\P{L}', '', 'g') AS letters FROM plain),
 f AS (SELECT vol, coalesce(c1.target, c2.target, CASE WHEN word IN (SELECT word FROM known) THEN word END, h.target, s.target, v.target, CASE WHEN letters IN (SELECT word FROM known) THEN letters END, word) AS form
   FROM t LEFT JOIN corrections c1 ON c1.source = word LEFT JOIN corrections c2 ON c2.source = letters LEFT JOIN hyphens h ON h.source = word LEFT JOIN syncopes s ON s.source = word LEFT JOIN variants v ON v.source = word),
 e AS (SELECT vol, unnest(string_split(form, ' ')) AS form FROM f)
-SELECT vol, form, count(*) AS n FROM e GROUP BY vol, form HAVING count(*) > 3""",
+SELECT vol, form, count(*) AS n FROM e GROUP BY vol, form"""
 )
-def l25(spark, d):
-    from leafmill.operators import correction as K
-
-    t = tokens_of(spark, d)
-    lexicon = written(L.lexicon_of(t, 20), "lexicon")
-    known = lexicon.where(~F.substring(F.md5("word"), 1, 1).isin("3", "4", "5"))
-    return K.correct(t, known, *correction_rules(lexicon)).groupBy("vol", "form").agg(F.count("*").alias("n")).where("n > 3")
 
 
-@query(
-    "l18_l25_corrections_all",
-    "WITH " + RULES + r""", known AS (SELECT word FROM lexicon WHERE substr(md5(word), 1, 1) NOT IN ('3', '4', '5')), t AS (SELECT vol, word, regexp_replace(word, '\P{L}', '', 'g') AS letters FROM plain),
-f AS (SELECT vol, coalesce(c1.target, c2.target, CASE WHEN word IN (SELECT word FROM known) THEN word END, h.target, s.target, v.target, CASE WHEN letters IN (SELECT word FROM known) THEN letters END, word) AS form
-  FROM t LEFT JOIN corrections c1 ON c1.source = word LEFT JOIN corrections c2 ON c2.source = letters LEFT JOIN hyphens h ON h.source = word LEFT JOIN syncopes s ON s.source = word LEFT JOIN variants v ON v.source = word),
-e AS (SELECT vol, unnest(string_split(form, ' ')) AS form FROM f)
-SELECT vol, form, count(*) AS n FROM e GROUP BY vol, form""",
-)
+@query("l18_l25_corrections", L18_L25_CORRECTIONS_SQL)
+@query("l18_l25_corrections_all", L18_L25_CORRECTIONS_SQL)
 def l25_all(spark, d):
     from leafmill.operators import correction as K
 
@@ -436,15 +425,13 @@ def l36(spark, d):
     return v.groupBy("vol", "page").agg(F.count_if(F.col("tag").isin("yes", "no", "runon")).alias("lines"), F.count_if(F.col("tag") == "yes").alias("caps"), F.count_if("verse").alias("verse"))
 
 
-@query("l38_verse_word_counts", "WITH " + VERSE + ", w AS (SELECT vol, verse, unnest(string_split(lower(text), ' ')) AS word FROM verse) SELECT vol, verse, word, count(*) AS n FROM w GROUP BY ALL HAVING count(*) > 5")
-def l38(spark, d):
-    from leafmill.operators import correction as K
-
-    w = K.verse_lines(volume_lines(spark, d)).select("vol", "verse", F.explode(F.split(F.lower("text"), " ")).alias("word"))
-    return w.groupBy("vol", "verse", "word").agg(F.count("*").alias("n")).where("n > 5")
+L38_VERSE_WORD_COUNTS_SQL = (
+    "WITH " + VERSE + ", w AS (SELECT vol, verse, unnest(string_split(lower(text), ' ')) AS word FROM verse) SELECT vol, verse, word, count(*) AS n FROM w GROUP BY ALL"
+)
 
 
-@query("l38_verse_word_counts_all", "WITH " + VERSE + ", w AS (SELECT vol, verse, unnest(string_split(lower(text), ' ')) AS word FROM verse) SELECT vol, verse, word, count(*) AS n FROM w GROUP BY ALL")
+@query("l38_verse_word_counts", L38_VERSE_WORD_COUNTS_SQL)
+@query("l38_verse_word_counts_all", L38_VERSE_WORD_COUNTS_SQL)
 def l38_all(spark, d):
     from leafmill.operators import correction as K
 
