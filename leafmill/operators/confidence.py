@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.sources.staged import written
+
 # Tags of nonfiction.
 NONFICTION_TAGS = [
     "Bibliographies", "Catalog", "Dictionary", "Encyclopedia", "Handbooks", "Indexes", "Legislation", "Directories", "Statistics", "Legal cases",
@@ -116,11 +118,27 @@ def ringers(candidates: DataFrame, accepted: list[DataFrame]) -> DataFrame:
 
 
 def weighted_draws(volumes: DataFrame, draws: DataFrame) -> DataFrame:
-    """Draws (``stratum, draw, u`` in [0, 1)) of volumes (``stratum, vol, weight``) in proportion to weight; adds the ordinal inside the volume."""
-    w = Window.partitionBy("stratum").orderBy("vol")
-    v = volumes.withColumn("top", F.sum("weight").over(w)).withColumn("floor", F.col("top") - F.col("weight")).withColumn("all", F.sum("weight").over(Window.partitionBy("stratum")))
-    picked = draws.join(v, "stratum").where((F.floor(F.col("u") * F.col("all")) >= F.col("floor")) & (F.floor(F.col("u") * F.col("all")) < F.col("top")))
-    return picked.select("stratum", "draw", "vol", (F.floor(F.col("u") * F.col("all")) - F.col("floor")).alias("ordinal"))
+    """Draws (``stratum, draw, u`` in [0, 1)) of volumes (``stratum, vol, weight``) in proportion to weight; adds the ordinal inside the volume.
+
+    Volumes lie one after the other on a line of their weights. Their places come from running sums in
+    the range partitions of the sorted volumes and from the sums of those before, so a stratum may be
+    many tasks. The line is cut into as many cells as the stratum has volumes, and a draw meets only
+    those of its cell.
+    """
+    sorted_ = volumes.where("weight > 0").repartitionByRange("stratum", "vol").withColumn("part", F.spark_partition_id())
+    parts = written(sorted_.select("stratum", "vol", "weight", "part"), "draw-volumes")
+    sums = parts.groupBy("stratum", "part").agg(F.sum("weight").alias("own"), F.count("*").alias("n"))  # a row for each partition and stratum
+    w = Window.partitionBy("stratum")
+    sums = written(sums.select("stratum", "part", (F.sum("own").over(w.orderBy("part")) - F.col("own")).alias("before"), F.sum("own").over(w).alias("all"), F.sum("n").over(w).alias("n")), "draw-sums")
+    width = F.col("all") / F.col("n")
+    within = F.sum("weight").over(Window.partitionBy("stratum", "part").orderBy("vol"))
+    v = parts.withColumn("within", within).join(sums, ["stratum", "part"]).withColumn("top", F.col("before") + F.col("within")).withColumn("floor", F.col("top") - F.col("weight"))
+    cells = F.sequence(F.floor(F.col("floor") / width), F.floor(F.col("top") / width))
+    v = v.select("stratum", "vol", "floor", "top", F.explode(cells).alias("cell"))
+    strata = sums.groupBy("stratum").agg(F.first("all").alias("all"), F.first("n").alias("n"))
+    d = draws.join(strata, "stratum").withColumn("at", F.floor(F.col("u") * F.col("all"))).withColumn("cell", F.floor(F.col("at") / width))
+    picked = d.select("stratum", "draw", "at", "cell").join(v, ["stratum", "cell"]).where((F.col("at") >= F.col("floor")) & (F.col("at") < F.col("top")))
+    return picked.select("stratum", "draw", "vol", (F.col("at") - F.col("floor")).alias("ordinal"))
 
 
 def yearly_share(pages: DataFrame, reach: int = 2) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression
@@ -11,6 +13,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.sources.staged import written
+
 
 def confidence_model(volumes: DataFrame, features: list[str], label: str, c: float = 0.1):
     """Ridge logistic regression of a 0/1 label; the penalty is that of cost ``c`` on summed losses."""
@@ -26,40 +30,53 @@ def apply_confidence(model, features: list[str], volumes: DataFrame) -> DataFram
     return model.transform(assembled).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def _ridge_logistic(x: np.ndarray, y: np.ndarray, c: float, steps: int = 25) -> np.ndarray:
-    x1, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
-    penalty = np.eye(len(w)) / c
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + penalty, x1.T @ (p - y) + penalty @ w)
-        w -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    return w
+def _newton_sums(rows: DataFrame, x_cols: list[str], label: str, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hessian and gradient of the logistic loss at ``w``, summed in each task and then over tasks."""
+    d = len(x_cols) + 1
 
+    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(d * d + d)
+        for part in parts:
+            x = np.column_stack([np.ones(len(part)), part[x_cols].to_numpy(float)])
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            total += np.concatenate([((x * (p * (1 - p))[:, None]).T @ x).ravel(), x.T @ (p - part[label].to_numpy(float))])
+        yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
 
-def leave_one_out(volumes: DataFrame, features: list[str], label: str, key: str = "vol", c: float = 0.1) -> DataFrame:
+    sums = rows.select(*x_cols, label).mapInPandas(partial, "at int, v double").groupBy("at").agg(F.sum("v").alias("v"))
+    total = sums.orderBy("at").toPandas()["v"].to_numpy()  # as many rows as the model has coefficients, squared
+    return total[: d * d].reshape(d, d), total[d * d :]
+
+
+def leave_one_out(volumes: DataFrame, features: list[str], label: str, key: str = "vol", c: float = 0.1, steps: int = 25) -> DataFrame:
     """``key, score``: each volume scored by a model of all others.
 
-    Each task fits the models of one block of volumes over a copy of the table, so the work grows with
-    the square of the volumes, and one task holds the whole table.
+    One model is fitted to all volumes by Newton's method, each step of which is a sum over the rows.
+    A volume's own model is that one after a Newton step on all rows but its own, for which the summed
+    Hessian and its own row are enough; features are scaled by all volumes. So the work grows with the volumes
+    and no task holds them all. Scores differ from those of whole fits by the terms of second order.
     """
-    small = volumes.select(key, *features, label)
-    copies = small.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("mine", F.pmod(F.xxhash64(key), F.lit(16)).cast("int") == F.col("block"))
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(key, ignore_index=True)
-        x, y, out = part[features].to_numpy(float), part[label].to_numpy(float), []
-        for i in np.flatnonzero(part["mine"].to_numpy()):
-            rest = np.arange(len(part)) != i
-            mean, sd = x[rest].mean(axis=0), x[rest].std(axis=0)
-            sd[sd == 0] = 1
-            w = _ridge_logistic((x[rest] - mean) / sd, y[rest], c)
-            out.append((part[key].iloc[i], float(1 / (1 + np.exp(-(w[0] + ((x[i] - mean) / sd) @ w[1:]))))))
-        return pd.DataFrame(out, columns=[key, "score"])
-
-    kind = volumes.schema[key].dataType.simpleString()
-    return copies.groupBy("block").applyInPandas(fit, f"{key} {kind}, score double")
+    stats = volumes.agg(*[f(F.col(x).cast("double")).alias(f"{n}_{x}") for x in features for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    scaled = [((F.col(x) - F.lit(stats[f"m_{x}"])) / F.lit(stats[f"s_{x}"] or 1.0)).alias(x) for x in features]
+    rows = written(volumes.select(key, *scaled, F.col(label).cast("double").alias(label)), "leave-one-out")
+    w, penalty = np.zeros(len(features) + 1), np.eye(len(features) + 1) / c
+    for _ in range(steps):
+        hessian, gradient = _newton_sums(rows, features, label, w)
+        step = np.linalg.solve(hessian + penalty, gradient + penalty @ w)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    hessian = _newton_sums(rows, features, label, w)[0] + penalty
+
+    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inverse = np.linalg.inv(hessian)
+        for part in parts:
+            x = np.column_stack([np.ones(len(part)), part[features].to_numpy(float)])
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            lever = np.einsum("ij,jk,ik->i", x, inverse, x)  # the Hessian without a row, by its rank-one update
+            own = x @ w + (p - part[label].to_numpy(float)) * lever / (1 - p * (1 - p) * lever)
+            yield pd.DataFrame({key: part[key], "score": 1 / (1 + np.exp(-own))})
+
+    return rows.mapInPandas(score, f"{key} {volumes.schema[key].dataType.simpleString()}, score double")
 
 
 def smooth_curves(curves: DataFrame, share: float = 0.3) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.operators import sequence as S
+
 
 def undersample(rows: DataFrame, positive: str, key: str) -> DataFrame:
     """All positives, and at most ``ceil(ln(1.73 + neg / pos) * pos)`` negatives, those with the smallest hashes of ``key``.
@@ -54,22 +56,44 @@ def score(models: dict, pages: DataFrame) -> DataFrame:
     return out.withColumn("probs", F.array(*probs)).withColumn("raw", F.element_at(F.array(*[F.lit(g) for g in models]), best)).drop(*[f"_p{i}" for i in range(len(models))])
 
 
+def smoothed(scored: DataFrame, train: DataFrame, categories: list[str]) -> DataFrame:
+    """``scored(vol, page, words, probs, ..)`` with ``smooth``: the best category after smoothing by the transitions of ``train``."""
+    soft = S.smooth(scored, *S.transition_arrays(train, categories)).select("vol", "page", "smoothed")
+    best = F.element_at(F.array(*map(F.lit, categories)), F.array_position("smoothed", F.array_max("smoothed")).cast("int"))
+    return scored.join(soft, ["vol", "page"]).withColumn("smooth", best).drop("smoothed")
+
+
 def cross_validate(pages: DataFrame, categories: list[str], n: int = 5, extra: DataFrame | None = None) -> DataFrame:
-    """Each fold scored by models of the other folds, and of the ``extra`` rows, which are never scored."""
-    dealt, out = pages.join(folds(pages, n), "vol").cache(), None
+    """Each fold scored by models, and smoothed by transitions, of the other folds and of the ``extra`` rows, which are never scored."""
+    dealt, out = pages.join(folds(pages, n), "vol"), None
     for k in range(n):
         train = dealt.where(F.col("fold") != k).drop("fold")
         train = train.unionByName(extra) if extra is not None else train
-        part = score(one_vs_all(train, categories), dealt.where(F.col("fold") == k))
+        part = smoothed(score(one_vs_all(train, categories), dealt.where(F.col("fold") == k)), train, categories)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def forest(train: DataFrame, trees: int = 500, per_split: int = 22, seed: int = 10):
+def training_confusion(models: dict, train: DataFrame) -> DataFrame:
+    """``category, tp, fp, fn, tn`` of each model on the rows that it was fitted to, at a probability of one half."""
+    scored = score(models, train)
+    names = list(models)
+    each = scored.select("category", F.posexplode(F.slice("probs", 1, len(names))).alias("i", "p"))
+    said, is_ = F.col("p") > 0.5, F.col("category") == F.col("of")
+    each = each.withColumn("of", F.get(F.array(*map(F.lit, names)), F.col("i")))
+    return each.groupBy(F.col("of").alias("category_")).agg(F.count_if(said & is_).alias("tp"), F.count_if(said & ~is_).alias("fp"), F.count_if(~said & is_).alias("fn"), F.count_if(~said & ~is_).alias("tn")).withColumnRenamed("category_", "category")
+
+
+def forest(train: DataFrame, trees: int = 500, per_split: int = 40, seed: int = 10):
     """A random forest on ``features`` and ``label``."""
     return RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(per_split), seed=seed).fit(train)
 
 
+def category_forests(train: DataFrame, categories: list[str], trees: int = 500, per_split: int = 22, seed: int = 10) -> dict:
+    """A random forest for each category against all others; ``score`` applies them."""
+    return {g: forest(train.withColumn("label", (F.col("category") == g).cast("double")), trees, per_split, seed) for g in categories}
+
+
 def all_vs_all(train: DataFrame, categories: list[str], ridge: float = 0.002, iterations: int = 50) -> dict:
     """A ridge logistic model for each pair of categories, on their rows only."""
     fit = LogisticRegression(regParam=ridge, elasticNetParam=0.0, maxIter=iterations, labelCol="is")
@@ -103,11 +127,14 @@ def score_bagged(bags: list[dict], categories: list[str], pages: DataFrame) -> D
     return out.withColumn("raw", F.element_at(F.array(*[F.lit(g) for g in categories]), F.array_position("probs", F.array_max("probs")).cast("int")))
 
 
-def ensemble(models: dict[str, dict], pages: DataFrame) -> DataFrame:
-    """The pages once for each named model, with a ``model`` column."""
+def ensemble(models: dict[str, dict], pages: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+    """The pages once for each named model, with a ``model`` column; with ``truth`` also smoothed by its transitions, after each model."""
     out = None
     for name, m in models.items():
-        part = score(m, pages).withColumn("model", F.lit(name))
+        part = score(m, pages)
+        if truth is not None:
+            part = smoothed(part, truth, list(m))
+        part = part.withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 

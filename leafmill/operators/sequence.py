@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.sources.staged import written
 
 
 def by_page():
@@ -29,44 +32,115 @@ def transition_probabilities(pages: DataFrame, share: float = 0.0001, added: flo
     return full.withColumn("raw", raw).select("prev", "next", (F.col("raw") / F.sum("raw").over(Window.partitionBy("prev"))).alias("p"))
 
 
+def transition_arrays(pages: DataFrame, categories: list[str]) -> tuple[list[list[float]], list[float], list[float]]:
+    """The transition probabilities of ``pages`` as ``smooth`` takes them: between the categories, from begin, to end."""
+    p = {(r.prev, r.next): r.p for r in transition_probabilities(pages).collect()}  # a row for each pair of categories
+    return [[p.get((a, b), 0.0) for b in categories] for a in categories], [p.get(("begin", b), 0.0) for b in categories], [p.get((a, "end"), 0.0) for a in categories]
+
+
+BLOCK_PAGES, GROUP_PAGES = 1024, 100_000
+
+
 def smooth(pages: DataFrame, transitions: list[list[float]], begin: list[float], end: list[float]) -> DataFrame:
     """Forward-backward smoothing of ``pages(vol, page, words, probs array<double>)``; adds ``smoothed``.
 
     ``transitions[i][j]`` leads from category i to j. A page with at most five words counts as
     informative only in the first tenth of its volume or after the last eighth begins; on others 0.25 is
     added to its evidence. Evidence enters both directions, and the last page is its backward value
-    squared. One fold over the pages of a volume; volumes fit a task.
+    squared.
+
+    A volume is cut into blocks of ``BLOCK_PAGES`` page numbers, so that volumes of any length are many
+    tasks: each block's steps make one matrix for each direction, a fold over the few blocks of a volume
+    gives the values at their edges, and with these the blocks are smoothed for themselves.
     """
     k = len(begin)
-    matrix = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in transitions])
-    vector = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-
-    def norm(v: Column) -> Column:
-        total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(v, lambda x: F.when(total > 0, x / total).otherwise(0.0))
-
-    def times(a: Column, b: Column) -> Column:
-        return F.zip_with(a, b, lambda x, y: x * y)
-
-    def forward_step(f: Column) -> Column:
-        return F.array(*[sum(F.get(f, F.lit(i)) * F.lit(float(transitions[i][j])) for i in range(k)) for j in range(k)])
-
-    def backward_step(b: Column) -> Column:
-        return F.array(*[sum(F.lit(float(transitions[i][j])) * F.get(b, F.lit(j)) for j in range(k)) for i in range(k)])
-
-    del matrix
-    vols = pages.groupBy("vol").agg(F.array_sort(F.collect_list(F.struct("page", "words", "probs"))).alias("seq")).withColumn("n", F.size("seq"))
-    front, back = F.expr("n div 10"), F.col("n") - F.expr("n div 8")
-    plain = F.transform("seq", lambda s: s["probs"])
-    soft = F.transform("seq", lambda s, i: F.when((s["words"] > 5) | (i < front) | (i > back), s["probs"]).otherwise(F.transform(s["probs"], lambda x: x + 0.25)))
-    vols = vols.withColumn("plain", plain).withColumn("soft", soft)
-    scan = lambda rows, first, step: F.aggregate(rows, F.array(first), lambda acc, e: F.concat(acc, F.array(norm(times(step(F.element_at(acc, -1)), e)))))
-    vols = vols.withColumn("f0", norm(times(vector(begin), F.get("plain", F.lit(0))))).withColumn("b0", norm(times(vector(end), F.element_at("plain", -1))))
-    vols = vols.withColumn("forward", scan(F.slice("soft", 2, F.greatest(F.col("n") - 1, F.lit(0))), F.col("f0"), forward_step))
-    vols = vols.withColumn("backward", F.reverse(scan(F.reverse(F.slice("soft", 1, F.col("n") - 1)), F.col("b0"), backward_step)))
-    both = F.zip_with("forward", "backward", lambda f, b: norm(times(f, b)))
-    vols = vols.withColumn("both", F.concat(F.slice(both, 1, F.col("n") - 1), F.array(norm(times(F.element_at("backward", -1), F.element_at("backward", -1))))))
-    return vols.select("vol", F.inline(F.arrays_zip(F.col("seq"), F.col("both").alias("smoothed")))).select("vol", "seq.page", "seq.words", "smoothed")
+    t = np.array(transitions, float)
+    first, last = np.array(begin, float), np.array(end, float)
+    pages = written(pages.select("vol", "page", "words", "probs").withColumn("block", F.expr(f"page div {BLOCK_PAGES}")), "smooth-pages")
+    w = Window.partitionBy("vol").orderBy("block")
+    sizes = pages.groupBy("vol", "block").agg(F.count("*").alias("size"))  # a row for each block
+    sizes = sizes.withColumn("before", F.sum("size").over(w) - F.col("size")).withColumn("n", F.sum("size").over(Window.partitionBy("vol")))
+    groups = max(1, pages.count() // GROUP_PAGES)
+    group = F.pmod(F.xxhash64("vol", "block"), F.lit(groups))
+    placed = pages.join(sizes, ["vol", "block"]).withColumn("group", group)
+    kind = pages.schema["vol"].dataType.simpleString()
+
+    def padded(rows: pd.DataFrame) -> tuple:
+        """The blocks of a group side by side: their evidence, plain and softened, by place; the number of places; which are a volume's first or last pages."""
+        rows = rows.sort_values(["vol", "block", "page"], kind="stable", ignore_index=True)
+        size = rows["size"].to_numpy()
+        starts = np.flatnonzero(rows["vol"].ne(rows["vol"].shift()) | rows["block"].ne(rows["block"].shift()))
+        size = size[starts]
+        row = np.repeat(np.arange(len(starts)), size)
+        col = np.arange(len(rows)) - starts[row]
+        at = rows["before"].to_numpy() + col
+        n = rows["n"].to_numpy()
+        plain = np.array(rows["probs"].tolist(), float).reshape(-1, k)
+        told = (rows["words"].to_numpy() > 5) | (at < n // 10) | (at > n - n // 8)
+        soft = plain + np.where(told, 0.0, 0.25)[:, None]
+        grid = np.zeros((len(starts), int(size.max()), k))
+        grid[row, col] = soft
+        return rows, starts, size, row, col, plain, grid, at[starts] == 0, at[starts] + size == n[starts]
+
+    def norm(v: np.ndarray) -> np.ndarray:
+        total = v.sum(axis=-1, keepdims=True)
+        return np.divide(v, total, out=np.zeros_like(v), where=total > 0)
+
+    def scaled(m: np.ndarray) -> np.ndarray:
+        top = m.max(axis=(1, 2), keepdims=True)
+        return np.divide(m, top, out=np.zeros_like(m), where=top > 0)
+
+    def matrices(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, starts, size, _, _, _, grid, opens, closes = padded(rows)
+        fw = np.tile(np.eye(k), (len(starts), 1, 1))
+        bw = fw.copy()
+        for i in range(grid.shape[1]):
+            on = (i < size) & ~(opens & (i == 0))  # the first page of a volume is a value of its own
+            fw[on] = scaled(grid[on, i][:, :, None] * (t.T @ fw[on]))
+            back = size - 1 - i
+            on = (back >= 0) & ~(closes & (i == 0))
+            bw[on] = scaled(grid[on, back[on]][:, :, None] * (t @ bw[on]))
+        plain = np.array(rows["probs"].tolist(), float).reshape(-1, k)
+        ends = starts + size - 1
+        own = rows.loc[starts, ["vol", "block"]].reset_index(drop=True)
+        lists = {"fw": fw.reshape(len(starts), -1), "bw": bw.reshape(len(starts), -1), "head": norm(first * plain[starts]), "tail": norm(last * plain[ends])}
+        return own.assign(**{c: list(x) for c, x in lists.items()})
+
+    def edges(blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values("block", ignore_index=True)
+        fw, bw = (np.array(blocks[c].tolist()).reshape(-1, k, k) for c in ("fw", "bw"))
+        into, back = [blocks["head"][0]], [blocks["tail"].iloc[-1]]
+        for m in fw[:-1]:
+            into.append(norm(m @ into[-1]))
+        for m in bw[:0:-1]:
+            back.append(norm(m @ back[-1]))
+        return blocks[["vol", "block"]].assign(into=into, back=back[::-1])
+
+    def smoothed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, starts, size, row, col, _, grid, opens, closes = padded(rows)
+        f, b = np.zeros_like(grid), np.zeros_like(grid)
+        now = np.array(rows["into"].tolist(), float)[starts]
+        then = np.array(rows["back"].tolist(), float)[starts]
+        for i in range(grid.shape[1]):
+            on = (i < size) & ~(opens & (i == 0))
+            now[on] = norm(grid[on, i] * (now[on] @ t))
+            f[:, i] = now
+            back = size - 1 - i
+            on = (back >= 0) & ~(closes & (i == 0))
+            then[on] = norm(grid[on, back[on]] * (then[on] @ t.T))
+            live = np.flatnonzero(back >= 0)
+            b[live, back[live]] = then[live]
+        both = norm(f * b)
+        ends = np.flatnonzero(closes)
+        both[ends, size[ends] - 1] = norm(b[ends, size[ends] - 1] ** 2)
+        return rows[["vol", "page", "words"]].assign(smoothed=list(both[row, col]))
+
+    words = pages.schema["words"].dataType.simpleString()
+    number = pages.schema["page"].dataType.simpleString()
+    arrays = "fw array<double>, bw array<double>, head array<double>, tail array<double>"
+    steps = placed.groupBy("group").applyInPandas(matrices, f"vol {kind}, block long, {arrays}")
+    edge = written(steps.groupBy("vol").applyInPandas(edges, f"vol {kind}, block long, into array<double>, back array<double>"), "smooth-edges")
+    return placed.join(edge, ["vol", "block"]).groupBy("group").applyInPandas(smoothed, f"vol {kind}, page {number}, words {words}, smoothed array<double>")
 
 
 def best_category(probabilities: DataFrame) -> DataFrame:

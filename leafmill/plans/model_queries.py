@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.operators import catalogue as C
@@ -10,8 +13,9 @@ from leafmill.operators import confidence as O
 from leafmill.operators import evaluate as E
 from leafmill.operators import fits, models
 from leafmill.operators import sequence as S
-from leafmill.plans.registry import query
+from leafmill.plans.registry import EVENT_PAGES, query
 from leafmill.plans.report_queries import CLASSES, VOLUMES, judged, scored_of, volumes_of
+from leafmill.sources.tables import CATEGORIES as EVENT_CATEGORIES
 from leafmill.sources.tables import event_pages, event_probabilities, table
 
 
@@ -49,10 +53,42 @@ def m3(spark, d):
 @query("m4_m5_forests")
 def m4(spark, d):
     pages = vectors(spark, d).withColumn("label", F.col("category").cast("double"))
-    scored = models.forest(pages, trees=50).transform(pages)
+    scored = models.forest(pages, trees=50, per_split=22).transform(pages)
     return scored.select("vol", "page", "category", F.col("prediction").cast("int").cast("string").alias("raw"))
 
 
+@query("m4_category_forests")
+def m4_each(spark, d):
+    pages = vectors(spark, d)
+    return shown(models.score(models.category_forests(pages, CATEGORIES, trees=20), pages))
+
+
+EMBEDDED = "v AS (SELECT vec_id // 25 AS vol, CAST(vec_id % 25 AS INTEGER) AS page, CAST(label % 4 AS VARCHAR) AS category FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)"
+
+
+@query("m12_training_confusion", "WITH " + EMBEDDED + " SELECT c.category, (SELECT count(*) FROM v WHERE v.category = c.category) AS positives, (SELECT count(*) FROM v WHERE v.category <> c.category) AS negatives FROM (VALUES ('0'), ('1'), ('2'), ('3')) c(category)")
+def m12(spark, d):
+    pages = vectors(spark, d)
+    c = models.training_confusion(models.one_vs_all(pages, CATEGORIES), pages)
+    return c.select("category", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"))
+
+
+@query("m1_m14_invariants", "WITH " + EMBEDDED + " SELECT model, vol, page, category, TRUE AS in_bounds, TRUE AS raw_is_best FROM v, (VALUES ('m1'), ('m2'), ('m3'), ('m4'), ('m13')) m(model)")
+def m_invariants(spark, d):
+    """Every page has one answer of every model, with probabilities from 0 to 1, of which the answer's is the highest."""
+    pages = vectors(spark, d)
+    one = models.one_vs_all(pages, CATEGORIES, iterations=20)
+    years = pages.select("vol").distinct().withColumn("year", (F.col("vol") % 40 + 1880).cast("int"))
+    scored = {
+        "m1": models.score(one, pages), "m2": models.score_pairs(models.all_vs_all(pages, CATEGORIES, iterations=20), CATEGORIES, pages), "m3": models.score_bagged(models.bagged(pages, CATEGORIES), CATEGORIES, pages),
+        "m4": models.score(models.category_forests(pages, CATEGORIES, trees=5), pages), "m13": models.by_date(models.batch(lambda p: models.ensemble({"early": one, "late": one}, p), pages), years, "early", "late"),
+    }
+    in_bounds = F.forall("probs", lambda p: (p >= 0) & (p <= 1)) & (F.size("probs") == len(CATEGORIES))
+    answer = F.get("probs", F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("raw")).cast("int") - 1)
+    rows = [s.select(F.lit(m).alias("model"), "vol", "page", "category", in_bounds.alias("in_bounds"), (answer == F.array_max("probs")).alias("raw_is_best")) for m, s in scored.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("m6_support_vectors")
 def m6(spark, d):
     pages = vectors(spark, d)
@@ -62,16 +98,17 @@ def m6(spark, d):
 @query("m9_m10_cross_validation")
 def m9(spark, d):
     pages = vectors(spark, d)
-    return shown(models.cross_validate(pages.where("vol % 6 <> 5"), CATEGORIES, n=3, extra=pages.where("vol % 6 = 5")))
+    scored = models.cross_validate(pages.where("vol % 6 <> 5"), CATEGORIES, extra=pages.where("vol % 6 = 5"))
+    return scored.select("vol", "page", "category", "raw", "smooth", F.transform("probs", lambda x: F.round(x, 4)).alias("probs"))
 
 
 @query("m11_m13_m14_ensemble")
 def m13(spark, d):
     pages = vectors(spark, d)
     fitted = {"early": models.one_vs_all(pages.where("vol % 2 = 0"), CATEGORIES, iterations=50), "late": models.one_vs_all(pages.where("vol % 2 = 1"), CATEGORIES, iterations=50)}
-    scored = models.batch(lambda p: models.ensemble(fitted, p), pages)
+    scored = models.batch(lambda p: models.ensemble(fitted, p, pages), pages)
     years = pages.select("vol").distinct().withColumn("year", (F.col("vol") % 40 + 1880).cast("int"))
-    return models.by_date(scored, years, "early", "late").select("vol", "page", "model", "raw")
+    return models.by_date(scored, years, "early", "late").select("vol", "page", "model", "raw", "smooth")
 
 
 def accuracy_table(spark, d):
@@ -129,7 +166,10 @@ def e11(spark, d):
     return C.metadata_evidence(v)
 
 
-@query("b4_b5_b6_b7_dates")
+@query("b4_b5_b6_b7_dates", """WITH o AS (SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'London, ' || y || '.' WHEN 1 THEN '[' || replace(y, '19', 'l9') || ']' WHEN 2 THEN y || ' - ' || y[4:4] || 'th' WHEN 3 THEN '18--?' WHEN 4 THEN 'n.d.' ELSE y[1:2] || ' ' || y[3:4] END AS text,
+  CASE o_orderkey % 6 WHEN 3 THEN '<estimate="18--?">' WHEN 4 THEN '<blank>' ELSE y END AS date, CASE WHEN o_orderkey % 6 = 2 THEN CAST(y AS INTEGER) END AS start, CASE WHEN o_orderkey % 6 = 2 THEN CAST(y AS INTEGER) END AS end,
+  y AS narrower, CASE o_orderkey % 6 WHEN 3 THEN '<estimate="18--?">' ELSE y END AS serial FROM o""")
 def b4(spark, d):
     o = table(spark, d, "orders").withColumn("year", F.year("o_orderdate").cast("string"))
     text = F.expr("CASE o_orderkey % 6 WHEN 0 THEN concat('London, ', year, '.') WHEN 1 THEN concat('[', replace(year, '19', 'l9'), ']') WHEN 2 THEN concat(year, ' - ', right(year, 1), 'th') WHEN 3 THEN '18--?' WHEN 4 THEN 'n.d.' ELSE concat(left(year, 2), ' ', right(year, 2)) END")
@@ -150,7 +190,7 @@ def v1(spark, d):
     return tag_evidence(v.select("vol"), v.where("vol % 3 <> 0").select("vol", F.array_join("tags", ";").alias("categories")))
 
 
-@query("v9_dense_vectors")
+@query("v9_dense_vectors", "WITH " + EVENT_PAGES + ", s AS (SELECT category, avg(words) AS m, stddev_pop(words) AS sd FROM event_pages GROUP BY category) SELECT vol, page, [" + ", ".join(f"CASE WHEN e.category = '{g}' THEN round(CASE WHEN sd > 0 AND words IS NOT NULL THEN (words - m) / sd ELSE 0 END, 5) ELSE 0.0::DOUBLE END" for g in sorted(EVENT_CATEGORIES)) + "] AS features FROM event_pages e JOIN s USING (category)")
 def v9(spark, d):
     from pyspark.ml.functions import vector_to_array
     from pyspark.sql import Window

@@ -210,29 +210,32 @@ def _step(prev, soft, back):
     return [f"({r}) / ({' + '.join(raw)})" for r in raw]
 
 
-def _smooth_sql():
+def _smoothing(given, out):
+    """SQL of one smoothing of ``given(vol, page, words, p_..)`` into ``out`` with the same columns."""
     e = [f"p_{g}" for g in CATEGORIES]
-    base = "WITH RECURSIVE " + PREDICTIONS + f""", sized AS (SELECT *, count(*) OVER (PARTITION BY vol) AS n FROM predictions),
-soft AS (SELECT vol, page, n, words, {_vec("e", lambda i: e[i])}, {_vec("s", lambda i: f"{e[i]} + CASE WHEN words > 5 OR page < n // 10 OR page > n - n // 8 THEN 0 ELSE 0.25::DOUBLE END")} FROM sized)"""
     begin = [f"{BEGIN[i]}::DOUBLE * e{i}" for i in range(5)]
     end = [f"{END[i]}::DOUBLE * e{i}" for i in range(5)]
     norm = lambda xs: [f"({x}) / ({' + '.join(xs)})" for x in xs]
-    f = _step("fw.f", "soft.s", False)
-    b = _step("bw.b", "soft.s", True)
-    return base + f""", fw AS (SELECT vol, page, {_vec("f", lambda i: norm(begin)[i])} FROM soft WHERE page = 0
-  UNION ALL SELECT soft.vol, soft.page, {_vec("f", lambda i: f[i])} FROM fw JOIN soft ON soft.vol = fw.vol AND soft.page = fw.page + 1),
-bw AS (SELECT vol, page, {_vec("b", lambda i: norm(end)[i])} FROM soft WHERE page = n - 1
-  UNION ALL SELECT soft.vol, soft.page, {_vec("b", lambda i: b[i])} FROM bw JOIN soft ON soft.vol = bw.vol AND soft.page = bw.page - 1),
-prod AS (SELECT s.vol, s.page, {_vec("r", lambda i: f"CASE WHEN s.page = s.n - 1 THEN b{i} * b{i} ELSE f{i} * b{i} END")} FROM soft s JOIN fw ON fw.vol = s.vol AND fw.page = s.page JOIN bw ON bw.vol = s.vol AND bw.page = s.page)
-SELECT vol, page, {", ".join(f"round(r{i} / (r0 + r1 + r2 + r3 + r4), 6) AS {g}" for i, g in enumerate(CATEGORIES))} FROM prod"""
+    f, b = _step(f"fw_{out}.f", f"soft_{out}.s", False), _step(f"bw_{out}.b", f"soft_{out}.s", True)
+    return f""", sized_{out} AS (SELECT *, count(*) OVER (PARTITION BY vol) AS n FROM {given}),
+soft_{out} AS MATERIALIZED (SELECT vol, page, n, words, {_vec("e", lambda i: e[i])}, {_vec("s", lambda i: f"{e[i]} + CASE WHEN words > 5 OR page < n // 10 OR page > n - n // 8 THEN 0 ELSE 0.25::DOUBLE END")} FROM sized_{out}),
+fw_{out} AS (SELECT vol, page, {_vec("f", lambda i: norm(begin)[i])} FROM soft_{out} WHERE page = 0
+  UNION ALL SELECT soft_{out}.vol, soft_{out}.page, {_vec("f", lambda i: f[i])} FROM fw_{out} JOIN soft_{out} ON soft_{out}.vol = fw_{out}.vol AND soft_{out}.page = fw_{out}.page + 1),
+bw_{out} AS (SELECT vol, page, {_vec("b", lambda i: norm(end)[i])} FROM soft_{out} WHERE page = n - 1
+  UNION ALL SELECT soft_{out}.vol, soft_{out}.page, {_vec("b", lambda i: b[i])} FROM bw_{out} JOIN soft_{out} ON soft_{out}.vol = bw_{out}.vol AND soft_{out}.page = bw_{out}.page - 1),
+prod_{out} AS (SELECT s.vol, s.page, s.words, {_vec("r", lambda i: f"CASE WHEN s.page = s.n - 1 THEN b{i} * b{i} ELSE f{i} * b{i} END")} FROM soft_{out} s JOIN fw_{out} f ON f.vol = s.vol AND f.page = s.page JOIN bw_{out} b ON b.vol = s.vol AND b.page = s.page),
+{out} AS MATERIALIZED (SELECT vol, page, words, {", ".join(f"r{i} / (r0 + r1 + r2 + r3 + r4) AS p_{g}" for i, g in enumerate(CATEGORIES))} FROM prod_{out})"""
 
 
-@query("q3_smoothing", _smooth_sql())
+SMOOTHED_COLUMNS = "SELECT vol, page, " + ", ".join(f"round(p_{g}, 6) AS {g}" for g in CATEGORIES)
+
+
+@query("q3_smoothing", "WITH RECURSIVE " + PREDICTIONS + _smoothing("predictions", "once") + SMOOTHED_COLUMNS + " FROM once")
 def q3(spark, d):
     return smoothed_of(spark, d).select("vol", "page", *[F.round(F.get("smoothed", F.lit(i)), 6).alias(g) for i, g in enumerate(CATEGORIES)])
 
 
-@query("q4_double_smoothing")
+@query("q4_double_smoothing", "WITH RECURSIVE " + PREDICTIONS + _smoothing("predictions", "once") + _smoothing("once", "twice") + SMOOTHED_COLUMNS + " FROM twice")
 def q4(spark, d):
     return smoothed_of(spark, d, 2).select("vol", "page", *[F.round(F.get("smoothed", F.lit(i)), 6).alias(g) for i, g in enumerate(CATEGORIES)])
 
@@ -257,9 +260,9 @@ def q7(spark, d):
     return S.flips(event_pages(spark, d))
 
 
-@query("q8_transitions_between", "WITH " + LAGGED + " SELECT vol, count(*) FILTER (WHERE before IN ('click') AND category IN ('view', 'login')) AS n FROM g GROUP BY vol")
+@query("q8_transitions_between", "WITH " + LAGGED + " SELECT vol, count(*) FILTER (WHERE before IN ('click') AND category IN ('view', 'signup')) AS n FROM g GROUP BY vol")
 def q8(spark, d):
-    return S.transitions_between(event_pages(spark, d), ["click"], ["view", "login"])
+    return S.transitions_between(event_pages(spark, d), ["click"], ["view", "signup"])
 
 
 @query("q9_runs", "WITH " + RUNS + " SELECT * FROM runs")

@@ -30,7 +30,7 @@ EVENT_PAGES = """event_pages AS (
   SELECT user_id AS vol, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS page,
     event_type AS category, value AS words, event_id FROM events)"""
 
-CATEGORIES = ("click", "error", "login", "purchase", "view")
+CATEGORIES = ("click", "error", "signup", "purchase", "view")
 
 
 def _weight(g: str) -> str:

@@ -11,8 +11,8 @@ from leafmill.operators import sequence as S
 from leafmill.plans.registry import EVENT_PAGES, CATEGORIES, LINES, PREDICTIONS, VOL_PAGES, query
 from leafmill.sources.tables import event_pages, event_predictions, event_probabilities, table, volume_lines, volume_pages
 
-CLASSES = [{"click", "view"}, {"login", "error"}]
-SAME = "(truth = pred OR (truth IN ('click', 'view') AND pred IN ('click', 'view')) OR (truth IN ('error', 'login') AND pred IN ('error', 'login')))"
+CLASSES = [{"click", "view"}, {"signup", "error"}]
+SAME = "(truth = pred OR (truth IN ('click', 'view') AND pred IN ('click', 'view')) OR (truth IN ('error', 'signup') AND pred IN ('error', 'signup')))"
 JUDGED = PREDICTIONS + ", judged AS (SELECT vol, page, truth, category AS pred, words, event_id FROM predictions)"
 
 
@@ -37,14 +37,14 @@ def e4(spark, d):
     return E.volume_accuracy(judged(spark, d), CLASSES).withColumn("accuracy", F.round("accuracy", 6))
 
 
-MERGED = "CASE {0} WHEN 'view' THEN 'click' WHEN 'error' THEN 'login' ELSE {0} END"
+MERGED = "CASE {0} WHEN 'view' THEN 'click' WHEN 'error' THEN 'signup' ELSE {0} END"
 
 
 @query("e5_precision_recall", "WITH " + JUDGED + f""", c AS (SELECT {MERGED.format('truth')} AS t, {MERGED.format('pred')} AS p, count(*) AS n FROM judged GROUP BY 1, 2),
 g AS (SELECT t AS category FROM c UNION SELECT p FROM c), s AS (SELECT category, (SELECT sum(n) FROM c WHERE t = category) AS t, (SELECT sum(n) FROM c WHERE p = category) AS p, (SELECT sum(n) FROM c WHERE t = category AND p = category) AS tp FROM g)
 SELECT category, round(100.0::DOUBLE * tp / p, 6) AS precision, round(100.0::DOUBLE * tp / t, 6) AS recall, round(200.0::DOUBLE * tp / (t + p), 6) AS f1 FROM s""")
 def e5(spark, d):
-    r = E.precision_recall(judged(spark, d), {"view": "click", "error": "login"})
+    r = E.precision_recall(judged(spark, d), {"view": "click", "error": "signup"})
     return r.select("category", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -99,7 +99,7 @@ def e21(spark, d):
     return E.rater_consensus(tags_of(spark, d))
 
 
-VOLUME_COUNTS = EVENT_PAGES + ", vc AS (SELECT vol, count(*) AS n, count(*) FILTER (WHERE category = 'login') AS dra, count(*) FILTER (WHERE category = 'error') AS poe, count(*) FILTER (WHERE category = 'click') AS fic, count(*) FILTER (WHERE category = 'view') AS non FROM event_pages GROUP BY vol)"
+VOLUME_COUNTS = EVENT_PAGES + ", vc AS (SELECT vol, count(*) AS n, count(*) FILTER (WHERE category = 'signup') AS dra, count(*) FILTER (WHERE category = 'error') AS poe, count(*) FILTER (WHERE category = 'click') AS fic, count(*) FILTER (WHERE category = 'view') AS non FROM event_pages GROUP BY vol)"
 
 
 E12_META = ", cm AS (SELECT c_custkey AS vol, CASE c_custkey % 6 WHEN 0 THEN 'Biography;Maps' WHEN 1 THEN 'Novel' WHEN 2 THEN 'Maps;Tragedies' ELSE 'Maps' END AS categories, CASE c_custkey % 5 WHEN 0 THEN 'The Poetical Works' WHEN 1 THEN 'Displays' ELSE c_name END AS title FROM customer WHERE c_custkey % 4 <> 0)"
@@ -110,7 +110,7 @@ E12_META = ", cm AS (SELECT c_custkey AS vol, CASE c_custkey % 6 WHEN 0 THEN 'Bi
   coalesce(list_has_any(string_split(categories, ';'), ['Biography', 'Autobiography']), FALSE) AS probably_biography, coalesce(list_has_any(string_split(categories, ';'), ['Fiction', 'Novel']), FALSE) AS probably_fiction FROM vc LEFT JOIN cm ON cm.vol = vc.vol""")
 def e12(spark, d):
     count = lambda g: F.count_if(F.col("category") == g)
-    counts = event_pages(spark, d).groupBy("vol").agg(F.count("*").alias("n"), count("login").alias("dra"), count("error").alias("poe"), count("click").alias("fic"), count("view").alias("non"))
+    counts = event_pages(spark, d).groupBy("vol").agg(F.count("*").alias("n"), count("signup").alias("dra"), count("error").alias("poe"), count("click").alias("fic"), count("view").alias("non"))
     categories = F.expr("CASE c_custkey % 6 WHEN 0 THEN 'Biography;Maps' WHEN 1 THEN 'Novel' WHEN 2 THEN 'Maps;Tragedies' ELSE 'Maps' END")
     title = F.expr("CASE c_custkey % 5 WHEN 0 THEN 'The Poetical Works' WHEN 1 THEN 'Displays' ELSE c_name END")
     metadata = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("vol"), categories.alias("categories"), title.alias("title"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The categories of the event sequences, in order of their index.
-CATEGORIES = ["click", "error", "login", "purchase", "view"]
+CATEGORIES = ["click", "error", "signup", "purchase", "view"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -75,7 +76,10 @@ def smooth_model(pages, t, begin, end):
     return [norm([x * y for x, y in zip(p, q, strict=True)]) for p, q in zip(f, b, strict=True)]
 
 
-def test_smoothing_against_a_model(spark):
+@pytest.mark.parametrize("block", [1024, 4])
+def test_smoothing_against_a_model(spark, monkeypatch, block):
+    monkeypatch.setattr(sequence, "BLOCK_PAGES", block)
+    monkeypatch.setattr(sequence, "GROUP_PAGES", 50)
     rng = random.Random(4)
     t = [[0.7, 0.2, 0.1], [0.1, 0.8, 0.1], [0.25, 0.25, 0.5]]
     begin, end = [0.5, 0.3, 0.2], [0.2, 0.5, 0.3]
@@ -146,6 +150,39 @@ def test_weighted_draws(spark):
     assert [(r.vol, r.ordinal) for r in confidence.weighted_draws(v, d).orderBy("draw").collect()] == [("a", 0), ("a", 1), ("b", 0), ("b", 1), ("b", 2)]
 
 
+def test_weighted_draws_over_many_partitions(spark):
+    rng = random.Random(3)
+    weights = {(s, v): rng.randint(0, 30) for s in "ab" for v in range(200 if s == "a" else 5)}
+    volumes = spark.createDataFrame([(s, v, n) for (s, v), n in weights.items()], "stratum string, vol int, weight long").repartition(5)
+    draws = [(s, i, rng.random()) for i in range(300) for s in "abc"]
+    got = {(r.stratum, r.draw): (r.vol, r.ordinal) for r in confidence.weighted_draws(volumes, spark.createDataFrame(draws, "stratum string, draw int, u double")).collect()}
+    want = {}
+    for s, i, u in draws:
+        at = int(u * sum(n for (t, _), n in weights.items() if t == s))
+        for v in range(200):
+            n = weights.get((s, v), 0)
+            if at < n:
+                want[s, i] = (v, at)
+                break
+            at -= n
+    assert got == want
+
+
+def test_leave_one_out_is_close_to_whole_fits(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 3)) * [1, 5, 0.1] + [0, 2, 1]
+    y = (x[:, 0] + 0.2 * x[:, 1] + rng.normal(size=120) > 0.5).astype(float)
+    df = spark.createDataFrame([(i, *map(float, r), float(l)) for i, (r, l) in enumerate(zip(x, y, strict=True))], "vol int, a double, b double, c double, good double").repartition(4)
+    got = {r.vol: r.score for r in fits.leave_one_out(df, ["a", "b", "c"], "good").collect()}
+    z = np.column_stack([np.ones(120), (x - x.mean(axis=0)) / x.std(axis=0)])
+    for i in range(120):
+        own, w = z[np.arange(120) != i], np.zeros(4)
+        for _ in range(20):
+            p = 1 / (1 + np.exp(-own @ w))
+            w -= np.linalg.solve((own * (p * (1 - p))[:, None]).T @ own + 10 * np.eye(4), own.T @ (p - np.delete(y, i)) + 10 * w)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z[i] @ w)), abs=0.01)
+
+
 def test_rater_agreement(spark):
     tags = spark.createDataFrame([("v", 0, r, g, 10.0) for r, g in ((1, "a"), (2, "b"), (3, "b"))] + [("w", 0, 1, "a", 1.0)], "vol string, page int, rater int, category string, words double")
     agreed = evaluate.rater_consensus(tags)
@@ -254,7 +291,7 @@ def test_running_headers_longer_than_200_characters(spark):
     frame = spark.createDataFrame(rows, "vol string, page int, line int, text string")
     want = [("v", p, 0) for p in range(6)]
     assert sorted(tuple(r) for r in correction.running_headers_exact(frame).select("vol", "page", "line").collect()) == want
-    assert sorted(tuple(r) for r in lines.running_headers(frame, longest=None).select("vol", "page", "line").collect()) == want
+    assert sorted(tuple(r) for r in lines.running_headers(frame).select("vol", "page", "line").collect()) == want
 
 
 def test_leave_one_out_scores_volumes_of_any_id(spark, monkeypatch):
