@@ -202,7 +202,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     round trip.
 
     Each match of ``pattern`` is encoded separately, without special tokens; a null text counts as
-    empty. Each row is encoded for itself, so repeated rows and ties need no rule. Columns of ``docs``
+    empty; texts and matches of any length are encoded whole. Each row is encoded for itself, so repeated
+    rows, null ids and ties need no rule. Columns of ``docs``
     named like the added ones are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("ids", "n_tokens", *["decoded"] * with_decoded)

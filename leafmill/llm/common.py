@@ -1,56 +1,19 @@
-"""Helpers that the training-data operators share: the shared folder, written tables and the state of Python workers."""
+"""Helpers that the training-data operators share: written tables, shipped files and the state of Python workers."""
 
 from __future__ import annotations
 
-import atexit
 import gc
 import hashlib
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-_own: dict[str, str] = {}
-_held: dict[str, Any] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset, local mode (as in tests) takes a temporary folder; on a cluster that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="leafmill-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return _own[app]
+from leafmill.sources.staged import new_path, written
 
+__all__ = ["new_path", "shipped_file", "worker_state", "written"]
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Deletes a path of the shared folder by Hadoop's file system, wherever that folder is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+_held: dict[str, Any] = {}
 
 
 def shipped_file(spark: SparkSession, path: str):

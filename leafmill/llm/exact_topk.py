@@ -217,7 +217,8 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str =
     id and of the query's dimension, which has an index of its own; fewer than ``k`` are all returned;
     ties go to the smaller id. Vectors that ``integer_vectors`` leaves out take no part. Scores are exact
     whatever the components; one that does not fit 64 bits is an error. Rows that repeat an id are
-    candidates each; of queries that repeat an id one is answered. No vectors: an empty result.
+    candidates each; of queries that repeat an id one is answered. Rows with a null id take no part.
+    Other columns are ignored, whatever their names. No vectors: an empty result.
     """
     packed = integer_vectors(vectors, id_col, vec_col, scale)
     asked = integer_vectors(queries, id_col, vec_col, scale).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("q"))

@@ -100,7 +100,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     The ids of a document are those of its whole text without special tokens, then ``end_id``; a null
     text counts as empty. Ids longer than ``capacity`` are cut into pieces of that length, the last of
-    which may be shorter. Other columns of ``docs`` are ignored.
+    which may be shorter. Texts of any length are taken whole. Rows that repeat an id or a text, or have
+    a null id, have pieces of their own. Other columns of ``docs`` are ignored, whatever their names. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     file = shipped_file(spark, tokenizer_path)

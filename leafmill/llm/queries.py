@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import byte_bpe, exact_dedup, exact_topk, html_extract, jaccard_join, language_id, line_dedup, packing, shards, token_counts
 from leafmill.llm.common import new_path
+from leafmill.sources import tables
 
 WHITE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.spread(tables.table(spark, sf_dir, name))
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
