@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators import sequence as S
 from leafmill.sources.staged import written
 
 # Tags of nonfiction.
@@ -49,6 +50,43 @@ def volume_features(volumes: DataFrame) -> DataFrame:
     return out
 
 
+SEQUENCE_FEATURES = ["maxratio", "rawflipratio", "smoothflips", "gap", "maxprob"]
+OVERALL_FEATURES = [f"{g}_{n}" for g in ("fic", "poe", "dra", "non") for n in ("confirm", "deny")] + SEQUENCE_FEATURES
+CATEGORY_FEATURES = ["confirm", "deny", "proportion", "rawflipratio", "smoothflips", "gap", "maxprob", "maxratio"]
+
+
+def sequence_features(pages: DataFrame, certainty: DataFrame) -> DataFrame:
+    """``vol, pages, maxcategory`` and ``SEQUENCE_FEATURES`` from ``pages(vol, page, raw, smooth)`` and ``certainty(vol, maxprob, gap)``.
+
+    The share of the commonest category, the changes of the raw predictions for each page and those of
+    the smoothed ones, and how certain the pages are on average.
+    """
+    smooth = pages.select("vol", "page", F.col("smooth").alias("category"))
+    sizes = pages.groupBy("vol").agg(F.count("*").alias("pages"))
+    raw = S.flips(pages.select("vol", "page", F.col("raw").alias("category"))).withColumnRenamed("flips", "rawflips")
+    every = S.largest_category(smooth).join(sizes, "vol").join(raw, "vol").join(S.flips(smooth), "vol").join(certainty.select("vol", "maxprob", "gap"), "vol", "left")
+    return every.select("vol", "pages", "maxcategory", (F.col("n") / F.col("pages")).alias("maxratio"), (F.col("rawflips") / F.col("pages")).alias("rawflipratio"), F.col("flips").alias("smoothflips"), "gap", "maxprob")
+
+
+def overall_features(volumes: DataFrame, sequence: DataFrame) -> DataFrame:
+    """``vol`` and the thirteen ``OVERALL_FEATURES`` of ``volumes(vol, tags, title)``; volumes without metadata have no confirmation and no denial."""
+    known = sequence.join(volumes.select("vol", "tags", "title"), "vol", "left")
+    return volume_features(known).select("vol", *OVERALL_FEATURES)
+
+
+def category_features(volumes: DataFrame, sequence: DataFrame, pages: DataFrame, categories: tuple[str, ...] = ("fic", "poe", "dra")) -> DataFrame:
+    """``vol, category, pages`` and the eight ``CATEGORY_FEATURES`` of each volume and category; ``pages(vol, page, smooth)``."""
+    counts = S.category_counts(pages.select("vol", F.col("smooth").alias("category"))).withColumnRenamed("n", "own")
+    each = sequence.join(volumes.select("vol", "tags", "title"), "vol", "left").withColumn("category", F.explode(F.array(*map(F.lit, categories)))).join(counts, ["vol", "category"], "left")
+    flags = {n: F.lit(False) for n in ("confirm", "deny")}
+    for g in categories:
+        for n, found in zip(flags, category_evidence(F.col("tags"), F.col("title"), g), strict=True):
+            flags[n] = flags[n] | ((F.col("category") == g) & found)
+    own = F.coalesce("own", F.lit(0))
+    each = each.withColumns({n: F.coalesce(f, F.lit(False)).cast("int") for n, f in flags.items()} | {"proportion": own / F.col("pages")}).withColumn("pages", own)
+    return each.select("vol", "category", "pages", *CATEGORY_FEATURES)
+
+
 def century(year: Column) -> Column:
     return F.when(year.between(1700, 1799), "18c").when(year.between(1800, 1899), "19c").when(year.between(1900, 1922), "20c")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,15 @@ def confidence_model(volumes: DataFrame, features: list[str], label: str, c: flo
     return model, features
 
 
+def category_confidence(volumes: DataFrame, categories: list[str], features: list[str], label: str, c: float = 0.1) -> DataFrame:
+    """``volumes(vol, category, pages, ..)`` with ``score``: each category by a model of its own, fitted to the volumes that have pages of it."""
+    parts = []
+    for g in categories:
+        own = volumes.where((F.col("category") == g) & (F.col("pages") > 0))
+        parts.append(apply_confidence(*confidence_model(own, features, label, c), own))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def apply_confidence(model, features: list[str], volumes: DataFrame) -> DataFrame:
     """``volumes`` with ``score``, the probability of the label."""
     assembled = VectorAssembler(inputCols=features, outputCol="features").transform(volumes)

@@ -14,7 +14,7 @@ from leafmill.operators import evaluate as E
 from leafmill.operators import fits, models
 from leafmill.operators import sequence as S
 from leafmill.plans.registry import EVENT_PAGES, query
-from leafmill.plans.report_queries import CLASSES, VOLUMES, judged, scored_of, volumes_of
+from leafmill.plans.report_queries import CLASSES, VOLUMES, books_of, judged, scored_of, volumes_of
 from leafmill.sources.tables import CATEGORIES as EVENT_CATEGORIES
 from leafmill.sources.tables import event_pages, event_probabilities, table
 
@@ -134,6 +134,13 @@ def o7(spark, d):
     return O.calibrate(scored.select("vol", "score"), curve).select("vol", F.round("score", 4).alias("score"), "idx", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"))
 
 
+@query("o7_category_confidence")
+def o7_category(spark, d):
+    p, known, sequence = books_of(spark, d)
+    rows = O.category_features(known, sequence, p).withColumn("good", (F.pmod(F.xxhash64("vol", "category"), F.lit(10)) / 10 < F.col("proportion") + 0.3).cast("double"))
+    return fits.category_confidence(rows, ["fic", "poe", "dra"], O.CATEGORY_FEATURES, "good").select("vol", "category", F.round("score", 4).alias("score"))
+
+
 @query("o8_leave_one_out")
 def o8(spark, d):
     volumes = accuracy_table(spark, d).withColumn("good", (F.col("accuracy") > 0.93).cast("double"))

@@ -208,6 +208,44 @@ def o1(spark, d):
     return O.volume_features(volumes_of(spark, d)).select("vol", *[f"{g}_{n}" for g in EVIDENCE for n in ("confirm", "deny")])
 
 
+# Volumes of the events: the categories stand for fiction, poetry, drama, nonfiction and biography; metadata come from the customers.
+AS_BOOKS = "CASE {0} WHEN 'click' THEN 'fic' WHEN 'error' THEN 'poe' WHEN 'purchase' THEN 'dra' WHEN 'view' THEN 'non' ELSE 'bio' END"
+BOOK_TAG = "CASE c_custkey % 5 WHEN 0 THEN 'Fiction' WHEN 1 THEN 'Poetry' WHEN 2 THEN 'Drama' WHEN 3 THEN 'Biography' ELSE 'Maps' END"
+BOOK_TITLE = "CASE c_custkey % 3 WHEN 0 THEN 'Poems and Plays' ELSE c_name END"
+BOOKS = PREDICTIONS + f""", books AS (SELECT vol, page, {AS_BOOKS.format("category")} AS raw, {AS_BOOKS.format("truth")} AS smooth FROM predictions),
+known AS (SELECT c_custkey AS vol, [{BOOK_TAG}, 'Maps'] AS tags, {BOOK_TITLE} AS title FROM customer WHERE c_custkey % 7 <> 0),
+counted AS MATERIALIZED (SELECT vol, smooth AS category, count(*) AS own FROM books GROUP BY ALL), largest AS (SELECT vol, max_by(category, (own, category)) AS maxcategory, max(own) AS most, CAST(sum(own) AS BIGINT) AS pages FROM counted GROUP BY vol),
+lagged AS (SELECT *, lag(raw) OVER w AS raw_before, lag(smooth) OVER w AS smooth_before FROM books WINDOW w AS (PARTITION BY vol ORDER BY page)),
+changes AS (SELECT vol, count(*) FILTER (WHERE raw IS DISTINCT FROM raw_before) AS rawflips, count(*) FILTER (WHERE smooth IS DISTINCT FROM smooth_before) AS smoothflips FROM lagged GROUP BY vol),
+steps AS (SELECT vol, page, idx, p, p - coalesce(max(p) OVER (PARTITION BY vol, page ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS step FROM probabilities),
+certain AS (SELECT vol, avg(maxprob) AS maxprob, avg(gap) AS gap FROM (SELECT vol, page, max(p) AS maxprob, max_by(step, idx) AS gap FROM steps WHERE step > 0 GROUP BY vol, page) x GROUP BY vol),
+seqs AS MATERIALIZED (SELECT l.vol, maxcategory, pages, most / pages AS maxratio, rawflips / pages AS rawflipratio, smoothflips, gap, maxprob, tags, title FROM largest l JOIN changes USING (vol) LEFT JOIN certain USING (vol) LEFT JOIN known USING (vol))"""
+
+
+def books_of(spark, d):
+    p = event_predictions(spark, d).select("vol", "page", F.expr(AS_BOOKS.format("category")).alias("raw"), F.expr(AS_BOOKS.format("truth")).alias("smooth"))
+    known = table(spark, d, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("vol"), F.array(F.expr(BOOK_TAG), F.lit("Maps")).alias("tags"), F.expr(BOOK_TITLE).alias("title"))
+    return p, known, O.sequence_features(p, S.max_and_gap(event_probabilities(spark, d)))
+
+
+ROUNDED = ("maxratio", "rawflipratio", "gap", "maxprob", "proportion")
+
+
+@query("o1_overall_features", "WITH " + BOOKS + " SELECT vol, " + ", ".join(f"CASE WHEN maxcategory = '{g}' AND coalesce({e[i]}, FALSE) THEN 1 ELSE 0 END AS {g}_{n}" for g, e in EVIDENCE.items() for i, n in enumerate(("confirm", "deny"))) + ", round(maxratio, 6) AS maxratio, round(rawflipratio, 6) AS rawflipratio, smoothflips, round(gap, 6) AS gap, round(maxprob, 6) AS maxprob FROM seqs")
+def o1_overall(spark, d):
+    _, known, sequence = books_of(spark, d)
+    f = O.overall_features(known, sequence)
+    return f.select(*[F.round(c, 6).alias(c) if c in ROUNDED else c for c in f.columns])
+
+
+@query("o2_category_features", "WITH " + BOOKS + " SELECT s.vol, g.category, coalesce(own, 0) AS pages, " + ", ".join(f"CASE WHEN coalesce(CASE g.category " + " ".join(f"WHEN '{g}' THEN {EVIDENCE[g][i]}" for g in ("fic", "poe", "dra")) + f" END, FALSE) THEN 1 ELSE 0 END AS {n}" for i, n in enumerate(("confirm", "deny"))) + """, round(coalesce(own, 0) / s.pages, 6) AS proportion,
+  round(rawflipratio, 6) AS rawflipratio, smoothflips, round(gap, 6) AS gap, round(maxprob, 6) AS maxprob, round(maxratio, 6) AS maxratio FROM seqs s, (VALUES ('fic'), ('poe'), ('dra')) g(category) LEFT JOIN counted c ON c.vol || c.category = s.vol || g.category""")
+def o2_category(spark, d):
+    p, known, sequence = books_of(spark, d)
+    f = O.category_features(known, sequence, p)
+    return f.select(*[F.round(c, 6).alias(c) if c in ROUNDED else c for c in f.columns])
+
+
 @query("o4_binarised", "WITH " + VOLUMES + " SELECT maxcategory, count(*) FILTER (WHERE score > 0.95) AS overall, count(*) FILTER (WHERE score > 0.8) AS category FROM volumes GROUP BY maxcategory")
 def o4(spark, d):
     return volumes_of(spark, d).groupBy("maxcategory").agg(F.count_if(F.col("score") > 0.95).alias("overall"), F.count_if(F.col("score") > 0.8).alias("category"))
