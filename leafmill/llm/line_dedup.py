@@ -8,8 +8,9 @@ leaf has at its position is a variable field too. A line whose constant tokens a
 template, all tokens kept. A template that recurs across documents is dropped from all of them but the
 one with the smallest id, so that each passage stays in the corpus once.
 
-Lines of a leaf are never paired: positions are counted and the counts joined back. Only leaves with two
-different lines are looked at, all others need no more than 128-bit digests of their lines.
+Lines of a leaf are never paired: the tokens at each position are counted, and one that is counted once
+names its line. Only leaves with two different lines are looked at, all others need no more than 128-bit
+digests of their lines.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from leafmill.llm.common import written
 
 BLANKS = r"[ \t\r\f\x0B]+"
 FIELD = "<*>"
+BROADCAST_LEAVES, BROADCAST_LINES = 1_000_000, 250_000
 
 
 def flattened(text: Column) -> Column:
@@ -37,10 +39,25 @@ def _size(flat: Column) -> Column:
     return F.octet_length(flat) - F.octet_length(F.replace(flat, F.lit(" "), F.lit(""))) + 1
 
 
+def _checked(small: DataFrame, most: int) -> DataFrame:
+    """A written table, to be broadcast if it has at most ``most`` rows (of under 100 bytes each)."""
+    return F.broadcast(small) if small.count() <= most else small
+
+
 def _digest(template: Column) -> Column:
     return F.unhex(F.md5(template))
 
 
+def _marks(positions: str) -> Column:
+    """A byte for each place up to the last of a sorted array column: ``1`` at those of the array, so that looking one up takes no search."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(positions, 1, F.size(positions) - 1))
+    return F.array_join(F.zip_with(positions, before, lambda p, q: F.concat(F.repeat(F.lit("0"), p - q - 1), F.lit("1"))), "").cast("binary")
+
+
+def _marked(marks: str, at: Column) -> Column:
+    return F.substring(F.col(marks), at + 1, 1) == F.lit(b"1")
+
+
 def line_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_constants: int = 5, similarity: int = 80, min_docs: int = 2, lines_col: str = "n_lines", dropped_col: str = "n_dropped"
 ) -> DataFrame:
@@ -69,32 +86,34 @@ def line_dedup(
     # Leaves in which different lines meet, and their lines, once each.
     shared = postings.where("_in_leaf").groupBy("_branch").agg(F.min("_hash").alias("_a"), F.max("_hash").alias("_b")).where(F.col("_a") != F.col("_b")).select("_branch")
     shared = written(shared, "line-leaves")
-    met = parsed.where(F.col("_leaf").isNotNull()).withColumn("_branch", F.xxhash64("_leaf")).join(shared, "_branch", "left_semi")
-    met = written(met.groupBy("_leaf", "_masked", "_n").agg(F.lit(1).alias("_one")), "line-variants")
-    places = met.select(_digest(F.col("_masked")).alias("_own"), "_leaf", "_n", F.posexplode(F.split("_masked", " ")).alias("_pos", "_token"))
-    constant = places.where(F.col("_token") != FIELD).groupBy("_leaf", "_pos", "_token").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c").withColumn("_constant", F.lit(True))
-    judged = places.join(constant, ["_leaf", "_pos", "_token"], "left")
-    tokens = F.sort_array(F.collect_list(F.struct("_pos", F.when(F.col("_constant"), F.col("_token")).otherwise(FIELD).alias("_token"))))  # the tokens of one line
-    general = judged.groupBy("_own", "_n").agg(tokens.alias("_tokens"), F.count("_constant").alias("_constants"))
-    general = written(general.where(enough(F.col("_constants"))).select("_own", _digest(F.array_join("_tokens._token", " ")).alias("_general")), "line-general")
-    placed = postings.join(general, "_own", "left").select("_doc", "_row", "_at", F.coalesce("_general", "_own").alias("_template"))
+    met = parsed.where(F.col("_leaf").isNotNull()).withColumn("_branch", F.xxhash64("_leaf")).join(_checked(shared, BROADCAST_LEAVES), "_branch", "left_semi")
+    met = met.groupBy("_branch", "_masked", "_n").agg(F.lit(1).alias("_one")).drop("_one")
+    met = written(met.withColumn("_line", F.monotonically_increasing_id()), "line-variants")
+    places = met.select("_branch", "_line", F.posexplode(F.split("_masked", " ")).alias("_pos", "_token")).where(F.col("_token") != FIELD)
+    # A token that one line alone has at its place in the leaf is a field of that line.
+    alone = places.groupBy("_branch", "_pos", F.xxhash64("_token").alias("_token")).agg(F.count("*").alias("_c"), F.min("_line").alias("_line")).where("_c = 1")
+    own = alone.groupBy("_line").agg(F.sort_array(F.collect_set("_pos")).alias("_at")).select("_line", _marks("_at").alias("_fields"))  # the fields of one line
+    tokens = F.transform(F.split("_masked", " "), lambda t, i: F.when(_marked("_fields", i), F.lit(FIELD)).otherwise(t))
+    template = met.join(own, "_line").select("_masked", "_n", tokens.alias("_tokens"))
+    left = F.size(F.filter("_tokens", lambda t: t != FIELD))
+    general = template.where(enough(left)).select(_digest(F.col("_masked")).alias("_own"), _digest(F.array_join("_tokens", " ")).alias("_general"))
+    general = written(general, "line-general")
+    placed = postings.join(_checked(general, BROADCAST_LINES), "_own", "left").select("_doc", "_row", "_at", F.coalesce("_general", "_own").alias("_template"))
 
     by_doc = placed.groupBy("_template", "_doc").agg(F.lit(1).alias("_one"))
     recurring = by_doc.groupBy("_template").agg(F.count("*").alias("_n"), F.min("_doc").alias("_home")).where(F.col("_n") >= min_docs)
     recurring = written(recurring.select("_template", "_home"), "line-templates")
 
     # Both sides are read from files, so the join may split a template that very many documents share.
-    hits = placed.join(recurring, "_template").where(F.col("_doc") != F.col("_home"))
+    hits = placed.join(_checked(recurring, BROADCAST_LINES), "_template").where(F.col("_doc") != F.col("_home"))
     dropped = hits.groupBy("_doc", "_row").agg(F.sort_array(F.collect_set("_at")).alias("_dropped"))  # at most the lines of one text
-    before = F.concat(F.array(F.lit(-1)), F.slice("_dropped", 1, F.size("_dropped") - 1))
-    marks = F.array_join(F.zip_with("_dropped", before, lambda p, q: F.concat(F.repeat(F.lit("0"), p - q - 1), F.lit("1"))), "")  # a 1 for each dropped line
-    dropped = dropped.select("_doc", "_row", F.size("_dropped").alias("_n"), marks.cast("binary").alias("_marks"))
+    dropped = dropped.select("_doc", "_row", F.size("_dropped").alias("_n"), _marks("_dropped").alias("_gone"))
 
     kept = docs.join(dropped, (F.col(id_col) == F.col("_doc")) & (F.xxhash64(text) == F.col("_row")), "left")
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: F.substring(F.col("_marks"), i + 1, 1) != F.lit(b"1")), "\n")
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~_marked("_gone", i)), "\n")
     n_lines = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     return kept.select(
-        *[F.when(F.col("_marks").isNull(), text).otherwise(rest).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[F.when(F.col("_gone").isNull(), text).otherwise(rest).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         n_lines.cast("long").alias(lines_col),
         F.coalesce("_n", F.lit(0)).cast("long").alias(dropped_col),
     )
