@@ -309,3 +309,42 @@ def test_folds_number_volumes_without_one_window(spark):
     found = models.folds(spark.createDataFrame([(f"v{i:02d}", p) for i in range(23) for p in range(2)], "vol string, page int").repartition(4))
     assert "Window" not in found._jdf.queryExecution().toString()
     assert sorted((r.vol, r.fold) for r in found.collect()) == [(f"v{i:02d}", i % 5) for i in range(23)]
+
+
+def test_small_tables_are_dealt_over_all_cores(spark):
+    from leafmill.sources.tables import spread
+
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 100
+    many = spark.range(100).repartition(20)
+    assert spread(many) is many
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from leafmill.sources import staged
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staged.shared_dir(session)
+
+
+def test_statuses_and_hyphen_rules(spark):
+    from leafmill.sources import files, sinks
+
+    frames = [spark.createDataFrame(r, "vol string, status string") for r in ([("a", "success"), ("b", "short")], [("b", "short"), ("c", None), ("a", "unicode error")])]
+    assert sorted(tuple(r) for r in sinks.statuses(*frames).collect()) == [("a", "unicode error"), ("b", "short")]
+    rules = spark.createDataFrame([("tiger-moth", "tiger moth "), ("to-day", "today"), ("co-op", "coop."), ("well", "w ell")], "source string, target string")
+    got, words_ = files.hyphen_rules(rules)
+    assert {(r.source, r.target) for r in got.collect()} == {("tiger-moth", "tiger moth"), ("tigermoth", "tiger moth"), ("to-day", "today"), ("co-op", "coop."), ("coop", "coop."), ("well", "w ell")}
+    assert {r.word for r in words_.collect()} == {"today", "coop."}
+
+
+def test_unreadable_text(spark, tmp_path):
+    from leafmill.sources import files
+
+    (tmp_path / "good.txt").write_bytes("é\n".encode())
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe\xe9\n")
+    assert [tuple(r) for r in files.unreadable_text(spark, str(tmp_path)).collect()] == [("bad", "unicode error")]
+    assert {r.vol for r in files.paged_text(spark, str(tmp_path)).collect()} == {"good"}
