@@ -10,6 +10,7 @@ of each document are joined by a shuffle.
 from __future__ import annotations
 
 import os
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -47,6 +48,11 @@ def _tokenizer(content: bytes):
     return Tokenizer.from_str(content.decode())
 
 
+def _state(file) -> dict:
+    """What a worker keeps for one tokenizer file: the tokenizer, and what tasks add."""
+    return worker_state("token_counts", file.value[0], lambda: {"tokenizer": _tokenizer(file.value[1])})
+
+
 def _specials(tokenizer) -> list[str]:
     return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
@@ -59,7 +65,7 @@ def pre_token_counts(texts: DataFrame, file, pattern: str) -> DataFrame:
     """
 
     def split_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        specials = _specials(_tokenizer(file.value[1]))
+        specials = _specials(_state(file)["tokenizer"])
         split = regex.compile(pattern).findall
 
         def out(chunks: Counter) -> Iterator[pa.RecordBatch]:
@@ -81,7 +87,7 @@ def pre_token_counts(texts: DataFrame, file, pattern: str) -> DataFrame:
         yield from out(chunks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = worker_state("token_counts.count", file.value[0], lambda: _tokenizer(file.value[1]))
+        tokenizer = _state(file)["tokenizer"]
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -122,16 +128,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str
     table = pieces.where(F.col("grade") >= least).select("piece", "n_tokens").toArrow()
     known = spark.sparkContext.broadcast((table["piece"].combine_chunks(), table["n_tokens"].to_numpy()))
 
-    def make() -> dict:
-        names, counts = known.value
-        return {"counts": dict(zip(names.to_pylist(), counts.tolist(), strict=True)), "chunks": {}}
-
-    name = (file.value[0], len(table), least)
+    name = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = worker_state("token_counts", name, make)
-        counts, chunks = state["counts"], state["chunks"]  # by chunk: its tokens, or those of its frequent pre-tokens and the others
-        tokenizer = _tokenizer(file.value[1])
+        state = _state(file)
+        if state.get("name") != name:
+            names, sizes = known.value
+            state.update(name=name, chunks={}, counts=dict(zip(names.to_pylist(), sizes.tolist(), strict=True)))
+        tokenizer, counts, chunks = state["tokenizer"], state["counts"], state["chunks"]  # by chunk: its tokens, or those of its frequent pre-tokens and the others
         specials = _specials(tokenizer)
         split = regex.compile(pattern).findall
         uid = TaskContext.get().partitionId() << 33
