@@ -3,7 +3,8 @@
 The incidence matrix (documents by word shingles, 64-bit hashes) is cut into blocks: some thousand
 documents by one bucket of shingles, each block a packed pair of arrays. Bringing the blocks of one
 bucket together gives the number of documents of every shingle. A shingle of one document adds to no
-overlap, so only entries of shared shingles return to their document block. A document of n shingles
+overlap, so only entries of shared shingles return to their document block; one that several documents
+of a block have is one entry there, so a bucket holds a frequent shingle once for each block. A document of n shingles
 links to nothing unless ceil(0.8 n) of its entries remain; most documents end here, and of the others
 equal sets become one class.
 
@@ -79,26 +80,38 @@ def shingles(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _blocks(width: int, buckets: int, id_type: pa.DataType):
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(id_type)), ("sizes", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary())])
+    """A row for each block of documents, and one for each bucket of its shingles.
+
+    A shingle that several documents of the block have goes to its bucket as one entry with their number,
+    so that a very frequent one is an entry a block there; which documents they are stays in the block's row.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(id_type)), *[(c, pa.binary()) for c in ("sizes", "hashes", "docs", "counts")]])
 
     def rows(ids: pa.Array, texts: list[str | None], block: int) -> pa.RecordBatch:
         doc, hashes = shingles(texts, width)
         sizes = np.bincount(doc, minlength=len(texts)).astype(np.int32)
-        bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(hashes, kind="stable")
+        doc, hashes = doc[order].astype(np.uint16), hashes[order]
+        starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(starts, len(hashes)))
+        several = np.repeat(counts > 1, counts)
+        one, first, n = hashes[starts], doc[starts], counts.astype(np.uint16)
+        bucket = ((one >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        bucket, hashes, doc = bucket[order], hashes[order], doc[order].astype(np.uint16)
-        there, first = np.unique(bucket, return_index=True)
-        bounds = [*first.tolist(), len(bucket)]
+        bucket, one, first, n = bucket[order], one[order], first[order], n[order]
+        there, cuts = np.unique(bucket, return_index=True)
+        bounds = [*cuts.tolist(), len(bucket)]
         spans = list(zip(bounds, bounds[1:], strict=False)) if len(there) else []
-        n = len(spans)
+        none = [None] * len(spans)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([block % buckets, *there.tolist()], pa.int32()),
-                pa.array([block] * (n + 1), pa.int64()),
-                pa.array([ids.to_pylist(), *[None] * n], pa.list_(id_type)),
-                pa.array([sizes.tobytes(), *[None] * n], pa.binary()),
-                pa.array([None, *[hashes[a:b].tobytes() for a, b in spans]], pa.binary()),
-                pa.array([None, *[doc[a:b].tobytes() for a, b in spans]], pa.binary()),
+                pa.array([block] * (len(spans) + 1), pa.int64()),
+                pa.array([ids.to_pylist(), *none], pa.list_(id_type)),
+                pa.array([sizes.tobytes(), *none], pa.binary()),
+                pa.array([hashes[several].tobytes(), *[one[a:b].tobytes() for a, b in spans]], pa.binary()),
+                pa.array([doc[several].tobytes(), *[first[a:b].tobytes() for a, b in spans]], pa.binary()),
+                pa.array([None, *[n[a:b].tobytes() for a, b in spans]], pa.binary()),
             ],
             schema=schema,
         )
@@ -119,28 +132,29 @@ def _blocks(width: int, buckets: int, id_type: pa.DataType):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: the entries of shingles that more than one document has, with document frequencies; heads pass."""
+    """Of one bucket: the entries of shingles that more than one document has, with document frequencies; the blocks' rows pass.
+
+    Of an entry that stands for several documents of its block, ``docs`` has one of them.
+    """
     heads = table.filter(pc.is_valid(table["sizes"]))
-    parts = table.filter(pc.is_valid(table["hashes"]))
+    parts = table.filter(pc.is_valid(table["counts"]))
     arrays = [np.frombuffer(x, np.uint64) for x in parts["hashes"].to_pylist()]
-    out = {"block": heads["block"].to_pylist(), "ids": heads["ids"].to_pylist(), "sizes": heads["sizes"].to_pylist()}
-    n = len(out["block"])
-    out |= {k: [None] * n for k in ("hashes", "docs", "counts")}
+    out = {c: heads[c].to_pylist() for c in ("block", "ids", "sizes", "hashes", "docs")} | {"counts": [None] * len(heads)}
     if arrays:
         every = np.concatenate(arrays)
+        own = np.concatenate([np.frombuffer(x, np.uint16) for x in parts["counts"].to_pylist()]).astype(np.int64)
         order = np.argsort(every, kind="stable")
         ordered = every[order]
         starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        runs = np.diff(np.append(starts, len(ordered)))
         count = np.empty(len(every), np.uint32)
-        count[order] = np.repeat(runs, runs)
+        count[order] = np.repeat(np.minimum(np.add.reduceat(own[order], starts), 0xFFFFFFFF), np.diff(np.append(starts, len(ordered))))
         at = 0
-        for block, own, docs in zip(parts["block"].to_pylist(), arrays, parts["docs"].to_pylist(), strict=True):
-            c = count[at : at + len(own)]
-            at += len(own)
+        for block, mine, docs in zip(parts["block"].to_pylist(), arrays, parts["docs"].to_pylist(), strict=True):
+            c = count[at : at + len(mine)]
+            at += len(mine)
             keep = c > 1
             if keep.any():
-                for k, v in (("block", block), ("ids", None), ("sizes", None), ("hashes", own[keep].tobytes()), ("docs", np.frombuffer(docs, np.uint16)[keep].tobytes()), ("counts", c[keep].tobytes())):
+                for k, v in (("block", block), ("ids", None), ("sizes", None), ("hashes", mine[keep].tobytes()), ("docs", np.frombuffer(docs, np.uint16)[keep].tobytes()), ("counts", c[keep].tobytes())):
                     out[k].append(v)
     return pa.table([pa.array(out["block"], pa.int64()), pa.array(out["ids"], table.schema.field("ids").type), *[pa.array(out[k], pa.binary()) for k in ("sizes", "hashes", "docs", "counts")]], names=["block", "ids", "sizes", "hashes", "docs", "counts"])
 
@@ -150,11 +164,18 @@ def _rows(percent: int):
 
     def rows(table: pa.Table) -> pa.Table:
         head = table.filter(pc.is_valid(table["sizes"]))
-        parts = table.filter(pc.is_valid(table["hashes"]))
+        parts = table.filter(pc.is_valid(table["counts"]))
         block = head["block"][0].as_py()
         sizes = np.frombuffer(head["sizes"][0].as_py(), np.int32).astype(np.int64)
-        join = lambda name, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in parts[name].to_pylist()]])
-        hashes, docs, counts = join("hashes", np.uint64), join("docs", np.uint16).astype(np.int64), join("counts", np.uint32)
+        join = lambda part, name, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in part[name].to_pylist()]])
+        hashes, docs, counts = join(parts, "hashes", np.uint64), join(parts, "docs", np.uint16), join(parts, "counts", np.uint32)
+        order = np.argsort(hashes, kind="stable")  # each shingle once
+        hashes, docs, counts = hashes[order], docs[order], counts[order]
+        several, which = join(head, "hashes", np.uint64), join(head, "docs", np.uint16)
+        alone = np.ones(len(hashes), bool)
+        place = np.searchsorted(hashes, several)
+        alone[place] = False
+        hashes, docs, counts = np.concatenate([hashes[alone], several]), np.concatenate([docs[alone], which]).astype(np.int64), np.concatenate([counts[alone], counts[place]])
         order = np.lexsort((hashes, counts, docs))
         hashes = hashes[order]
         left = np.bincount(docs, minlength=len(sizes))
@@ -262,7 +283,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     id_type = texts.select("doc_id").limit(0).toArrow().schema.field(0).type
 
-    blocks = texts.mapInArrow(_blocks(width, buckets, id_type), f"bucket int, block long, ids array<{kind}>, sizes binary, hashes binary, docs binary")
+    blocks = texts.mapInArrow(_blocks(width, buckets, id_type), f"bucket int, block long, ids array<{kind}>, sizes binary, hashes binary, docs binary, counts binary")
     shared = blocks.groupBy("bucket").applyInArrow(_shared, f"block long, ids array<{kind}>, sizes binary, hashes binary, docs binary, counts binary")
     rows = shared.groupBy("block").applyInArrow(_rows(percent), f"uid long, doc_id {kind}, n long, shared binary")
     rows = written(rows.withColumn("class", F.when(F.col("shared").isNotNull(), F.when(F.length("shared") == 8 * F.col("n"), F.sha2("shared", 256)).otherwise(F.col("uid").cast("string")))), "jaccard-rows")
