@@ -60,6 +60,8 @@ def routed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     """``rows`` with ``bucket`` ("depth:bits") of their ``key`` added."""
     small = buckets.count() <= BROADCAST_BUCKETS
     depths = sorted(r.depth for r in buckets.select("depth").distinct().collect())  # at most 65
+    if depths == [0]:  # one bucket has all keys
+        return rows.withColumn("bucket", F.lit("0:0"))
     for d in depths:
         own = buckets.where(F.col("depth") == d).select(F.col("bits").alias(f"bits_{d}"), F.lit(True).alias(f"is_{d}"))
         rows = rows.join(F.broadcast(own) if small else own, prefix(F.col("key"), d) == F.col(f"bits_{d}"), "left")
