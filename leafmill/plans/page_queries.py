@@ -50,6 +50,12 @@ def word_features_of(spark, d):
     return L.word_counts(L.tokens(volume_lines(spark, d))).select("vol", "page", F.col("word").alias("feature"), F.col("n").alias("count"))
 
 
+def word_and_line_features_of(spark, d):
+    """Words and numbers of text lines: what totals and vocabularies need of the page features."""
+    lines = L.structure_counts(volume_lines(spark, d)).select("vol", "page", F.lit("#textlines").alias("feature"), F.col("textlines").alias("count"))
+    return word_features_of(spark, d).unionByName(lines)
+
+
 def vocabulary_of(features):
     return features.where("NOT startswith(feature, '#')").groupBy(F.col("feature").alias("word")).agg(F.sum("count").alias("n")).where("n >= 50").select("word")
 
@@ -62,7 +68,7 @@ def v2(spark, d):
 
 @query("v3_volume_totals", "WITH " + TOTALS + " SELECT * FROM vt")
 def v3(spark, d):
-    return V.volume_totals(features_of(spark, d))
+    return V.volume_totals(word_and_line_features_of(spark, d))
 
 
 V4_RELATIVE_FREQUENCIES_SQL = (
@@ -164,7 +170,7 @@ chosen AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM best GROUP BY word ORDE
 SELECT word, n FROM chosen UNION ALL SELECT word, 0 FROM (SELECT unnest([""" + ", ".join(f"'{w}'" for w in V.FORCED_WORDS) + "]) AS word) f WHERE word NOT IN (SELECT word FROM chosen)")
 def v14(spark, d):
     truth = volume_pages(spark, d).select("vol", "page", F.col("lang").alias("category"))
-    return V.select_vocabulary(features_of(spark, d), truth)
+    return V.select_vocabulary(written(word_and_line_features_of(spark, d), "page-features"), truth)
 
 
 @query("v15_category_order", "WITH " + EVENT_PAGES + " SELECT CAST(row_number() OVER (ORDER BY min(event_id), category) + 1 AS INTEGER) AS idx, category FROM event_pages GROUP BY category UNION ALL SELECT 0, 'begin' UNION ALL SELECT 1, 'end'")
