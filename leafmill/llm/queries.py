@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import byte_bpe, exact_dedup, exact_topk, html_extract, jaccard_join, language_id, line_dedup, packing, shards, token_counts
+from leafmill.llm import byte_bpe, exact_dedup, exact_topk, html_extract, jaccard_join, language_id, line_dedup, merkle, packing, shards, token_counts
 from leafmill.llm.common import new_path
 from leafmill.sources import tables
 
@@ -149,6 +149,64 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
 
+# crc32 of a decimal text: its bytes taken through the table of the reflected polynomial.
+CRC_TABLE = "crc AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"
+
+
+def crc_sql(text: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) for x in string_split({text}, '')]), lambda v, b: xor(v >> 8, crc.t[xor(v & 255, b) + 1])))"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+def _merkle_level(nodes: str, made: str, key: str) -> str:
+    """Runs of 16 nodes, and what they become; a tree of one node stays as it is."""
+    return f"""{made} AS (
+  SELECT {key}, p // 16 AS p, CASE WHEN any_value(total) = 1 THEN any_value(node) ELSE sha256(string_agg(node, '' ORDER BY p)) END AS node, CAST(ceil(any_value(total) / 16) AS BIGINT) AS total
+  FROM {nodes} GROUP BY {key}, p // 16)"""
+
+
+def _merkle_step(rows: str, nodes: str, made: str, key: str, place: str) -> str:
+    """``rows`` one level higher: the siblings join the proof, and the tampered node is folded with them."""
+    same = f"n.{key} IS NOT DISTINCT FROM r.{key} AND n.p // 16 = r.{place} // 16"
+    part = lambda op: f"coalesce(string_agg(n.node, '' ORDER BY n.p) FILTER (WHERE n.p {op} r.{place}), '')"
+    columns = ["doc_id", "source", "leaf", "p", "sp", "proof", "fold", "n"]
+    kept = ", ".join(f"r.{c}" for c in columns if c not in (place, "proof", "fold"))
+    return f"""{made} AS MATERIALIZED (
+  SELECT {kept}, r.{place} // 16 AS {place}, r.proof || {part("<>")} AS proof, CASE WHEN any_value(n.total) = 1 THEN r.fold ELSE sha256({part("<")} || r.fold || {part(">")}) END AS fold
+  FROM {rows} r JOIN {nodes} n ON {same} GROUP BY {kept}, r.{place}, r.proof, r.fold)"""
+
+
+def _op12_sql(levels: int, source_levels: int) -> str:
+    """SQL for sources of at most 16^levels documents and at most 16^source_levels sources."""
+    part = lambda x: f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')"
+    leaf = lambda text: f"sha256({part('doc_id')} || {part('source')} || {part('lang')} || {part('n_chars')} || {part(text)})"
+    up = [_merkle_level(f"t{i}", f"t{i + 1}", "source") for i in range(levels)]
+    top = [_merkle_level(f"s{i}", f"s{i + 1}", "k") for i in range(source_levels)]
+    fold = [_merkle_step(f"r{i}", f"t{i}", f"r{i + 1}", "source", "p") for i in range(levels)]
+    fold += [_merkle_step(f"r{levels + i}" if i else f"q{levels}", f"s{i}", f"r{levels + 1 + i}", "k", "sp").replace("r.k", "0") for i in range(source_levels)]
+    return f"""
+WITH {CRC_TABLE}, d AS MATERIALIZED (
+  SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {crc_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0
+    THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents, crc
+), n AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS total FROM d
+), t0 AS (SELECT source, p, leaf AS node, total FROM n), {", ".join(up)},
+s0 AS (SELECT 0 AS k, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS p, count(*) OVER () AS total, node, source FROM t{levels}), {", ".join(top)},
+r0 AS MATERIALIZED (
+  SELECT doc_id, n.source, leaf, n.p, s0.p AS sp, '' AS proof, coalesce(changed, leaf) AS fold, row_number() OVER () AS n
+  FROM n JOIN s0 ON n.source IS NOT DISTINCT FROM s0.source
+), {", ".join(fold[:levels])}, q{levels} AS (SELECT * FROM r{levels}), {", ".join(fold[levels:])}
+SELECT r.doc_id, r.leaf, t.node AS subroot, s.node AS root, sha256(r.proof) AS proof_sha256, r.fold AS folded_root, r.fold = s.node AS verified
+FROM r{levels + source_levels} r JOIN t{levels} t ON r.source IS NOT DISTINCT FROM t.source, s{source_levels} s
+"""
+
+
+OP12_SQL = _op12_sql(4, 2)
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_sharding": op2_sharding,
@@ -161,5 +219,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op9_line_dedup_short_lines": op9_line_dedup_short_lines,
     "op10_html_extract": op10_html_extract,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op2_sharding": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op9_line_dedup_short_lines": OP9_SQL}
+ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op2_sharding": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op9_line_dedup_short_lines": OP9_SQL, "op12_merkle_manifest": OP12_SQL}
