@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import byte_bpe, exact_dedup, exact_topk, html_extract, jaccard_join, language_id, line_dedup, merkle, packing, shards, token_counts
-from leafmill.llm.common import new_path
+from leafmill.llm import byte_bpe, exact_dedup, exact_topk, html_extract, jaccard_join, language_id, line_dedup, merkle, packing, prefix_trie, shards, token_counts
+from leafmill.llm.common import new_path, written
 from leafmill.sources import tables
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -157,6 +157,56 @@ def crc_sql(text: str) -> str:
     return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) for x in string_split({text}, '')]), lambda v, b: xor(v >> 8, crc.t[xor(v & 255, b) + 1])))"
 
 
+def rebuilt_conversations(ordered: DataFrame, most: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Turns of the rebuilt conversations, and their ids: the first h turns of c - c % 5, then c's own after its first h."""
+    c = F.col("conv_id")
+    convs = ordered.select("conv_id").distinct().select("conv_id", (F.crc32(c.cast("string")) % 9).alias("h"), (c - c % 5).alias("head"))
+    first = ordered.where((c % 5 == 0) & (F.col("place") < most)).groupBy(c.alias("head")).agg(F.sort_array(F.collect_list(F.struct("place", "turn", "n_bytes"))).alias("turns"))
+    taken = F.coalesce(F.slice("turns", F.lit(1), F.col("h").cast("int")), F.expr("CAST(array() AS array<struct<place:bigint,turn:binary,n_bytes:bigint>>)"))
+    convs = written(convs.join(first, "head", "left").select("conv_id", "h", taken.alias("taken")), "rebuilt")
+    heads = convs.select("conv_id", F.inline("taken")).select("conv_id", F.col("place").alias("position"), "turn", "n_bytes")
+    own = ordered.join(convs.select("conv_id", "h", F.size("taken").alias("n")), "conv_id").where("place >= h")
+    return heads.unionByName(own.select("conv_id", (F.col("place") - F.col("h") + F.col("n")).alias("position"), "turn", "n_bytes")), convs.select("conv_id")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = rebuilt_conversations(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    nodes, ends = prefix_trie.prefix_trie(turns, convs)
+    parents = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
+    found = nodes.join(parents, "parent", "left").join(prefix_trie.end_digests(ends), "node", "left")
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+OP11_SQL = f"""
+WITH {CRC_TABLE}, t AS (
+  SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL
+), o AS MATERIALIZED (
+  SELECT conv_id, k, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS place FROM t
+), c AS MATERIALIZED (
+  SELECT conv_id, {crc_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h, conv_id - conv_id % 5 AS head FROM (SELECT DISTINCT conv_id FROM o) x, crc
+), n AS (
+  SELECT c.conv_id, any_value(c.h) AS h, count(o.place) AS n FROM c LEFT JOIN o ON o.conv_id = c.head AND o.place < c.h GROUP BY c.conv_id
+), r AS MATERIALIZED (
+  SELECT c.conv_id, o.place AS pos, k, bytes FROM c JOIN o ON o.conv_id = c.head AND o.place < c.h
+  UNION ALL SELECT n.conv_id, o.place - n.h + n.n, k, bytes FROM n JOIN o ON o.conv_id = n.conv_id AND o.place >= n.h
+), p AS (
+  SELECT conv_id, pos + 1 AS depth, bytes, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS node FROM r
+), m AS MATERIALIZED (
+  SELECT conv_id, depth, bytes, node, substr(node, 1, 32 * (depth - 1)) AS parent FROM p UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c
+), nodes AS MATERIALIZED (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(parent) AS parent, any_value(bytes) AS bytes FROM m GROUP BY node, depth
+), kids AS (SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+judged AS MATERIALIZED (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.parent = nodes.node),
+sums AS (
+  SELECT m.node, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves, CAST(sum((u.n_convs - 1) * u.bytes) AS BIGINT) AS saved
+  FROM judged u JOIN m ON m.conv_id = u.conv_id AND m.depth <= u.depth GROUP BY m.node
+), lens AS (SELECT conv_id, max(depth) AS depth FROM m GROUP BY conv_id),
+ends AS (SELECT m.node, string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) AS ids FROM m JOIN lens USING (conv_id, depth) GROUP BY m.node)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM judged v JOIN sums s ON s.node = v.node LEFT JOIN judged q ON q.node = v.parent LEFT JOIN ends e ON e.node = v.node
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
 
@@ -219,6 +269,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op9_line_dedup_short_lines": op9_line_dedup_short_lines,
     "op10_html_extract": op10_html_extract,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op2_sharding": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op9_line_dedup_short_lines": OP9_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op2_sharding": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op9_line_dedup_short_lines": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
