@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import byte_bpe, exact_dedup, exact_topk, html_extract, jaccard_join, language_id, line_dedup, merkle, packing, prefix_trie, shards, token_counts
+from leafmill.llm import byte_bpe, exact_dedup, exact_topk, html_extract, jaccard_join, language_id, line_dedup, merkle, packing, prefix_trie, shards, substring_dedup, token_counts
 from leafmill.llm.common import new_path, written
 from leafmill.sources import tables
 
@@ -257,6 +257,21 @@ FROM r{levels + source_levels} r JOIN t{levels} t ON r.source IS NOT DISTINCT FR
 OP12_SQL = _op12_sql(4, 2)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS MATERIALIZED (SELECT r, doc_id, i, w[i] AS word, CASE WHEN doc_id IS NOT NULL AND i + 19 <= len(w) THEN md5(array_to_string(w[i:i + 19], ' ')) END AS k FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+s AS MATERIALIZED (SELECT *, k IS NOT NULL AND rank() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS later FROM p),
+c AS (SELECT *, max(CASE WHEN later THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM s),
+k AS (SELECT r, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM c GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.r = k.r
+"""
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_sharding": op2_sharding,
@@ -271,5 +286,6 @@ QUERIES = {
     "op10_html_extract": op10_html_extract,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_substring_dedup": op13_substring_dedup,
 }
-ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op2_sharding": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op9_line_dedup_short_lines": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op2_sharding": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op9_line_dedup_short_lines": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_substring_dedup": OP13_SQL}
