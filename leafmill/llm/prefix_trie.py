@@ -12,7 +12,7 @@ that owns a node owns all of its own path below. So the childless nodes of a sub
 own theirs, and what a subtree saves is the bytes of its members' turns that they don't own: both are
 sums over the bits of a node, which a second walk makes.
 
-A shard holds at most ``SHARD`` conversations and ``BLOCK`` positions of them. Longer conversations go on
+A task looks at a shard's conversations (at most ``shard``) over at most ``block`` positions at once. Longer conversations go on
 in further blocks, which start from the digest of the path so far, so no task holds a whole conversation
 of unbounded length.
 """
@@ -79,8 +79,11 @@ def bits_of(bits: int) -> Iterator[int]:
         bits ^= low
 
 
-def walk(block: int, convs: list[Conversation], turns: list[tuple[int, int, bytes, int]]) -> Iterator[Node]:
-    """The nodes of one block of a shard, depth first. ``turns``: (position, index of the conversation, turn, bytes)."""
+def walk(first: int, end: int, convs: list[Conversation], turns: list[tuple[int, int, bytes, int]]) -> Iterator[Node]:
+    """The nodes of a shard below depth ``first``, down to ``end``, depth first; the root too if ``first`` is 0.
+
+    ``turns``: (position, index of the conversation, turn, bytes).
+    """
     postings: dict[int, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
     said: dict[tuple[int, int], bytes] = {}
     size: dict[bytes, int] = {}
@@ -93,16 +96,15 @@ def walk(block: int, convs: list[Conversation], turns: list[tuple[int, int, byte
     for i, c in enumerate(convs):
         ends[c.length] |= 1 << i
         starts[c.start] |= 1 << i
-    first = block * BLOCK
     for start, members in starts.items():
         some = convs[next(bits_of(members))]
-        top = Node(members, start, None, NO_PATH, first, 0, some.before, members & ends[first] if block == 0 else 0)
-        if block == 0:
+        top = Node(members, start, None, NO_PATH, first, 0, some.before, 0 if first else members & ends[0])
+        if not first:
             yield top
         stack = [top]
         while stack:
             at = stack.pop()
-            if at.depth == first + BLOCK:
+            if at.depth == end:
                 continue
             left = at.bits & ~at.ends
             while left:
@@ -150,37 +152,48 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")])
 
 
-def local_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple]:
-        for shard, block, convs, turns in _blocks(batches):
-            for n in walk(block, convs, turns):
-                ends = ",".join(str(convs[i].conv_id) for i in bits_of(n.ends)) if n.ends else None
-                yield n.name, n.parent, n.depth, convs[(n.bits & -n.bits).bit_length() - 1].conv_id, n.bits.bit_count(), n.n_bytes, n.path_bytes, shard, ends
+def local_nodes(sharded: DataFrame, block_turns: int) -> DataFrame:
+    """The nodes that each shard sees, with its members there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for shard, block, convs, turns in _blocks(batches):
+                for n in walk(block * block_turns, (block + 1) * block_turns, convs, turns):
+                    ends = ",".join(str(convs[i].conv_id) for i in bits_of(n.ends)) if n.ends else None
+                    yield n.name, n.parent, n.depth, convs[(n.bits & -n.bits).bit_length() - 1].conv_id, n.bits.bit_count(), n.n_bytes, n.path_bytes, shard, ends
+
+        return _out(rows(), _arrow(LOCAL))
+
+    return sharded.mapInArrow(run, LOCAL)
 
-    return _out(rows(), _arrow(LOCAL))
 
+def local_sums(sharded: DataFrame, block_turns: int) -> DataFrame:
+    """What the members that a shard has of a node add to the sums over its subtree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for _, block, convs, turns in _blocks(batches):
+                first = block * block_turns
+                leaves = sum(1 << i for i, c in enumerate(convs) if c.leaf)
+                guests = sum(1 << i for i, c in enumerate(convs) if c.owned_from is None or c.owned_from > first)
+                for n in walk(first, first + block_turns, convs, turns):
+                    above = n.path_bytes - n.n_bytes
+                    saved = sum(convs[i].unowned - above for i in bits_of(n.bits & guests) if convs[i].owned_from is None or convs[i].owned_from > n.depth)
+                    n_leaves = (n.bits & leaves).bit_count()
+                    if n_leaves or saved:
+                        yield n.name, n_leaves, saved
 
-def local_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple]:
-        for _, block, convs, turns in _blocks(batches):
-            leaves = sum(1 << i for i, c in enumerate(convs) if c.leaf)
-            guests = sum(1 << i for i, c in enumerate(convs) if c.owned_from is None or c.owned_from > block * BLOCK)
-            for n in walk(block, convs, turns):
-                above = n.path_bytes - n.n_bytes
-                saved = sum(convs[i].unowned - above for i in bits_of(n.bits & guests) if convs[i].owned_from is None or convs[i].owned_from > n.depth)
-                n_leaves = (n.bits & leaves).bit_count()
-                if n_leaves or saved:
-                    yield n.name, n_leaves, saved
+        return _out(rows(), _arrow(SUMS))
 
-    return _out(rows(), _arrow(SUMS))
+    return sharded.mapInArrow(run, SUMS)
 
 
-def _block_starts(turns: DataFrame) -> DataFrame:
+def _block_starts(turns: DataFrame, block_turns: int) -> DataFrame:
     """``conv_id, block, start, before``: the name of the node where each block but the first begins, and the bytes before it.
 
     Blocks are digested on their own; only their digests are chained along a conversation.
     """
-    full = turns.where(F.col("length") > (F.col("block") + 1) * BLOCK).select("conv_id", "block", "position", "turn", "n_bytes")
+    full = turns.where(F.col("length") > (F.col("block") + 1) * block_turns).select("conv_id", "block", "position", "turn", "n_bytes")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -223,7 +236,7 @@ def _sharded(turns: DataFrame, heads: DataFrame) -> DataFrame:
     return whole(turns.drop("length")).unionByName(whole(heads)).repartition("shard", "block").sortWithinPartitions("shard", "block", "position", "conv_id")
 
 
-def prefix_trie(turns: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def prefix_trie(turns: DataFrame, conversations: DataFrame, shard: int = SHARD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The trie of conversations, and the end lists of its nodes.
 
     ``turns``: ``conv_id, position`` (long, from 0 without gaps), ``turn`` (a digest that names role and
@@ -235,16 +248,16 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> tuple[DataFrame,
     """
     lengths = turns.groupBy("conv_id").agg(F.count("*").alias("length"), F.sum("n_bytes").alias("total_bytes"))
     convs = conversations.join(lengths, "conv_id", "left").select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("length", "total_bytes")], F.lit(0).alias("all_"))
-    convs = numbered(convs, ["all_"], ["conv_id"], "trie").select("conv_id", "length", "total_bytes", F.expr(f"place div {SHARD}").alias("shard"))
+    convs = numbered(convs, ["all_"], ["conv_id"], "trie").select("conv_id", "length", "total_bytes", F.expr(f"place div {shard}").alias("shard"))
     convs = written(convs, "trie-conversations")
-    rows = turns.join(convs.select("conv_id", "shard", "length"), "conv_id").withColumn("block", F.expr(f"position div {BLOCK}"))
+    rows = turns.join(convs.select("conv_id", "shard", "length"), "conv_id").withColumn("block", F.expr(f"position div {block}"))
     rows = written(rows.select("shard", "block", "position", "conv_id", "turn", "n_bytes", "length"), "trie-turns")
 
-    last = F.greatest(F.lit(0), F.expr(f"(length - 1) div {BLOCK}"))
-    heads = convs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block")).join(_block_starts(rows), ["conv_id", "block"], "left")
+    last = F.greatest(F.lit(0), F.expr(f"(length - 1) div {block}"))
+    heads = convs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block")).join(_block_starts(rows, block), ["conv_id", "block"], "left")
     heads = written(heads.select("shard", "block", "conv_id", "length", "total_bytes", F.coalesce("start", F.lit(ROOT)).alias("start"), F.coalesce("before", F.lit(0)).alias("before")), "trie-heads")
     free = heads.select("*", F.lit(None).cast("long").alias("owned_from"), F.lit(0).cast("long").alias("unowned"), F.lit(False).alias("leaf")).drop("total_bytes")
-    local = written(_sharded(rows, free).mapInArrow(local_nodes, LOCAL), "trie-local")
+    local = written(local_nodes(_sharded(rows, free), block), "trie-local")
 
     nodes = local.groupBy("node").agg(*[F.min(c).alias(c) for c in ("parent", "depth", "conv_id", "n_bytes", "path_bytes")], F.sum("n_convs").alias("n_convs"))
     nodes = written(nodes, "trie-merged")
@@ -253,7 +266,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> tuple[DataFrame,
 
     owners = nodes.groupBy("conv_id").agg(F.min("depth").alias("owned_from"), F.min(F.col("path_bytes") - F.col("n_bytes")).alias("unowned"), F.max(F.col("n_children") == 0).alias("leaf"))
     judged = heads.join(owners, "conv_id", "left").withColumn("unowned", F.coalesce("unowned", "total_bytes")).withColumn("leaf", F.coalesce("leaf", F.lit(False))).drop("total_bytes")
-    sums = _sharded(rows, judged).mapInArrow(local_sums, SUMS).groupBy("node").agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved"))
+    sums = local_sums(_sharded(rows, judged), block).groupBy("node").agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved"))
     nodes = nodes.join(sums, "node", "left").select("node", "parent", "depth", "conv_id", "n_convs", "n_children", F.coalesce("n_leaves", F.lit(0)).alias("n_leaves"), F.coalesce("saved", F.lit(0)).alias("saved"))
     return written(nodes, "trie-result"), local.where("ends IS NOT NULL").select("node", "shard", "ends")
 
