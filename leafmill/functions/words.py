@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Punctuation that is stripped from tokens, and the same without marks of two characters.
 PUNCTUATION = r"""[.,?!;"“”:—)('`\[\]{}]"""
+# Marks that are erased from fragments of words, hyphens among them.
+ERASED = ".,():-—;\"!?•$%@“”#<>+=/[]*^'{}_■~\\|«»©&~`£·"
 # Honorifics.
 HONORIFICS = ["sir", "mr", "m", "miss", "mrs", "lord", "lady", "prince", "king", "queen"]
 # Words that a long s is often misread in, and what they should be.
@@ -43,6 +45,11 @@ def stripped(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(token, f"(?<=.){PUNCTUATION}+$", ""), f"^{PUNCTUATION}+(?=.)", "")
 
 
+def without_punctuation(token: Column) -> Column:
+    """A token without any of the marks that are erased from fragments."""
+    return F.translate(token, ERASED, "")
+
+
 def case_of(token: Column) -> Column:
     """``lower``, ``upper``, ``title`` or ``heterogenous``; apostrophes are no matter."""
     plain = F.replace(token, F.lit("'"), F.lit(""))

@@ -1,4 +1,4 @@
-"""Correction of tokens by rules and context, and verse-like runs of lines."""
+"""Correction of tokens by context, verse-like runs of lines, rejoined line ends, headers by block matching."""
 
 from __future__ import annotations
 
@@ -18,21 +18,6 @@ def in_volume():
     return Window.partitionBy("vol").orderBy("page", "line", "pos")
 
 
-def correct(tokens: DataFrame, lexicon: DataFrame, corrections: DataFrame, hyphens: DataFrame, syncopes: DataFrame, variants: DataFrame) -> DataFrame:
-    """Each token's corrected form by the first rule that applies; a form with spaces becomes several tokens.
-
-    In order: a correction of the word, of its letters alone; a known word; a hyphen rule; a syncope; a
-    variant; the letters alone if they are a known word; the word itself. Rule tables: ``source, target``.
-    """
-    t = tokens.withColumn("word", F.lower(words.stripped(F.col("token")))).withColumn("letters", F.regexp_replace("word", r"\P{L}", ""))
-    for rules, key, name in ((corrections, "word", "c1"), (corrections, "letters", "c2"), (hyphens, "word", "h"), (syncopes, "word", "s"), (variants, "word", "v")):
-        t = t.join(rules.select(F.col("source").alias(key), F.col("target").alias(name)), key, "left")
-    known = lexicon.select("word", F.lit(True).alias("known"))
-    t = t.join(known, "word", "left").join(known.select(F.col("word").alias("letters"), F.col("known").alias("plain")), "letters", "left")
-    form = F.coalesce("c1", "c2", F.when(F.col("known"), F.col("word")), "h", "s", "v", F.when(F.col("plain"), F.col("letters")), F.col("word"))
-    return t.select(*PAGE, "line", "pos", "token", F.explode(F.split(form, " ")).alias("form"))
-
-
 def disambiguate(tokens: DataFrame, pairs: DataFrame, bigrams: DataFrame, logs: DataFrame) -> DataFrame:
     """Tokens in which a suspect word (``pairs(first, second)``) has taken the form that fits its neighbours better.
 

@@ -116,21 +116,6 @@ def match_rates(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     return t.groupBy("vol").agg(F.count("*").alias("tokens"), F.avg(F.when(F.col("known").isNotNull() | F.col("pair").isNotNull(), 1.0).otherwise(0.0)).alias("matched"))
 
 
-def fused_words(tokens: DataFrame, rules: DataFrame) -> DataFrame:
-    """Tokens with neighbours that a rule ``(first, second, fused)`` joins made one.
-
-    In a run of tokens that could each fuse with the next, the first, third, ... do; the token after
-    each is taken up by it.
-    """
-    w = Window.partitionBy("vol").orderBy("page", "line", "pos")
-    t = tokens.withColumn("first", F.lower("token")).withColumn("second", F.lower(F.lead("token").over(w))).join(rules, ["first", "second"], "left")
-    t = t.withColumn("can", F.col("fused").isNotNull()).withColumn("run", F.sum(F.when(F.col("can"), 0).otherwise(1)).over(w))
-    at = F.row_number().over(Window.partitionBy("vol", "run", "can").orderBy("page", "line", "pos"))
-    t = t.withColumn("takes", F.col("can") & (at % 2 == 1))
-    t = t.withColumn("taken", F.coalesce(F.lag("takes").over(w), F.lit(False)))
-    return t.where(~F.col("taken")).select(*PAGE, "line", "pos", F.when(F.col("takes"), F.col("fused")).otherwise(F.col("token")).alias("token"), "takes")
-
-
 def long_s_suspicion(tokens: DataFrame) -> DataFrame:
     """Per volume: words with f that should have s, and those with s, plus one each; a problem unless the latter are more."""
     t = tokens.select("vol", F.lower(words.stripped(F.col("token"))).alias("word"))
@@ -189,14 +174,25 @@ def caps_outliers(lines: DataFrame, factor: float = 2.25) -> DataFrame:
     return share.withColumn("outlier", F.abs(F.col("share") - F.avg("share").over(w)) > factor * F.stddev_pop("share").over(w) + 1e-9)
 
 
-def phrase_counts(tokens: DataFrame, phrases: DataFrame, longest: int = 4) -> DataFrame:
-    """Phrases (``phrase``: lower-case words) that end at a token, the shortest at each place, counted per volume."""
-    w = Window.partitionBy(*PAGE).orderBy("line", "pos")
-    t = tokens.withColumn("word", F.lower(words.stripped(F.col("token"))))
-    back = [F.lag("word", i).over(w) for i in range(longest)]
-    for i in range(longest):
-        t = t.withColumn(f"w{i}", back[i] if i else F.col("word"))
-    ends = F.array(*[F.struct(F.lit(k).alias("k"), F.concat_ws(" ", *[F.col(f"w{i}") for i in range(k - 1, -1, -1)]).alias("phrase"), F.col(f"w{k - 1}").isNotNull().alias("whole")) for k in range(1, longest + 1)])
-    found = t.select(*PAGE, "line", "pos", F.inline(ends)).where("whole").join(phrases, "phrase", "left_semi")
-    best = found.groupBy(*PAGE, "line", "pos").agg(F.min_by("phrase", "k").alias("phrase"))
-    return best.groupBy("vol", "phrase").agg(F.count("*").alias("n"))
+def phrase_counts(tokens: DataFrame, phrases: DataFrame, pages: DataFrame, categories: list[str] | None = None, longest: int = 4) -> DataFrame:
+    """``vol, category, phrase, n``: phrases (``phrase``) that end at a token, the shortest at each place.
+
+    A phrase counts only where its first word, or the one after a small ``the``, begins with a capital;
+    it is compared in small letters without punctuation at its end, and may begin on an earlier page. It
+    counts for the category of its last word's page: that of ``pages(vol, page, category)``, or of the
+    last page before that has words and a category; before any of these it counts for none. With
+    ``categories`` only those count.
+    """
+    w = Window.partitionBy("vol").orderBy("page", "line", "pos")
+    plain = lambda c: F.regexp_replace(F.lower(c), f"(?<=.){words.PUNCTUATION}+$", "")
+    t = tokens.select(*PAGE, "line", "pos", *[F.lag("token", i).over(w).alias(f"w{i}") for i in range(longest)])
+    capital = lambda i: F.col(f"w{i}").rlike(r"^\p{Lu}")
+    starts = lambda k: capital(k - 1) | ((F.col(f"w{k - 1}") == "the") & capital(k - 2)) if k > 1 else capital(0)
+    ends = [F.when(starts(k), F.struct(F.lit(k).alias("k"), plain(F.concat_ws(" ", *[f"w{i}" for i in range(k - 1, -1, -1)])).alias("phrase"))) for k in range(1, longest + 1)]
+    found = t.select(*PAGE, "line", "pos", F.inline(F.filter(F.array(*ends), lambda x: x.isNotNull())))
+    best = found.join(phrases.select(plain(F.col("phrase")).alias("phrase")).distinct(), "phrase", "left_semi").groupBy(*PAGE, "line", "pos").agg(F.min_by("phrase", "k").alias("phrase"))
+    carried = Window.partitionBy("vol").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    own = tokens.select(*PAGE).distinct().join(pages.select(*PAGE, "category"), PAGE, "left").withColumn("category", F.last("category", ignorenulls=True).over(carried)).where("category IS NOT NULL")
+    if categories is not None:
+        own = own.where(F.col("category").isin(categories))
+    return best.join(own, PAGE).groupBy("vol", "category", "phrase").agg(F.count("*").alias("n"))

@@ -26,6 +26,12 @@ TOKENS = LINES + r""", padded AS (
   FROM (SELECT vol, page, line, [x FOR x IN string_split_regex(t, '\s+') IF x <> ''] AS l FROM padded) s, unnest(range(1, len(l) + 1)) AS u(i))"""
 WORD_COUNTS = TOKENS + r""", word_counts AS (
   SELECT vol, page, lower(token) AS word, count(*) AS n FROM tokens WHERE regexp_matches(token, '[\p{L}\p{Nd}]') GROUP BY ALL)"""
+P = r"""[.,?!;"“”:—)(''`\[\]{}]"""
+STRIP = rf"""regexp_replace(CASE WHEN regexp_matches(token, '^{P}+$') THEN substr(token, 1, 1) ELSE regexp_replace(token, '{P}+$', '') END, '^{P}+(.)', '\1')"""
+ACCEPTED = "NOT (starts_with(trim(text, ' '), '<') AND ends_with(trim(text, ' '), '>'))"
+ACC = LINES + f", acc AS (SELECT vol, page, line, text, trim(text, ' ') AS s FROM lines WHERE {ACCEPTED})"
+PLAIN = TOKENS + f", plain AS (SELECT *, lower({STRIP}) AS word FROM tokens)"
+LEXICON = PLAIN + r", lexicon AS (SELECT word, count(*) AS n FROM plain WHERE regexp_matches(word, '^\p{L}+$') GROUP BY word HAVING count(*) >= 20)"
 EVENT_PAGES = """event_pages AS (
   SELECT user_id AS vol, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS page,
     event_type AS category, value AS words, event_id FROM events)"""
@@ -48,6 +54,11 @@ PREDICTIONS = EVENT_PAGES + f""", truths AS (
   {" UNION ALL ".join(f"SELECT vol, page, {i} AS idx, '{g}' AS category, p_{g} AS p FROM predictions" for i, g in enumerate(CATEGORIES))})"""
 
 
+def trailing_sql(x: str) -> str:
+    """``x`` without punctuation at its end; one character is left."""
+    return f"CASE WHEN regexp_matches({x}, '^{P}+$') THEN substr({x}, 1, 1) ELSE regexp_replace({x}, '{P}+$', '') END"
+
+
 def query(name: str, sql: str | None = None):
     """Registers a query, and its SQL if there is one."""
 

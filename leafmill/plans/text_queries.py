@@ -6,16 +6,10 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import ids, words
 from leafmill.operators import lines as L
-from leafmill.plans.registry import LINES, TOKENS, VOL_PAGES, WORD_COUNTS, query
+from leafmill.plans.registry import ACC, ACCEPTED, LEXICON, LINES, P, PLAIN, STRIP, TOKENS, VOL_PAGES, WORD_COUNTS, query
 from leafmill.sources.staged import written
 from leafmill.sources.tables import table, volume_lines, volume_pages
 
-P = r"""[.,?!;"“”:—)(''`\[\]{}]"""
-STRIP = rf"""regexp_replace(CASE WHEN regexp_matches(token, '^{P}+$') THEN substr(token, 1, 1) ELSE regexp_replace(token, '{P}+$', '') END, '^{P}+(.)', '\1')"""
-ACCEPTED = "NOT (starts_with(trim(text, ' '), '<') AND ends_with(trim(text, ' '), '>'))"
-ACC = LINES + f", acc AS (SELECT vol, page, line, text, trim(text, ' ') AS s FROM lines WHERE {ACCEPTED})"
-PLAIN = TOKENS + f", plain AS (SELECT *, lower({STRIP}) AS word FROM tokens)"
-LEXICON = PLAIN + r", lexicon AS (SELECT word, count(*) AS n FROM plain WHERE regexp_matches(word, '^\p{L}+$') GROUP BY word HAVING count(*) >= 20)"
 PERSONAL = ", personal AS (SELECT word FROM lexicon WHERE substr(md5(word), 1, 1) = '0'), places AS (SELECT word FROM lexicon WHERE substr(md5(word), 1, 1) = '1')"
 
 
@@ -234,34 +228,6 @@ def l22(spark, d):
     return L.match_rates(t, written(L.lexicon_of(t, 20), "lexicon"))
 
 
-@query("l23_following_word", "WITH " + TOKENS + ", n AS (SELECT vol, token, lead(token) OVER (PARTITION BY vol ORDER BY page, line, pos) AS following FROM tokens) SELECT vol, following, count(*) AS n FROM n WHERE token = 'the' GROUP BY ALL")
-def l23(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("vol").orderBy("page", "line", "pos")
-    return tokens_of(spark, d).withColumn("following", F.lead("token").over(w)).where("token = 'the'").groupBy("vol", "following").agg(F.count("*").alias("n"))
-
-
-@query(
-    "l24_fused_words",
-    "WITH " + TOKENS + """, t AS (SELECT *, lower(token) AS a, lower(lead(token) OVER w) AS b FROM tokens WINDOW w AS (PARTITION BY vol ORDER BY page, line, pos)),
-pairs AS (SELECT a, b FROM t WHERE b IS NOT NULL GROUP BY a, b HAVING count(*) >= 8),
-c AS (SELECT t.*, p.a IS NOT NULL AS can FROM t LEFT JOIN pairs p ON t.a = p.a AND t.b = p.b),
-r AS (SELECT *, sum(CASE WHEN can THEN 0 ELSE 1 END) OVER (PARTITION BY vol ORDER BY page, line, pos) AS run FROM c),
-k AS (SELECT *, can AND row_number() OVER (PARTITION BY vol, run, can ORDER BY page, line, pos) % 2 = 1 AS takes FROM r),
-g AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY vol ORDER BY page, line, pos), FALSE) AS taken FROM k)
-SELECT vol, page, count(*) AS tokens, count(*) FILTER (WHERE takes) AS fused FROM g WHERE NOT taken GROUP BY vol, page""",
-)
-def l24(spark, d):
-    from pyspark.sql import Window
-
-    t = tokens_of(spark, d)
-    w = Window.partitionBy("vol").orderBy("page", "line", "pos")
-    pairs = t.select(F.lower("token").alias("first"), F.lower(F.lead("token").over(w)).alias("second")).where("second IS NOT NULL").groupBy("first", "second").agg(F.count("*").alias("n"))
-    rules = pairs.where("n >= 8").select("first", "second", F.concat("first", "second").alias("fused"))
-    return L.fused_words(t, rules).groupBy("vol", "page").agg(F.count("*").alias("tokens"), F.count_if("takes").alias("fused"))
-
-
 @query("l27_flags", "WITH " + LEXICON + ", m AS (SELECT vol, count(*) AS n, avg(CASE WHEN word IN (SELECT word FROM lexicon) THEN 1.0::DOUBLE ELSE 0.0 END) AS rate FROM plain GROUP BY vol) SELECT vol, CASE WHEN n < 10 THEN 'short' WHEN rate < 0.6 THEN 'not english' ELSE 'good' END AS status FROM m")
 def l27(spark, d):
     t = tokens_of(spark, d)
@@ -331,21 +297,6 @@ def l34(spark, d):
     return volume_pages(spark, d).select("vol", "page", F.length(text).alias("chars"))
 
 
-@query(
-    "l35_phrase_counts",
-    "WITH " + PLAIN + """, phrases AS (SELECT DISTINCT lower(array_to_string(s[i:i + i % 4], ' ')) AS phrase FROM (SELECT string_split(text, ' ') AS s FROM benchmark) x, unnest(range(1, len(s) + 1)) AS u(i)),
-w AS (SELECT *, lag(word, 1) OVER p AS w1, lag(word, 2) OVER p AS w2, lag(word, 3) OVER p AS w3 FROM plain WINDOW p AS (PARTITION BY vol, page ORDER BY line, pos)),
-e AS (SELECT vol, page, line, pos, 1 AS k, word AS phrase FROM w UNION ALL SELECT vol, page, line, pos, 2, w1 || ' ' || word FROM w UNION ALL SELECT vol, page, line, pos, 3, w2 || ' ' || w1 || ' ' || word FROM w
-  UNION ALL SELECT vol, page, line, pos, 4, w3 || ' ' || w2 || ' ' || w1 || ' ' || word FROM w),
-b AS (SELECT vol, page, line, pos, min_by(phrase, k) AS phrase FROM e WHERE phrase IN (SELECT phrase FROM phrases) GROUP BY vol, page, line, pos)
-SELECT vol, phrase, count(*) AS n FROM b GROUP BY vol, phrase""",
-)
-def l35(spark, d):
-    starts = table(spark, d, "benchmark").select(F.split("text", " ").alias("s")).select("s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("i"))
-    phrases = starts.select(F.lower(F.array_join(F.slice("s", F.col("i"), F.col("i") % 4 + 1), " ")).alias("phrase")).distinct()
-    return L.phrase_counts(tokens_of(spark, d), phrases)
-
-
 @query(
     "l40_caps_outliers",
     "WITH " + ACC + r""", p AS (SELECT vol, page, count(*) AS n, avg(CASE WHEN regexp_matches(s, '^["“'']?\p{Lu}') THEN 1.0::DOUBLE ELSE 0.0 END) AS share FROM acc WHERE length(s) >= 2 GROUP BY vol, page HAVING count(*) > 3)
@@ -355,37 +306,6 @@ def l40(spark, d):
     return L.caps_outliers(volume_lines(spark, d))
 
 
-# Correction. Rule tables are picked from the lexicon of the documents by the first letter of a digest.
-
-RULES = LEXICON + "".join(f", {name} AS (SELECT word AS source, {target} AS target FROM lexicon WHERE substr(md5(word), 1, 1) = '{x}')" for name, target, x in (("corrections", "reverse(word)", "2"), ("hyphens", "word || ' ' || word", "3"), ("syncopes", "word || 'e'", "4"), ("variants", "'x' || word", "5")))
-
-
-def correction_rules(lexicon):
-    pick = lambda x, target: lexicon.where(F.substring(F.md5("word"), 1, 1) == x).select(F.col("word").alias("source"), target.alias("target"))
-    w = F.col("word")
-    return pick("2", F.reverse(w)), pick("3", F.concat_ws(" ", w, w)), pick("4", F.concat(w, F.lit("e"))), pick("5", F.concat(F.lit("x"), w))
-
-
-L18_L25_CORRECTIONS_SQL = (
-    "WITH " + RULES + r""", known AS (SELECT word FROM lexicon WHERE substr(md5(word), 1, 1) NOT IN ('3', '4', '5')), t AS (SELECT vol, word, regexp_replace(word, '\P{L}', '', 'g') AS letters FROM plain),
-f AS (SELECT vol, coalesce(c1.target, c2.target, CASE WHEN word IN (SELECT word FROM known) THEN word END, h.target, s.target, v.target, CASE WHEN letters IN (SELECT word FROM known) THEN letters END, word) AS form
-  FROM t LEFT JOIN corrections c1 ON c1.source = word LEFT JOIN corrections c2 ON c2.source = letters LEFT JOIN hyphens h ON h.source = word LEFT JOIN syncopes s ON s.source = word LEFT JOIN variants v ON v.source = word),
-e AS (SELECT vol, unnest(string_split(form, ' ')) AS form FROM f)
-SELECT vol, form, count(*) AS n FROM e GROUP BY vol, form"""
-)
-
-
-@query("l18_l25_corrections", L18_L25_CORRECTIONS_SQL)
-@query("l18_l25_corrections_all", L18_L25_CORRECTIONS_SQL)
-def l25_all(spark, d):
-    from leafmill.operators import correction as K
-
-    t = tokens_of(spark, d)
-    lexicon = written(L.lexicon_of(t, 20), "lexicon")
-    known = lexicon.where(~F.substring(F.md5("word"), 1, 1).isin("3", "4", "5"))
-    return K.correct(t, known, *correction_rules(lexicon)).groupBy("vol", "form").agg(F.count("*").alias("n"))
-
-
 @query(
     "l32_disambiguated",
     "WITH " + TOKENS + """, low AS (SELECT *, lower(token) AS word FROM tokens), t AS (SELECT *, lag(word) OVER w AS b, lead(word) OVER w AS a FROM low WINDOW w AS (PARTITION BY vol ORDER BY page, line, pos)),

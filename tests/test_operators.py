@@ -39,29 +39,6 @@ def test_capital_runs_and_initials(spark):
     assert (r.maxinitial, r.maxpair) == (3, 4)
 
 
-def fuse_model(toks, rules):
-    out, i = [], 0
-    while i < len(toks):
-        if i + 1 < len(toks) and (toks[i], toks[i + 1]) in rules:
-            out.append(rules[toks[i], toks[i + 1]])
-            i += 2
-        else:
-            out.append(toks[i])
-            i += 1
-    return out
-
-
-def test_fusing_equals_the_sequential_rule(spark):
-    rng, rules = random.Random(2), {("a", "a"): "aa", ("a", "b"): "ab", ("b", "a"): "ba"}
-    volumes = {f"v{k}": [rng.choice("abc") for _ in range(rng.randint(1, 30))] for k in range(200)}
-    t = spark.createDataFrame([(v, 0, 0, i, w) for v, ws in volumes.items() for i, w in enumerate(ws)], "vol string, page int, line int, pos int, token string")
-    r = spark.createDataFrame([(a, b, c) for (a, b), c in rules.items()], "first string, second string, fused string")
-    got = {}
-    for x in lines.fused_words(t, r).orderBy("vol", "pos").collect():
-        got.setdefault(x.vol, []).append(x.token)
-    assert got == {v: fuse_model(ws, rules) for v, ws in volumes.items()}
-
-
 def smooth_model(pages, t, begin, end):
     n, k = len(pages), len(begin)
     norm = lambda v: [x / sum(v) for x in v]
@@ -191,14 +168,6 @@ def test_rater_agreement(spark):
     assert len(r) == 1 and r[0].agreement == pytest.approx(2 / 3)
 
 
-def test_correction_cascade(spark):
-    rule = lambda *rows: spark.createDataFrame(list(rows) or [("", "")], "source string, target string")
-    t = spark.createDataFrame([("v", 0, 0, i, w) for i, w in enumerate(["teh,", "know", "to-day", "ev'n", "colour", "w.rd", "zzz"])], "vol string, page int, line int, pos int, token string")
-    known = spark.createDataFrame([("know",), ("wrd",)], "word string")
-    out = correction.correct(t, known, rule(("teh", "the")), rule(("to-day", "to day")), rule(("ev'n", "even")), rule(("colour", "color")))
-    assert [r.form for r in out.orderBy("pos", F.desc("form")).collect()] == ["the", "know", "to", "day", "even", "color", "wrd", "zzz"]
-
-
 def test_disambiguation_keeps_ties(spark):
     t = spark.createDataFrame([("v", 0, 0, i, w) for i, w in enumerate(["he", "funk", "down", "funk"])], "vol string, page int, line int, pos int, token string")
     pairs = spark.createDataFrame([("funk", "sunk")], "first string, second string")
