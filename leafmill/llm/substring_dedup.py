@@ -17,26 +17,25 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import written
-
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 BLOCK_BYTES = 8 << 20  # text of a reference block
-BUCKET_BYTES = 16 << 20  # text whose windows one bucket has
+BUCKET_BYTES = 8 << 20  # text whose windows one bucket has
 MOST_PACKS = 8192  # of one block; with more buckets the entries are dealt out in two steps
-MARKS_AT_ONCE = 200_000
+MARKS_AT_ONCE = 1_000_000
+ROWS_AT_ONCE = 1000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 # The multipliers of a 64-bit mixing step.
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-ENTRIES = "bucket int, kind int, doc long, data binary"
-MARK = np.dtype([("start", "<i4"), ("source_doc", "<i8"), ("source_start", "<i4"), ("check", "<u4")])
+ENTRIES = "bucket int, kind int, data binary"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -96,8 +95,25 @@ class Block:
         self.doc = np.array([d for d, _ in docs], np.int64)[doc]
 
 
-def marks_of(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows but the earliest of each fingerprint (documents, marks), and the indexes of the earliest ones, by fingerprint.
+class Marks(NamedTuple):
+    """Windows that have an earlier source. Along a factor the source and its distance stay the same. ``check``: half the fingerprint."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    source_doc: np.ndarray
+    distance: np.ndarray  # from the window's start to the source's
+    check: np.ndarray
+
+    def take(self, which: np.ndarray) -> Marks:
+        return Marks(*[c[which] for c in self])
+
+
+MARK_KINDS = [np.dtype(k) for k in ("<i8", "<i4", "<i8", "<i4", "<u4")]
+KINDS = [np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4")]
+
+
+def marks_of(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[Marks, np.ndarray]:
+    """Marks of all windows but the earliest of each fingerprint, and the indexes of the earliest ones, by fingerprint.
 
     Windows at one place (of rows that repeat an id) are no earlier than each other.
     """
@@ -105,15 +121,14 @@ def marks_of(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np
     equal = hashes[order][1:] == hashes[order][:-1]
     many = np.flatnonzero(np.append(equal, False) | np.insert(equal, 0, False)) if len(order) else order
     own = order[many]
-    order[many] = own[np.lexsort((start[own], doc[own], hashes[own]))]
-    h, d, s = hashes[order], doc[order], start[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
-    later = (d != d[head]) | (s != s[head])
-    marks = np.zeros(int(later.sum()), MARK)
-    marks["start"], marks["check"] = s[later], (h[later] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    marks["source_doc"], marks["source_start"] = d[head[later]], s[head[later]]
-    return d[later], marks, order[new]
+    order[many] = own = own[np.lexsort((start[own], doc[own], hashes[own]))]
+    first = order[np.insert(~equal, 0, True)] if len(order) else order
+    h = hashes[own]
+    new = np.insert(h[1:] != h[:-1], 0, True) if len(h) else np.zeros(0, bool)
+    head = own[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(h) else own
+    later = (doc[own] != doc[head]) | (start[own] != start[head])
+    own, head = own[later], head[later]
+    return Marks(doc[own], start[own], doc[head], start[head] - start[own], (hashes[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), first
 
 
 def packed(columns: list[np.ndarray]) -> bytes:
@@ -132,32 +147,28 @@ def unpacked(data: bytes, kinds: list[np.dtype]) -> list[np.ndarray]:
     return out
 
 
-KINDS = [np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4")]
-
-
-def _mark_rows(docs: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(document, its marks) of marks in any order."""
-    order = np.argsort(docs, kind="stable")
-    docs, marks = docs[order], marks[order]
-    cuts = [0, *(np.flatnonzero(np.diff(docs)) + 1).tolist(), len(docs)] if len(docs) else []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(docs[a]), marks[a:b].tobytes()
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    buckets, kinds, docs, data = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(docs, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "kind", "doc", "data"])
+def _mark_packs(marks: Marks, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Marks as one row for each bucket of documents, in the order of their places."""
+    if not len(marks.doc):
+        return
+    bucket = (mixed(marks.doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((marks.start, marks.doc, bucket))
+    bucket, marks = bucket[order], marks.take(order)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    yield _batch([(int(bucket[a]), 1, packed([c[a:b] for c in marks])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
 def index_blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Rows of the indexes of all blocks: kind 0, entries of a block in one bucket; kind 1, marks inside a block."""
+    """Rows of the indexes of all blocks: kind 0, entries of a block in one bucket of fingerprints; kind 1, marks inside a block for one bucket of documents."""
 
     def index(docs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         block = Block(docs, window)
-        docs_, marks, first = marks_of(block.hash, block.doc, block.start)
-        rows = [(doc % buckets, 1, doc, data) for doc, data in _mark_rows(docs_, marks)]
-        if rows:
-            yield _batch(rows)
+        marks, first = marks_of(block.hash, block.doc, block.start)
+        yield from _mark_packs(marks, buckets)
         yield from _packs(block.hash[first], block.doc[first], block.start[first], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +192,7 @@ def _packs(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int)
     bucket = _bucket(hashes, buckets)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield _batch([(int(bucket[a]), 0, None, packed([np.diff(hashes[a:b], prepend=np.uint64(0)), doc[a:b], start[a:b]]))])
+        yield _batch([(int(bucket[a]), 0, packed([np.diff(hashes[a:b], prepend=np.uint64(0)), doc[a:b], start[a:b]]))])
 
 
 def _unpacked(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,12 +217,10 @@ def divided(entries: DataFrame, groups: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, packs, size = None, [], 0
         for batch in batches:
-            rows = list(zip(*[c.to_pylist() for c in batch.columns], strict=True))
-            inside = [(doc % buckets, kind, doc, data) for _, kind, doc, data in rows if kind == 1]
-            if inside:
-                yield _batch(inside)
-            for bucket, kind, _, data in rows:
-                if kind == 0:
+            for bucket, kind, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if kind == 1:
+                    yield _batch([(bucket, kind, data)])
+                else:
                     if packs and (bucket != key or size > BLOCK_BYTES):
                         yield from divide(packs)
                         packs, size = [], 0
@@ -223,51 +232,60 @@ def divided(entries: DataFrame, groups: int, buckets: int) -> DataFrame:
     return entries.repartition(groups, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, ENTRIES)
 
 
-def sources(entries: DataFrame, buckets: int) -> DataFrame:
-    """``doc, data``: marks of the windows that have an earlier source, from the buckets and from inside the blocks."""
-
-    def judge(packs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        doc, marks, _ = marks_of(*_unpacked(packs))
-        order = np.argsort(doc, kind="stable")
-        for i in range(0, len(order), MARKS_AT_ONCE):
-            own = order[i : i + MARKS_AT_ONCE]
-            yield _doc_batch(list(_mark_rows(doc[own], marks[own])))
+def sources(entries: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
+    """Marks of the windows that have an earlier source, from the buckets and from inside the blocks, packed by buckets of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, packs = None, []
         for batch in batches:
-            inside = []
-            for bucket, kind, doc, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for bucket, kind, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if kind == 1:
-                    inside.append((doc, data))
+                    yield _batch([(bucket, kind, data)])
                     continue
                 if bucket != key and packs:
-                    yield from judge(packs)
+                    yield from _mark_packs(marks_of(*_unpacked(packs))[0], doc_buckets)
                     packs = []
                 key = bucket
                 packs.append(data)
-            if inside:
-                yield _doc_batch(inside)
         if packs:
-            yield from judge(packs)
+            yield from _mark_packs(marks_of(*_unpacked(packs))[0], doc_buckets)
 
-    return entries.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "doc long, data binary")
+    return entries.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, ENTRIES)
 
 
-def _doc_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    docs, data = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(data, pa.binary())], names=["doc", "data"])
+def by_document(packs: DataFrame, doc_buckets: int) -> DataFrame:
+    """``doc, data``: the marks of each document, in one row or, where a bucket has very many marks, in several."""
 
+    def rows_of(packs: list[bytes]) -> pa.RecordBatch:
+        marks = Marks(*[np.concatenate(c) for c in zip(*[unpacked(p, MARK_KINDS) for p in packs], strict=True)])
+        marks = marks.take(np.lexsort((marks.start, marks.doc)))
+        cuts = [0, *(np.flatnonzero(np.diff(marks.doc)) + 1).tolist(), len(marks.doc)]
+        data = [packed([c[a:b] for c in marks[1:]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(marks.doc[cuts[:-1]], pa.int64()), pa.array(data, pa.binary())], names=["doc", "data"])
 
-def factors(marks: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """The greedy parse of one document: (start, words, source document, source start) of its factors, in order."""
-    marks = marks[np.argsort(marks["start"], kind="stable")]
-    if not len(marks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, size = None, [], 0
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if held and (bucket != key or size > MARKS_AT_ONCE):
+                    yield rows_of(held)
+                    held, size = [], 0
+                key, size = bucket, size + int.from_bytes(data[:4], "little")
+                held.append(data)
+        if held:
+            yield rows_of(held)
+
+    return packs.repartition(doc_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, data binary")
+
+
+def factors(start: np.ndarray, source_doc: np.ndarray, distance: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """The greedy parse of one document from its marks in order: (start, words, source document, source start) of its factors."""
+    if not len(start):
         return []
-    same = (np.diff(marks["start"]) == 1) & (np.diff(marks["source_doc"]) == 0) & (np.diff(marks["source_start"]) == 1)
-    first = np.flatnonzero(np.concatenate([[True], ~same]))
-    last = np.append(first[1:], len(marks)) - 1
-    return [(int(marks["start"][a]), int(marks["start"][b] - marks["start"][a]) + window, int(marks["source_doc"][a]), int(marks["source_start"][a])) for a, b in zip(first, last, strict=True)]
+    ends = (np.diff(start) != 1) | (np.diff(source_doc) != 0) | (np.diff(distance) != 0)
+    first = np.flatnonzero(np.insert(ends, 0, True))
+    last = np.append(first[1:], len(start)) - 1
+    return list(zip(start[first].tolist(), (start[last] - start[first] + window).tolist(), source_doc[first].tolist(), (start[first] + distance[first]).tolist(), strict=True))
 
 
 def covered(parse: list[tuple[int, int, int, int]], n: int) -> np.ndarray:
@@ -297,21 +315,25 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     buckets = max(1, -(-total // BUCKET_BYTES))
     groups = min(buckets, MOST_PACKS)
     entries = index_blocks(rows.where(F.col("doc_id").isNotNull()), window, groups)
-    marked = sources(entries if groups == buckets else divided(entries, groups, buckets), buckets)
-    marked = written(marked, "substring-marks").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("data").alias("marks"))  # at most the windows of one document
+    marked = by_document(sources(entries if groups == buckets else divided(entries, groups, buckets), buckets, groups), groups)
+    marked = marked.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("data").alias("marks"))  # at most the windows of one document
+
+    def own_factors(text: str, packs: list[bytes]) -> list[tuple[int, int, int, int]]:
+        start, source_doc, distance, check = (np.concatenate(c) for c in zip(*[unpacked(p, MARK_KINDS[1:]) for p in packs], strict=True))
+        data = np.frombuffer(text.encode(), np.uint8)
+        hashes = window_hashes(word_hashes(data, *word_bounds(data)), window) & np.uint64(0xFFFFFFFF)
+        own = np.flatnonzero(start < len(hashes))
+        own = own[hashes[start[own]] == check[own]]  # marks of another row with this id go
+        own = own[np.unique(start[own], return_index=True)[1]]  # equal rows have the same marks
+        return factors(start[own], source_doc[own], distance[own], window)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             out: list[list] = [[], [], [], []]
             for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words, gone, found = WORD.findall(text), None, []
                 if marks:
-                    own = np.frombuffer(b"".join(marks), MARK)
-                    data = np.frombuffer(text.encode(), np.uint8)
-                    hashes = window_hashes(word_hashes(data, *word_bounds(data)), window) & np.uint64(0xFFFFFFFF)
-                    own = own[own["start"] < len(hashes)]
-                    own = own[hashes[own["start"]] == own["check"]]  # marks of another row with this id go
-                    found = factors(own, window)
+                    found = own_factors(text, marks)
                     gone = covered(found, len(words))
                 out[0].append(len(words))
                 out[1].append(0 if gone is None else int(gone.sum()))
