@@ -147,12 +147,21 @@ def title_filter(volumes: DataFrame, category: str) -> DataFrame:
     return volumes.where((F.col("score") >= THRESHOLDS[category]) & ~F.col("discard").eqNullSafe("x") & ~bad)
 
 
-def ringers(candidates: DataFrame, accepted: list[DataFrame]) -> DataFrame:
-    """Candidates that no accepted set has."""
-    blocked = accepted[0].select("vol")
-    for more in accepted[1:]:
-        blocked = blocked.unionByName(more.select("vol"))
-    return candidates.join(blocked, "vol", "left_anti")
+def ringers(candidates: DataFrame, accepted: DataFrame, order: list[str], metadata: DataFrame | None = None) -> DataFrame:
+    """``vol, category, since``: candidates (``vol, category``) that no collection accepted (``vol, category``), one row each.
+
+    Categories are gone through in ``order``. A candidate of one is a ringer unless that or an earlier
+    collection has it, and stops being one when a later collection takes it. Its category is the last
+    one that it was a candidate of, ``since`` the first. Both follow from the first place where a volume
+    is blocked and the first and last where it is a candidate, in one aggregation of both tables. With
+    ``metadata`` (``vol, ..``) its columns are added, and volumes without it are left out.
+    """
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("category"))
+    said = candidates.select("vol", place.alias("at"), F.lit(None).cast("long").alias("blocked")).unionByName(accepted.select("vol", F.lit(None).cast("long").alias("at"), place.alias("blocked")))
+    each = said.where("at > 0 OR blocked > 0").groupBy("vol").agg(F.max("at").alias("last"), F.min("at").alias("first"), F.min("blocked").alias("blocked"))
+    name = lambda c: F.element_at(F.array(*map(F.lit, order)), F.col(c).cast("int"))
+    found = each.where("blocked IS NULL").select("vol", name("last").alias("category"), name("first").alias("since"))
+    return found if metadata is None else found.join(metadata, "vol")
 
 
 def weighted_draws(volumes: DataFrame, draws: DataFrame) -> DataFrame:
@@ -179,6 +188,22 @@ def weighted_draws(volumes: DataFrame, draws: DataFrame) -> DataFrame:
     return picked.select("stratum", "draw", "vol", (F.col("at") - F.col("floor")).alias("ordinal"))
 
 
+def drawn_pages(draws: DataFrame, pages: DataFrame) -> DataFrame:
+    """``draws(.., vol, ordinal)`` with ``page``: the page of that place among the volume's ``pages(vol, page)`` of the category.
+
+    Only the pages of drawn volumes are numbered. A draw whose volume has fewer pages keeps a null page.
+    """
+    own = pages.select("vol", "page").join(draws.select("vol").distinct(), "vol", "left_semi")
+    placed = own.withColumn("ordinal", (F.row_number().over(Window.partitionBy("vol").orderBy("page")) - 1).cast("long"))
+    return draws.join(placed, ["vol", "ordinal"], "left")
+
+
+def size_audit(pages: DataFrame, most: int = 100) -> DataFrame:
+    """``rank, vol, pages``: the ``most`` largest volumes, largest first, equal ones by name."""
+    top = pages.groupBy("vol").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "vol").limit(most)
+    return top.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("pages"), "vol")).alias("rank"), "vol", "pages")  # at most ``most`` rows
+
+
 def yearly_share(pages: DataFrame, reach: int = 2) -> DataFrame:
     """``year, share, smoothed`` of ``pages(year, hits, total)``: the moving sum is divided by one less than the years it spans."""
     yearly = pages.groupBy("year").agg((F.sum("hits") / F.sum("total")).alias("share"))

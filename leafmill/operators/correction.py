@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import words
-from leafmill.operators.lines import PAGE, accepted_lines, both_lines, near_pairs, page_order
+from leafmill.operators.lines import PAGE, accepted_lines, both_lines, near_pairs, page_order, roman_numeral
 
 UNSEEN = 3  # the weight of a word pair that the bigrams don't have
 
@@ -57,6 +57,26 @@ def verse_lines(lines: DataFrame) -> DataFrame:
     return t.withColumn("verse", verse).select(*PAGE, "line", "text", "tag", "verse")
 
 
+def verse_word_counts(tagged: DataFrame, lexicon: DataFrame, personal: DataFrame) -> DataFrame:
+    """``vol, page, verse, word, n`` of lines with ``verse``: known words and classes of tokens by verse and prose.
+
+    Numbers and capitalised names count as ``arabicnumeral``, ``romannumeral`` and ``personalname``,
+    unknown words in title case as ``titlecasenodict``; other unknown tokens don't count.
+    """
+    t = tagged.select(*PAGE, "verse", F.explode(words.tokens_of(F.col("text"))).alias("token")).withColumn("case", words.case_of(F.col("token")))
+    t = t.withColumn("plain", words.without_possessive(words.stripped(words.normal_case(F.col("token"))))).withColumn("low", F.lower("plain"))
+    for table, flag in ((lexicon, "known"), (personal, "personal")):
+        t = t.join(table.select(F.col("word").alias("low"), F.lit(True).alias(flag)), "low", "left")
+    form = (
+        F.when(roman_numeral(F.col("low")), "romannumeral")
+        .when(words.number_class(F.col("plain")).isNotNull(), "arabicnumeral")
+        .when(F.col("case").isin("title", "upper") & F.col("personal").isNotNull(), "personalname")
+        .when(F.col("known").isNotNull(), F.col("low"))
+        .when(F.col("case") == "title", "titlecasenodict")
+    )
+    return t.withColumn("word", form).where("word IS NOT NULL").groupBy(*PAGE, "verse", "word").agg(F.count("*").alias("n"))
+
+
 def rejoin_hyphens(lines: DataFrame, frequencies: DataFrame) -> DataFrame:
     """Line ends that a hyphen splits and that should be one word: ``vol, page, line, last, next``.
 

@@ -67,11 +67,25 @@ def rater_agreement(tags: DataFrame, consensus: DataFrame) -> DataFrame:
     return own.groupBy("vol", "raters").agg(((F.sum("words") - F.sum(miss)) / F.sum("words")).alias("agreement"))
 
 
-def rater_consensus(tags: DataFrame) -> DataFrame:
-    """The commonest tag of each page; ties go to the tag of the most experienced rater (smallest number)."""
+def rater_consensus(tags: DataFrame, parents: dict[str, str] | None = None) -> DataFrame:
+    """``vol, page, category`` of ``tags(vol, page, rater, category)``.
+
+    The tag that most raters of a page gave. Of several with most votes, the one that is the nearest
+    common ancestor of all of them, being one of them or a parent of each (``parents``: category to its
+    more general one); if that is none of them, the tag of the most experienced rater (smallest number).
+    """
     counted = tags.groupBy("vol", "page", "category").agg(F.count("*").alias("n"), F.min("rater").alias("first"))
-    w = Window.partitionBy("vol", "page").orderBy(F.desc("n"), "first")
-    return counted.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("vol", "page", "category")
+    tops = counted.groupBy("vol", "page").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "category"))).alias("all"))  # one for each category at most
+    tied = F.transform(F.filter("all", lambda x: x["n"] == F.col("all")[0]["n"]), lambda x: x["category"])
+    lines = {}
+    for g in set(parents or {}) | set((parents or {}).values()):
+        lines[g] = [g]
+        while lines[g][-1] in parents and parents[lines[g][-1]] not in lines[g]:
+            lines[g].append(parents[lines[g][-1]])
+    above = F.create_map(*[x for g, line in lines.items() for x in (F.lit(g), F.array(*map(F.lit, line)))]) if lines else None
+    line_of = lambda g: F.coalesce(F.try_element_at(above, g), F.array(g)) if lines else F.array(g)
+    general = F.get(F.filter(F.col("tied"), lambda g: F.forall(F.col("tied"), lambda x: F.array_contains(line_of(x), g))), F.lit(0))
+    return tops.withColumn("tied", tied).select("vol", "page", F.coalesce(general, F.col("all")[0]["category"]).alias("category"))
 
 
 # Words of titles and tags that stand for drama or poetry, biography and fiction.
@@ -110,3 +124,33 @@ def merge_models(main: DataFrame, other: DataFrame, share: float, only: str) ->
     both = main.join(other.select("vol", "page", "category", F.col("p").alias("q")), ["vol", "page", "category"], "left").withColumn("mixed", F.when(F.col("q").isNull(), F.col("p")).otherwise(share * F.col("p") + (1 - share) * F.col("q")))
     best = both.groupBy("vol", "page").agg(F.max_by("category", F.struct("p", -F.col("idx"))).alias("main"), F.max_by("category", F.struct("mixed", -F.col("idx"))).alias("merged"))
     return best.select("vol", "page", F.when(F.col("main") == only, F.col("merged")).otherwise(F.col("main")).alias("category"))
+
+
+def specialist_cascade(current: DataFrame, main: DataFrame, specialists: dict[str, tuple[DataFrame, float]], flags: DataFrame, only: str, replaced: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """``vol, page, category``: ``current`` after the correction that its volume calls for, if it calls for exactly one.
+
+    ``flags(vol, <name>, ..)`` has a boolean for each correction. A specialist (``vol, page, idx,
+    category, p``, and its weight) is mixed with ``main``: its categories weigh ``weight`` of it and the
+    rest of main, or wholly of it where main has none; pages that it lacks fall back to main. Pages that
+    ``current`` calls ``only`` take the best category of the mixture. ``replaced``: corrections that turn
+    one category into another instead.
+    """
+    names = [*specialists, *(replaced or {})]
+    on = {n: F.coalesce(F.col(n), F.lit(False)) for n in names}
+    one = sum(on[n].cast("int") for n in names) == 1
+    which = F.coalesce(*[F.when(one & on[n], n) for n in names])
+    chosen = current.join(flags.select("vol", which.alias("which")), "vol", "left")
+    said = [x.select(F.lit(n).alias("which"), F.lit(w).alias("weight"), "vol", "page", "category", "idx", F.col("p").alias("q")) for n, (x, w) in specialists.items()]
+    every = said[0]
+    for more in said[1:]:
+        every = every.unionByName(more)
+    open_ = chosen.where((F.col("category") == only) & F.col("which").isin(list(specialists))).select("vol", "page", "which")
+    mine = every.join(open_, ["vol", "page", "which"], "left_semi").join(main.select("vol", "page", "category", "p"), ["vol", "page", "category"], "left")
+    mixed = mine.withColumn("mixed", F.when(F.col("p").isNull(), F.col("q")).otherwise(F.col("weight") * F.col("q") + (1 - F.col("weight")) * F.col("p")))
+    best = mixed.groupBy("vol", "page").agg(F.max_by("category", F.struct("mixed", -F.col("idx"))).alias("mixed"))
+    alone = main.join(open_.select("vol", "page"), ["vol", "page"], "left_semi").groupBy("vol", "page").agg(F.max_by("category", F.struct("p", -F.col("idx"))).alias("own"))
+    found = chosen.join(best, ["vol", "page"], "left").join(alone, ["vol", "page"], "left")
+    out = F.when(F.col("which").isin(list(specialists)) & (F.col("category") == only), F.coalesce("mixed", "own", "category"))
+    for n, (old, new) in (replaced or {}).items():
+        out = out.when((F.col("which") == n) & (F.col("category") == old), new)
+    return found.select("vol", "page", out.otherwise(F.col("category")).alias("category"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -57,36 +58,77 @@ def _newton_sums(rows: DataFrame, x_cols: list[str], label: str, w: np.ndarray)
     return total[: d * d].reshape(d, d), total[d * d :]
 
 
-def leave_one_out(volumes: DataFrame, features: list[str], label: str, key: str = "vol", c: float = 0.1, steps: int = 25) -> DataFrame:
-    """``key, score``: each volume scored by a model of all others.
+def leave_one_out(volumes: DataFrame, features: list[str], label: str, key: str = "vol", c: float = 0.1, steps: int = 50, block: int = 1024, tolerance: float = 1e-9) -> DataFrame:
+    """``key, score``: each volume scored by a model of all others, as if each had been fitted on its own.
 
-    One model is fitted to all volumes by Newton's method, each step of which is a sum over the rows.
-    A volume's own model is that one after a Newton step on all rows but its own, for which the summed
-    Hessian and its own row are enough; features are scaled by all volumes. So the work grows with the volumes
-    and no task holds them all. Scores differ from those of whole fits by the terms of second order.
+    One model is fitted to all volumes by Newton's method. From there all left-out models go on together,
+    each with its own coefficients: their gradients over all rows but their own, and a step by the common
+    Hessian without the own row (a rank-one update), until no gradient is left. Rows and models are cut
+    into blocks; a block of models meets every block of rows, so a gradient of all models is as many
+    matrix products as pairs of blocks, which are spread over the tasks, and no task or driver holds all
+    rows or models. The work is that of N fits of N - 1 rows. Features are scaled by all volumes.
     """
     stats = volumes.agg(*[f(F.col(x).cast("double")).alias(f"{n}_{x}") for x in features for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     scaled = [((F.col(x) - F.lit(stats[f"m_{x}"])) / F.lit(stats[f"s_{x}"] or 1.0)).alias(x) for x in features]
     rows = written(volumes.select(key, *scaled, F.col(label).cast("double").alias(label)), "leave-one-out")
-    w, penalty = np.zeros(len(features) + 1), np.eye(len(features) + 1) / c
+    d = len(features) + 1
+    w, penalty = np.zeros(d), np.eye(d) / c
     for _ in range(steps):
         hessian, gradient = _newton_sums(rows, features, label, w)
         step = np.linalg.solve(hessian + penalty, gradient + penalty @ w)
         w = w - step
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < tolerance:
             break
     hessian = _newton_sums(rows, features, label, w)[0] + penalty
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    kind = volumes.schema[key].dataType.simpleString()
+    schema = f"block string, x binary, y binary, w binary, step double, keys array<{kind}>"
 
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stacked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks of rows, each with its models at the common fit."""
+        for part in parts:
+            for i in range(0, len(part), block):
+                own = part.iloc[i : i + block]
+                x = np.column_stack([np.ones(len(own)), own[features].to_numpy(float)])
+                yield pd.DataFrame({"block": [uuid.uuid4().hex], "x": [x.tobytes()], "y": [own[label].to_numpy(float).tobytes()], "w": [np.tile(w, (len(own), 1)).tobytes()], "step": [np.inf], "keys": [own[key].tolist()]})
+
+    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The loss gradient of a block of models over one block of rows."""
+        for part in parts:
+            for b, models, x, y in zip(part["block"], part["w"], part["x"], part["y"], strict=True):
+                models, x, y = np.frombuffer(models).reshape(-1, d), np.frombuffer(x).reshape(-1, d), np.frombuffer(y)
+                yield pd.DataFrame({"block": [b], "g": [((sigmoid(models @ x.T) - y) @ x).tobytes()]})
+
+    def improved(own: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        """A step of a block of models: their own rows leave the gradient and, by a rank-one update, the Hessian."""
+        r = own.iloc[0]
+        x, y, models = np.frombuffer(r["x"]).reshape(-1, d), np.frombuffer(r["y"]), np.frombuffer(r["w"]).reshape(-1, d)
+        p = sigmoid(np.einsum("ij,ij->i", x, models))
+        g = sum(np.frombuffer(b).reshape(-1, d) for b in sums["g"]) - (p - y)[:, None] * x + models @ penalty
         inverse = np.linalg.inv(hessian)
+        q = sigmoid(x @ w)
+        v, z = q * (1 - q), x @ inverse
+        step = g @ inverse
+        step += (v * np.einsum("ij,ij->i", step, x) / (1 - v * np.einsum("ij,ij->i", z, x)))[:, None] * z
+        return pd.DataFrame({"block": [r["block"]], "x": [r["x"]], "y": [r["y"]], "w": [(models - step).tobytes()], "step": [np.abs(step).max()], "keys": [r["keys"]]})
+
+    blocks = written(rows.mapInPandas(stacked, schema), "leave-one-out-blocks")
+    data = blocks.select(F.col("block").alias("with"), "x", "y")
+    names = [r.block for r in blocks.select("block").collect()]  # one for each ``block`` rows
+    for _ in range(steps if names else 0):
+        pairs = blocks.select("block", "w", F.explode(F.array(*map(F.lit, names))).alias("with")).join(data, "with").select("block", "w", "x", "y")
+        sums = pairs.mapInPandas(partial, "block string, g binary")
+        blocks = written(blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(improved, schema), "leave-one-out-blocks")
+        if blocks.agg(F.max("step")).first()[0] < tolerance:
+            break
+
+    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            x = np.column_stack([np.ones(len(part)), part[features].to_numpy(float)])
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            lever = np.einsum("ij,jk,ik->i", x, inverse, x)  # the Hessian without a row, by its rank-one update
-            own = x @ w + (p - part[label].to_numpy(float)) * lever / (1 - p * (1 - p) * lever)
-            yield pd.DataFrame({key: part[key], "score": 1 / (1 + np.exp(-own))})
+            for _, r in part.iterrows():
+                x, models = np.frombuffer(r["x"]).reshape(-1, d), np.frombuffer(r["w"]).reshape(-1, d)
+                yield pd.DataFrame({key: list(r["keys"]), "score": sigmoid(np.einsum("ij,ij->i", x, models))})
 
-    return rows.mapInPandas(score, f"{key} {volumes.schema[key].dataType.simpleString()}, score double")
+    return blocks.mapInPandas(score, f"{key} {kind}, score double")
 
 
 def smooth_curves(curves: DataFrame, share: float = 0.3) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,16 +76,18 @@ def cross_validate(pages: DataFrame, categories: list[str], n: int = 5, extra: D
     return out
 
 
-def training_confusion(models: dict, train: DataFrame) -> DataFrame:
-    """``category, tp, fp, fn, tn`` of each model on the rows that it was fitted to, at a probability of one half."""
-    scored = score(models, train)
-    names = list(models)
-    each = scored.select("category", F.posexplode(F.slice("probs", 1, len(names))).alias("i", "p"))
+def confusion_at_half(scored: DataFrame, names: list[str]) -> DataFrame:
+    """``category, tp, fp, fn, tn`` of ``scored(category, probs)``: each of ``names`` is said at a probability over one half."""
+    each = scored.select("category", F.posexplode(F.slice("probs", 1, len(names))).alias("i", "p")).withColumn("of", F.get(F.array(*map(F.lit, names)), F.col("i")))
     said, is_ = F.col("p") > 0.5, F.col("category") == F.col("of")
-    each = each.withColumn("of", F.get(F.array(*map(F.lit, names)), F.col("i")))
     return each.groupBy(F.col("of").alias("category_")).agg(F.count_if(said & is_).alias("tp"), F.count_if(said & ~is_).alias("fp"), F.count_if(~said & is_).alias("fn"), F.count_if(~said & ~is_).alias("tn")).withColumnRenamed("category_", "category")
 
 
+def training_confusion(models: dict, train: DataFrame) -> DataFrame:
+    """``confusion_at_half`` of one-vs-all models on the rows that they were fitted to."""
+    return confusion_at_half(score(models, train), list(models))
+
+
 def forest(train: DataFrame, trees: int = 500, per_split: int = 40, seed: int = 10):
     """A random forest on ``features`` and ``label``."""
     return RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(per_split), seed=seed).fit(train)
@@ -150,6 +154,62 @@ def batch(scorer, pages: DataFrame, words: str = "words") -> DataFrame:
     return scorer(pages.join(some, "vol", "left_semi"))
 
 
+# How each type of bundle is fitted models, by name, and how it scores pages.
+SCORERS: dict[str, Callable[[dict, list[str], DataFrame], DataFrame]] = {
+    "one_vs_all": lambda m, categories, pages: score({g: m[g] for g in categories}, pages),
+    "all_vs_all": lambda m, categories, pages: score_pairs({(a, b): m[f"{a}-{b}"] for i, a in enumerate(categories) for b in categories[i + 1 :]}, categories, pages),
+    "bagged": lambda m, categories, pages: score_bagged([{g: m[f"{i}-{g}"] for g in categories} for i in range(len(m) // len(categories))], categories, pages),
+    "forests": lambda m, categories, pages: score({g: m[g] for g in categories}, pages),
+}
+
+
+def parts_of(kind: str, models: dict | list) -> dict:
+    """The models of a bundle by the names that they are saved under."""
+    if kind == "bagged":
+        return {f"{i}-{g}": m for i, bag in enumerate(models) for g, m in bag.items()}
+    return {f"{k[0]}-{k[1]}" if isinstance(k, tuple) else k: m for k, m in models.items()}
+
+
+def save_bundle(spark: SparkSession, kind: str, models: dict | list, categories: list[str], path: str, side_tables: dict[str, DataFrame] | None = None) -> None:
+    """A model bundle of a type of ``SCORERS``: a folder for each model, what it holds as JSON, and Parquet side tables."""
+    parts = parts_of(kind, models)
+    for name, m in parts.items():
+        m.write().overwrite().save(f"{path}/models/{name}")
+    held = [(kind, name, type(m).__name__, i) for i, (name, m) in enumerate(parts.items())]
+    rows = spark.createDataFrame([(*h, categories) for h in held], "kind string, name string, model string, at int, categories array<string>")
+    rows.coalesce(1).write.mode("overwrite").json(f"{path}/bundle")
+    for name, t in (side_tables or {}).items():
+        t.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[str, dict, list[str]]:
+    """The type, models and categories of a saved bundle. Its few parts are listed on the driver."""
+    from pyspark.ml import classification
+
+    held = spark.read.schema("kind string, name string, model string, at int, categories array<string>").json(f"{path}/bundle").orderBy("at").collect()
+    return held[0].kind, {r.name: getattr(classification, r.model).load(f"{path}/models/{r.name}") for r in held}, list(held[0].categories)
+
+
+def instructed_ensemble(instructions: DataFrame, pages: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+    """The pages once for each row of ``instructions(name, type, path)``, with ``model``, ``probs`` and ``raw``; with ``truth`` also smoothed.
+
+    A row names a saved bundle and its type, which must be the type it was saved as. All bundles score
+    the pages in one pass: each adds its columns, and the rows are unfolded at the end.
+    """
+    wide, names, categories = pages, [], []
+    for r in sorted(instructions.collect(), key=lambda r: r.name):  # one row for each model
+        kind, models, categories = load_bundle(pages.sparkSession, r.path)
+        if r.type != kind or kind not in SCORERS:
+            raise ValueError(f"{r.name}: a bundle of type {kind}, called {r.type}")
+        wide = SCORERS[kind](models, categories, wide).withColumnsRenamed({"probs": f"_probs{len(names)}", "raw": f"_raw{len(names)}"})
+        names.append(r.name)
+    rows = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_probs{i}").alias("probs"), F.col(f"_raw{i}").alias("raw")) for i, n in enumerate(names)])
+    out = wide.select(*pages.columns, F.inline(rows))
+    if truth is None:
+        return out
+    return reduce(DataFrame.unionByName, [smoothed(out.where(F.col("model") == n), truth, categories) for n in names])
+
+
 def save(models: dict, side_tables: dict[str, DataFrame], path: str) -> None:
     """A model bundle: one folder for each category's model, and Parquet side tables."""
     for g, m in models.items():

@@ -195,6 +195,18 @@ def largest_category(pages: DataFrame) -> DataFrame:
     return category_counts(pages).groupBy("vol").agg(F.max_by("category", F.struct("n", "category")).alias("maxcategory"), F.max("n").alias("n"))
 
 
+def folded_counts(pages: DataFrame, fold: dict[str, str], spine: list[str]) -> DataFrame:
+    """``vol, category, n, maxcategory``: pages by category after folding, with zeros for the categories of ``spine`` that a volume lacks.
+
+    The largest category is over all of them, others too; ties go to the name that sorts last.
+    """
+    named = F.coalesce(*[F.when(F.col("category") == a, b) for a, b in fold.items()], F.col("category")) if fold else F.col("category")
+    counts = pages.select("vol", named.alias("category"), F.lit(1).alias("n"))
+    zeros = pages.select("vol").distinct().select("vol", F.explode(F.array(*map(F.lit, spine))).alias("category"), F.lit(0).alias("n"))
+    own = counts.unionByName(zeros).groupBy("vol", "category").agg(F.sum("n").alias("n"))
+    return own.withColumn("maxcategory", F.max_by("category", F.struct("n", "category")).over(Window.partitionBy("vol")))
+
+
 def mean_probabilities(models: DataFrame) -> DataFrame:
     """Of ``models(model, vol, page, category, p)``: each model's probabilities normalised, then their mean."""
     own = models.withColumn("p", F.try_divide("p", F.sum("p").over(Window.partitionBy("model", "vol", "page"))))

@@ -15,6 +15,7 @@ from leafmill.operators import fits, models
 from leafmill.operators import sequence as S
 from leafmill.plans.registry import EVENT_PAGES, query
 from leafmill.plans.report_queries import CLASSES, VOLUMES, books_of, judged, scored_of, volumes_of
+from leafmill.sources.staged import new_path
 from leafmill.sources.tables import CATEGORIES as EVENT_CATEGORIES
 from leafmill.sources.tables import event_pages, event_probabilities, table
 
@@ -66,11 +67,28 @@ def m4_each(spark, d):
 EMBEDDED = "v AS (SELECT vec_id // 25 AS vol, CAST(vec_id % 25 AS INTEGER) AS page, CAST(label % 4 AS VARCHAR) AS category FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)"
 
 
-@query("m12_training_confusion", "WITH " + EMBEDDED + " SELECT c.category, (SELECT count(*) FROM v WHERE v.category = c.category) AS positives, (SELECT count(*) FROM v WHERE v.category <> c.category) AS negatives FROM (VALUES ('0'), ('1'), ('2'), ('3')) c(category)")
+@query("m12_training_confusion", "WITH h AS (SELECT CAST(label % 4 AS VARCHAR) AS category, embedding AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL) " + " UNION ALL ".join(
+    f"SELECT '{g}' AS category, count(*) FILTER (WHERE x[{i + 1}] > 0 AND category = '{g}') AS tp, count(*) FILTER (WHERE x[{i + 1}] > 0 AND category <> '{g}') AS fp, count(*) FILTER (WHERE x[{i + 1}] <= 0 AND category = '{g}') AS fn, count(*) FILTER (WHERE x[{i + 1}] <= 0 AND category <> '{g}') AS tn FROM h"
+    for i, g in enumerate(CATEGORIES)))
 def m12(spark, d):
-    pages = vectors(spark, d)
-    c = models.training_confusion(models.one_vs_all(pages, CATEGORIES), pages)
-    return c.select("category", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"))
+    """Confusion of a model made by hand: a category's probability is the logistic function of one component."""
+    from pyspark.ml.functions import vector_to_array
+
+    pages = vectors(spark, d).withColumn("x", vector_to_array("features"))
+    return models.confusion_at_half(pages.withColumn("probs", F.array(*[1 / (1 + F.exp(-F.col("x")[i])) for i in range(len(CATEGORIES))])), CATEGORIES)
+
+
+@query("m13_k12_instructed_ensemble", "WITH " + EMBEDDED + " SELECT model, vol, page, category, TRUE AS as_fitted FROM v, (VALUES ('each'), ('pairs'), ('woods')) m(model)")
+def m13_instructed(spark, d):
+    """Bundles of three types saved, named in a table of instructions, and read back to score every page in one pass; ``as_fitted``: each page gets the answer of the model in memory."""
+    pages, root = vectors(spark, d), new_path(spark, "bundles")
+    fitted = {"each": ("one_vs_all", models.one_vs_all(pages, CATEGORIES, iterations=20)), "pairs": ("all_vs_all", models.all_vs_all(pages, CATEGORIES, iterations=20)), "woods": ("forests", models.category_forests(pages, CATEGORIES, trees=5))}
+    for name, (kind, m) in fitted.items():
+        models.save_bundle(spark, kind, m, CATEGORIES, f"{root}/{name}", {"categories": pages.select("category").distinct()})
+    spark.createDataFrame([(n, k, f"{root}/{n}") for n, (k, _) in fitted.items()], "name string, type string, path string").write.option("sep", "\t").csv(f"{root}/instructions")
+    scored = models.instructed_ensemble(spark.read.schema("name string, type string, path string").option("sep", "\t").csv(f"{root}/instructions"), pages)
+    own = [models.SCORERS[k](models.parts_of(k, m), CATEGORIES, pages).select(F.lit(n).alias("model"), "vol", "page", F.col("raw").alias("own")) for n, (k, m) in fitted.items()]
+    return scored.join(reduce(DataFrame.unionByName, own), ["model", "vol", "page"]).select("model", "vol", "page", "category", (F.col("raw") == F.col("own")).alias("as_fitted"))
 
 
 @query("m1_m14_invariants", "WITH " + EMBEDDED + " SELECT model, vol, page, category, TRUE AS in_bounds, TRUE AS raw_is_best FROM v, (VALUES ('m1'), ('m2'), ('m3'), ('m4'), ('m13')) m(model)")

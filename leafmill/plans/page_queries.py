@@ -288,6 +288,16 @@ def q11(spark, d):
     return S.largest_category(event_pages(spark, d))
 
 
+FOLD, SPINE = {"signup": "view", "error": "purchase"}, ["click", "drama", "purchase", "view"]
+
+
+@query("q11_folded_counts", "WITH " + EVENT_PAGES + ", f AS (SELECT vol, CASE category " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in FOLD.items()) + f""" ELSE category END AS category FROM event_pages),
+c AS (SELECT vol, category, sum(n) AS n FROM (SELECT vol, category, 1 AS n FROM f UNION ALL SELECT DISTINCT vol, g, 0 FROM f, (SELECT unnest({SPINE}) AS g) s) x GROUP BY vol, category)
+SELECT vol, category, CAST(n AS BIGINT) AS n, max_by(category, (n, category)) OVER (PARTITION BY vol) AS maxcategory FROM c""")
+def q11_folded(spark, d):
+    return S.folded_counts(event_pages(spark, d), FOLD, SPINE)
+
+
 MODELS = PREDICTIONS + ", models AS (SELECT 'a' AS model, vol, page, category, p FROM probabilities UNION ALL SELECT 'b', vol, page, category, CASE WHEN idx % 2 = 0 THEN p * 3 ELSE p END FROM probabilities)"
 
 

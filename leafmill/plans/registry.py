@@ -54,6 +54,17 @@ PREDICTIONS = EVENT_PAGES + f""", truths AS (
   {" UNION ALL ".join(f"SELECT vol, page, {i} AS idx, '{g}' AS category, p_{g} AS p FROM predictions" for i, g in enumerate(CATEGORIES))})"""
 
 
+def token_list_sql(text: str) -> str:
+    """The tokens of a line as a list."""
+    marks = text
+    for old, new in (("”", "” "), (":", ": "), (";", "; "), (",,", ", , ")):
+        marks = f"replace({marks}, '{old}', '{new}')"
+    marks = rf"regexp_replace({marks}, ',(\D)', ', \1', 'g')"
+    for old, new in (("—", " — "), ("--", " -- "), ("_", " ")):
+        marks = f"replace({marks}, '{old}', '{new}')"
+    return rf"[x FOR x IN string_split_regex({marks}, '\s+') IF x <> '']"
+
+
 def trailing_sql(x: str) -> str:
     """``x`` without punctuation at its end; one character is left."""
     return f"CASE WHEN regexp_matches({x}, '^{P}+$') THEN substr({x}, 1, 1) ELSE regexp_replace({x}, '{P}+$', '') END"

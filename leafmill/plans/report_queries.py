@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.operators import catalogue as C
@@ -94,9 +97,17 @@ def e10(spark, d):
     return E.rater_agreement(t, E.rater_consensus(t)).withColumn("agreement", F.round("agreement", 6))
 
 
-@query("e21_rater_consensus", "WITH " + TAGS + " SELECT * FROM cons")
+PARENTS = {"click": "view", "error": "view", "purchase": "signup"}
+ABOVE = ", ".join(f"('{a}', '{b}')" for a, b in PARENTS.items()) + ", " + ", ".join(f"('{g}', '{g}')" for g in CATEGORIES)
+
+
+@query("e21_rater_consensus", "WITH " + TAGS + f""", line(category, above) AS (VALUES {ABOVE}), c AS (SELECT vol, page, category, count(*) AS n, min(rater) AS first FROM tags GROUP BY ALL),
+tied AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY vol, page) AS most FROM c) x WHERE n = most),
+general AS (SELECT a.vol, a.page, a.category FROM tied a JOIN tied b ON a.vol = b.vol AND a.page = b.page LEFT JOIN line ON line.category = b.category AND line.above = a.category GROUP BY a.vol, a.page, a.category HAVING count(*) = count(line.above)),
+led AS (SELECT vol, page, min_by(category, first) AS category FROM tied GROUP BY vol, page)
+SELECT led.vol, led.page, coalesce(general.category, led.category) AS category FROM led LEFT JOIN general ON general.vol = led.vol AND general.page = led.page""")
 def e21(spark, d):
-    return E.rater_consensus(tags_of(spark, d))
+    return E.rater_consensus(tags_of(spark, d), PARENTS)
 
 
 VOLUME_COUNTS = EVENT_PAGES + ", vc AS (SELECT vol, count(*) AS n, count(*) FILTER (WHERE category = 'signup') AS dra, count(*) FILTER (WHERE category = 'error') AS poe, count(*) FILTER (WHERE category = 'click') AS fic, count(*) FILTER (WHERE category = 'view') AS non FROM event_pages GROUP BY vol)"
@@ -140,6 +151,24 @@ def e15(spark, d):
     return E.merge_models(p, other, 0.75, "view")
 
 
+@query("e15_specialist_cascade", "WITH " + PREDICTIONS + """, flags AS (SELECT DISTINCT vol, vol % 3 = 0 AS verse, vol % 2 = 0 AS fiction, vol % 5 = 0 AS biography FROM event_pages),
+which AS (SELECT vol, CASE WHEN CAST(verse AS INT) + CAST(fiction AS INT) + CAST(biography AS INT) = 1 THEN CASE WHEN verse THEN 'verse' WHEN fiction THEN 'fiction' ELSE 'biography' END END AS which FROM flags),
+said AS (SELECT 'fiction' AS which, 0.75 AS weight, vol, page, category, idx, p * (idx + 1) AS q FROM probabilities WHERE page % 4 <> 0
+  UNION ALL SELECT 'verse', 0.5, vol, page, category, idx, 1 - p FROM probabilities WHERE page % 5 <> 0 AND idx < 4 UNION ALL SELECT 'verse', 0.5, vol, page, 'sonnet', 5, p FROM probabilities WHERE page % 5 <> 0 AND idx = 4),
+open AS (SELECT e.vol, e.page, w.which FROM event_pages e JOIN which w ON w.vol = e.vol WHERE category = 'view' AND which IN ('verse', 'fiction')),
+best AS (SELECT s.vol, s.page, max_by(s.category, (CASE WHEN p IS NULL THEN q ELSE CAST(weight AS DOUBLE) * q + (1 - CAST(weight AS DOUBLE)) * p END, -s.idx)) AS mixed
+  FROM said s JOIN open o ON o.vol = s.vol AND o.page = s.page AND o.which = s.which LEFT JOIN probabilities r ON r.vol = s.vol AND r.page = s.page AND r.category = s.category GROUP BY s.vol, s.page),
+alone AS (SELECT vol, page, max_by(category, (p, -idx)) AS own FROM probabilities GROUP BY vol, page)
+SELECT e.vol, e.page, CASE WHEN which IN ('verse', 'fiction') AND category = 'view' THEN coalesce(mixed, own, category) WHEN which = 'biography' AND category = 'click' THEN 'purchase' ELSE category END AS category
+FROM event_pages e JOIN which w ON w.vol = e.vol LEFT JOIN best b ON b.vol = e.vol AND b.page = e.page LEFT JOIN alone a ON a.vol = e.vol AND a.page = e.page""")
+def e15_cascade(spark, d):
+    p, pages = event_probabilities(spark, d), event_pages(spark, d).select("vol", "page", "category")
+    fiction = p.where("page % 4 <> 0").withColumn("p", F.col("p") * (F.col("idx") + 1))
+    verse = p.where("page % 5 <> 0 AND idx < 4").withColumn("p", 1 - F.col("p")).unionByName(p.where("page % 5 <> 0 AND idx = 4").withColumn("category", F.lit("sonnet")).withColumn("idx", F.lit(5)))
+    flags = pages.select("vol").distinct().select("vol", (F.col("vol") % 3 == 0).alias("verse"), (F.col("vol") % 2 == 0).alias("fiction"), (F.col("vol") % 5 == 0).alias("biography"))
+    return E.specialist_cascade(pages, p, {"fiction": (fiction, 0.75), "verse": (verse, 0.5)}, flags, "view", {"biography": ("click", "purchase")})
+
+
 ACC = JUDGED + f", acc AS (SELECT vol, avg(CASE WHEN {SAME} THEN 1.0::DOUBLE ELSE 0 END) AS accuracy, avg(words) AS w FROM judged GROUP BY vol)"
 
 
@@ -320,10 +349,19 @@ def o18(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("o19_ringers", "WITH " + FILTERED + " SELECT vol, title FROM volumes WHERE score >= 0.5 AND vol NOT IN (SELECT vol FROM filtered WHERE category <> 'poe')")
+ORDER = ["dra", "fic", "poe"]
+CANDIDATE = {"dra": "vol % 3 = 0", "fic": "vol % 3 <> 1", "poe": "vol % 2 = 0"}  # who was in each collection before it was filtered
+
+
+@query("o19_ringers", "WITH " + FILTERED + ", cand AS (" + " UNION ALL ".join(f"SELECT vol, {i} AS place, '{g}' AS category FROM volumes WHERE score >= {O.THRESHOLDS[g]} AND {CANDIDATE[g]}" for i, g in enumerate(ORDER)) + """),
+taken AS (SELECT f.vol FROM filtered f JOIN volumes v ON v.vol = f.vol WHERE v.maxcategory = f.category)
+SELECT c.vol, max_by(c.category, c.place) AS category, min_by(c.category, c.place) AS since, any_value(v.title) AS title, any_value(v.author) AS author, any_value(v.year) AS year
+FROM cand c JOIN volumes v ON v.vol = c.vol WHERE c.vol NOT IN (SELECT vol FROM taken) GROUP BY c.vol""")
 def o19(spark, d):
     v = volumes_of(spark, d)
-    return O.ringers(v.where("score >= 0.5"), [O.title_filter(v, "dra"), O.title_filter(v, "fic")]).select("vol", "title")
+    parts = lambda f: reduce(DataFrame.unionByName, [f(g).select("vol", F.lit(g).alias("category")) for g in ORDER])
+    candidates = parts(lambda g: v.where((F.col("score") >= O.THRESHOLDS[g]) & F.expr(CANDIDATE[g])))
+    return O.ringers(candidates, parts(lambda g: O.title_filter(v.where(F.col("maxcategory") == g), g)), ORDER, v.select("vol", "title", "author", "year"))
 
 
 @query("o20_weighted_draws", """WITH w AS (SELECT l_returnflag AS stratum, l_partkey AS vol, CAST(sum(l_quantity) AS BIGINT) AS weight FROM lineitem GROUP BY ALL),
@@ -338,6 +376,21 @@ def o20(spark, d):
     return O.weighted_draws(volumes, draws)
 
 
+DRAWN = EVENT_PAGES + """, own AS (SELECT vol % 3 AS stratum, vol, page, row_number() OVER (PARTITION BY vol ORDER BY page) - 1 AS ordinal FROM event_pages WHERE category = 'click'),
+w AS (SELECT stratum, vol, count(*) AS weight FROM own GROUP BY ALL), v AS (SELECT *, sum(weight) OVER (PARTITION BY stratum ORDER BY vol) AS top, sum(weight) OVER (PARTITION BY stratum) AS every FROM w),
+draws AS (SELECT user_id % 3 AS stratum, event_id AS draw, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 7) AS BIGINT) / 268435456.0::DOUBLE AS u FROM events WHERE event_id % 20 = 0),
+d AS (SELECT d.stratum, draw, vol, CAST(floor(u * every) - (top - weight) AS BIGINT) AS ordinal FROM draws d JOIN v ON v.stratum = d.stratum AND floor(u * every) >= top - weight AND floor(u * every) < top)"""
+
+
+@query("o20_drawn_pages", "WITH " + DRAWN + " SELECT d.stratum, draw, d.vol, d.ordinal, page FROM d LEFT JOIN own ON own.vol = d.vol AND own.ordinal = d.ordinal")
+def o20_pages(spark, d):
+    pages = event_pages(spark, d).where("category = 'click'").select("vol", "page")
+    volumes = pages.groupBy((F.col("vol") % 3).alias("stratum"), "vol").agg(F.count("*").alias("weight"))
+    u = F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 7), 16, 10).cast("double") / 268435456.0
+    draws = table(spark, d, "events").where("event_id % 20 = 0").select((F.col("user_id") % 3).alias("stratum"), F.col("event_id").alias("draw"), u.alias("u"))
+    return O.drawn_pages(O.weighted_draws(volumes, draws), pages).select("stratum", "draw", "vol", "ordinal", "page")
+
+
 @query("o21_yearly_share", """WITH y AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) / count(*) AS share FROM orders GROUP BY 1)
 SELECT year, round(share, 6) AS share, round(sum(share) OVER w / nullif(count(share) OVER w - 1, 0), 6) AS smoothed FROM y WINDOW w AS (ORDER BY year ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 def o21(spark, d):
@@ -345,9 +398,9 @@ def o21(spark, d):
     return O.yearly_share(pages).select("year", F.round("share", 6).alias("share"), F.round("smoothed", 6).alias("smoothed"))
 
 
-@query("o22_size_audit", "WITH " + EVENT_PAGES + " SELECT vol, count(*) AS pages FROM event_pages GROUP BY vol")
+@query("o22_size_audit", "WITH " + EVENT_PAGES + ", n AS (SELECT vol, count(*) AS pages FROM event_pages GROUP BY vol) SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY pages DESC, vol) AS INTEGER) AS rank, vol, pages FROM n) x WHERE rank <= 100")
 def o22(spark, d):
-    return event_pages(spark, d).groupBy("vol").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "vol")
+    return O.size_audit(event_pages(spark, d), 100)
 
 
 # Metadata

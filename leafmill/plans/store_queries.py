@@ -142,7 +142,17 @@ def s10(spark, d):
     path = new_path(spark, "metadata-tsv")
     rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy").alias("year"))
     sinks.metadata_tsv(rows, path)
-    return files.tolerant_metadata(spark, path)
+    return files.appended_metadata(spark, path)
+
+
+@query("k9_appended_metadata", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, o_orderpriority AS note FROM orders")
+def k9(spark, d):
+    """Two appends to one table, read back under one header."""
+    path = new_path(spark, "metadata-tsv")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("note"))
+    for rest in (0, 1):
+        sinks.metadata_tsv(rows.where(F.col("id").cast("long") % 2 == rest), path)
+    return files.appended_metadata(spark, path)
 
 
 @query("s11_latin1_metadata", "SELECT CAST(c_custkey AS VARCHAR) AS id, 'É ' || c_name || ' ñ' AS name FROM customer")

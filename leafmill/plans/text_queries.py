@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import ids, words
 from leafmill.operators import lines as L
-from leafmill.plans.registry import ACC, ACCEPTED, LEXICON, LINES, P, PLAIN, STRIP, TOKENS, VOL_PAGES, WORD_COUNTS, query
+from leafmill.plans.registry import ACC, ACCEPTED, LEXICON, LINES, P, PLAIN, STRIP, TOKENS, VOL_PAGES, WORD_COUNTS, query, token_list_sql
 from leafmill.sources.staged import written
 from leafmill.sources.tables import table, volume_lines, volume_pages
 
@@ -346,7 +346,12 @@ def l36(spark, d):
 
 
 L38_VERSE_WORD_COUNTS_SQL = (
-    "WITH " + VERSE + ", w AS (SELECT vol, verse, unnest(string_split(lower(text), ' ')) AS word FROM verse) SELECT vol, verse, word, count(*) AS n FROM w GROUP BY ALL"
+    "WITH " + LEXICON + ", " + VERSE.split(", f AS (SELECT", 1)[1].join(["f AS (SELECT", ""]) + PERSONAL + rf""", roman AS (SELECT h || t || o AS word FROM (SELECT unnest({ROMAN_HUNDREDS}) AS h) a, (SELECT unnest({ROMAN_TENS}) AS t) b, (SELECT unnest({ROMAN_ONES}) AS o) c WHERE h || t || o NOT IN ('', 'i')),
+vt AS (SELECT vol, page, verse, unnest({token_list_sql("text")}) AS token FROM verse), vc AS (SELECT vol, page, verse, {CASE} AS kind, CASE WHEN {CASE} = 'heterogenous' THEN token ELSE lower(token) END AS token FROM vt),
+vs AS (SELECT vol, page, verse, kind, {STRIP} AS token FROM vc), vp AS (SELECT vol, page, verse, kind, CASE WHEN length(token) > 2 THEN regexp_replace(token, '''[sS]$', '') ELSE token END AS token FROM vs),
+w AS (SELECT vol, page, verse, CASE WHEN lower(token) IN (SELECT word FROM roman) THEN 'romannumeral' WHEN {NUMBER} IS NOT NULL THEN 'arabicnumeral' WHEN kind IN ('title', 'upper') AND lower(token) IN (SELECT word FROM personal) THEN 'personalname'
+  WHEN lower(token) IN (SELECT word FROM lexicon) THEN lower(token) WHEN kind = 'title' THEN 'titlecasenodict' END AS word FROM vp)
+SELECT vol, page, verse, word, count(*) AS n FROM w WHERE word IS NOT NULL GROUP BY ALL"""
 )
 
 
@@ -355,8 +360,9 @@ L38_VERSE_WORD_COUNTS_SQL = (
 def l38_all(spark, d):
     from leafmill.operators import correction as K
 
-    w = K.verse_lines(volume_lines(spark, d)).select("vol", "verse", F.explode(F.split(F.lower("text"), " ")).alias("word"))
-    return w.groupBy("vol", "verse", "word").agg(F.count("*").alias("n"))
+    lines = volume_lines(spark, d)
+    lexicon, personal, _ = rules_of(L.tokens(lines))
+    return K.verse_word_counts(K.verse_lines(lines), lexicon.select("word"), personal)
 
 
 @query(

@@ -129,13 +129,24 @@ def prediction_json(spark: SparkSession, path: str, model: str = "ensemble") ->
     return rows.select(F.col("volID").alias("vol"), F.posexplode(both).alias("page", "b")).select("vol", "page", F.col("b.rawPredictions").alias("raw"), F.col("b.smoothedPredictions").alias("smooth"))
 
 
+def _named(fields: DataFrame, header: list[str]) -> DataFrame:
+    """Columns of ``fields(f)`` by the header; the narrowest row sets the width."""
+    least = fields.agg(F.min(F.size("f"))).first()[0]
+    width = len(header) if least is None else min(least, len(header))
+    return fields.select(*[F.coalesce(F.get("f", F.lit(i)), F.lit("")).alias(header[i]) for i in range(width)])
+
+
 def tolerant_metadata(spark: SparkSession, path: str) -> DataFrame:
     """All-string columns by the header; the narrowest line sets the width, missing fields are empty."""
     lines = spark.read.text(path).select(F.split("value", "\t").alias("f"))
     header = lines.first()["f"]
-    width = min(lines.agg(F.min(F.size("f"))).first()[0], len(header))
-    rows = lines.where(F.array_join("f", "\t") != "\t".join(header))
-    return rows.select(*[F.coalesce(F.get("f", F.lit(i)), F.lit("")).alias(header[i]) for i in range(width)])
+    return _named(lines.where(F.array_join("f", "\t") != "\t".join(header)), header)
+
+
+def appended_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``sinks.metadata_tsv`` appended to: all lines of all appends under its one header."""
+    header = spark.read.text(f"{path}/header").first().value.split("\t")
+    return _named(spark.read.text(f"{path}/lines").select(F.split("value", "\t").alias("f")), header)
 
 
 def metadata_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:

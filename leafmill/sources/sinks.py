@@ -120,7 +120,19 @@ def partitioned(members: DataFrame, path: str) -> None:
 
 
 def metadata_tsv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").option("sep", "\t").option("header", True).csv(path)
+    """Rows appended to a table of tab-separated lines: one header for the whole table, in a folder beside the lines.
+
+    The first append writes the header; later ones must have the same columns in the same order. Tabs and
+    line ends inside values become spaces; nulls are empty.
+    """
+    header = "\t".join(rows.columns)
+    spark = rows.sparkSession
+    spark.createDataFrame([(header,)], "value string").coalesce(1).write.mode("ignore").text(f"{path}/header")
+    there = [r.value for r in spark.read.text(f"{path}/header").collect()]
+    if there != [header]:
+        raise ValueError(f"the table has the columns {there}, not {header!r}")
+    flat = [F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"[\t\r\n]", " ") for c in rows.columns]
+    rows.select(F.concat_ws("\t", *flat).alias("value")).write.mode("append").text(f"{path}/lines")
 
 
 def chunk_lines(chunks: DataFrame) -> DataFrame:
