@@ -367,13 +367,15 @@ def l38_all(spark, d):
 
 @query(
     "l39_hyphen_rejoin",
-    "WITH " + LINES + r""", fr AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM lines) x GROUP BY word),
-cut AS MATERIALIZED (SELECT vol, page, line, lower(trim(CASE WHEN length(text) > 40 THEN substr(text, 1, 20) || '-' ELSE text END, ' ')) AS a, CASE WHEN length(text) > 40 THEN lower(trim(substr(text, 21), ' ')) END AS b FROM lines),
-s AS MATERIALIZED (SELECT vol, page, line * 2 AS line, a AS s FROM cut WHERE a <> '' UNION ALL SELECT vol, page, line * 2 + 1, b FROM cut WHERE b <> ''),
-n AS MATERIALIZED (SELECT *, lead(s) OVER (PARTITION BY vol, page ORDER BY line) AS f FROM s),
-p AS MATERIALIZED (SELECT vol, page, line, regexp_replace(string_split_regex(s, '\s+')[-1], '[-—]+$', '') AS last, string_split_regex(f, '\s+')[1] AS token FROM n WHERE (ends_with(s, '-') OR ends_with(s, '—')) AND f IS NOT NULL),
-q AS MATERIALIZED (SELECT vol, page, line, last, """ + STRIP + r""" AS next FROM p)
-SELECT vol, page, line, last, next FROM q LEFT JOIN fr a ON a.word = last LEFT JOIN fr b ON b.word = next LEFT JOIN fr c ON c.word = last || next WHERE (coalesce(a.n, 0) + coalesce(b.n, 0)) / 3 < coalesce(c.n, 0)""",
+    "WITH " + LINES + r""", cut AS (SELECT vol, page, line, lower(trim(CASE WHEN length(text) > 40 THEN substr(text, 1, 20) || '-' ELSE text END, ' ')) AS a, CASE WHEN length(text) > 40 THEN lower(trim(substr(text, 21), ' ')) END AS b FROM lines),
+s AS (SELECT vol, page, line * 2 AS line, a AS s FROM cut WHERE a <> '' UNION ALL SELECT vol, page, line * 2 + 1, b FROM cut WHERE b <> ''),
+n AS (SELECT *, lead(s) OVER (PARTITION BY vol, page ORDER BY line) AS f FROM s),
+p AS (SELECT vol, page, line, regexp_replace(string_split_regex(s, '\s+')[-1], '[-—]+$', '') AS last, string_split_regex(f, '\s+')[1] AS token FROM n WHERE (ends_with(s, '-') OR ends_with(s, '—')) AND f IS NOT NULL),
+q AS MATERIALIZED (SELECT vol, page, line, last, """ + STRIP + r""" AS next FROM p),
+parts AS MATERIALIZED (SELECT vol, page, line, last, next, last AS word, 1 AS part FROM q UNION ALL SELECT vol, page, line, last, next, next, 2 FROM q UNION ALL SELECT vol, page, line, last, next, last || next, 3 FROM q),
+said AS (SELECT unnest(string_split(lower(text), ' ')) AS word FROM lines), fr AS MATERIALIZED (SELECT word, count(*) AS n FROM said GROUP BY word)
+SELECT vol, page, line, any_value(last) AS last, any_value(next) AS next FROM parts LEFT JOIN fr ON fr.word = parts.word GROUP BY vol, page, line
+HAVING sum(CASE WHEN part < 3 THEN coalesce(n, 0) ELSE 0 END) / 3 < sum(CASE WHEN part = 3 THEN coalesce(n, 0) ELSE 0 END)""",
 )
 def l39(spark, d):
     from leafmill.operators import correction as K
