@@ -1,16 +1,19 @@
 """Line dedup by a log-template tree. DataFrame functions only.
 
 A line goes down a tree of fixed depth: the first level is its token count, the next levels are its
-leading tokens, in which a token that holds a digit is a variable field (``<*>``). The lines that meet
-in a leaf are compared position by position over their whole length: a token that no other line of the
-leaf has at its position is a variable field too. A line whose constant tokens are at least
-``min_constants`` and ``similarity`` percent of all is generalised so; any other line is its own
-template, all tokens kept. A template that recurs across documents is dropped from all of them but the
-one with the smallest id, so that each passage stays in the corpus once.
-
-Lines of a leaf are never paired: the tokens at each position are counted, and one that is counted once
-names its line. Only leaves with two different lines are looked at, all others need no more than 128-bit
-digests of their lines.
+leading tokens, in which a token that holds a digit is a variable field (``<*>``). In a leaf it is
+counted how many different lines have a token at its place. The tokens that every line of a template has
+are more frequent there than the values of its fields, however often these recur, so a line is generalised
+by its rarest tokens: without the rarest one, the two rarest, and so on, as long as its constant tokens are
+at least ``min_constants`` and ``similarity`` percent of all. Each step is a candidate template, and one
+that a different line has too is a template. More lines of a template make its constants more frequent
+still, so they never hide it. A line with too few constants is its own template, all tokens kept. A
+template that recurs across documents is dropped from all of them but the one with the smallest id, so
+that each passage stays in the corpus once.
+
+Lines of a leaf are never paired: tokens are counted at their places, and a candidate is named by the
+hashes of the tokens left, from which the rarest are taken one after the other. Only leaves with two
+different lines are looked at, all others need no more than 128-bit digests of their lines.
 """
 
 from __future__ import annotations
@@ -64,7 +67,7 @@ def line_dedup(
     """``docs`` with recurring lines removed from ``text_col``, and ``lines_col``, ``dropped_col`` (long) added.
 
     Lines are what newlines separate. A template recurs when at least ``min_docs`` distinct ids have
-    it. Blank lines have no template and always stay; short lines have one like any other. Texts of
+    it; a line goes when one of its templates recurs and an earlier document has that. Blank lines have no template and always stay; short lines have one like any other. Texts of
     rows with a null id stay as they are and count for no template; rows that repeat an id count once,
     and each of them keeps or loses its lines. A line that one text repeats stays or goes everywhere in
     it. A null text stays null with 0 lines. Texts of any length are taken whole, in time linear in
@@ -87,18 +90,30 @@ def line_dedup(
     shared = postings.where("_in_leaf").groupBy("_branch").agg(F.min("_hash").alias("_a"), F.max("_hash").alias("_b")).where(F.col("_a") != F.col("_b")).select("_branch")
     shared = written(shared, "line-leaves")
     met = parsed.where(F.col("_leaf").isNotNull()).withColumn("_branch", F.xxhash64("_leaf")).join(_checked(shared, BROADCAST_LEAVES), "_branch", "left_semi")
-    met = met.groupBy("_branch", "_masked", "_n").agg(F.lit(1).alias("_one")).drop("_one")
+    least = F.greatest(F.lit(min_constants), F.ceil(F.lit(similarity) * F.col("_n") / 100).cast("int"))
+    met = met.groupBy("_branch", "_masked", "_n").agg(F.lit(1).alias("_one")).withColumn("_spare", (F.col("_n") - fields - least).cast("int")).drop("_one")
     met = written(met.withColumn("_line", F.monotonically_increasing_id()), "line-variants")
-    places = met.select("_branch", "_line", F.posexplode(F.split("_masked", " ")).alias("_pos", "_token")).where(F.col("_token") != FIELD)
-    # A token that one line alone has at its place in the leaf is a field of that line.
-    alone = places.groupBy("_branch", "_pos", F.xxhash64("_token").alias("_token")).agg(F.count("*").alias("_c"), F.min("_line").alias("_line")).where("_c = 1")
-    own = alone.groupBy("_line").agg(F.sort_array(F.collect_set("_pos")).alias("_at")).select("_line", _marks("_at").alias("_fields"))  # the fields of one line
-    tokens = F.transform(F.split("_masked", " "), lambda t, i: F.when(_marked("_fields", i), F.lit(FIELD)).otherwise(t))
-    template = met.join(own, "_line").select("_masked", "_n", tokens.alias("_tokens"))
-    left = F.size(F.filter("_tokens", lambda t: t != FIELD))
-    general = template.where(enough(left)).select(_digest(F.col("_masked")).alias("_own"), _digest(F.array_join("_tokens", " ")).alias("_general"))
+    # How many lines of the leaf have a token at its place; the leaf's leading tokens are those of all.
+    token = F.col("_token")
+    places = met.select("_branch", "_line", "_spare", F.posexplode(F.split("_masked", " ")).alias("_pos", "_token")).where((F.col("_pos") >= depth) & (token != FIELD))
+    places = places.select("_branch", "_line", "_spare", "_pos", F.xxhash64("_pos", token).alias("_x"), F.xxhash64(token, "_pos").alias("_y"))
+    support = places.groupBy("_branch", "_x").agg(F.count("*").alias("_c"))
+    by_line = places.join(support, ["_branch", "_x"]).groupBy("_line").agg(
+        F.min("_branch").alias("_branch"), F.min("_spare").alias("_spare"), F.bit_xor("_x").alias("_x"), F.bit_xor("_y").alias("_y"), F.sort_array(F.collect_list(F.struct("_c", "_pos", "_x", "_y"))).alias("_all")
+    )  # at most the tokens of one line
+    # Without its one, two, ... rarest tokens; what is left must be met elsewhere, so no token that is alone may stay.
+    alone = F.size(F.filter("_all", lambda t: t["_c"] == 1))
+    rarest = F.slice("_all", 1, F.col("_spare"))
+    start = F.array(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")))
+    left = lambda acc, t: F.struct(F.element_at(acc, -1)["x"].bitwiseXOR(t["_x"]).alias("x"), F.element_at(acc, -1)["y"].bitwiseXOR(t["_y"]).alias("y"))
+    keys = F.aggregate(rarest, start, lambda acc, t: F.concat(acc, F.array(left(acc, t))))
+    general = by_line.where((F.col("_spare") > 0) & (alone <= F.col("_spare"))).select("_line", "_branch", F.posexplode(keys).alias("_j", "_key"), alone.alias("_alone")).where("_j > 0 AND _j >= _alone")
+    general = general.select("_line", F.unhex(F.md5(F.concat_ws(":", "_branch", "_key.x", "_key.y"))).alias("_general"))
+    met_twice = general.groupBy("_general").agg(F.count("*").alias("_c")).where("_c > 1").select("_general")
+    general = general.join(met_twice, "_general").join(met.select("_line", _digest(F.col("_masked")).alias("_own")), "_line").select("_own", "_general")
     general = written(general, "line-general")
-    placed = postings.join(_checked(general, BROADCAST_LINES), "_own", "left").select("_doc", "_row", "_at", F.coalesce("_general", "_own").alias("_template"))
+    placed = postings.select("_doc", "_row", "_at", F.col("_own").alias("_template"))
+    placed = placed.unionByName(postings.where("_in_leaf").join(_checked(general, BROADCAST_LINES), "_own").select("_doc", "_row", "_at", F.col("_general").alias("_template")))
 
     by_doc = placed.groupBy("_template", "_doc").agg(F.lit(1).alias("_one"))
     recurring = by_doc.groupBy("_template").agg(F.count("*").alias("_n"), F.min("_doc").alias("_home")).where(F.col("_n") >= min_docs)

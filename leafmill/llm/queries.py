@@ -112,27 +112,30 @@ WITH lines AS (
 ), judged AS (
   SELECT *, n - len(list_filter(string_split(masked, ' '), lambda t: t = '<*>')) AS constants FROM parsed
 ), variants AS (
-  SELECT DISTINCT masked, n, array_to_string(string_split(masked, ' ')[1:3], ' ') AS lead FROM judged WHERE flat <> '' AND constants >= 5 AND 100 * constants >= 80 * n
+  SELECT DISTINCT masked, n, constants, array_to_string(string_split(masked, ' ')[1:3], ' ') AS lead FROM judged WHERE flat <> '' AND constants >= 5 AND 100 * constants >= 80 * n
 ), places AS (
-  SELECT masked, n, lead, pos, string_split(masked, ' ')[pos] AS token FROM variants, unnest(range(1, n + 1)) AS u(pos)
+  SELECT masked, n, lead, constants, pos, string_split(masked, ' ')[pos] AS token FROM variants, unnest(range(1, n + 1)) AS u(pos)
 ), support AS (
-  SELECT n, lead, pos, token FROM places WHERE token <> '<*>' GROUP BY n, lead, pos, token HAVING count(*) > 1
-), general AS (
-  SELECT p.masked, p.n, string_agg(CASE WHEN s.token IS NOT NULL THEN p.token ELSE '<*>' END, ' ' ORDER BY p.pos) AS template, count(s.token) AS constants
-  FROM places p LEFT JOIN support s ON p.n = s.n AND p.lead = s.lead AND p.pos = s.pos AND p.token = s.token
-  GROUP BY p.masked, p.n
+  SELECT n, lead, pos, token, count(*) AS c FROM places GROUP BY n, lead, pos, token
+), ranked AS (
+  SELECT p.masked, p.n, p.constants, p.pos, p.token, CASE WHEN p.token <> '<*>' AND p.pos > 3 THEN row_number() OVER (PARTITION BY p.masked, p.n, p.token <> '<*>' AND p.pos > 3 ORDER BY s.c, p.pos) END AS rare, s.c
+  FROM places p JOIN support s ON p.n = s.n AND p.lead = s.lead AND p.pos = s.pos AND p.token = s.token
+), alone AS (
+  SELECT masked, count(*) FILTER (WHERE c = 1 AND rare IS NOT NULL) AS k FROM ranked GROUP BY masked
+), steps AS (
+  SELECT v.masked, n, j FROM variants v JOIN alone a ON a.masked = v.masked, unnest(range(greatest(1, k), n + 1)) AS u(j) WHERE constants - j >= 5 AND 100 * (constants - j) >= 80 * n
 ), templates AS (
-  SELECT v.masked, CASE WHEN g.constants >= 5 AND 100 * g.constants >= 80 * g.n THEN g.template ELSE v.masked END AS template
-  FROM variants v JOIN general g ON v.masked = g.masked
+  SELECT t.masked, t.j, string_agg(CASE WHEN r.rare <= t.j THEN '<*>' ELSE r.token END, ' ' ORDER BY r.pos) AS template
+  FROM steps t JOIN ranked r ON r.masked = t.masked AND r.n = t.n GROUP BY t.masked, t.j
 ), placed AS (
-  SELECT j.doc_id, j.i, j.line, CASE WHEN j.flat <> '' THEN coalesce(t.template, chr(10) || j.flat) END AS template
-  FROM judged j LEFT JOIN templates t ON j.masked = t.masked
+  SELECT doc_id, i, CASE WHEN 100 * constants >= 80 * n AND constants >= 5 THEN masked ELSE chr(10) || flat END AS template FROM judged WHERE flat <> ''
+  UNION ALL SELECT j.doc_id, j.i, 'general ' || t.template FROM judged j JOIN templates t ON j.masked = t.masked
 ), recurring AS (
-  SELECT template, min(doc_id) AS home FROM placed WHERE template IS NOT NULL
-  GROUP BY template HAVING count(DISTINCT doc_id) >= 2
+  SELECT template, min(doc_id) AS home FROM placed GROUP BY template HAVING count(DISTINCT doc_id) >= 2
+), hit AS (
+  SELECT DISTINCT p.doc_id, p.i FROM placed p JOIN recurring r ON p.template = r.template WHERE p.doc_id <> r.home
 ), marked AS (
-  SELECT p.doc_id, p.i, p.line, r.home IS NOT NULL AND p.doc_id <> r.home AS gone
-  FROM placed p LEFT JOIN recurring r ON p.template = r.template
+  SELECT l.doc_id, l.i, l.line, h.i IS NOT NULL AS gone FROM lines l LEFT JOIN hit h ON h.doc_id = l.doc_id AND h.i = l.i
 )
 SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY i), '') AS text,
   count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped

@@ -101,7 +101,7 @@ def test_exact_dedup_repeated_rows_and_null_ids(spark):
 
 
 def templates_of(rows, depth=3, least=5, similarity=80):
-    """The template of every line of ``(doc_id, text)`` rows, by comparing all lines of a leaf."""
+    """The templates of every line of ``(doc_id, text)`` rows: itself, and without its rarest tokens among all lines of its leaf."""
     flat = lambda line: re.sub(r"[ \t\r\f\x0b]+", " ", line).strip(" ")
     masked = lambda line: tuple("<*>" if re.search("[0-9]", w) else w for w in flat(line).split(" "))
     enough = lambda t: sum(x != "<*>" for x in t) >= least and 100 * sum(x != "<*>" for x in t) >= similarity * len(t)
@@ -114,11 +114,15 @@ def templates_of(rows, depth=3, least=5, similarity=80):
     for line in lines:
         m = masked(line)
         if not enough(m):
-            found[line] = flat(line)
+            found[line] = {flat(line)}
             continue
-        others = leaves[len(m), m[:depth]] - {m}
-        general = tuple(t if any(o[k] == t for o in others) else "<*>" for k, t in enumerate(m))
-        found[line] = general if enough(general) else m
+        leaf = leaves[len(m), m[:depth]]
+        rare = sorted((sum(o[k] == t for o in leaf), k) for k, t in enumerate(m) if t != "<*>" and k >= depth)
+        found[line], general = {("same", m)}, list(m)
+        for _, k in rare:
+            general[k] = "<*>"
+            if enough(general):
+                found[line].add(("general", tuple(general)))
     return found
 
 
@@ -126,12 +130,31 @@ def brute_line_dedup(rows):
     found, homes = templates_of(rows), defaultdict(set)
     for i, t in rows:
         for line in t.split("\n") if i is not None and t is not None else []:
-            if line in found:
-                homes[found[line]].add(i)
-    stays = lambda i, x: i is None or x not in found or len(homes[found[x]]) < 2 or min(homes[found[x]]) == i
+            for x in found.get(line, ()):
+                homes[x].add(i)
+    stays = lambda i, x: i is None or all(min(homes[t]) == i for t in found.get(x, ()))
     return [(i, t if t is None else "\n".join(x for x in t.split("\n") if stays(i, x))) for i, t in rows]
 
 
+def dropped_lines(spark, lines):
+    """How many of lines, one a document, are dropped."""
+    return line_dedup.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_dropped > 0").count()
+
+
+def test_line_dedup_fields_whose_values_recur(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(1000 + i))
+    line = "your order for customer {} was sent to the town today thanks"
+    first = [line.format(name(i)) for i in range(20)]
+    again = [line.format(name(i)) + "" for i in range(20)]
+    two = "your order for customer {} was sent from {} to the town today with our thanks"
+    reused = [two.format(name(i % 20), name(50 + i)) for i in range(40)]
+    assert dropped_lines(spark, first) == 19 and dropped_lines(spark, first + again) == 39 and dropped_lines(spark, reused) == 39
+    assert dropped_lines(spark, [two.format(name(i), name(50 + j)) for i in range(3) for j in range(3)]) == 8
+    # other lines of the leaf, and more of the template, bring nothing back
+    prose = ["your order for " + " ".join(name(i * 37 + j * 11) for j in range(8)) for i in range(60)]
+    assert dropped_lines(spark, first + prose) == 19 and dropped_lines(spark, first + prose + [line.format(name(i)) for i in range(7, 60)]) == 19 + 53
+
+
 def line_rows():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(2))
