@@ -727,6 +727,36 @@ def test_html_extract_class_names(spark):
     assert all(got[i] == f"Share {i}\nHistory {i}\nBody {i}" for i in range(12))
 
 
+def extracted(spark, pages, host="h"):
+    rows = [(i, f"http://{host}.example.com/{i}", html) for i, html in enumerate(pages)]
+    found = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+@pytest.mark.parametrize("copies", [1, 2, 6, 8, 20])
+def test_an_article_on_many_pages_of_a_host_stays(spark, copies):
+    rng = random.Random(3)
+    body = [" ".join(f"word{rng.randint(0, 300)}" for _ in range(60)) for _ in range(8)]
+    pages = [f"<article><h1>Title</h1>{''.join(f'<p>{b}</p>' for b in body)}<p>session {i}</p></article>" for i in range(copies)]
+    assert extracted(spark, pages) == ["\n".join(["Title", *body, f"session {i}"]) for i in range(copies)]
+
+
+@pytest.mark.parametrize("n", [1, 5, 12])
+def test_prose_in_classes_that_sound_like_boilerplate_stays(spark, n):
+    say = lambda what, i: f"this {what} number {chr(97 + i)} tells at some length what happened in the town"
+    page = "<article><p>{}</p><div class='notice'><p>{}</p></div><section class='social history'><p>{}</p></section><div id='share'><p>{}</p></div><div class='share'><a href='/x'>Share this</a></div><div class='comments'><p>{}</p></div></article><div class='ad'>Buy {}</div>"
+    got = extracted(spark, [page.format(*[say(w, i) for w in ("text", "notice", "history", "share", "remark", "offer")]) for i in range(n)])
+    assert got == ["\n".join(say(w, i) for w in ("text", "notice", "history", "share")) for i in range(n)]
+
+
+def test_the_tree_decides_about_names(spark):
+    """The same names: kept where their contents vary over the host's pages, removed where they recur."""
+    page = "<div class='notice'><p>{}</p></div><div class='text'><p>Own text of page {} with more than ten words so that the page stands for it</p></div>"
+    vary, same = ([page.format(f"notice {chr(97 + i)}" if v else "the same notice", chr(97 + i)) for i in range(12)] for v in (True, False))
+    assert all(t.startswith("notice") for t in extracted(spark, vary)) and not any("notice" in t for t in extracted(spark, same))
+    assert not any("notice" in t for t in extracted(spark, vary[:3]))  # three pages confirm nothing
+
+
 def test_style_tree_removes_menus_of_many_items(spark):
     menu = "".join(f"<li>item {chr(97 + i)}</li>" for i in range(20))
     page = "<div class='top'><ul>" + menu + "</ul></div><div class='text'><p>Own {n}</p><p>More {n}</p></div>"
