@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import new_path, shipped_file, worker_state
 
 CHUNKS, PARTS = 800_000, 1_000_000
+LONG = 64  # characters; ids of longer chunks, as of texts without spaces, are not kept
 
 
 def parts_of(chunk: str) -> tuple[str, ...]:
@@ -45,7 +46,7 @@ def chunk_encoder(key: str, content: bytes):
     """A function from texts to little-endian unsigned 32-bit ids, for tokenizers that lower-case and drop white space.
 
     The ids of a text are those of its white-space-separated chunks in a row. Each distinct part of a
-    chunk is encoded once by the library and kept in a bounded cache that tasks of one worker share.
+    chunk is encoded once by the library and kept in a cache, bounded in bytes, that tasks of one worker share.
     Texts in which a special token could stand, or separators that only Python takes for white space,
     go to the library whole.
     """
@@ -90,7 +91,13 @@ def chunk_encoder(key: str, content: bytes):
         for c, ps in missing.items():
             chunks[c] = parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]]
         get = chunks.__getitem__
-        return [array("I", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes() if i in whole else b"".join(map(get, cs)) for i, cs in enumerate(split)]
+        found = [array("I", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes() if i in whole else b"".join(map(get, cs)) for i, cs in enumerate(split)]
+        for c, ps in missing.items():
+            if len(c) > LONG:
+                del chunks[c]
+                for p in ps:
+                    parts.pop(p, None)
+        return found
 
     return encode
 

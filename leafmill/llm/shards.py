@@ -9,7 +9,8 @@ into an immutable segment file, so that a version lists few shards itself howeve
 
 A version is committed by creating its manifest file without overwriting. Of two writers one fails,
 reads the new version and commits its change to that; a compaction whose shards another one has merged
-gives up and deletes what it wrote. Readers hold on to the version they have read. ``vacuum`` removes
+gives up and deletes what it wrote. Every version holds the store's columns, so that a store can be reopened
+by its path alone and rows with other columns are refused. Readers hold on to the version they have read. ``vacuum`` removes
 old versions, and shards and segments that no kept version lists, those of failed writers too.
 """
 
@@ -24,6 +25,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 SEGMENT = 1000
 
@@ -32,6 +34,10 @@ class CommitConflict(Exception):
     """Another writer has committed this version."""
 
 
+class SchemaMismatch(ValueError):
+    """Rows whose columns are not those of the store."""
+
+
 @dataclass(frozen=True)
 class Shard:
     path: str  # relative to the store
@@ -44,11 +50,19 @@ class Version:
     number: int
     segments: tuple[str, ...] = ()  # files of final shards
     shards: tuple[Shard, ...] = ()  # all others
+    schema: str | None = None  # the columns of every shard, as JSON
+
+
+def _nullable(schema: StructType) -> StructType:
+    """A schema as Parquet files are read: every column may be null."""
+    return StructType([StructField(f.name, f.dataType, True) for f in schema])
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, schema: str | None = None, target_bytes: int = 128 << 20, fanout: int = 4, retries: int = 20):
-        self.spark, self.root, self.schema, self.target_bytes, self.fanout, self.retries = spark, root.rstrip("/"), schema, target_bytes, fanout, retries
+    def __init__(self, spark: SparkSession, root: str, schema: StructType | str | None = None, target_bytes: int = 128 << 20, fanout: int = 4, retries: int = 20):
+        """A store at ``root``; ``schema`` is only needed to read a new store before its first append."""
+        self.spark, self.root, self.target_bytes, self.fanout, self.retries = spark, root.rstrip("/"), target_bytes, fanout, retries
+        self.given = spark.createDataFrame([], schema).schema if schema else None
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -83,7 +97,21 @@ class ShardStore:
         if number == 0:
             return Version(0)
         found = json.loads(self._text(self._manifest_file(number)))
-        return Version(number, tuple(found["segments"]), tuple(Shard(**x) for x in found["shards"]))
+        return Version(number, tuple(found["segments"]), tuple(Shard(**x) for x in found["shards"]), found["schema"])
+
+    def schema(self) -> StructType | None:
+        """The columns of the store; None before its first append, unless they were given."""
+        found = self.manifest().schema
+        return StructType.fromJson(json.loads(found)) if found else self.given
+
+    def _fitted(self, rows: DataFrame) -> DataFrame:
+        """Rows in the order of the store's columns, which must be theirs too."""
+        known = self.schema()
+        if known is None:
+            return rows
+        if sorted((f.name, f.dataType.simpleString()) for f in rows.schema) != sorted((f.name, f.dataType.simpleString()) for f in known):
+            raise SchemaMismatch(f"{rows.schema.simpleString()} is not {known.simpleString()}")
+        return rows.select(*[F.col(f"`{f.name}`") for f in known])
 
     def shards(self, number: int | None = None) -> list[Shard]:
         """All shards of a version, those of its segments too."""
@@ -96,7 +124,7 @@ class ShardStore:
     def commit(self, version: Version) -> int:
         """Publishes a version: written under another name, then renamed, which fails if it is there."""
         draft = f"manifest/draft-{uuid.uuid4().hex}"
-        self._create(draft, {"version": version.number, "segments": list(version.segments), "shards": [asdict(s) for s in version.shards]})
+        self._create(draft, {"version": version.number, "segments": list(version.segments), "shards": [asdict(s) for s in version.shards], "schema": version.schema})
         jvm = self.spark.sparkContext._jvm
         kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
         options = self.spark.sparkContext._gateway.new_array(kinds, 1)
@@ -111,10 +139,16 @@ class ShardStore:
             raise
         return version.number
 
-    def _update(self, change: Callable[[tuple[Shard, ...]], list[Shard] | None]) -> int | None:
-        """Commits ``change`` of the last version's own shards, again on the next one if another writer was first. None: given up."""
+    def _update(self, change: Callable[[tuple[Shard, ...]], list[Shard] | None], schema: StructType | None = None) -> int | None:
+        """Commits ``change`` of the last version's own shards, again on the next one if another writer was first. None: given up.
+
+        With ``schema``, the columns of new shards, which must be those of the version that is changed.
+        """
+        own = json.dumps(_nullable(schema).jsonValue()) if schema else None
         for _ in range(self.retries):
             last = self.manifest()
+            if own and last.schema and own != last.schema:
+                raise SchemaMismatch("another writer has made a store of other columns")
             shards = change(last.shards)
             if shards is None:
                 return None
@@ -124,7 +158,7 @@ class ShardStore:
                 self._create(f"manifest/{name}", {"shards": [asdict(s) for s in final]})
                 segments, shards = (*segments, name), [s for s in shards if self.tier(s) >= 0]
             try:
-                return self.commit(Version(last.number + 1, segments, tuple(shards)))
+                return self.commit(Version(last.number + 1, segments, tuple(shards), last.schema or own))
             except CommitConflict:
                 continue
         raise CommitConflict(f"not committed in {self.retries} attempts")
@@ -136,40 +170,40 @@ class ShardStore:
         files = [(n, size) for n, size, _ in self._names(folder) if n.endswith(".parquet")]
         if not files:
             return []
-        counted = self.spark.read.schema(self.schema).parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("f")).count().collect()  # a row for each file of the job
+        counted = self.spark.read.parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("f")).count().collect()  # a row for each file of the job
         rows = {r["f"]: r["count"] for r in counted}
         return sorted((Shard(f"{folder}/{n}", size, rows.get(n, 0)) for n, size in files if rows.get(n, 0)), key=lambda s: s.path)
 
-    def _schema_of(self, rows: DataFrame) -> str:
-        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-
     def append(self, arrival: DataFrame) -> int | None:
         """Appends the rows as shards of their own; the new version, or None where there are no rows.
 
-        Rows are kept as they are: nulls, repeated rows and texts of any length. Columns must be those
-        of the store.
+        Rows are kept as they are: nulls, repeated rows and texts of any length. The first append sets the
+        columns of the store, whatever their names; later ones must have the same names and types, in any
+        order, or are refused before anything is written.
         """
-        self.schema = self.schema or self._schema_of(arrival)
+        arrival = self._fitted(arrival)
+        self.given = self.given or arrival.schema
         run = f"data/run-{uuid.uuid4().hex}"
         arrival.write.parquet(f"{self.root}/{run}")
         new = self._listed(run)
-        return self._update(lambda shards: [*shards, *new]) if new else None
+        return self._update(lambda shards: [*shards, *new], arrival.schema) if new else None
 
     def append_all(self, arrivals: DataFrame, arrival_col: str) -> list[int]:
         """Appends every arrival of ``arrivals`` in the order of ``arrival_col``, each as a version of its own.
 
         The rows are read and written once, by arrival; then the arrivals are committed one by one.
-        Rows with a null arrival come first. ``arrival_col`` itself isn't stored.
+        Rows with a null arrival come first; rows of one arrival come as one version, in no order.
+        ``arrival_col`` itself isn't stored; the other columns must be those of the store.
         """
         run, label = f"data/run-{uuid.uuid4().hex}", f"arrival_{uuid.uuid4().hex}"
-        rows = arrivals.drop(arrival_col)
-        self.schema = self.schema or self._schema_of(rows)
+        rows = self._fitted(arrivals.drop(arrival_col))
+        self.given = self.given or rows.schema
         numbered = arrivals.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(F.col(arrival_col).cast("long"), F.lit(-1)).alias(label))
         numbered.write.partitionBy(label).parquet(f"{self.root}/{run}")
         out = []
         for _, name in sorted((int(n.split("=")[1]), n) for n, _, _ in self._names(run) if n.startswith(label)):
             new = self._listed(f"{run}/{name}")
-            out.append(self._update(lambda shards, new=new: [*shards, *new]))
+            out.append(self._update(lambda shards, new=new: [*shards, *new], rows.schema))
         return out
 
     def tier(self, shard: Shard) -> int:
@@ -193,7 +227,7 @@ class ShardStore:
         old = full[min(full)]
         files = max(1, round(sum(s.bytes for s in old) / self.target_bytes))
         run = f"data/run-{uuid.uuid4().hex}"
-        merged = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{s.path}" for s in old])
+        merged = self.spark.read.schema(self.schema()).parquet(*[f"{self.root}/{s.path}" for s in old])
         merged.coalesce(files).write.parquet(f"{self.root}/{run}")  # shards of one tier are alike in size, so no shuffle is needed
         new, gone = self._listed(run), set(old)
         done = self._update(lambda shards: [*[s for s in shards if s not in gone], *new] if gone <= set(shards) else None)
@@ -234,9 +268,11 @@ class ShardStore:
 
     def read(self, number: int | None = None, shard_col: str | None = None) -> DataFrame:
         """The rows of a version; with ``shard_col`` the path of each row's shard under that name. An empty store has none."""
-        shards = self.shards(number)
+        shards, schema = self.shards(number), self.schema()
+        if schema is None:
+            raise SchemaMismatch("a store without columns: append rows, or open it with a schema")
         if not shards:
-            rows = self.spark.createDataFrame([], self.schema)
+            rows = self.spark.createDataFrame([], schema)
             return rows.withColumn(shard_col, F.lit("")) if shard_col else rows
-        rows = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{s.path}" for s in shards])
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in shards])
         return rows.withColumn(shard_col, F.col("_metadata.file_path")) if shard_col else rows

@@ -1,8 +1,8 @@
 """Token counts per document without materialising ids.
 
-All documents are split into pre-tokens once, and each distinct pre-token has its pieces counted once
-by the library, in a table of pre-tokens. The counts are then joined to the pre-token frequencies of
-each document and summed. The join has two parts: the most frequent pre-tokens, as many as fit a
+Documents are read twice. First all are split into pre-tokens, and each distinct pre-token has its pieces
+counted once by the library, in a table of pre-tokens. Then the pre-token frequencies of each document
+are joined to the counts and summed. The join has two parts: the most frequent pre-tokens, as many as fit a
 broadcast of ``broadcast_bytes``, are looked up where the documents are split; the few that are left
 of each document are joined by a shuffle.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import shipped_file, worker_state, written
 
 CACHED = 400_000
+LONG = 64  # characters; longer chunks and pre-tokens, as of texts without spaces, are held no longer than their text
 BLOCK = 256
 OTHER_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
@@ -68,23 +69,34 @@ def pre_token_counts(texts: DataFrame, file, pattern: str) -> DataFrame:
         specials = _specials(_state(file)["tokenizer"])
         split = regex.compile(pattern).findall
 
-        def out(chunks: Counter) -> Iterator[pa.RecordBatch]:
-            found: Counter = Counter()
+        def rows(pieces: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())], names=["piece", "n"])
+
+        def out(chunks: Counter, found: Counter) -> pa.RecordBatch:
             for c, n in chunks.items():
                 for p in split(c):
                     found[p] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["piece", "n"])
+            return rows(found)
 
-        chunks: Counter = Counter()
+        chunks, found = Counter(), Counter()  # of at most LONG characters
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 for text in batch.column(0).slice(at, BLOCK).to_pylist():
-                    if text and not any(s in text for s in specials):
-                        chunks.update(chunks_of(text, split))
-                if len(chunks) > CACHED:
-                    yield from out(chunks)
-                    chunks.clear()
-        yield from out(chunks)
+                    if not text or any(s in text for s in specials):
+                        continue
+                    own = chunks_of(text, split)
+                    if max(map(len, own)) > LONG:
+                        long = Counter(p for c in own if len(c) > LONG for p in split(c))
+                        own = [c for c in own if len(c) <= LONG]
+                        found.update({p: n for p, n in long.items() if len(p) <= LONG})
+                        if long := Counter({p: n for p, n in long.items() if len(p) > LONG}):
+                            yield rows(long)
+                    chunks.update(own)
+                    if len(chunks) + len(found) > CACHED:
+                        yield out(chunks, found)
+                        chunks.clear()
+                        found.clear()
+        yield out(chunks, found)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _state(file)["tokenizer"]
@@ -115,7 +127,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str
 
     The tokens are those of the library for the whole text, a null text counting as empty, without
     added special tokens; texts in which a special token stands go to the library whole. ``pattern``
-    is the tokenizer's own rule for pre-tokens. Texts and pre-tokens may have any length. Repeated rows
+    is the tokenizer's own rule for pre-tokens. Texts and pre-tokens may have any length; what a worker keeps
+    is bounded in bytes. Repeated rows
     and ids are counted each; other columns are ignored, whatever their names; an empty table gives an
     empty result.
     """
@@ -162,7 +175,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str
                     for c, k in Counter(chunks_of(t, split)).items():
                         v = chunks.get(c)
                         if v is None:
-                            v = chunks[c] = judged(c)
+                            v = judged(c)
+                            if len(c) <= LONG:
+                                chunks[c] = v
                         if isinstance(v, int):
                             n += k * v
                         else:

@@ -775,3 +775,41 @@ def test_line_dedup_short_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.line_dedup(df).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("\n1 2 3 4 5 6 8", 2), 3: ("share this\n", 1), None: ("Share this", 0)}
+
+
+def test_shard_store_refuses_other_columns_and_reopens(spark):
+    root = new_path(spark, "store")
+    store = shards.ShardStore(spark, root)
+    rows = lambda names, *r: spark.createDataFrame(list(r), names)
+    with pytest.raises(shards.SchemaMismatch):
+        store.read()
+    store.append(rows("doc_id long, text string", (1, "a")))
+    with pytest.raises(shards.SchemaMismatch):
+        store.append(rows("doc_id long, other string, text2 string", (2, "b", "c")))
+    with pytest.raises(shards.SchemaMismatch):
+        store.append(rows("doc_id string, text string", ("2", "b")))
+    with pytest.raises(shards.SchemaMismatch):
+        store.append_all(rows("doc_id long, arrival int", (2, 1)), "arrival")
+    again = shards.ShardStore(spark, root)
+    again.append(rows("text string, doc_id long", ("b", 2), (None, None), ("b", 2)))
+    again.append_all(rows("doc_id long, arrival int, text string", (3, 1, "c"), (4, None, "d")), "arrival")
+    assert again.read().columns == ["doc_id", "text"]
+    assert sorted(tuple(r) for r in shards.ShardStore(spark, root).read().collect() if r.doc_id) == [(1, "a"), (2, "b"), (2, "b"), (3, "c"), (4, "d")]
+    assert shards.ShardStore(spark, new_path(spark, "store"), schema="a int").read().count() == 0
+
+
+def test_texts_without_spaces_are_not_kept(spark):
+    rng = random.Random(2)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x4FFF)) for _ in range(2000)) + "\n" + "x" * 100 for _ in range(40)]
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        content = f.read()
+    encode = packing.chunk_encoder("long texts", content)
+    whole = Tokenizer.from_str(content.decode())
+    assert encode(texts) == [array("I", whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    kept = [v for cell in encode.__closure__ if isinstance(v := cell.cell_contents, dict)]
+    assert len(kept) == 2 and all(len(k) <= packing.LONG for d in kept for k in d)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "a short one", *texts[:3]])], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, path, public_tokenizers.PATTERN).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate([*texts, "a short one", *texts[:3]])}
