@@ -5,21 +5,22 @@ depth. The directory starts from as many buckets as the keys need at least and d
 holds more than ``bucket_capacity`` keys, which splits that bucket only. All of this runs on the table of
 keys; the driver holds no more than the list of local depths.
 
-Every row is routed by the directory to its bucket, and the owners of the buckets decide: inside a
-bucket, rows of one key are compared by the bytes of their texts, and each distinct text becomes an
-entry of the key's chain. The entries are written as index files sorted by bucket and key, so that one
-file is one key range. A row is looked up by bucket and key and takes the entry of its chain whose
-256-bit digest of the text is its own.
-
-Hot groups: equal texts are combined on the map side, so a group of any size reaches its owner as one
-row for each map task; the look-up joins files, so adaptive execution may split a hot key.
+Every row is routed by the directory to its bucket. A bucket, that is a range of keys, has one owner task,
+which goes through the bucket's texts in the order of their keys: where the key is that of the text before,
+both are compared by their bytes, and a different text becomes the next entry of the key's chain. The
+entries are written as index files sorted by bucket and key, so that one file is one key range. A row is
+looked up by bucket and key and takes the entry of its chain whose 256-bit digest of the text is its own.
+
+Hot groups: the rows that one map task has of a text are combined before they are sent, so a group of any
+size reaches its owner as one row for each map task; the look-up joins files, so adaptive execution may
+split a hot key.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import new_path, written
@@ -70,16 +71,23 @@ def routed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, buckets: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The entries ``bucket, key, sha, keep_id, group_size``, read from index files sorted by bucket and key."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("key", F.xxhash64("norm"))
-    chains = routed(rows, buckets).groupBy("bucket", "key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = written(chains.select("bucket", "key", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "dedup-entries")
+    """The entries ``bucket, key, sha, keep_id, group_size, owner``, read from index files sorted by bucket and key.
+
+    ``owner`` is the task that decided; the map tasks only combine what they have themselves.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.spark_partition_id().alias("task")).withColumn("key", F.xxhash64("norm"))
+    combined = routed(rows, buckets).groupBy("task", "bucket", "key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    chain, entry = Window.partitionBy("bucket").orderBy("key", "norm"), Window.partitionBy("bucket", "entry")
+    same = (F.lag("key").over(chain) == F.col("key")) & (F.lag("norm").over(chain) == F.col("norm"))
+    numbered = combined.select("*", F.coalesce(~same, F.lit(True)).alias("opens")).withColumn("entry", F.sum(F.col("opens").cast("int")).over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    decided = numbered.withColumns({"keep": F.min("keep_id").over(entry), "size": F.sum("group_size").over(entry), "owner": F.spark_partition_id()}).where("opens")
+    entries = written(decided.select("bucket", "key", F.unhex(F.sha2("norm", 256)).alias("sha"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "owner"), "dedup-entries")
     path = new_path(docs.sparkSession, "dedup-index")
     entries.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key").write.parquet(path)
     return docs.sparkSession.read.schema(entries.schema).parquet(path)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 1 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 512) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256, bucket``.
 
     Rows are equal when their normalised texts are identical. ``keep_id`` is the smallest id of the

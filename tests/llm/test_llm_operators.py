@@ -94,6 +94,22 @@ def test_dedup_decides_in_buckets(spark):
     assert {r.doc_id for r in rows.select("doc_id").subtract(exact_dedup.look_up(exact_dedup.routed(rows, buckets), wrong).select("doc_id")).collect()} == {7, 47}
 
 
+def test_dedup_buckets_have_one_owner_each(spark):
+    """All texts of a bucket are decided by one task, from rows that the map tasks have combined; chains compare bytes."""
+    docs = spark.createDataFrame([(i, f"text {i % 60}" if i % 3 else "hot") for i in range(900)], "doc_id long, text string").repartition(6)
+    keys = docs.select(F.xxhash64("text").alias("key")).distinct()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    index = exact_dedup.build_index(docs, exact_dedup.directory(keys, 4), "doc_id", "text").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    owners = defaultdict(set)
+    for r in index:
+        owners[r.bucket].add(r.owner)
+    assert len(index) == 41 and len(owners) > 8 and all(len(o) == 1 for o in owners.values()) and len(set().union(*owners.values())) > 1
+    assert {(r.keep_id, r.group_size) for r in index if r.group_size == 300} == {(0, 300)}
+    one = exact_dedup.build_index(docs.withColumn("text", F.lit("same")), exact_dedup.directory(keys, 1 << 20), "doc_id", "text").collect()
+    assert [(r.bucket, r.keep_id, r.group_size) for r in one] == [("0:0", 0, 900)]
+
+
 def test_exact_dedup_repeated_rows_and_null_ids(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a "), (None, "b"), (3, "b"), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_dedup(rows).collect()))
