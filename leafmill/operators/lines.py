@@ -79,8 +79,13 @@ def word_counts(tokens: DataFrame, with_caps: bool = False) -> DataFrame:
 
 def lexicon_of(tokens: DataFrame, least: int) -> DataFrame:
     """``word, n``: stripped lower-case tokens that occur at least ``least`` times."""
-    plain = tokens.select(F.lower(words.stripped(F.col("token"))).alias("word")).where(F.col("word").rlike(r"^\p{L}+$"))
-    return plain.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return lexicon_of_counts(tokens.select(F.lower("token").alias("word"), F.lit(1).alias("n")), least)
+
+
+def lexicon_of_counts(counts: DataFrame, least: int) -> DataFrame:
+    """The same from counts of lower-case tokens (``word, n``): a token is stripped once for each count."""
+    plain = counts.select(words.stripped(F.col("word")).alias("word"), "n").where(F.col("word").rlike(r"^\p{L}+$"))
+    return plain.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def normal_form(tokens: DataFrame, lexicon: DataFrame, personal: DataFrame, places: DataFrame) -> DataFrame:

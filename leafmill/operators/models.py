@@ -10,9 +10,9 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leafmill.operators import sequence as S
+from leafmill.sources.staged import written
 
 
 def undersample(rows: DataFrame, positive: str, key: str) -> DataFrame:
@@ -36,10 +36,19 @@ def undersample(rows: DataFrame, positive: str, key: str) -> DataFrame:
 
 
 def folds(pages: DataFrame, n: int = 5) -> DataFrame:
-    """``vol, fold``: whole volumes, dealt in the order of their names."""
-    vols = pages.select("vol").distinct().orderBy("vol")
-    dealt = vols.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] % n))  # numbered by range partition and offset
-    return pages.sparkSession.createDataFrame(dealt, T.StructType([vols.schema["vol"], T.StructField("fold", T.IntegerType())]))
+    """``vol, fold``: whole volumes, dealt in the order of their names.
+
+    Volumes are numbered inside the ranges of their sorted names; the counts of the ranges before, as many
+    as there are ranges, are added.
+    """
+    ranges = pages.select("vol").distinct().repartitionByRange("vol").sortWithinPartitions("vol").select("vol", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    ranges = written(ranges, "fold-volumes")
+    counts = {r.part: (r.size, r.first) for r in ranges.groupBy("part").agg(F.count("*").alias("size"), F.min("at").alias("first")).collect()}
+    shifts, before = [F.lit(-1), F.lit(0).cast("long")], 0
+    for part, (size, first) in sorted(counts.items()):
+        shifts += [F.lit(part), F.lit(before - first).cast("long")]
+        before += size
+    return ranges.select("vol", ((F.col("at") + F.element_at(F.create_map(*shifts), F.col("part"))) % n).cast("int").alias("fold"))
 
 
 def one_vs_all(train: DataFrame, categories: list[str], ridge: float = 0.002, iterations: int = 100) -> dict:

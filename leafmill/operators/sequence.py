@@ -51,7 +51,8 @@ def smooth(pages: DataFrame, transitions: list[list[float]], begin: list[float],
 
     A volume is cut into blocks of ``BLOCK_PAGES`` page numbers, so that volumes of any length are many
     tasks: each block's steps make one matrix for each direction, a fold over the few blocks of a volume
-    gives the values at their edges, and with these the blocks are smoothed for themselves.
+    gives the values at their edges, and with these the blocks are smoothed for themselves. Volumes of one
+    block, mostly all, need the last pass only.
     """
     k = len(begin)
     t = np.array(transitions, float)
@@ -59,8 +60,10 @@ def smooth(pages: DataFrame, transitions: list[list[float]], begin: list[float],
     pages = written(pages.select("vol", "page", "words", "probs").withColumn("block", F.expr(f"page div {BLOCK_PAGES}")), "smooth-pages")
     w = Window.partitionBy("vol").orderBy("block")
     sizes = pages.groupBy("vol", "block").agg(F.count("*").alias("size"))  # a row for each block
-    sizes = sizes.withColumn("before", F.sum("size").over(w) - F.col("size")).withColumn("n", F.sum("size").over(Window.partitionBy("vol")))
-    groups = max(1, pages.count() // GROUP_PAGES)
+    of_vol = Window.partitionBy("vol")
+    sizes = sizes.withColumns({"before": F.sum("size").over(w) - F.col("size"), "n": F.sum("size").over(of_vol), "blocks": F.count("*").over(of_vol)})
+    extent = sizes.agg(F.sum("size").alias("pages"), F.max("blocks").alias("blocks")).first()
+    groups = max(1, (extent.pages or 0) // GROUP_PAGES)
     group = F.pmod(F.xxhash64("vol", "block"), F.lit(groups))
     placed = pages.join(sizes, ["vol", "block"]).withColumn("group", group)
     kind = pages.schema["vol"].dataType.simpleString()
@@ -117,10 +120,11 @@ def smooth(pages: DataFrame, transitions: list[list[float]], begin: list[float],
         return blocks[["vol", "block"]].assign(into=into, back=back[::-1])
 
     def smoothed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, starts, size, row, col, _, grid, opens, closes = padded(rows)
+        edged = "into" in rows
+        rows, starts, size, row, col, plain, grid, opens, closes = padded(rows)
         f, b = np.zeros_like(grid), np.zeros_like(grid)
-        now = np.array(rows["into"].tolist(), float)[starts]
-        then = np.array(rows["back"].tolist(), float)[starts]
+        now = np.array(rows["into"].tolist(), float)[starts] if edged else norm(first * plain[starts])
+        then = np.array(rows["back"].tolist(), float)[starts] if edged else norm(last * plain[starts + size - 1])
         for i in range(grid.shape[1]):
             on = (i < size) & ~(opens & (i == 0))
             now[on] = norm(grid[on, i] * (now[on] @ t))
@@ -137,10 +141,15 @@ def smooth(pages: DataFrame, transitions: list[list[float]], begin: list[float],
 
     words = pages.schema["words"].dataType.simpleString()
     number = pages.schema["page"].dataType.simpleString()
+    out = f"vol {kind}, page {number}, words {words}, smoothed array<double>"
+    short = placed.where("blocks = 1").drop("blocks").groupBy("group").applyInPandas(smoothed, out)
+    if (extent.blocks or 0) <= 1:
+        return short
+    long = placed.where("blocks > 1").drop("blocks")
     arrays = "fw array<double>, bw array<double>, head array<double>, tail array<double>"
-    steps = placed.groupBy("group").applyInPandas(matrices, f"vol {kind}, block long, {arrays}")
+    steps = long.groupBy("group").applyInPandas(matrices, f"vol {kind}, block long, {arrays}")
     edge = written(steps.groupBy("vol").applyInPandas(edges, f"vol {kind}, block long, into array<double>, back array<double>"), "smooth-edges")
-    return placed.join(edge, ["vol", "block"]).groupBy("group").applyInPandas(smoothed, f"vol {kind}, page {number}, words {words}, smoothed array<double>")
+    return short.unionByName(long.join(edge, ["vol", "block"]).groupBy("group").applyInPandas(smoothed, out))
 
 
 def best_category(probabilities: DataFrame) -> DataFrame:

@@ -24,16 +24,16 @@ CONVERSIONS = {
 FORCED_WORDS = ["index", "glossary", "argument", "biographical", "memoir", "memoirs", "autobiography", "dramatis", "personae", "contents", "table", "arabicprice", "appendix", "preface", "ode", "scene"]
 
 
-def page_features(lines: DataFrame, lexicon: DataFrame, names: DataFrame) -> DataFrame:
+def page_features(lines: DataFrame, words: DataFrame, lexicon: DataFrame, names: DataFrame) -> DataFrame:
     """``features`` of pages from ``lines(vol, page, line, text)``: their words, and what lines and capitals say, under ``#`` names.
 
-    ``lexicon(word)`` and ``names(word)`` tell which lines begin with a name.
+    ``words(vol, page, word, n, caps)`` counts their words; ``lexicon(word)`` and ``names(word)`` tell
+    which lines begin with a name.
     """
 
     def long(wide: DataFrame, *names: str) -> DataFrame:
         return wide.select(*PAGE, F.inline(F.array(*[F.struct(F.lit("#" + c).alias("feature"), F.col(c).cast("long").alias("count")) for c in names])))
 
-    words = written(L.word_counts(L.tokens(lines), with_caps=True), "word-counts")
     parts = [
         words.select(*PAGE, F.col("word").alias("feature"), F.col("n").alias("count")),
         long(words.groupBy(*PAGE).agg(F.sum("caps").alias("allcapswords")), "allcapswords"),

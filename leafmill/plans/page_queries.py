@@ -8,7 +8,7 @@ from leafmill.operators import lines as L
 from leafmill.operators import sequence as S
 from leafmill.operators import vectors as V
 from leafmill.plans.registry import EVENT_PAGES, PREDICTIONS, TOKENS, VOL_PAGES, WORD_COUNTS, query
-from leafmill.plans.text_queries import ACC, CASE, LEXICON, P, PERSONAL, STRIP, rules_of
+from leafmill.plans.text_queries import ACC, CASE, LEXICON, P, PERSONAL, STRIP, rules_of_lexicon
 from leafmill.sources.staged import written
 from leafmill.sources.tables import CATEGORIES, event_pages, event_predictions, event_probabilities, table, volume_lines, volume_pages
 
@@ -42,8 +42,9 @@ VOCAB = ", vocab AS (SELECT feature AS word FROM features WHERE NOT starts_with(
 def features_of(spark, d):
     """The page features of the documents in long form, written once for all that read them."""
     lines = volume_lines(spark, d)
-    lexicon, personal, _ = rules_of(L.tokens(lines))
-    return written(V.page_features(lines, lexicon, personal), "page-features")
+    words = written(L.word_counts(L.tokens(lines), with_caps=True), "word-counts")  # the only pass over tokens
+    lexicon, personal, _ = rules_of_lexicon(L.lexicon_of_counts(words, 20))
+    return written(V.page_features(lines, words, lexicon, personal), "page-features")
 
 
 def word_features_of(spark, d):

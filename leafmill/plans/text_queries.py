@@ -19,7 +19,11 @@ def tokens_of(spark, d):
 
 def rules_of(tokens):
     """Rule tables picked from the words of the documents: lexicon, personal names, place names. The words are counted once."""
-    lexicon = written(L.lexicon_of(tokens, 20), "lexicon")
+    return rules_of_lexicon(L.lexicon_of(tokens, 20))
+
+
+def rules_of_lexicon(lexicon):
+    lexicon = written(lexicon, "lexicon")
     pick = lambda x: lexicon.where(F.substring(F.md5("word"), 1, 1) == x).select("word")
     return lexicon, pick("0"), pick("1")
 
@@ -197,7 +201,7 @@ L14_L19_L21_FORMS_SQL = (
 @query("l14_l19_l21_forms", L14_L19_L21_FORMS_SQL)
 @query("l14_l19_l21_forms_all", L14_L19_L21_FORMS_SQL)
 def l19_all(spark, d):
-    t = tokens_of(spark, d)
+    t = written(tokens_of(spark, d), "tokens")
     return L.normal_form(t, *rules_of(t)).groupBy("vol", "form").agg(F.count("*").alias("n"))
 
 
