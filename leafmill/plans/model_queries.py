@@ -15,7 +15,7 @@ from leafmill.operators import fits, models
 from leafmill.operators import sequence as S
 from leafmill.plans.registry import EVENT_PAGES, query
 from leafmill.plans.report_queries import CLASSES, VOLUMES, books_of, judged, scored_of, volumes_of
-from leafmill.sources.staged import new_path
+from leafmill.sources.staged import new_path, written
 from leafmill.sources.tables import CATEGORIES as EVENT_CATEGORIES
 from leafmill.sources.tables import event_pages, event_probabilities, table
 
@@ -107,6 +107,23 @@ def m_invariants(spark, d):
     return reduce(DataFrame.unionByName, rows)
 
 
+@query("m1_m6_separable", "WITH " + EMBEDDED + " SELECT model, vol, page, category AS raw FROM v, (VALUES ('m1'), ('m2'), ('m3'), ('m4'), ('m5')) m(model) UNION ALL SELECT 'm6', vol, page, CASE WHEN category = '0' THEN '0' ELSE 'other' END FROM v")
+def m_separable(spark, d):
+    """Categories that one component each tells apart: every kind of model must give every page its own category."""
+    from pyspark.ml.functions import vector_to_array
+
+    x = F.transform(F.slice(vector_to_array("features"), 1, len(CATEGORIES)), lambda v, i: v + F.when(F.col("category") == i.cast("string"), 8.0).otherwise(0.0))
+    pages = written(vectors(spark, d).withColumn("x", x).select("vol", "page", "category", "words", "x"), "separable-pages").withColumn("features", array_to_vector("x")).drop("x")
+    numbered = pages.withColumn("label", F.col("category").cast("double"))
+    scored = {
+        "m1": models.score(models.one_vs_all(pages, CATEGORIES, iterations=20), pages), "m2": models.score_pairs(models.all_vs_all(pages, CATEGORIES, iterations=20), CATEGORIES, pages),
+        "m3": models.score_bagged(models.bagged(pages, CATEGORIES, ridges=(0.1, 0.01)), CATEGORIES, pages), "m4": models.score(models.category_forests(pages, CATEGORIES, trees=10, per_split=4), pages),
+        "m5": models.forest(numbered, trees=10, per_split=4).transform(numbered).withColumn("raw", F.col("prediction").cast("int").cast("string")),
+        "m6": fits.score_support_vector(fits.support_vector(pages, "0"), pages).withColumn("raw", F.when(F.col("p") > 0.5, "0").otherwise("other")),
+    }
+    return reduce(DataFrame.unionByName, [s.select(F.lit(m).alias("model"), "vol", "page", "raw") for m, s in scored.items()])
+
+
 @query("m6_support_vectors")
 def m6(spark, d):
     pages = vectors(spark, d)
