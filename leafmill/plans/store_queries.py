@@ -274,8 +274,9 @@ def k3(spark, d):
     w = matched_of(spark, d)
     path = new_path(spark, "volume-statistics")
     sinks.metadata_tsv(sinks.volume_statistics(rate_of(w, F.col("known")), rate_of(w, F.col("known") | (F.length("word") < 9))), path)
-    read = spark.read.option("sep", "\t").option("header", True).schema("volID string, totalwords long, prematched double, preenglish boolean, postmatched double, postenglish boolean").csv(path)
-    return read.withColumns({c: F.round(c, 6) for c in ("prematched", "postmatched")})
+    read = files.appended_metadata(spark, path)
+    kinds = {"totalwords": "long", "prematched": "double", "preenglish": "boolean", "postmatched": "double", "postenglish": "boolean"}
+    return read.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()}).withColumns({c: F.round(c, 6) for c in ("prematched", "postmatched")})
 
 
 @query("k4_statuses", MATCHED + ", s AS (SELECT vol, 'not english' AS status FROM m WHERE a < 0.6 UNION ALL SELECT vol, 'short' FROM m WHERE n < 5000 UNION ALL SELECT vol, 'paginationerror' FROM vol_pages GROUP BY vol HAVING min(page) <> 0 OR max(page) <> count(DISTINCT page) - 1 UNION ALL SELECT vol || '?', 'missing data' FROM m) SELECT DISTINCT vol, status FROM s")
