@@ -58,16 +58,19 @@ def directory(keys: DataFrame, capacity: int) -> DataFrame:
 
 
 def routed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """``rows`` with ``bucket`` ("depth:bits") of their ``key`` added."""
+    """``rows`` with ``bucket`` ("depth:bits") of their ``key`` added.
+
+    The slots of the directory are the prefixes of the smallest depth; a slot lists the buckets below it,
+    one or a few, as keys are hashes. So a row is joined once, whatever the depths.
+    """
     small = buckets.count() <= BROADCAST_BUCKETS
-    depths = sorted(r.depth for r in buckets.select("depth").distinct().collect())  # at most 65
-    if depths == [0]:  # one bucket has all keys
-        return rows.withColumn("bucket", F.lit("0:0"))
-    for d in depths:
-        own = buckets.where(F.col("depth") == d).select(F.col("bits").alias(f"bits_{d}"), F.lit(True).alias(f"is_{d}"))
-        rows = rows.join(F.broadcast(own) if small else own, prefix(F.col("key"), d) == F.col(f"bits_{d}"), "left")
-    named = F.coalesce(*[F.when(F.col(f"is_{d}"), F.concat_ws(":", F.lit(str(d)), F.col(f"bits_{d}").cast("string"))) for d in depths], F.lit(None).cast("string"))
-    return rows.withColumn("bucket", named).drop(*[f"{c}_{d}" for d in depths for c in ("bits", "is")])
+    base = buckets.agg(F.min("depth")).first()[0]
+    if not base:  # no bucket, or one with all keys, or keys of which most share their first bits
+        base = 0
+    under = buckets.groupBy(F.expr(f"shiftrightunsigned(bits, depth - {base})").alias("slot")).agg(F.collect_list(F.struct("depth", "bits")).alias("under"))
+    rows = rows.join(F.broadcast(under) if small else under, prefix(F.col("key"), base) == F.col("slot"), "left")
+    own = F.filter("under", lambda b: (b["depth"] == 0) | (F.call_function("shiftrightunsigned", F.col("key"), 64 - b["depth"]) == b["bits"]))
+    return rows.withColumn("bucket", F.get(F.transform(own, lambda b: F.concat_ws(":", b["depth"].cast("string"), b["bits"].cast("string"))), F.lit(0))).drop("slot", "under")
 
 
 def build_index(docs: DataFrame, buckets: DataFrame, id_col: str, text_col: str) -> DataFrame:
