@@ -4,7 +4,7 @@ A line goes down a tree of fixed depth: the first level is its token count, the
 leading tokens, in which a token that holds a digit is a variable field (``<*>``). In a leaf it is
 counted how many different lines have a token at its place. The tokens that every line of a template has
 are more frequent there than the values of its fields, however often these recur, so a line is generalised
-by its rarest tokens: without the rarest one, the two rarest, and so on, as long as its constant tokens are
+by its rarest tokens: as it is, without the rarest one, the two rarest, and so on, as long as its constant tokens are
 at least ``min_constants`` and ``similarity`` percent of all. Each step is a candidate template, and one
 that a different line has too is a template. More lines of a template make its constants more frequent
 still, so they never hide it. A line with too few constants is its own template, all tokens kept. A
@@ -25,7 +25,7 @@ from leafmill.llm.common import written
 
 BLANKS = r"[ \t\r\f\x0B]+"
 FIELD = "<*>"
-BROADCAST_LEAVES, BROADCAST_LINES = 1_000_000, 250_000
+BROADCAST_LEAVES, BROADCAST_LINES, BROADCAST_TOKENS = 1_000_000, 250_000, 1_000_000  # tokens: of 16 bytes
 
 
 def flattened(text: Column) -> Column:
@@ -94,26 +94,36 @@ def line_dedup(
     met = met.groupBy("_branch", "_masked", "_n").agg(F.lit(1).alias("_one")).withColumn("_spare", (F.col("_n") - fields - least).cast("int")).drop("_one")
     met = written(met.withColumn("_line", F.monotonically_increasing_id()), "line-variants")
     # How many lines of the leaf have a token at its place; the leaf's leading tokens are those of all.
-    token = F.col("_token")
-    places = met.select("_branch", "_line", "_spare", F.posexplode(F.split("_masked", " ")).alias("_pos", "_token")).where((F.col("_pos") >= depth) & (token != FIELD))
-    places = places.select("_branch", "_line", "_spare", "_pos", F.xxhash64("_pos", token).alias("_x"), F.xxhash64(token, "_pos").alias("_y"))
-    support = places.groupBy("_branch", "_x").agg(F.count("*").alias("_c"))
-    by_line = places.join(support, ["_branch", "_x"]).groupBy("_line").agg(
-        F.min("_branch").alias("_branch"), F.min("_spare").alias("_spare"), F.bit_xor("_x").alias("_x"), F.bit_xor("_y").alias("_y"), F.sort_array(F.collect_list(F.struct("_c", "_pos", "_x", "_y"))).alias("_all")
-    )  # at most the tokens of one line
-    # Without its one, two, ... rarest tokens; what is left must be met elsewhere, so no token that is alone may stay.
-    alone = F.size(F.filter("_all", lambda t: t["_c"] == 1))
-    rarest = F.slice("_all", 1, F.col("_spare"))
-    start = F.array(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")))
-    left = lambda acc, t: F.struct(F.element_at(acc, -1)["x"].bitwiseXOR(t["_x"]).alias("x"), F.element_at(acc, -1)["y"].bitwiseXOR(t["_y"]).alias("y"))
-    keys = F.aggregate(rarest, start, lambda acc, t: F.concat(acc, F.array(left(acc, t))))
-    general = by_line.where((F.col("_spare") > 0) & (alone <= F.col("_spare"))).select("_line", "_branch", F.posexplode(keys).alias("_j", "_key"), alone.alias("_alone")).where("_j > 0 AND _j >= _alone")
-    general = general.select("_line", F.unhex(F.md5(F.concat_ws(":", "_branch", "_key.x", "_key.y"))).alias("_general"))
+    def places(of: DataFrame, *more: str) -> DataFrame:
+        each = of.select("_line", "_branch", *more, F.posexplode(F.split("_masked", " ")).alias("_pos", "_token")).where((F.col("_pos") >= depth) & (F.col("_token") != FIELD))
+        return each.select("_line", "_pos", *more, F.xxhash64("_branch", "_pos", "_token").alias("_x"))
+
+    # Tokens that all lines of the leaf have are never the rarest; of those that some lack, one that is alone names its line.
+    leaves = written(met.groupBy("_branch").agg(F.count("*").cast("int").alias("_m")), "line-leaf-sizes")
+    sized = met.join(_checked(leaves, BROADCAST_LEAVES), "_branch")
+    support = places(sized, "_m").groupBy("_x").agg(F.count("*").cast("int").alias("_c"), F.min("_line").alias("_line"), F.max("_m").alias("_m")).where("_c < _m")
+    support = written(support.select("_x", "_c", F.when(F.col("_c") == 1, F.col("_line")).alias("_line")), "line-support")
+    # What is left of a line must be met elsewhere, so no token that is alone may stay.
+    alone = support.where("_c = 1").groupBy("_line").agg(F.count("*").cast("int").alias("_alone"))
+    open_ = met.join(alone, "_line", "left").withColumn("_alone", F.coalesce("_alone", F.lit(0))).where("_alone <= _spare")
+    open_ = written(open_.select("_line", "_branch", "_masked", "_spare", "_alone"), "line-candidates")
+    some = written(support.where("_c > 1").select("_x", "_c"), "line-shared-tokens")
+    each = places(open_).join(_checked(some, BROADCAST_TOKENS), "_x").select("_line", "_c", "_pos", "_x")
+    each = each.unionByName(support.where("_c = 1").join(open_.select("_line"), "_line", "left_semi").select("_line", "_c", F.lit(-1).alias("_pos"), "_x"))
+    by_line = each.groupBy("_line").agg(F.sort_array(F.collect_list(F.struct(F.col("_c").alias("c"), F.col("_pos").alias("pos"), F.col("_x").alias("x")))).alias("_all"))  # at most the tokens of one line
+    # The line as it is and without its one, two, ... rarest tokens. A set of tokens is named by two hashes, each the exclusive or of theirs.
+    both = lambda acc, t: F.struct(acc["x"].bitwiseXOR(t["x"]).alias("x"), acc["y"].bitwiseXOR(F.xxhash64(t["x"])).alias("y"))
+    tokens = F.filter(F.transform(F.split("_masked", " "), lambda t, i: F.when((i >= depth) & (t != FIELD), F.struct(F.xxhash64("_branch", i, t).alias("x")))), lambda t: t.isNotNull())
+    whole = F.aggregate(tokens, F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")), both)
+    keys = F.aggregate(F.slice("_all", 1, F.col("_spare")), F.array(whole), lambda acc, t: F.concat(acc, F.array(both(F.element_at(acc, -1), t))))
+    listed = open_.join(by_line, "_line", "left").withColumn("_all", F.coalesce("_all", F.expr("CAST(array() AS array<struct<c:int,pos:int,x:bigint>>)")))
+    general = listed.select("_line", "_branch", "_alone", F.posexplode(keys).alias("_j", "_key")).where("_j >= _alone")
+    general = written(general.select("_line", F.unhex(F.md5(F.concat_ws(":", "_branch", "_key.x", "_key.y"))).alias("_general")), "line-steps")
     met_twice = general.groupBy("_general").agg(F.count("*").alias("_c")).where("_c > 1").select("_general")
-    general = general.join(met_twice, "_general").join(met.select("_line", _digest(F.col("_masked")).alias("_own")), "_line").select("_own", "_general")
+    general = general.join(met_twice, "_general").join(open_.select("_line", _digest(F.col("_masked")).alias("_own")), "_line").select("_own", "_general")
     general = written(general, "line-general")
-    placed = postings.select("_doc", "_row", "_at", F.col("_own").alias("_template"))
-    placed = placed.unionByName(postings.where("_in_leaf").join(_checked(general, BROADCAST_LINES), "_own").select("_doc", "_row", "_at", F.col("_general").alias("_template")))
+    steps = postings.where("_in_leaf").join(_checked(general, BROADCAST_LINES), "_own").select("_doc", "_row", "_at", F.col("_general").alias("_template"))
+    placed = postings.select("_doc", "_row", "_at", F.col("_own").alias("_template")).unionByName(written(steps, "line-placed"))
 
     by_doc = placed.groupBy("_template", "_doc").agg(F.lit(1).alias("_one"))
     recurring = by_doc.groupBy("_template").agg(F.count("*").alias("_n"), F.min("_doc").alias("_home")).where(F.col("_n") >= min_docs)

@@ -123,7 +123,7 @@ WITH lines AS (
 ), alone AS (
   SELECT masked, count(*) FILTER (WHERE c = 1 AND rare IS NOT NULL) AS k FROM ranked GROUP BY masked
 ), steps AS (
-  SELECT v.masked, n, j FROM variants v JOIN alone a ON a.masked = v.masked, unnest(range(greatest(1, k), n + 1)) AS u(j) WHERE constants - j >= 5 AND 100 * (constants - j) >= 80 * n
+  SELECT v.masked, n, j FROM variants v JOIN alone a ON a.masked = v.masked, unnest(range(k, n + 1)) AS u(j) WHERE constants - j >= 5 AND 100 * (constants - j) >= 80 * n
 ), templates AS (
   SELECT t.masked, t.j, string_agg(CASE WHEN r.rare <= t.j THEN '<*>' ELSE r.token END, ' ' ORDER BY r.pos) AS template
   FROM steps t JOIN ranked r ON r.masked = t.masked AND r.n = t.n GROUP BY t.masked, t.j

@@ -134,7 +134,7 @@ def templates_of(rows, depth=3, least=5, similarity=80):
             continue
         leaf = leaves[len(m), m[:depth]]
         rare = sorted((sum(o[k] == t for o in leaf), k) for k, t in enumerate(m) if t != "<*>" and k >= depth)
-        found[line], general = {("same", m)}, list(m)
+        found[line], general = {("same", m), ("general", m)}, list(m)
         for _, k in rare:
             general[k] = "<*>"
             if enough(general):
