@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import new_path, shipped_file, worker_state
 
-CHUNKS, PARTS = 800_000, 1_000_000
+CHUNKS, PARTS = 400_000, 500_000
 LONG = 64  # characters; ids of longer chunks, as of texts without spaces, are not kept
 
 
