@@ -23,6 +23,12 @@ def volume_accuracy(pages: DataFrame, classes: list[set[str]]) -> DataFrame:
     return pages.groupBy("vol").agg(F.avg(F.when(equivalent(F.col("truth"), F.col("pred"), classes), 1.0).otherwise(0.0)).alias("accuracy"))
 
 
+def mean_words(pages: DataFrame) -> DataFrame:
+    """``vol, w``: mean words of a volume's pages, summed in their order, so that the last digit never depends on how rows are dealt to tasks."""
+    w = Window.partitionBy("vol").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return pages.select("vol", "page", F.avg("words").over(w).alias("w")).groupBy("vol").agg(F.max_by("w", "page").alias("w"))
+
+
 def micro_accuracy(pages: DataFrame, variants: dict[str, str]) -> DataFrame:
     """One accuracy for each variant of the prediction (name to column), by pages and by words."""
     items = F.array(*[F.struct(F.lit(n).alias("variant"), F.col(c).alias("p")) for n, c in variants.items()])

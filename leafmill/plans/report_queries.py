@@ -175,7 +175,7 @@ ACC = JUDGED + f", acc AS (SELECT vol, avg(CASE WHEN {SAME} THEN 1.0::DOUBLE ELS
 @query("e16_correlation", "WITH " + ACC + " SELECT round(corr(accuracy, w), 6) AS r FROM acc")
 def e16(spark, d):
     pages = judged(spark, d)
-    both = E.volume_accuracy(pages, CLASSES).join(pages.groupBy("vol").agg(F.avg("words").alias("w")), "vol")
+    both = E.volume_accuracy(pages, CLASSES).join(E.mean_words(pages), "vol")
     return both.agg(F.round(F.corr("accuracy", "w"), 6).alias("r"))
 
 
@@ -195,7 +195,7 @@ def e19(spark, d):
 @query("e20_threshold_agreement", "WITH " + ACC + " SELECT count(*) FILTER (WHERE accuracy > 0.9 AND w > 50) AS both_pass, count(*) FILTER (WHERE accuracy <= 0.9 AND w <= 50) AS both_fail, count(*) FILTER (WHERE (accuracy > 0.9) <> (w > 50)) AS one FROM acc")
 def e20(spark, d):
     pages = judged(spark, d)
-    both = E.volume_accuracy(pages, CLASSES).join(pages.groupBy("vol").agg(F.avg("words").alias("w")), "vol")
+    both = E.volume_accuracy(pages, CLASSES).join(E.mean_words(pages), "vol")
     a, w = F.col("accuracy") > 0.9, F.col("w") > 50
     return both.agg(F.count_if(a & w).alias("both_pass"), F.count_if(~a & ~w).alias("both_fail"), F.count_if(a != w).alias("one"))
 

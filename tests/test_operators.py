@@ -353,6 +353,14 @@ def test_size_audit(spark):
     assert [tuple(r) for r in confidence.size_audit(pages, 3).orderBy("rank").collect()] == [(1, "b", 5), (2, "a", 2), (3, "c", 2)]
 
 
+def test_mean_words_in_page_order(spark):
+    words = [0.1, 0.2, 0.3, 1e16, -1e16, 50.7]
+    want = (((((0.1 + 0.2) + 0.3) + 1e16) - 1e16) + 50.7) / 6  # the small ones are lost in the large one
+    for seed in range(3):
+        pages = spark.createDataFrame(random.Random(seed).sample(list(enumerate(words)), len(words)), "page int, words double").select(F.lit("v").alias("vol"), "page", "words").repartition(4)
+        assert evaluate.mean_words(pages).first().w == want
+
+
 def test_specialist_cascade(spark):
     p = lambda *rows: spark.createDataFrame([(v, g, i, c, x) for v, g, cs in rows for i, (c, x) in enumerate(cs)], "vol string, page int, idx int, category string, p double")
     main = p(*[(v, g, [("non", 0.6), ("fic", 0.4)]) for v in "abcd" for g in (0, 1)])
