@@ -7,7 +7,8 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,14 +98,28 @@ def training_confusion(models: dict, train: DataFrame) -> DataFrame:
     return confusion_at_half(score(models, train), list(models))
 
 
-def forest(train: DataFrame, trees: int = 500, per_split: int = 40, seed: int = 10):
-    """A random forest on ``features`` and ``label``."""
-    return RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(per_split), seed=seed).fit(train)
+def in_cells(train: DataFrame, cells: int) -> DataFrame:
+    """``train`` with every component of ``features`` at the middle of its cell, of ``cells`` equal ones over the component's range."""
+    r = train.select(Summarizer.metrics("min", "max").summary(F.col("features")).alias("s")).select("s.min", "s.max").first()
+    low, width = (F.array(*[F.lit(float(x)) for x in a]) for a in (r[0], (r[1].toArray() - r[0].toArray()) / cells))
+    middle = lambda x, i: F.get(low, i) + (F.least(F.floor((x - F.get(low, i)) / F.get(width, i)), F.lit(cells - 1)) + 0.5) * F.get(width, i)
+    snapped = F.transform(vector_to_array("features"), lambda x, i: F.when(F.get(width, i) > 0, middle(x, i)).otherwise(x))
+    return train.withColumn("features", array_to_vector(snapped))
 
 
-def category_forests(train: DataFrame, categories: list[str], trees: int = 500, per_split: int = 22, seed: int = 10) -> dict:
+def forest(train: DataFrame, trees: int = 500, per_split: int = 40, seed: int = 10, cells: int | None = None):
+    """A random forest on ``features`` and ``label``.
+
+    Spark splits a component at 31 places at most, by default its quantiles, so a gap between two
+    quantiles is missed. With ``cells`` (32 at most) they are the bounds of equal cells of its range: a
+    gap wider than a cell is always one of them. Pages are scored as they are.
+    """
+    return RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(per_split), seed=seed).fit(in_cells(train, cells) if cells else train)
+
+
+def category_forests(train: DataFrame, categories: list[str], trees: int = 500, per_split: int = 22, seed: int = 10, cells: int | None = None) -> dict:
     """A random forest for each category against all others; ``score`` applies them."""
-    return {g: forest(train.withColumn("label", (F.col("category") == g).cast("double")), trees, per_split, seed) for g in categories}
+    return {g: forest(train.withColumn("label", (F.col("category") == g).cast("double")), trees, per_split, seed, cells) for g in categories}
 
 
 def all_vs_all(train: DataFrame, categories: list[str], ridge: float = 0.002, iterations: int = 50) -> dict:

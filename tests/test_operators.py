@@ -361,6 +361,15 @@ def test_mean_words_in_page_order(spark):
         assert evaluate.mean_words(pages).first().w == want
 
 
+def test_forest_finds_gap_between_quantiles(spark):
+    rng = random.Random(7)
+    rows = [(float(i % 20 == 0), [rng.random() + (8.0 if i % 20 == 0 else 0.0), rng.random()]) for i in range(4000)]  # the gap is at 95 percent, between the 30th and 31st of 32 quantiles
+    train, edges = (spark.createDataFrame(x, "label double, x array<double>").select("label", array_to_vector("x").alias("features")) for x in (rows, [(0.0, [1.0, 0.5]), (1.0, [7.9, 0.5])]))
+    wrong = lambda model: model.transform(edges).where("prediction <> label").count()
+    assert wrong(models.forest(train, trees=3, per_split=2)) > 0
+    assert wrong(models.forest(train, trees=3, per_split=2, cells=32)) == 0
+
+
 def test_specialist_cascade(spark):
     p = lambda *rows: spark.createDataFrame([(v, g, i, c, x) for v, g, cs in rows for i, (c, x) in enumerate(cs)], "vol string, page int, idx int, category string, p double")
     main = p(*[(v, g, [("non", 0.6), ("fic", 0.4)]) for v in "abcd" for g in (0, 1)])
