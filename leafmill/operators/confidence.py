@@ -198,10 +198,21 @@ def drawn_pages(draws: DataFrame, pages: DataFrame) -> DataFrame:
     return draws.join(placed, ["vol", "ordinal"], "left")
 
 
-def size_audit(pages: DataFrame, most: int = 100) -> DataFrame:
-    """``rank, vol, pages``: the ``most`` largest volumes, largest first, equal ones by name."""
-    top = pages.groupBy("vol").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "vol").limit(most)
-    return top.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("pages"), "vol")).alias("rank"), "vol", "pages")  # at most ``most`` rows
+def size_audit(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """``rank, vol, pages``: all volumes, largest first, equal ones by name; with ``most`` the first so many.
+
+    Volumes are numbered inside the ranges of their order; the counts of the ranges before, as many as there are ranges, are added.
+    """
+    sizes = pages.groupBy("vol").agg(F.count("*").alias("pages"))
+    if most is not None:
+        sizes = sizes.orderBy(F.desc("pages"), F.asc_nulls_last("vol")).limit(most)
+    order = sizes.repartitionByRange(F.desc("pages"), F.asc_nulls_last("vol")).sortWithinPartitions(F.desc("pages"), F.asc_nulls_last("vol"))
+    ranges = written(order.select("vol", "pages", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "volume-sizes")
+    shifts, before = [F.lit(-1), F.lit(0).cast("long")], 0
+    for r in ranges.groupBy("part").agg(F.count("*").alias("size"), F.min("at").alias("first")).orderBy("part").collect():
+        shifts += [F.lit(r.part), F.lit(before - r["first"] + 1).cast("long")]
+        before += r["size"]
+    return ranges.select((F.col("at") + F.element_at(F.create_map(*shifts), F.col("part"))).cast("int").alias("rank"), "vol", "pages")
 
 
 def yearly_share(pages: DataFrame, reach: int = 2) -> DataFrame:

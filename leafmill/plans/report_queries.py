@@ -398,9 +398,9 @@ def o21(spark, d):
     return O.yearly_share(pages).select("year", F.round("share", 6).alias("share"), F.round("smoothed", 6).alias("smoothed"))
 
 
-@query("o22_size_audit", "WITH " + EVENT_PAGES + ", n AS (SELECT vol, count(*) AS pages FROM event_pages GROUP BY vol) SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY pages DESC, vol) AS INTEGER) AS rank, vol, pages FROM n) x WHERE rank <= 100")
+@query("o22_size_audit", "WITH " + EVENT_PAGES + ", n AS (SELECT vol, count(*) AS pages FROM event_pages GROUP BY vol) SELECT CAST(row_number() OVER (ORDER BY pages DESC, vol) AS INTEGER) AS rank, vol, pages FROM n")
 def o22(spark, d):
-    return O.size_audit(event_pages(spark, d), 100)
+    return O.size_audit(event_pages(spark, d))
 
 
 # Metadata

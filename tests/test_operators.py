@@ -353,6 +353,12 @@ def test_size_audit(spark):
     assert [tuple(r) for r in confidence.size_audit(pages, 3).orderBy("rank").collect()] == [(1, "b", 5), (2, "a", 2), (3, "c", 2)]
 
 
+def test_size_audit_ranks_every_volume(spark):
+    pages = spark.range(150).select(F.col("id").alias("vol"), F.explode(F.sequence(F.lit(0), F.col("id") % 7)).alias("page"))
+    want = sorted(((v % 7 + 1, v) for v in range(150)), key=lambda x: (-x[0], x[1]))
+    assert [tuple(r) for r in confidence.size_audit(pages).orderBy("rank").collect()] == [(i + 1, v, n) for i, (n, v) in enumerate(want)]
+
+
 def test_mean_words_in_page_order(spark):
     words = [0.1, 0.2, 0.3, 1e16, -1e16, 50.7]
     want = (((((0.1 + 0.2) + 0.3) + 1e16) - 1e16) + 50.7) / 6  # the small ones are lost in the large one
