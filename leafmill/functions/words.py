@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Punctuation that is stripped from tokens, and the same without marks of two characters.
 PUNCTUATION = r"""[.,?!;"“”:—)('`\[\]{}]"""
+MARKS = ".,?!;\"“”:—)('`[]{}"  # the same marks as a list
 # Marks that are erased from fragments of words, hyphens among them.
 ERASED = ".,():-—;\"!?•$%@“”#<>+=/[]*^'{}_■~\\|«»©&~`£·"
 # Honorifics.
@@ -42,7 +43,8 @@ def tokens_of(line: Column) -> Column:
 
 def stripped(token: Column) -> Column:
     """A token without punctuation at its ends; one character is always left."""
-    return F.regexp_replace(F.regexp_replace(token, f"(?<=.){PUNCTUATION}+$", ""), f"^{PUNCTUATION}+(?=.)", "")
+    bare = F.btrim(token, F.lit(MARKS))
+    return F.when(bare == "", F.left(token, F.lit(1))).otherwise(bare)
 
 
 def without_punctuation(token: Column) -> Column:

@@ -79,13 +79,22 @@ def word_counts(tokens: DataFrame, with_caps: bool = False) -> DataFrame:
 
 def lexicon_of(tokens: DataFrame, least: int) -> DataFrame:
     """``word, n``: stripped lower-case tokens that occur at least ``least`` times."""
-    return lexicon_of_counts(tokens.select(F.lower("token").alias("word"), F.lit(1).alias("n")), least)
+    return _frequent(tokens.groupBy(words.stripped(F.lower("token")).alias("word")).agg(F.count("*").alias("n")), least)
 
 
 def lexicon_of_counts(counts: DataFrame, least: int) -> DataFrame:
     """The same from counts of lower-case tokens (``word, n``): a token is stripped once for each count."""
-    plain = counts.select(words.stripped(F.col("word")).alias("word"), "n").where(F.col("word").rlike(r"^\p{L}+$"))
-    return plain.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return _frequent(counts.groupBy(words.stripped(F.col("word")).alias("word")).agg(F.sum("n").alias("n")), least)
+
+
+def _frequent(counted: DataFrame, least: int) -> DataFrame:
+    """Counted words of letters alone; the letters are looked at only where the count is high enough."""
+    return counted.where(F.when(F.col("n") >= least, F.col("word").rlike(r"^\p{L}+$")).otherwise(False))
+
+
+def known_of(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``vol, page, known`` of every token: 1 where its stripped lower-case form is in the lexicon, else null."""
+    return tokens.select(*PAGE, F.lower(words.stripped(F.col("token"))).alias("word")).join(lexicon.select("word", F.lit(1).alias("known")), "word", "left").select(*PAGE, "known")
 
 
 def normal_form(tokens: DataFrame, lexicon: DataFrame, personal: DataFrame, places: DataFrame) -> DataFrame:

@@ -157,8 +157,7 @@ def l12(spark, d):
 @query("l15_lexicon_membership", "WITH " + LEXICON + " SELECT vol, page, count(*) AS n, count(*) FILTER (WHERE word IN (SELECT word FROM lexicon)) AS known FROM plain GROUP BY vol, page")
 def l15(spark, d):
     t = tokens_of(spark, d)
-    known = L.lexicon_of(t, 20).select("word", F.lit(1).alias("known"))
-    return t.select("vol", "page", F.lower(words.stripped(F.col("token"))).alias("word")).join(known, "word", "left").groupBy("vol", "page").agg(F.count("*").alias("n"), F.count("known").alias("known"))
+    return L.known_of(t, written(L.lexicon_of(t, 20), "lexicon")).groupBy("vol", "page").agg(F.count("*").alias("n"), F.count("known").alias("known"))
 
 
 @query("l16_without_alphanumerics", "WITH " + TOKENS + r" SELECT vol, page, count(*) AS n FROM tokens WHERE NOT regexp_matches(token, '[\p{L}\p{Nd}]') GROUP BY vol, page")

@@ -376,6 +376,25 @@ def test_forest_finds_gap_between_quantiles(spark):
     assert wrong(models.forest(train, trees=3, per_split=2, cells=32)) == 0
 
 
+def test_stripped_trims_without_a_pattern(spark):
+    import itertools
+    import re
+
+    texts = ["".join(x) for n in range(5) for x in itertools.product(".a\"—é'[-", repeat=n)]
+    p = words.PUNCTUATION
+    df = spark.createDataFrame([(x,) for x in texts], "x string").select("x", words.stripped(F.col("x")).alias("y"))
+    assert all(r.y == re.sub(f"^{p}+(?=.)", "", re.sub(f"(?<=.){p}+$", "", r.x)) for r in df.collect())
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lexicon_looks_at_letters_after_counting(spark):
+    t = spark.createDataFrame([(w,) for w in ["The", "the,", "(the)", "a1", "a1", "a1", "ox", "..."]], "token string")
+    lexicon = lines.lexicon_of(t, 3)
+    assert [tuple(r) for r in lexicon.collect()] == [("the", 3)]
+    plan = lexicon._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("Aggregate")
+
+
 def test_specialist_cascade(spark):
     p = lambda *rows: spark.createDataFrame([(v, g, i, c, x) for v, g, cs in rows for i, (c, x) in enumerate(cs)], "vol string, page int, idx int, category string, p double")
     main = p(*[(v, g, [("non", 0.6), ("fic", 0.4)]) for v in "abcd" for g in (0, 1)])
