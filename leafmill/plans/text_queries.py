@@ -234,8 +234,7 @@ def l22(spark, d):
 @query("l27_flags", "WITH " + LEXICON + ", m AS (SELECT vol, count(*) AS n, avg(CASE WHEN word IN (SELECT word FROM lexicon) THEN 1.0::DOUBLE ELSE 0.0 END) AS rate FROM plain GROUP BY vol) SELECT vol, CASE WHEN n < 10 THEN 'short' WHEN rate < 0.6 THEN 'not english' ELSE 'good' END AS status FROM m")
 def l27(spark, d):
     t = tokens_of(spark, d)
-    known = L.lexicon_of(t, 20).select("word", F.lit(1).alias("known"))
-    m = t.select("vol", F.lower(words.stripped(F.col("token"))).alias("word")).join(known, "word", "left").groupBy("vol").agg(F.count("*").alias("n"), F.avg(F.when(F.col("known").isNull(), 0.0).otherwise(1.0)).alias("rate"))
+    m = L.known_of(t, written(L.lexicon_of(t, 20), "lexicon")).groupBy("vol").agg(F.count("*").alias("n"), F.avg(F.when(F.col("known").isNull(), 0.0).otherwise(1.0)).alias("rate"))
     return m.select("vol", F.when(F.col("n") < 10, "short").when(F.col("rate") < 0.6, "not english").otherwise("good").alias("status"))
 
 
