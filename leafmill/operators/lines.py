@@ -98,14 +98,18 @@ def known_of(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def normal_form(tokens: DataFrame, lexicon: DataFrame, personal: DataFrame, places: DataFrame) -> DataFrame:
-    """Each token's logged form: number and name classes, or its normalised word. Rule tables: ``word``."""
+    """Each token's logged form: number and name classes, or its normalised word. Rule tables: ``word``.
+
+    ``tokens`` are tokens or counted ones (``token`` and any other columns); ``case`` and ``form`` are added.
+    """
+    own = tokens.columns
     t = tokens.where(~words.no_alphanumeric(F.col("token"))).withColumn("case", words.case_of(F.col("token")))
     t = t.withColumn("plain", words.without_possessive(words.stripped(words.normal_case(F.col("token"))))).withColumn("word", F.lower("plain"))
     for table, flag in ((lexicon, "known"), (personal, "personal"), (places, "place")):
         t = t.join(table.select("word", F.lit(True).alias(flag)), "word", "left")
     number, capital = words.number_class(F.col("plain")), F.col("case").isin("title", "upper")
     return t.select(
-        *PAGE, "line", "pos", "token", "case",
+        *own, "case",
         F.when(roman_numeral(F.col("word")), "romannumeral")
         .when(number.isNotNull(), number)
         .when(capital & F.col("personal").isNotNull(), "personalname")

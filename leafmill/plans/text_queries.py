@@ -200,8 +200,9 @@ L14_L19_L21_FORMS_SQL = (
 @query("l14_l19_l21_forms", L14_L19_L21_FORMS_SQL)
 @query("l14_l19_l21_forms_all", L14_L19_L21_FORMS_SQL)
 def l19_all(spark, d):
-    t = written(tokens_of(spark, d), "tokens")
-    return L.normal_form(t, *rules_of(t)).groupBy("vol", "form").agg(F.count("*").alias("n"))
+    counts = written(tokens_of(spark, d).groupBy("vol", "token").agg(F.count("*").alias("n")), "volume-tokens")
+    rules = rules_of_lexicon(L.lexicon_of_counts(counts.select(F.lower("token").alias("word"), "n"), 20))
+    return L.normal_form(counts, *rules).groupBy("vol", "form").agg(F.sum("n").alias("n"))
 
 
 @query("l20_allcaps_words", "WITH " + TOKENS + f" SELECT vol, page, count(*) FILTER (WHERE {CASE} = 'upper') AS allcaps FROM tokens GROUP BY vol, page")

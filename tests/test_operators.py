@@ -376,6 +376,14 @@ def test_forest_finds_gap_between_quantiles(spark):
     assert wrong(models.forest(train, trees=3, per_split=2, cells=32)) == 0
 
 
+def test_normal_form_of_counted_tokens(spark):
+    word = lambda *xs: spark.createDataFrame([(x,) for x in xs], "word string")
+    counts = spark.createDataFrame([("v", "Rome,", 3), ("v", "xiv", 2), ("w", "--", 5)], "vol string, token string, n long")
+    got = lines.normal_form(counts, word("rome"), word("anna"), word("rome"))
+    assert got.columns == ["vol", "token", "n", "case", "form"]
+    assert sorted((r.vol, r.n, r.form) for r in got.collect()) == [("v", 2, "romannumeral"), ("v", 3, "placename")]
+
+
 def test_stripped_trims_without_a_pattern(spark):
     import itertools
     import re
