@@ -47,6 +47,11 @@ def stripped(token: Column) -> Column:
     return F.when(bare == "", F.left(token, F.lit(1))).otherwise(bare)
 
 
+def stripped_by_pattern(token: Column) -> Column:
+    """The same for a token that is itself costly to make: it is named, and so worked out, only once."""
+    return F.regexp_replace(F.regexp_replace(token, f"(?<=.){PUNCTUATION}+$", ""), f"^{PUNCTUATION}+(?=.)", "")
+
+
 def without_punctuation(token: Column) -> Column:
     """A token without any of the marks that are erased from fragments."""
     return F.translate(token, ERASED, "")

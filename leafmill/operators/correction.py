@@ -64,7 +64,7 @@ def verse_word_counts(tagged: DataFrame, lexicon: DataFrame, personal: DataFrame
     unknown words in title case as ``titlecasenodict``; other unknown tokens don't count.
     """
     t = tagged.select(*PAGE, "verse", F.explode(words.tokens_of(F.col("text"))).alias("token")).withColumn("case", words.case_of(F.col("token")))
-    t = t.withColumn("plain", words.without_possessive(words.stripped(words.normal_case(F.col("token"))))).withColumn("low", F.lower("plain"))
+    t = t.withColumn("plain", words.without_possessive(words.stripped_by_pattern(words.normal_case(F.col("token"))))).withColumn("low", F.lower("plain"))
     for table, flag in ((lexicon, "known"), (personal, "personal")):
         t = t.join(table.select(F.col("word").alias("low"), F.lit(True).alias(flag)), "low", "left")
     form = (

@@ -104,7 +104,7 @@ def normal_form(tokens: DataFrame, lexicon: DataFrame, personal: DataFrame, plac
     """
     own = tokens.columns
     t = tokens.where(~words.no_alphanumeric(F.col("token"))).withColumn("case", words.case_of(F.col("token")))
-    t = t.withColumn("plain", words.without_possessive(words.stripped(words.normal_case(F.col("token"))))).withColumn("word", F.lower("plain"))
+    t = t.withColumn("plain", words.without_possessive(words.stripped_by_pattern(words.normal_case(F.col("token"))))).withColumn("word", F.lower("plain"))
     for table, flag in ((lexicon, "known"), (personal, "personal"), (places, "place")):
         t = t.join(table.select("word", F.lit(True).alias(flag)), "word", "left")
     number, capital = words.number_class(F.col("plain")), F.col("case").isin("title", "upper")
