@@ -20,13 +20,19 @@ from leafmill.sources import files, sinks
 from leafmill.sources.staged import new_path, written
 from leafmill.sources.tables import CATEGORIES, event_pages, event_predictions, event_probabilities, table, volume_lines, volume_pages
 
+FILE_TASKS = 4  # for each core, where volumes are written to files of their own
 SEQ_LINES = LINES + ", seqs AS (SELECT vol, page, CAST(row_number() OVER (PARTITION BY vol ORDER BY page) - 1 AS INTEGER) AS seq FROM vol_pages)"
 
 
 def in_folders(spark, rows, label, **options):
-    """``rows(vol, value)`` as text files, one folder a volume; the path."""
+    """``rows(vol, value)`` as text files, one folder a volume; the path.
+
+    The cost is that of the files, so volumes are dealt over a fixed number of tasks: by their few bytes they would be one. Tasks move
+    their own files to the folder, as nothing reads it before all are there; else the driver would move the folders of all volumes one by one.
+    """
     path = new_path(spark, label)
-    rows.select("vol", "value").repartition("vol").write.partitionBy("vol").options(**options).text(path)
+    own = {"mapreduce.fileoutputcommitter.algorithm.version": "2"} | options
+    rows.select("vol", "value").repartition(FILE_TASKS * spark.sparkContext.defaultParallelism, "vol").write.partitionBy("vol").options(**own).text(path)
     return path
 
 
