@@ -48,7 +48,9 @@ def features_of(spark, d):
 
 
 def word_features_of(spark, d):
-    return L.word_counts(L.tokens(volume_lines(spark, d))).select("vol", "page", F.col("word").alias("feature"), F.col("n").alias("count"))
+    """Words of the pages, volume by volume: texts are shuffled, and neither counts nor what is summed by page or volume after that."""
+    lines = volume_lines(spark, d).repartition("vol")
+    return L.word_counts(L.tokens(lines)).select("vol", "page", F.col("word").alias("feature"), F.col("n").alias("count"))
 
 
 def word_and_line_features_of(spark, d):

@@ -18,6 +18,12 @@ def odd_lines(spark):
     return spark.createDataFrame([("vw"[p % 2], p, i, rng.choice(ODD) + rng.choice([" ", ""]) + rng.choice(ODD)) for p in range(30) for i in range(rng.randrange(1, 6))], LINES)
 
 
+def test_shares_of_words_shuffle_texts_only(spark):
+    shares = V.relative_frequencies(page_queries.word_features_of(spark, "/root/testdata/sf0.001")).groupBy("vol", "feature").agg(F.sum("share"))
+    plan = shares._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(vol" in plan
+
+
 def test_files_of_small_volumes_are_written_by_many_tasks(spark):
     rows = spark.range(400).select(F.col("id").alias("vol"), F.lit("a").alias("value"))
     path = store_queries.in_folders(spark, rows, "many-volumes")
