@@ -24,9 +24,14 @@ def disambiguate(tokens: DataFrame, pairs: DataFrame, bigrams: DataFrame, logs:
     A form's weight is the product of its bigram weights (``bigrams(a, b, weight)``) with the words
     before and after; a pair that isn't there weighs ``UNSEEN`` plus the form's log frequency. Equal
     weights keep the word. ``logs(word, log)``. The first and last words of a volume have one neighbour.
+    Tokens that come with ``before`` and ``after`` need no order.
     """
     w = in_volume()
-    t = tokens.withColumn("word", F.lower("token")).withColumn("before", F.lag("word").over(w)).withColumn("after", F.lead("word").over(w))
+    t = tokens.withColumn("word", F.lower("token"))
+    if "before" in tokens.columns:
+        t = t.withColumn("before", F.lower("before")).withColumn("after", F.lower("after"))
+    else:
+        t = t.withColumn("before", F.lag("word").over(w)).withColumn("after", F.lead("word").over(w))
     t = t.join(pairs.select(F.col("first").alias("word"), F.col("second").alias("other")), "word", "left")
     suspect = t.where(F.col("other").isNotNull())
     for form, name in (("word", "j"), ("other", "h")):

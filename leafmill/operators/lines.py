@@ -71,6 +71,26 @@ def tokens(lines: DataFrame) -> DataFrame:
     return own.select(*PAGE, "line", F.posexplode(words.tokens_of(F.col("text"))).alias("pos", "token"))
 
 
+def neighboured_tokens(lines: DataFrame) -> DataFrame:
+    """``tokens(lines)`` with ``before`` and ``after``, their neighbours in the volume; the window is over lines, and texts are shuffled instead of tokens."""
+    by_line = Window.partitionBy("vol").orderBy("page", "line")
+    own = lines.where(~words.is_markup(F.col("text"))).select(*PAGE, "line", "text").repartition("vol").select(*PAGE, "line", words.tokens_of(F.col("text")).alias("own_")).where(F.size("own_") > 0)
+    own = own.withColumn("last_", F.lag(F.element_at("own_", -1)).over(by_line)).withColumn("next_", F.lead(F.get("own_", F.lit(0))).over(by_line))
+    size = F.size("own_")
+    own = own.select(*PAGE, "line", "own_", F.concat(F.array("last_"), F.slice("own_", F.lit(1), size - 1)).alias("before_"), F.concat(F.slice("own_", F.lit(2), size), F.array("next_")).alias("after_"))
+    told = own.select(*PAGE, "line", F.posexplode(F.arrays_zip("own_", "before_", "after_")).alias("pos", "w_"))
+    return told.select(*PAGE, "line", "pos", F.col("w_.own_").alias("token"), F.col("w_.before_").alias("before"), F.col("w_.after_").alias("after"))
+
+
+def token_counts(lines: DataFrame) -> DataFrame:
+    """``token, n``: the tokens of lines that are not markup, counted.
+
+    What makes tokens of a line looks at nothing beyond white space, so words between spaces are counted first and each is taken apart once.
+    """
+    own = lines.where(~words.is_markup(F.col("text"))).select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return own.select(F.explode(words.tokens_of(F.col("word"))).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
+
+
 def word_counts(tokens: DataFrame, with_caps: bool = False) -> DataFrame:
     """``vol, page, word, n``; tokens without letters and digits are left out. With ``with_caps`` also ``caps``: those in capitals."""
     caps = [F.count_if(words.case_of(F.col("token")) == "upper").alias("caps")] * with_caps
@@ -87,6 +107,11 @@ def lexicon_of_counts(counts: DataFrame, least: int) -> DataFrame:
     return _frequent(counts.groupBy(words.stripped(F.col("word")).alias("word")).agg(F.sum("n").alias("n")), least)
 
 
+def lexicon_of_lines(lines: DataFrame, least: int) -> DataFrame:
+    """The same from lines."""
+    return lexicon_of_counts(token_counts(lines).select(F.lower("token").alias("word"), "n"), least)
+
+
 def _frequent(counted: DataFrame, least: int) -> DataFrame:
     """Counted words of letters alone; the letters are looked at only where the count is high enough."""
     return counted.where(F.when(F.col("n") >= least, F.col("word").rlike(r"^\p{L}+$")).otherwise(False))
@@ -125,9 +150,8 @@ def roman_numeral(word: Column) -> Column:
 
 
 def match_rates(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Per volume: tokens, and the share of non-numeric ones found in the lexicon as they are or with the following one fused."""
-    w = Window.partitionBy("vol").orderBy("page", "line", "pos")
-    t = tokens.withColumn("word", F.lower(words.stripped(F.col("token")))).withColumn("fused", F.concat("word", F.lead("word").over(w)))
+    """Per volume: tokens, and the share of non-numeric ones found in the lexicon as they are or with the following one (``after``) fused."""
+    t = tokens.withColumn("word", F.lower(words.stripped(F.col("token")))).withColumn("fused", F.concat("word", F.lower(words.stripped(F.col("after")))))
     t = t.where(~words.mostly_numeric(F.col("token")) & ~words.no_alphanumeric(F.col("token")))
     known = lexicon.select("word", F.lit(1).alias("known"))
     t = t.join(known, "word", "left").join(known.select(F.col("word").alias("fused"), F.col("known").alias("pair")), "fused", "left")

@@ -228,8 +228,8 @@ SELECT vol, count(*) AS tokens, avg(CASE WHEN word IN (SELECT word FROM lexicon)
 FROM f WHERE NOT ({DIGITS} > 0.35 * length(token)) AND regexp_matches(token, '[\p{{L}}\p{{Nd}}]') GROUP BY vol""",
 )
 def l22(spark, d):
-    t = tokens_of(spark, d)
-    return L.match_rates(t, written(L.lexicon_of(t, 20), "lexicon"))
+    lines = volume_lines(spark, d)
+    return L.match_rates(L.neighboured_tokens(lines), written(L.lexicon_of_lines(lines, 20), "lexicon"))
 
 
 @query("l27_flags", "WITH " + LEXICON + ", m AS (SELECT vol, count(*) AS n, avg(CASE WHEN word IN (SELECT word FROM lexicon) THEN 1.0::DOUBLE ELSE 0.0 END) AS rate FROM plain GROUP BY vol) SELECT vol, CASE WHEN n < 10 THEN 'short' WHEN rate < 0.6 THEN 'not english' ELSE 'good' END AS status FROM m")
@@ -323,10 +323,12 @@ SELECT vol, word, CASE WHEN coalesce(hb, dh) * coalesce(ha, dh) > coalesce(jb, d
 def l32(spark, d):
     from leafmill.operators import correction as K
 
-    t = tokens_of(spark, d)
-    low = t.withColumn("word", F.lower("token"))
-    counts = low.groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
-    bigrams = low.select(F.col("word").alias("a"), F.lead("word").over(K.in_volume()).alias("b")).where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("weight")).where("weight >= 3")
+    lines = volume_lines(spark, d)
+    t = L.neighboured_tokens(lines)
+    counts = written(L.token_counts(lines).groupBy(F.lower("token").alias("word")).agg(F.sum("n").alias("n")).where("n >= 5"), "word-counts")
+    near = t.select(F.lower("token").alias("a"), F.lower("after").alias("b")).where("b IS NOT NULL")
+    near = near.where("contains(a, 'f') OR contains(b, 'f') OR contains(a, 's') OR contains(b, 's')")  # a suspect word has an f, the other form an s
+    bigrams = near.groupBy("a", "b").agg(F.count("*").alias("weight")).where("weight >= 3")
     pairs = counts.where(F.col("word").contains("f")).select(F.col("word").alias("first"), F.replace("word", F.lit("f"), F.lit("s")).alias("second"))
     found = K.disambiguate(t, pairs, bigrams, counts.select("word", F.round(F.log("n"), 6).alias("log")))
     return found.groupBy("vol", "word", "form").agg(F.count("*").alias("n"))

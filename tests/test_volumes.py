@@ -18,6 +18,20 @@ def odd_lines(spark):
     return spark.createDataFrame([("vw"[p % 2], p, i, rng.choice(ODD) + rng.choice([" ", ""]) + rng.choice(ODD)) for p in range(30) for i in range(rng.randrange(1, 6))], LINES)
 
 
+def test_neighbours_are_found_by_a_window_over_lines(spark):
+    got = L.neighboured_tokens(odd_lines(spark))
+    w = Window.partitionBy("vol").orderBy("page", "line", "pos")
+    want = L.tokens(odd_lines(spark)).withColumn("before", F.lag("token").over(w)).withColumn("after", F.lead("token").over(w))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")
+
+
+def test_tokens_counted_by_words_between_spaces_are_those_of_the_lines(spark):
+    want = L.tokens(odd_lines(spark)).groupBy("token").agg(F.count("*").alias("n"))
+    assert sorted(map(str, L.token_counts(odd_lines(spark)).collect())) == sorted(map(str, want.collect()))
+
+
 def test_shares_of_words_shuffle_texts_only(spark):
     shares = V.relative_frequencies(page_queries.word_features_of(spark, "/root/testdata/sf0.001")).groupBy("vol", "feature").agg(F.sum("share"))
     plan = shares._jdf.queryExecution().executedPlan().toString()
