@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import lines as L
 from leafmill.operators import vectors as V
-from leafmill.plans import page_queries, store_queries
+from leafmill.plans import page_queries, repair_queries, store_queries
 
 LINES = "vol string, page int, line int, text string"
 ODD = ["", "a, b,c", "<pb>", "x,,y: z", "f", "g—h  i_j", "  ", "k\tl ,m", "n -- o", "1,2,3", "”p;q", "r,", ",s ,,,t"]
@@ -43,3 +43,8 @@ def test_files_of_small_volumes_are_written_by_many_tasks(spark):
     path = store_queries.in_folders(spark, rows, "many-volumes")
     names = [r.f for r in spark.read.text(path).select(F.col("_metadata.file_name").alias("f")).collect()]
     assert len(names) == 400 and len({n.split("-")[1] for n in names}) > spark.sparkContext.defaultParallelism
+
+
+def test_words_are_broken_once_each(spark):
+    plan = repair_queries.l25_segments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("md5") < plan.index("Aggregate [w#")  # the distinct words are below
