@@ -229,7 +229,7 @@ FROM f WHERE NOT ({DIGITS} > 0.35 * length(token)) AND regexp_matches(token, '[\
 )
 def l22(spark, d):
     lines = volume_lines(spark, d)
-    return L.match_rates(L.neighboured_tokens(lines), written(L.lexicon_of_lines(lines, 20), "lexicon"))
+    return L.match_rates(L.tokens(lines), written(L.lexicon_of_lines(lines, 20), "lexicon"))
 
 
 @query("l27_flags", "WITH " + LEXICON + ", m AS (SELECT vol, count(*) AS n, avg(CASE WHEN word IN (SELECT word FROM lexicon) THEN 1.0::DOUBLE ELSE 0.0 END) AS rate FROM plain GROUP BY vol) SELECT vol, CASE WHEN n < 10 THEN 'short' WHEN rate < 0.6 THEN 'not english' ELSE 'good' END AS status FROM m")
