@@ -27,8 +27,11 @@ def confidence_model(volumes: DataFrame, features: list[str], label: str, c: flo
 
 
 def category_confidence(volumes: DataFrame, categories: list[str], features: list[str], label: str, c: float = 0.1) -> DataFrame:
-    """``volumes(vol, category, pages, ..)`` with ``score``: each category by a model of its own, fitted to the volumes that have pages of it."""
-    parts = []
+    """``volumes(vol, category, pages, ..)`` with ``score``: each category by a model of its own, fitted to the volumes that have pages of it.
+
+    The volumes are written once; counts, fits and scores of all categories read them.
+    """
+    volumes, parts = written(volumes, "category-volumes"), []
     for g in categories:
         own = volumes.where((F.col("category") == g) & (F.col("pages") > 0))
         parts.append(apply_confidence(*confidence_model(own, features, label, c), own))

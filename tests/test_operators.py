@@ -456,3 +456,11 @@ def test_appended_metadata_has_one_header(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.metadata_tsv(spark.createDataFrame([("1",)], "id string"), path)
     assert files.appended_metadata(spark, path).count() == 3
+
+
+def test_category_models_read_volumes_that_were_written(spark):
+    rows = [(i, g, i % 3, i % 5 / 4, float(i % 2)) for i in range(40) for g in ("fic", "poe")]
+    volumes = spark.createDataFrame(rows, "vol long, category string, pages int, proportion double, good double")
+    scored = fits.category_confidence(volumes, ["fic", "poe"], ["proportion"], "good")
+    assert scored.inputFiles() and all("category-volumes" in f for f in scored.inputFiles())
+    assert sorted((r.vol, r.category) for r in scored.collect()) == sorted((r[0], r[1]) for r in rows if r[2])
