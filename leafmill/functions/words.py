@@ -20,6 +20,8 @@ HEADER_WORDS = [
     "index", "introduction", "introductory", "preface", "contents", "glossary", "notes", "poems", "ode", "stanzas", "catalog", "books",
     "volumes", "tale", "chapter", "canto", "advertisement", "argument", "book", "scene", "act", "comedy", "tragedy", "plays",
 ]
+# Lines that ``is_markup`` takes for markup, in a text of many lines.
+MARKUP_LINE = "(?md)^ *<.*> *$"
 
 
 def is_markup(line: Column) -> Column:
@@ -68,6 +70,11 @@ def case_of(token: Column) -> Column:
     )
 
 
+def is_upper(token: Column) -> Column:
+    """Whether ``case_of`` says ``upper``, by one pattern."""
+    return token.rlike(r"^[^\p{Ll}\p{Lt}]*\p{Lu}[^\p{Ll}\p{Lt}]*$")
+
+
 def normal_case(token: Column) -> Column:
     return F.when(case_of(token) == "heterogenous", token).otherwise(F.lower(token))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import words
+from leafmill.sources.staged import written
 
 PAGE = ["vol", "page"]
 
@@ -97,6 +98,45 @@ def word_counts(tokens: DataFrame, with_caps: bool = False) -> DataFrame:
     return tokens.where(~words.no_alphanumeric(F.col("token"))).groupBy(*PAGE, F.lower("token").alias("word")).agg(F.count("*").alias("n"), *caps)
 
 
+def page_keys(pages: DataFrame) -> DataFrame:
+    """``vol, page, times, lined`` from ``pages(vol, page, text)``: the rows that a page has, and whether one of its lines is not markup."""
+    text = F.col("text")
+    lined = ~F.ltrim(text).startswith("<") | F.exists(F.split(text, "\n", -1), lambda x: ~words.is_markup(x))
+    return pages.groupBy(*PAGE).agg(F.count("*").alias("times"), F.bool_or(lined).alias("lined"))
+
+
+def whole_pages(pages: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """``vol, page, text, rows`` with one row for each page; ``rows`` has ``columns`` of each row it was made from. ``keys``: ``page_keys``.
+
+    Texts of rows that repeat a page follow each other as its lines. Only these texts are shuffled.
+    """
+    repeated = written(keys.where("times > 1").select(*PAGE), "repeated-pages")
+    one = pages.join(repeated, PAGE, "left_anti").select(*PAGE, "text", F.array(F.struct(*columns)).alias("rows"))
+    more = pages.join(repeated, PAGE, "left_semi").groupBy(*PAGE).agg(F.concat_ws("\n", F.collect_list("text")).alias("text"), F.collect_list(F.struct(*columns)).alias("rows"))
+    return one.unionByName(more)
+
+
+def counted_words(pages: DataFrame, caps_as: str | None = None) -> DataFrame:
+    """``word, n`` beside the other columns of ``pages``, which have one row each, instead of ``text``: the words of ``word_counts``.
+
+    A page is counted where it is read, so neither tokens nor counts are shuffled. Marks that make tokens do not reach over the end of a
+    line. ``caps_as`` names a row more for each page with words: how many tokens are in capitals.
+    """
+    others = [c for c in pages.columns if c != "text"]
+    plain = F.when(F.col("text").contains("<"), F.regexp_replace("text", words.MARKUP_LINE, "")).otherwise(F.col("text"))
+    t = pages.select(*others, F.filter(F.split(words.padded(plain), r"\s+"), lambda x: ~words.no_alphanumeric(x)).alias("own_"))
+    caps = [F.size(F.filter("own_", words.is_upper)).cast("long").alias("caps_")] * bool(caps_as)
+    t = t.select(*others, *caps, F.sort_array(F.transform("own_", F.lower)).alias("own_"))
+    size = F.size("own_")
+    first = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get("own_", i) != F.get("own_", i - 1)))
+    t = t.withColumn("first_", F.when(size > 0, first).otherwise(F.array().cast("array<int>")))
+    counted = F.transform("first_", lambda i, k: F.struct(F.get("own_", i).alias("word"), (F.coalesce(F.get("first_", k + 1), size) - i).cast("long").alias("n")))
+    if caps_as:
+        counted = F.when(size > 0, F.concat(F.array(F.struct(F.lit(caps_as).alias("word"), F.col("caps_").alias("n"))), counted))
+    # inline_outer: a filter on the size of the array would be pushed below and work it out anew for each element
+    return t.select(*others, counted.alias("counted_")).select(*others, F.inline_outer("counted_")).where(F.col("word").isNotNull())
+
+
 def lexicon_of(tokens: DataFrame, least: int) -> DataFrame:
     """``word, n``: stripped lower-case tokens that occur at least ``least`` times."""
     return _frequent(tokens.groupBy(words.stripped(F.lower("token")).alias("word")).agg(F.count("*").alias("n")), least)

@@ -128,10 +128,27 @@ def select_vocabulary(features: DataFrame, truth: DataFrame, per_category: int =
     """
     last = features.groupBy("vol").agg(F.max("page").alias("last"))
     own = features.join(last, "vol").where((F.col("page") >= 0) & (F.col("page") < F.col("last")) & ~F.col("feature").startswith("#")).join(truth, PAGE)
-    counts = own.groupBy("category", F.col("feature").alias("word")).agg(F.sum(F.least("count", F.lit(cap))).alias("n"))
+    return _commonest(own.select("category", F.col("feature").alias("word"), F.col("count").alias("n")), per_category, total, cap)
+
+
+def select_page_vocabulary(pages: DataFrame, per_category: int = 500, total: int = 2000, cap: int = 3) -> DataFrame:
+    """``select_vocabulary`` from ``pages(vol, page, category, text)``, whose lines that are not markup make a page's features.
+
+    Words are counted where their page is read: of pages only keys are shuffled, of words the sums for each category.
+    """
+    keys = written(L.page_keys(pages), "page-keys")
+    last = written(keys.where("lined").groupBy("vol").agg(F.max("page").alias("last")), "last-pages")
+    own = L.whole_pages(pages.join(last, "vol").where((F.col("page") >= 0) & (F.col("page") < F.col("last"))), keys, "category")
+    counted = L.counted_words(own).where(~F.col("word").startswith("#"))
+    return _commonest(counted.select(F.inline("rows"), "word", "n"), per_category, total, cap)
+
+
+def _commonest(counted: DataFrame, per_category: int, total: int, cap: int) -> DataFrame:
+    """The vocabulary from ``category, word, n``, one row for each category, page and word."""
+    counts = counted.groupBy("category", "word").agg(F.sum(F.least("n", F.lit(cap))).alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), F.desc("word")))).where(F.col("rank") <= per_category)
     chosen = best.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("word")).limit(total)
-    forced = features.sparkSession.createDataFrame([(w,) for w in FORCED_WORDS], "word string")
+    forced = counted.sparkSession.createDataFrame([(w,) for w in FORCED_WORDS], "word string")
     return chosen.unionByName(forced.join(chosen, "word", "left_anti").withColumn("n", F.lit(0).cast("long")))
 
 

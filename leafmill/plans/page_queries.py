@@ -172,8 +172,7 @@ best AS (SELECT word, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORD
 chosen AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM best GROUP BY word ORDER BY n DESC, encode(word) DESC LIMIT 2000)
 SELECT word, n FROM chosen UNION ALL SELECT word, 0 FROM (SELECT unnest([""" + ", ".join(f"'{w}'" for w in V.FORCED_WORDS) + "]) AS word) f WHERE word NOT IN (SELECT word FROM chosen)")
 def v14(spark, d):
-    truth = volume_pages(spark, d).select("vol", "page", F.col("lang").alias("category"))
-    return V.select_vocabulary(written(word_and_line_features_of(spark, d), "page-features"), truth)
+    return V.select_page_vocabulary(volume_pages(spark, d).select("vol", "page", F.col("lang").alias("category"), "text"))
 
 
 @query("v15_category_order", "WITH " + EVENT_PAGES + " SELECT CAST(row_number() OVER (ORDER BY min(event_id), category) + 1 AS INTEGER) AS idx, category FROM event_pages GROUP BY category UNION ALL SELECT 0, 'begin' UNION ALL SELECT 1, 'end'")

@@ -48,3 +48,40 @@ def test_files_of_small_volumes_are_written_by_many_tasks(spark):
 def test_words_are_broken_once_each(spark):
     plan = repair_queries.l25_segments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("md5") < plan.index("Aggregate [w#")  # the distinct words are below
+
+
+def odd_pages(spark):
+    rng = random.Random(5)
+    odd = [*ODD, "McX DON'T", "<pb n=1>", " <a> ", "<a> b", "ÀB Ǆ ǅ x\u2028Y\rZ", "#lines"]
+    rows = [("vwx"[p % 3], p % 17, "abc"[p % 3], "\n".join(rng.choice(odd) + rng.choice([" ", ""]) + rng.choice(odd) for _ in range(rng.randrange(1, 9)))) for p in range(60)]
+    rows += [("y", 0, "a", "one two"), ("y", 1, "b", " <a>\n<b> "), ("y", 2, None, "x X")]
+    return spark.createDataFrame(rows, "vol string, page int, category string, text string")
+
+
+def test_words_counted_where_pages_are_read_are_those_of_the_lines(spark):
+    pages = odd_pages(spark)
+    lines = pages.select("vol", "page", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    tokens = L.word_counts(L.tokens(lines), with_caps=True)
+    want = tokens.select("vol", "page", "word", "n").unionByName(tokens.groupBy("vol", "page").agg(F.lit("# caps").alias("word"), F.sum("caps").alias("n")))
+    keys = L.page_keys(pages)
+    got = L.counted_words(L.whole_pages(pages, keys, "category"), caps_as="# caps").drop("rows")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    lined = lines.where("NOT (startswith(trim(text), '<') AND endswith(trim(text), '>'))").select("vol", "page").distinct()
+    assert sorted(keys.where("lined").select("vol", "page").collect()) == sorted(lined.collect())
+
+
+def test_vocabulary_of_pages_is_that_of_their_features(spark):
+    pages = odd_pages(spark)
+    lines = pages.select("vol", "page", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    words = L.word_counts(L.tokens(lines)).select("vol", "page", F.col("word").alias("feature"), F.col("n").alias("count"))
+    features = words.unionByName(L.structure_counts(lines).select("vol", "page", F.lit("#textlines").alias("feature"), F.col("textlines").alias("count")))
+    want = V.select_vocabulary(features, pages.select("vol", "page", "category"), per_category=9, total=12, cap=2)
+    got = V.select_page_vocabulary(pages, per_category=9, total=12, cap=2)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_selected_vocabulary_shuffles_no_counts_of_pages(spark):
+    got = page_queries.v14(spark, "/root/testdata/sf0.001")
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(vol" not in plan.split("Initial Plan")[0] and "hashpartitioning(word" in plan
