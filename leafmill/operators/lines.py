@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +22,18 @@ def structure_counts(lines: DataFrame) -> DataFrame:
     """The line, punctuation, line-end and length features of each page in one aggregation."""
     own, s = accepted_lines(lines), F.col("s")
     some = F.length(s) > 0
-    count = lambda marks: F.sum(F.length(s) - F.length(F.regexp_replace(s, marks, "")))
+    count = lambda *marks: F.sum(F.length(s) - F.length(reduce(lambda x, mark: F.replace(x, F.lit(mark), F.lit("")), marks, s)))
     return own.groupBy(*PAGE).agg(
         F.count("*").alias("lines"),
         F.count_if(F.length(s) > 1).alias("textlines"),
         F.count_if(s.rlike(r"^\p{Lu}")).alias("caplines"),
         count(",").alias("commas"),
-        count(r"\.").alias("periods"),
-        count('["“”]').alias("quotations"),
+        count(".").alias("periods"),
+        count('"', "“", "”").alias("quotations"),
         count("!").alias("exclamationpoints"),
-        count(r"\?").alias("questionmarks"),
-        F.count_if(s.rlike(words.PUNCTUATION + "$") & ~s.endswith("-")).alias("endwpunct"),
-        F.count_if(s.rlike(r"\p{Nd}.?$")).alias("endwnumeral"),
+        count("?").alias("questionmarks"),
+        F.count_if(F.right(s, F.lit(2)).rlike(words.PUNCTUATION + "$") & ~s.endswith("-")).alias("endwpunct"),
+        F.count_if(F.right(s, F.lit(3)).rlike(r"\p{Nd}.?$")).alias("endwnumeral"),
         F.floor(100 * F.coalesce(F.stddev_pop(F.when(some, F.length(s))), F.lit(0.0)) + 1e-9).cast("long").alias("stdev"),
     )
 
@@ -106,14 +108,15 @@ def page_keys(pages: DataFrame) -> DataFrame:
 
 
 def whole_pages(pages: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
-    """``vol, page, text, rows`` with one row for each page; ``rows`` has ``columns`` of each row it was made from. ``keys``: ``page_keys``.
+    """``vol, page, text, rows`` with one row for each page; ``rows``, if ``columns`` are named, has these of each row it was made from. ``keys``: ``page_keys``.
 
     Texts of rows that repeat a page follow each other as its lines. Only these texts are shuffled.
     """
     repeated = written(keys.where("times > 1").select(*PAGE), "repeated-pages")
     one = pages.join(repeated, PAGE, "left_anti").select(*PAGE, "text", F.array(F.struct(*columns)).alias("rows"))
     more = pages.join(repeated, PAGE, "left_semi").groupBy(*PAGE).agg(F.concat_ws("\n", F.collect_list("text")).alias("text"), F.collect_list(F.struct(*columns)).alias("rows"))
-    return one.unionByName(more)
+    both = one.unionByName(more)
+    return both if columns else both.drop("rows")
 
 
 def counted_words(pages: DataFrame, caps_as: str | None = None) -> DataFrame:

@@ -24,19 +24,21 @@ CONVERSIONS = {
 FORCED_WORDS = ["index", "glossary", "argument", "biographical", "memoir", "memoirs", "autobiography", "dramatis", "personae", "contents", "table", "arabicprice", "appendix", "preface", "ode", "scene"]
 
 
-def page_features(lines: DataFrame, words: DataFrame, lexicon: DataFrame, names: DataFrame) -> DataFrame:
-    """``features`` of pages from ``lines(vol, page, line, text)``: their words, and what lines and capitals say, under ``#`` names.
+def word_features(words: DataFrame) -> DataFrame:
+    """``features`` from the words of pages, ``words(vol, page, word, n)``."""
+    return words.select(*PAGE, F.col("word").alias("feature"), F.col("n").alias("count"))
 
-    ``words(vol, page, word, n, caps)`` counts their words; ``lexicon(word)`` and ``names(word)`` tell
-    which lines begin with a name.
+
+def line_features(lines: DataFrame, lexicon: DataFrame, names: DataFrame) -> DataFrame:
+    """``features`` of what ``lines(vol, page, line, text)`` and their capitals say, under ``#`` names.
+
+    ``lexicon(word)`` and ``names(word)`` tell which lines begin with a name.
     """
 
     def long(wide: DataFrame, *names: str) -> DataFrame:
         return wide.select(*PAGE, F.inline(F.array(*[F.struct(F.lit("#" + c).alias("feature"), F.col(c).cast("long").alias("count")) for c in names])))
 
     parts = [
-        words.select(*PAGE, F.col("word").alias("feature"), F.col("n").alias("count")),
-        long(words.groupBy(*PAGE).agg(F.sum("caps").alias("allcapswords")), "allcapswords"),
         long(L.structure_counts(lines), "lines", "textlines", "caplines", "commas", "exclamationpoints", "questionmarks", "endwpunct", "endwnumeral"),
         long(L.initials(lines), "maxinitial", "maxpair"),
         long(L.line_starts(lines, lexicon, names), "startwname", "startwrubric"),
@@ -52,6 +54,18 @@ def fold_vocabulary(features: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return known.groupBy(*PAGE, name.alias("feature")).agg(F.sum("count").alias("count"))
 
 
+def fold_page_words(words: DataFrame, structural: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``fold_vocabulary`` of ``words(vol, page, word, n)``, one row for each page and word, and of ``structural`` features.
+
+    Known words stay as they are; only what becomes the catch-all, and names with ``#``, which a word may share, are summed.
+    """
+    features = word_features(words)
+    plain, known = features.where(~F.col("feature").startswith("#")), vocabulary.select(F.col("word").alias("feature"))
+    other = plain.join(known, "feature", "left_anti").groupBy(*PAGE).agg(F.lit(OTHER).alias("feature"), F.sum("count").alias("count"))
+    named = structural.unionByName(features.where(F.col("feature").startswith("#"))).groupBy(*PAGE, "feature").agg(F.sum("count").alias("count"))
+    return plain.join(known, "feature", "left_semi").unionByName(other).unionByName(named)
+
+
 def volume_totals(features: DataFrame) -> DataFrame:
     """Per volume: distinct pages, largest page, words, and mean lines and words of a page (1 where 0)."""
     own = features.where("page >= 0")

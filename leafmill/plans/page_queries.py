@@ -39,12 +39,27 @@ vt AS (SELECT vol, pages, max_page, words, CASE WHEN lines = 0 THEN 1.0::DOUBLE
 VOCAB = ", vocab AS (SELECT feature AS word FROM features WHERE NOT starts_with(feature, '#') GROUP BY feature HAVING sum(count) >= 50)"
 
 
+ALLCAPS = "#allcapswords"
+
+
+def page_words_of(spark, d):
+    """``vol, page, word, n`` of the documents, written once, with a row ``#allcapswords`` for each page; and the sums of ``word, n``, written too."""
+    pages = volume_pages(spark, d).select("vol", "page", "text")
+    whole = L.whole_pages(pages, L.page_keys(pages))
+    words = written(L.counted_words(whole, caps_as=ALLCAPS), "page-words")  # the only pass over tokens
+    return words, written(words.where(F.col("word") != ALLCAPS).groupBy("word").agg(F.sum("n").alias("n")), "word-sums")
+
+
+def structure_of(spark, d, sums):
+    """What the lines of pages say, in the form of page features."""
+    lexicon, personal, _ = rules_of_lexicon(L.lexicon_of_counts(sums, 20))
+    return V.line_features(volume_lines(spark, d), lexicon, personal)
+
+
 def features_of(spark, d):
     """The page features of the documents in long form, written once for all that read them."""
-    lines = volume_lines(spark, d)
-    words = written(L.word_counts(L.tokens(lines), with_caps=True), "word-counts")  # the only pass over tokens
-    lexicon, personal, _ = rules_of_lexicon(L.lexicon_of_counts(words, 20))
-    return written(V.page_features(lines, words, lexicon, personal), "page-features")
+    words, sums = page_words_of(spark, d)
+    return written(V.word_features(words).unionByName(structure_of(spark, d, sums)), "page-features")
 
 
 def word_features_of(spark, d):
@@ -65,8 +80,8 @@ def vocabulary_of(features):
 
 @query("k1_v2_folded_features", "WITH " + FEATURES + VOCAB + " SELECT vol, page, CASE WHEN feature IN (SELECT word FROM vocab) OR starts_with(feature, '#') THEN feature ELSE 'wordNotInVocab' END AS feature, CAST(sum(count) AS BIGINT) AS count FROM features GROUP BY ALL")
 def v2(spark, d):
-    f = features_of(spark, d)
-    return V.fold_vocabulary(f, vocabulary_of(f))
+    words, sums = page_words_of(spark, d)
+    return V.fold_page_words(words, structure_of(spark, d, sums), written(vocabulary_of(sums.withColumnsRenamed({"word": "feature", "n": "count"})), "vocabulary"))
 
 
 @query("v3_volume_totals", "WITH " + TOTALS + " SELECT * FROM vt")

@@ -85,3 +85,20 @@ def test_selected_vocabulary_shuffles_no_counts_of_pages(spark):
     got.collect()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(vol" not in plan.split("Initial Plan")[0] and "hashpartitioning(word" in plan
+
+
+def test_folded_words_are_those_of_all_features_together(spark):
+    words = L.counted_words(L.whole_pages(odd_pages(spark), L.page_keys(odd_pages(spark))), caps_as="#allcapswords")
+    structural = spark.createDataFrame([("v", 0, "#lines", 3), ("v", 1, "#lines", 2), ("y", 0, "#commas", 1)], "vol string, page int, feature string, count long")
+    known = words.where("NOT startswith(word, '#')").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 12").select("word")
+    want = V.fold_vocabulary(V.word_features(words).unionByName(structural), known)
+    got = V.fold_page_words(words, structural, known)
+    columns = ["vol", "page", "feature", "count"]
+    assert known.count() > 0 and sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+
+def test_known_words_are_not_shuffled_to_be_folded(spark):
+    got = page_queries.v2(spark, "/root/testdata/sf0.001")
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(feature" not in plan
