@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,28 +26,27 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import new_path, shipped_file, worker_state
 
-CHUNKS, PARTS = 400_000, 500_000
-LONG = 64  # characters; ids of longer chunks, as of texts without spaces, are not kept
+WORDS = 250_000
+LONG = 64  # characters; ids of longer words, as of texts without spaces, are not kept
+# A mark right after a letter; not the apostrophe, which a tokenizer may take together with letters.
+MARK = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[A-Za-zÀ-ÖØ-öø-ÿ].)")
 
 
-def parts_of(chunk: str) -> tuple[str, ...]:
-    """Parts that a lower-casing tokenizer encodes one after the other as it encodes the chunk.
-
-    A comma or full stop at the end, after a letter, is a pre-token of its own. Letters are lowered
-    only where all characters are in Latin-1, for which every lower-casing rule says the same.
-    """
-    if chunk.isascii() or max(chunk) < "\u0100":
-        chunk = chunk.lower()
-    if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha():
-        return chunk[:-1], chunk[-1]
-    return (chunk,)
+def lowered(text: str) -> str:
+    """A text as a lower-casing tokenizer reads it, where all characters are in Latin-1, for which every lower-casing rule says the same."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 def chunk_encoder(key: str, content: bytes):
-    """A function from texts to little-endian unsigned 32-bit ids, for tokenizers that lower-case and drop white space.
+    """A function from texts to little-endian unsigned 32-bit ids, for tokenizers that lower-case, drop white space and part letters from marks.
 
-    The ids of a text are those of its white-space-separated chunks in a row. Each distinct part of a
-    chunk is encoded once by the library and kept in a cache, bounded in bytes, that tasks of one worker share.
+    The ids of a text are those of its words in a row, which white space parts, and marks after letters.
+    Distinct words are encoded by the library and kept in a cache that tasks of one worker share. A full cache becomes that
+    of words ``before``, from which those still in use are taken over, so it is bounded in number and length.
     Texts in which a special token could stand, or separators that only Python takes for white space,
     go to the library whole.
     """
@@ -61,42 +61,41 @@ def chunk_encoder(key: str, content: bytes):
         ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         return tokenizer, ends_word, {}, {}
 
-    tokenizer, ends_word, chunks, parts = worker_state("packing", key, make)
+    tokenizer, ends_word, words, before = worker_state("packing", key, make)
     apart = [*[t.content for t in tokenizer.get_added_tokens_decoder().values()], "\x1c", "\x1d", "\x1e", "\x1f"]
 
-    def learn(new: list[str]) -> None:
-        """Encodes parts. Words of Latin-1 letters are one pre-token each, so many go in one call and are told apart by their ends."""
-        single = [p for p in new if not (p.isalpha() and (p.isascii() or max(p) < "\u0100"))]
-        plain = list(set(new).difference(single))
+    def learn(new: set[str]) -> None:
+        """Encodes words. Those of Latin-1 letters are one pre-token each, so many go in one call and are told apart by their ends."""
+        plain = [w for w in new if w.isalpha() and (w.isascii() or max(w) < "\u0100")]
+        single = list(new.difference(plain))
         packs = [plain[i : i + 256] for i in range(0, len(plain), 256)]
         for own, e in zip(packs, tokenizer.encode_batch_fast([" ".join(x) for x in packs], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
-            ends = (np.flatnonzero(ends_word[ids]) + 1).tolist()
+            ends = (4 * np.flatnonzero(ends_word[ids]) + 4).tolist()
             if len(ends) != len(own):
                 single += own
                 continue
-            for p, a, b in zip(own, [0, *ends], ends, strict=False):
-                parts[p] = ids[a:b].tobytes()
-        for p, e in zip(single, tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
-            parts[p] = array("I", e.ids).tobytes()
+            raw = ids.tobytes()
+            words.update(zip(own, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        for w, e in zip(single, tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            words[w] = array("I", e.ids).tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in apart)}
-        split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        for cache, most in ((chunks, CHUNKS), (parts, PARTS)):
-            if len(cache) > most:
-                cache.clear()
-        missing = {c: parts_of(c) for c in set().union(*split) if c not in chunks}
-        learn(list({p for ps in missing.values() for p in ps if p not in parts}))
-        for c, ps in missing.items():
-            chunks[c] = parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]]
-        get = chunks.__getitem__
-        found = [array("I", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes() if i in whole else b"".join(map(get, cs)) for i, cs in enumerate(split)]
-        for c, ps in missing.items():
-            if len(c) > LONG:
-                del chunks[c]
-                for p in ps:
-                    parts.pop(p, None)
+        low = [lowered(t) for t in texts]
+        whole = {i for i, (t, x) in enumerate(zip(texts, low, strict=True)) if any(s in t or s in x for s in apart)}
+        split = [[] if i in whole else MARK.sub(r" \g<0>", x).split() for i, x in enumerate(low)]
+        if len(words) > WORDS:
+            before.clear()
+            before.update(words)
+            words.clear()
+        new = set().union(*split).difference(words)
+        words.update([(w, before[w]) for w in new if w in before])
+        learn(new.difference(words))
+        get = words.__getitem__
+        found = [array("I", tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes() if i in whole else b"".join(map(get, ws)) for i, ws in enumerate(split)]
+        for w in new:
+            if len(w) > LONG:
+                del words[w]
         return found
 
     return encode

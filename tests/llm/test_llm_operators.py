@@ -814,6 +814,18 @@ def test_shard_store_refuses_other_columns_and_reopens(spark):
     assert shards.ShardStore(spark, new_path(spark, "store"), schema="a int").read().count() == 0
 
 
+def test_words_and_marks_of_packing_have_the_ids_of_the_library(monkeypatch):
+    odd = ["<|ENDOFTEXT|> a", "a<|endoftext|>b", "x's don't a.'s 'll S a'.b", "\u00e9.e\u0301,x", "1.5,2 a1.b2_c__d", "\u00d7.\u00f7,a\u00d7", "\u0391\u03a3:\u0392 \u0391\u03a3.", "\u0130.x I", "a\u2260b =\u0338", "a--b...c,,d$$$", "\u00b2a.\u00b3", "\u0178,\u0178A.", "", " *3,"]
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        content = f.read()
+    monkeypatch.setattr(packing, "WORDS", 8)
+    encode, whole = packing.chunk_encoder("odd words", content), Tokenizer.from_str(content.decode())
+    want = [array("I", whole.encode(t, add_special_tokens=False).ids).tobytes() for t in odd]
+    assert [encode([t])[0] for t in odd * 2] == want * 2 and encode(odd) == want
+    kept = [v for cell in encode.__closure__ if isinstance(v := cell.cell_contents, dict)]
+    assert {"a", "--b", "$$$"} <= kept[0].keys() | kept[1].keys()
+
+
 def test_texts_without_spaces_are_not_kept(spark):
     rng = random.Random(2)
     texts = ["".join(chr(rng.randint(0x4E00, 0x4FFF)) for _ in range(2000)) + "\n" + "x" * 100 for _ in range(40)]
