@@ -115,8 +115,13 @@ def structural_features(features: DataFrame, evidence: DataFrame | None = None)
 
 
 def zscore_fit(long: DataFrame) -> DataFrame:
-    """Mean and population deviation of ``x`` for each ``feature``."""
-    return long.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    """Mean and population deviation of ``x`` for each ``feature``.
+
+    Sums of many rows lose digits, so a first mean is taken off before the second sum, which then stays small.
+    """
+    near = long.groupBy("feature").agg(F.avg("x").alias("near"))
+    off = long.join(F.broadcast(near), "feature").withColumn("off", F.col("x") - F.col("near"))
+    return off.groupBy("feature").agg((F.first("near") + F.avg("off")).alias("mean"), F.stddev_pop("off").alias("sd"))
 
 
 def zscore_apply(long: DataFrame, stats: DataFrame) -> DataFrame:
@@ -124,6 +129,13 @@ def zscore_apply(long: DataFrame, stats: DataFrame) -> DataFrame:
     return long.join(stats, "feature").withColumn("z", F.when((F.col("sd") > 0) & F.col("x").isNotNull(), (F.col("x") - F.col("mean")) / F.col("sd")).otherwise(0.0))
 
 
+def rounded(x, digits: int):
+    """``x`` rounded as a double, ties of the scaled value away from zero; what rounds to zero keeps its sign."""
+    scaled = x * F.lit(10.0**digits)
+    near = F.signum(scaled) * F.round(F.abs(scaled)) / F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < float("inf"), near).otherwise(x)
+
+
 def magnitude(vector):
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
@@ -185,10 +197,14 @@ def tag_evidence(volumes: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def dense_vectors(long: DataFrame, order: DataFrame) -> DataFrame:
-    """``vol, page, features``: an ML vector of each page from ``long(vol, page, feature, z)``, by the index of ``order(feature, idx)``; absent features are 0."""
+    """``vol, page, features``: an ML vector of each page from ``long(vol, page, feature, z)``, by the index of ``order(feature, idx)``; absent features are 0.
+
+    Features that ``order`` doesn't have are no part of the vector; a page of these alone has zeros.
+    """
     from pyspark.ml.functions import array_to_vector
 
     n = order.count()
-    entries = long.join(F.broadcast(order) if n <= 10_000 else order, "feature").groupBy("vol", "page").agg(F.map_from_entries(F.collect_list(F.struct("idx", "z"))).alias("m"))
+    known = F.when(F.col("idx").isNotNull(), F.struct("idx", "z"))
+    entries = long.join(F.broadcast(order) if n <= 10_000 else order, "feature", "left").groupBy("vol", "page").agg(F.map_from_entries(F.collect_list(known)).alias("m"))
     cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     return entries.select("vol", "page", array_to_vector(cells).alias("features"))

@@ -148,7 +148,7 @@ def v7(spark, d):
 @query("v8_zscore_apply", "WITH " + LONG + ", s AS (SELECT feature, avg(x) AS m, stddev_pop(x) AS sd FROM long GROUP BY feature) SELECT vol, page, l.feature, round(CASE WHEN sd > 0 AND x IS NOT NULL THEN (x - m) / sd ELSE 0 END, 5) AS z FROM long l JOIN s USING (feature)")
 def v8(spark, d):
     long = long_of(spark, d)
-    return V.zscore_apply(long, V.zscore_fit(long)).select("vol", "page", "feature", F.round("z", 5).alias("z"))
+    return V.zscore_apply(long, V.zscore_fit(long)).select("vol", "page", "feature", V.rounded(F.col("z"), 5).alias("z"))
 
 
 V10_VOLUME_VECTORS_SQL = (

@@ -464,3 +464,31 @@ def test_category_models_read_volumes_that_were_written(spark):
     scored = fits.category_confidence(volumes, ["fic", "poe"], ["proportion"], "good")
     assert scored.inputFiles() and all("category-volumes" in f for f in scored.inputFiles())
     assert sorted((r.vol, r.category) for r in scored.collect()) == sorted((r[0], r[1]) for r in rows if r[2])
+
+
+def test_dense_vectors_keep_signed_zeros_and_unknown_categories(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    from leafmill.plans import catalog
+
+    said = [("click", 0.0), ("click", 100.0), ("click", 49.9999), ("error", 3.1), ("error", 3.1), ("error", 3.1), ("other", 7.0), ("view", None), ("view", 2.0), ("view", 5.0)]
+    rows = [(i, datetime.datetime(2024, 1, 1, 0, i), i % 2, g, x) for i, (g, x) in enumerate(said)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("v9_dense_vectors", "v8_zscore_apply"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLE_SQL[name]}) x").fetchall()
+        assert "-0.0" in str(want)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    xs = [-1e-6, 0.000285, -0.000285, 1.5e-5, -1.5e-5, 0.49999999999999994e-5, 12.345675, 1e304, -1e304, -0.0, 0.0]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(vectors.rounded(F.col("x"), 5).alias("y")).collect()
+    assert [str(r.y) for r in got] == [str(con.execute("SELECT round(?::DOUBLE, 5)", [x]).fetchone()[0]) for x in xs]
+
+
+def test_means_of_many_rows_keep_their_digits(spark):
+    long = spark.range(200_000).select(F.lit("x").alias("feature"), (1e9 + F.col("id") % 2 * 0.5).alias("x"))
+    r = vectors.zscore_fit(long).first()
+    assert r["mean"] == 1e9 + 0.25 and abs(r["sd"] - 0.25) < 1e-15
